@@ -1,6 +1,8 @@
 """Every registered query."""
 
-from cliploom.plans import checks_base, normalization, selection  # noqa: F401
+from cliploom.plans import (  # noqa: F401
+    checks_base, normalization, selection, answers, decisions, captions,
+)
 from cliploom.plans.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]

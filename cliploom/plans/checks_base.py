@@ -157,10 +157,11 @@ FROM (SELECT *, me0 - ms0 <= 1e-6 OR ms0 < 0 OR me0 > duration + 1e-6
         OR me0 - ms0 < 20.0 - 1e-6 OR me0 - ms0 > 90.0 + 1e-6 AS reverted FROM q_moved)""")
 
 
-def greedy(prefix: str, source: str, threshold: str = "0.6", keys: str = "run_id") -> None:
+def greedy(prefix: str, source: str, threshold: str = "0.6", keys: str = "run_id",
+           extra: str = "") -> None:
     """Greedy deduplication as a loop over priority positions."""
     part(f"{prefix}_order", f"""
-SELECT {keys}, candidate_id AS id, fs AS s, fe AS e, total,
+SELECT {keys}, candidate_id AS id, fs AS s, fe AS e, total{extra},
   row_number() OVER (PARTITION BY {keys} ORDER BY total DESC, fs, candidate_id) AS n
 FROM {source}""")
     iou = ("CASE WHEN least(k.e, c.e) - greatest(k.s, c.s) <= 0 THEN 0 ELSE "
@@ -284,4 +285,5 @@ WHERE problem IS NOT NULL GROUP BY run_id""")
 
 
 def sweep_parts() -> None:
-    greedy("q_sweep", "q_sweep_in", threshold="c.iou_limit", keys="policy_id, run_id")
+    greedy("q_sweep", "q_sweep_in", threshold="c.iou_limit", keys="policy_id, run_id",
+           extra=", iou_limit")

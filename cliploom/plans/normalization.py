@@ -90,7 +90,7 @@ SELECT run_id, seg_pos, word_pos + 1, i, 'segment ' || seg_pos || ' word ' || wo
 SELECT r.run_id,
   coalesce(count_if(n.seg_clamp), 0)::BIGINT AS clamped_segment_bounds,
   coalesce(count_if(n.word_clamp), 0)::BIGINT AS clamped_word_bounds,
-  count_if(NOT n.seg_clamp AND NOT n.word_clamp)::BIGINT AS dropped_empty_segments,
+  coalesce(count_if(NOT n.seg_clamp AND NOT n.word_clamp), 0)::BIGINT AS dropped_empty_segments,
   coalesce(string_agg(n.note, '; ' ORDER BY k) FILTER (WHERE k <= 20), '')
     || CASE WHEN count(n.note) > 20 THEN '; further normalizations omitted' ELSE '' END AS notes
 FROM q_raw_runs r LEFT JOIN (

@@ -132,8 +132,7 @@ SELECT run_id, candidate_id, round(fs * 1000)::BIGINT AS start_ms,
   round((fs - s) * 1000)::BIGINT AS start_delta_ms, round((fe - e) * 1000)::BIGINT AS end_delta_ms
 FROM q_snapped WHERE reasons = ''""")
 def snap_boundary(v: Views) -> DataFrame:
-    placed = P.place(v.proposals, v.chunks, v.runs)
-    rows = P.assess(placed, v.segments, v.words, VIEW_POLICY)
+    rows = v.assessed
     return rows.where(F.size("invalid_reasons") == 0).select(
         "run_id", "candidate_id", ms(F.col("adjusted_start")).alias("start_ms"),
         ms(F.col("adjusted_end")).alias("end_ms"), F.col("start_anchor_kind").alias("start_kind"),
@@ -157,8 +156,7 @@ def min_score_filter(v: Views) -> DataFrame:
 
 def _survivors(v: Views) -> DataFrame:
     """Scored, valid, strong candidates with their final interval."""
-    placed = P.place(v.proposals, v.chunks, v.runs)
-    rows = P.assess(placed, v.segments, v.words, VIEW_POLICY)
+    rows = v.assessed
     keep = (F.size("invalid_reasons") == 0) & S.passes_min_score(
         F.col("total_score"), F.lit(VIEW_POLICY.min_score))
     return rows.where(keep).select(
@@ -228,7 +226,7 @@ _OUTCOME_COLUMNS = """run_id, candidate_id, chunk_id, ordinal, outcome, rank,
 
 @plan("candidate_selection", f"SELECT {_OUTCOME_COLUMNS}, reasons FROM q_outcomes")
 def candidate_selection(v: Views) -> DataFrame:
-    return v.outcomes.select(
+    return S.settle(v.assessed, VIEW_POLICY).select(
         "run_id", "candidate_id", "chunk_id", "ordinal", "outcome", "rank",
         ms(F.col("start")).alias("start_ms"), ms(F.col("end")).alias("end_ms"), "total_score",
         "kept_id", "iou", F.array_join("invalid_reasons", ",").alias("reasons"))
@@ -306,8 +304,9 @@ sweep_parts()
 @plan("policy_sweep", """
 SELECT r.policy_id, r.run_id, count(*) AS proposed, count_if(reasons <> '')::BIGINT AS invalid,
   count_if(reasons = '' AND r.total + 1e-6 < min_score)::BIGINT AS below_min_score,
-  count_if(k.kept_id IS NOT NULL)::BIGINT AS deduplicated,
-  count_if(k.rk > cap)::BIGINT AS not_in_top_n, count_if(k.rk <= cap)::BIGINT AS selected
+  coalesce(count_if(k.kept_id IS NOT NULL), 0)::BIGINT AS deduplicated,
+  coalesce(count_if(k.rk > cap), 0)::BIGINT AS not_in_top_n,
+  coalesce(count_if(k.rk <= cap), 0)::BIGINT AS selected
 FROM q_sweep_rows r LEFT JOIN (
   SELECT policy_id, run_id, id, kept_id, CASE WHEN kept_id IS NULL THEN row_number() OVER (
     PARTITION BY policy_id, run_id, kept_id IS NULL ORDER BY total DESC, s, id) END AS rk
@@ -315,8 +314,7 @@ FROM q_sweep_rows r LEFT JOIN (
   ON k.policy_id = r.policy_id AND k.run_id = r.run_id AND k.id = r.candidate_id
 GROUP BY r.policy_id, r.run_id""")
 def policy_sweep(v: Views) -> DataFrame:
-    placed = P.place(v.proposals, v.chunks, v.runs)
-    rows = P.assess(placed, v.segments, v.words, VIEW_POLICY)
+    rows = v.assessed
     policies = {
         "base": rules.Policy(min_score=65, dedupe_iou=0.6, max_candidates=5),
         "strict": rules.Policy(min_score=75, dedupe_iou=0.6, max_candidates=5),

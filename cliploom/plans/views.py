@@ -5,6 +5,7 @@ Times are whole milliseconds until the last step, so they are exact in every eng
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 
 from cliploom import rules
 from cliploom.functions.columns import ms
-from cliploom.operators import normalize
+from cliploom.operators import captions, normalize, review
 from cliploom.operators.chunking import chunk_extents
 from cliploom.operators.digests import candidate_identifier, transcript_digest
-from cliploom.operators.selection import select_candidates
+from cliploom.operators.proposals import assess, place
+from cliploom.operators.selection import settle
 from cliploom.rules import Policy
+from cliploom.session import write_stage
 
 VIEW_POLICY = Policy(window_seconds=120.0, overlap_seconds=30.0, target=5, max_candidates=5)
 
@@ -39,8 +42,24 @@ def seconds(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column) / F.lit(1000.0)
 
 
+#: Stage tables already written by this session, by (application, folder, stage).
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staged(build: Callable[[Views], DataFrame]) -> cached_property:
+    """A view that several later steps read: written once, as the stages of a run are."""
+
+    def read(views: Views) -> DataFrame:
+        key = (views.spark.sparkContext.applicationId, views.folder, build.__name__)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = write_stage(build(views), build.__name__)
+        return _WRITTEN[key]
+
+    return cached_property(read)
+
+
 class Views:
-    """One scale-factor folder; every view is a lazy DataFrame."""
+    """One scale-factor folder; views are lazy DataFrames, stages are written tables."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
@@ -51,7 +70,7 @@ class Views:
 
     # --- transcripts --------------------------------------------------------------
 
-    @cached_property
+    @staged
     def lines(self) -> DataFrame:
         """One spoken line: its tokens, start and end in milliseconds."""
         tokens = F.filter(F.split("line", " "), lambda w: w != "")
@@ -97,7 +116,7 @@ class Views:
             (F.max("end_ms") + 400).alias("duration_ms"), F.max("seg_pos").alias("last_pos")
         )
 
-    @cached_property
+    @staged
     def words_ms(self) -> DataFrame:
         words = self.lines.select(
             "run_id", "seg_pos", "index", F.col("start_ms").alias("line_start_ms"),
@@ -136,7 +155,7 @@ class Views:
 
     # --- proposals ----------------------------------------------------------------
 
-    @cached_property
+    @staged
     def chunks(self) -> DataFrame:
         """Chunk extents; the text is only built where it is asked for."""
         return chunk_extents(self.segments, self.runs, VIEW_POLICY)
@@ -160,11 +179,11 @@ class Views:
         end = F.when(h % 37 == 0, start).otherwise(end)
         return base.withColumn("p_start_ms", start).withColumn("p_end_ms", end)
 
-    @cached_property
+    @staged
     def transcript_digests(self) -> DataFrame:
         return transcript_digest(self.segments_ms)
 
-    @cached_property
+    @staged
     def proposals(self) -> DataFrame:
         """Four proposals per chunk, with their identifiers."""
         h = F.col("h")
@@ -190,11 +209,15 @@ class Views:
             "candidate_id", candidate_identifier()
         ).drop("transcript_sha256")
 
-    @cached_property
+    @staged
+    def assessed(self) -> DataFrame:
+        """Validated, snapped and scored proposals."""
+        placed = place(self.proposals, self.chunks, self.runs)
+        return assess(placed, self.segments, self.words, VIEW_POLICY)
+
+    @staged
     def outcomes(self) -> DataFrame:
-        return select_candidates(
-            self.proposals, self.chunks, self.segments, self.words, self.runs, VIEW_POLICY
-        )
+        return settle(self.assessed, VIEW_POLICY)
 
     @cached_property
     def selected(self) -> DataFrame:
@@ -274,14 +297,185 @@ class Views:
             .alias("probability"),
         )
 
-    @cached_property
+    @staged
     def clamped_segments(self) -> DataFrame:
         return normalize.clamp_segments(self.raw_segments, self.raw_runs)
 
-    @cached_property
+    @staged
     def clamped_words(self) -> DataFrame:
         return normalize.clamp_words(self.raw_words, self.clamped_segments)
 
-    @cached_property
+    @staged
     def refused(self) -> DataFrame:
         return normalize.run_problems(self.raw_runs, self.clamped_segments, self.clamped_words)
+
+    # --- analyzer replies -----------------------------------------------------------
+
+    @staged
+    def replies(self) -> DataFrame:
+        """One reply text per chunk; a hash of (run, chunk) breaks some of them."""
+        scores = F.concat_ws(",", *[
+            F.concat(F.lit(f'"{n}":'), F.col(f"scores.{n}").cast("string"))
+            for n in rules.SCORE_NAMES
+        ])
+        one = F.concat(
+            F.lit('{"start":'), F.col("start").cast("string"), F.lit(',"end":'),
+            F.col("end").cast("string"), F.lit(',"category":"'), "category",
+            F.lit('","topic":"'), "topic", F.lit('","hook":"'), "hook", F.lit('","summary":"'),
+            "summary", F.lit('","reason":"'), "reason", F.lit('","scores":{'), scores, F.lit("}}"),
+        )
+        entry = F.array_sort(F.collect_list(F.struct("ordinal", one.alias("json"))))
+        whole = self.proposals.groupBy("run_id", "chunk_id", "chunk_index").agg(
+            F.array_join(F.transform(entry, lambda e: e["json"]), ",").alias("items"))
+        fault = (F.col("run_id") * 17 + F.col("chunk_index") * 5) % 23
+        items = F.col("items")
+
+        def swap(old: str, new: str) -> Column:
+            return F.regexp_replace(items, old, new)
+
+        body = (
+            F.when(fault == 0, swap('"topic"', '"total_score":90,"topic"'))
+            .when(fault == 1, swap('"clarity":[0-9]+,', ""))
+            .when(fault == 2, swap('"hook":[0-9]+', '"hook":101'))
+            .when(fault == 5, swap('"start":[-0-9.]+', '"start":NaN'))
+            .when(fault == 7, swap('"category":"[a-z_]+"', '"category":"dance"'))
+            .when(fault == 8, swap('"value":([0-9]+)', '"value":"$1"'))
+            .when(fault == 9, swap('"value":([0-9]+)', '"value":$1.0'))
+            .when(fault == 11, F.replace(items, F.lit('"topic":"'),
+                                         F.concat(F.lit('"topic":"'), F.repeat(F.lit("t"), 201))))
+            .when(fault == 12, swap('"value":([0-9]+)', '"value":$1.5'))
+            .when(fault == 13, F.lit(""))
+            .when(fault == 14, swap('"topic":"[^"]*"', '"topic":7'))
+            .otherwise(items)
+        )
+        reply = F.concat(F.lit('{"candidates":['), body, F.lit("]}"))
+        text = (
+            F.when(fault == 3, F.lit("  \n "))
+            .when(fault == 4, F.substring(reply, 1, 60))
+            .when(fault == 6, F.concat(F.lit("["), items, F.lit("]")))
+            .when(fault == 10, F.replace(reply, F.lit('{"candidates"'),
+                                         F.lit('{"note":"x","candidates"')))
+            .otherwise(reply)
+        )
+        return whole.select("run_id", "chunk_id", "chunk_index", text.alias("raw_response"))
+
+    @cached_property
+    def reply_marks(self) -> DataFrame:
+        """What the provider said about its own reply."""
+        h = (F.col("run_id") * 3 + F.col("chunk_index")) % 11
+        return self.chunks.select(
+            "run_id", "chunk_id",
+            F.when(h == 0, F.lit("SAFETY")).alias("block_reason"),
+            F.when(h == 1, F.lit("MAX_TOKENS")).when(h == 2, F.lit("FINISH_REASON_UNSPECIFIED"))
+            .when(h == 7, F.lit(None).cast("string")).otherwise(F.lit("STOP"))
+            .alias("finish_reason"),
+            F.when(h == 3, F.lit("other-model")).when(h == 4, F.lit("analyzer-1-001"))
+            .when(h == 5, F.lit("analyzer-12")).when(h == 6, F.lit(None).cast("string"))
+            .otherwise(F.lit("analyzer-1")).alias("model_version"),
+        )
+
+    # --- decisions ------------------------------------------------------------------
+
+    def _decided(self, rows: DataFrame) -> DataFrame:
+        h = F.col("h")
+        kind = (
+            F.when(h % 10 <= 5, F.lit("approved")).when(h % 10 == 6, F.lit("edited"))
+            .when(h % 10 <= 8, F.lit("rejected")).otherwise(F.lit("approved"))
+        )
+        low, high = ms(F.col("start")), ms(F.col("end"))
+        reason = F.element_at(
+            F.array(*[F.lit(x) for x in rules.EDITORIAL_REASONS]), (h % 9 + 1).cast("int"))
+        base = (
+            rows.select("run_id", "candidate_id", "rank", "h", "start", "end", "category")
+            .where((h % 10 != 9) | (F.col("run_id") % 7 != 0))
+            .join(self.runs_ms.select("run_id", "duration_ms"), "run_id")
+            .withColumn("decision", kind)
+        )
+        edited, rejected = F.col("decision") == "edited", F.col("decision") == "rejected"
+        final_start = F.when(edited, F.greatest(F.lit(0), low - 1500)).otherwise(low)
+        final_end = F.when(edited, F.least(F.col("duration_ms"), high + 2000)).otherwise(high)
+        return base.select(
+            "run_id", "candidate_id", "rank", "h", "category", "duration_ms", "decision",
+            F.col("start").alias("original_start"), F.col("end").alias("original_end"),
+            F.when(~rejected, seconds(final_start.cast("bigint"))).alias("final_start"),
+            F.when(~rejected, seconds(final_end.cast("bigint"))).alias("final_end"),
+            F.when(rejected, reason).alias("reason"),
+            F.when(rejected & ((h % 9 == 8) | (h % 4 == 0)), F.lit("note")).alias("detail"),
+            F.lit("2024-01-01T00:00:00Z").alias("reviewed_at"),
+        )
+
+    @staged
+    def decisions(self) -> DataFrame:
+        return self._decided(self.selected)
+
+    @cached_property
+    def faulty_decisions(self) -> DataFrame:
+        """Decisions with one controlled fault each for most hash values."""
+        g = F.floor(F.col("h") / 10) % 17
+        none = F.lit(None).cast("string")
+        broken = self.decisions.withColumn("g", g)
+        c = F.col
+        repeated = broken.where(c("g") == 11)
+        rows = broken.unionByName(repeated)
+        return rows.select(
+            "run_id", "h", "g", "decision",
+            F.when(c("g") == 9, F.concat("candidate_id", F.lit("x"))).otherwise(c("candidate_id"))
+            .alias("candidate_id"),
+            F.when(c("g") == 10, c("original_start") + 0.25).otherwise(c("original_start"))
+            .alias("original_start"),
+            F.when(c("g") == 6, c("original_start")).when(c("g") == 12, c("original_end") + 0.25)
+            .otherwise(c("original_end")).alias("original_end"),
+            F.when(c("g") == 1, c("original_start")).otherwise(c("final_start"))
+            .alias("final_start"),
+            F.when(c("g") == 0, c("final_end") + 0.5).when(c("g") == 1, c("original_end"))
+            .when(c("g") == 7, c("final_end") + seconds("duration_ms"))
+            .otherwise(c("final_end")).alias("final_end"),
+            F.when((c("g") == 2) & (c("decision") == "rejected"), F.lit("other"))
+            .when(c("g") == 3, none).otherwise(c("reason")).alias("reason"),
+            F.when(c("g") == 2, F.lit(" ")).when(c("g") == 3, F.lit("note"))
+            .when(c("g") == 8, F.repeat(F.lit("d"), 2001)).otherwise(c("detail")).alias("detail"),
+            F.when(c("g") == 4, F.lit("2024-01-01T00:00:00+02:00"))
+            .when(c("g") == 5, F.lit("2024-01-01T00:00:00"))
+            .otherwise(F.lit("2024-01-01T00:00:00Z")).alias("reviewed_at"),
+            F.when(c("run_id") % 31 == 0, F.lit("other")).otherwise(
+                F.concat(F.lit("print"), c("run_id").cast("string"))).alias("analysis_fingerprint"),
+            F.when(c("run_id") % 37 == 0, seconds(c("duration_ms") + 1000))
+            .otherwise(seconds("duration_ms")).alias("source_duration"),
+        )
+
+    @cached_property
+    def run_prints(self) -> DataFrame:
+        return self.runs.withColumn(
+            "analysis_fingerprint", F.concat(F.lit("print"), F.col("run_id").cast("string")))
+
+    @cached_property
+    def decision_log(self) -> DataFrame:
+        return decision_log(self.table("events"))
+
+    @staged
+    def targets(self) -> DataFrame:
+        return review.clip_targets(self.selected, self.decisions)
+
+    # --- captions ---------------------------------------------------------------------
+
+    @staged
+    def tokens(self) -> DataFrame:
+        return captions.clip_words(self.words, self.targets)
+
+    @staged
+    def cues(self) -> DataFrame:
+        return captions.build_cues(self.words, self.targets)
+
+
+def decision_log(events: DataFrame) -> DataFrame:
+    """Review events: a user is a run, ``props.k`` a candidate."""
+    kind = F.col("event_type")
+    decision = (
+        F.when(kind.isin("view", "purchase"), F.lit("approved"))
+        .when(kind.isin("click", "signup"), F.lit("edited")).otherwise(F.lit("rejected"))
+    )
+    return events.select(
+        F.col("user_id").alias("run_id"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("candidate_id"),
+        decision.alias("decision"), "ts", "event_id",
+    )
