@@ -59,3 +59,38 @@ def candidate_identifier() -> Column:
         F.col("p_end_ms"), F.col("category"), F.col("topic"), F.col("hook"), F.col("summary"),
         F.col("reason"), *[F.col(f"scores.{n}") for n in rules.SCORE_NAMES],
     ), 1, 16))
+
+
+#: Settings that say where and how, not what; they do not identify a run.
+ENVIRONMENT_ONLY = ("paths.input", "paths.output", "logging.level")
+
+
+def config_digest(settings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Digest of (name, value) settings without the environment-only ones.
+
+    A configuration is a few dozen settings, so one group is one small row.
+    """
+    entry = F.concat_ws("=", "name", F.coalesce("value", F.lit("~")))
+    return settings.where(~F.col("name").isin(*ENVIRONMENT_ONLY)).groupBy(*keys).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_set(entry)), "|"), 256).alias("config_sha256"))
+
+
+def stage_fingerprints(parts: dict[str, list[tuple[DataFrame, str]]], runs: DataFrame
+                       ) -> DataFrame:
+    """(run_id, stage, fingerprint): per stage, the digest of its named input digests in order.
+
+    ``parts`` maps a stage to (frame, column) pairs, each frame one row per run.
+    """
+    out: DataFrame | None = None
+    for stage, inputs in parts.items():
+        joined = runs.select("run_id")
+        names = []
+        for i, (frame, column) in enumerate(inputs):
+            name = f"_p{i}"
+            joined = joined.join(frame.select("run_id", F.col(column).alias(name)), "run_id",
+                                 "left")
+            names.append(name)
+        rows = joined.select("run_id", F.lit(stage).alias("stage"), digest(
+            F.lit(f"{stage}-v1"), *[F.col(n) for n in names]).alias("fingerprint"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -1,7 +1,8 @@
 """Every registered query."""
 
 from cliploom.plans import (  # noqa: F401
-    checks_base, normalization, selection, answers, decisions, captions,
+    checks_base, normalization, selection, answers, decisions, captions, audits, lineage, evaluation,
+    documents, streams,
 )
 from cliploom.plans.registry import oracle_sql, queries
 
