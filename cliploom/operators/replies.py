@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cliploom import rules
 from cliploom.functions.columns import first_problem, is_finite
+from cliploom.functions.json import object_keys, shape_problem, starts_list
 from cliploom.rules import Policy
 
 #: Text fields of a proposed candidate and their longest accepted length.
@@ -19,11 +20,10 @@ MAX_PROPOSALS = 200
 FIELDS = ("start", "end", "category", *TEXT_LIMITS, "scores")
 _CANDIDATE = "struct<" + ",".join(f"`{f}`:string" for f in FIELDS) + ">"
 _SCORES = "struct<" + ",".join(f"`{f}`:string" for f in rules.SCORE_NAMES) + ">"
-_SCALAR = r'(?s)\A\s*(null|true|false|-?\d+(\.\d+)?([eE][+-]?\d+)?|"([^"\\]|\\.)*")\s*\z'
 
 
 def _keys_are(text: Column, names: tuple[str, ...]) -> Column:
-    return F.array_sort(F.json_object_keys(text)) == F.array(*[F.lit(n) for n in sorted(names)])
+    return F.array_sort(object_keys(text)) == F.array(*[F.lit(n) for n in sorted(names)])
 
 
 def _score_ok(text: Column) -> Column:
@@ -62,17 +62,16 @@ def check_replies(replies: DataFrame, text: str = "raw_response") -> DataFrame:
     held = replies.withColumn("_top", top).withColumn("items", items)
     shape_ok = (
         _keys_are(body, ("candidates",))
+        & starts_list(body, "candidates")
         & F.col("items").isNotNull()
         & (F.size("items") <= MAX_PROPOSALS)
         & F.forall("items", _candidate_ok)
     )
-    other_json = F.from_json(body, "array<string>").isNotNull() | body.rlike(_SCALAR)
-    return held.withColumn("problem", first_problem([
-        ("empty", F.trim(F.regexp_replace(body, r"\s+", " ")) == ""),
-        ("not_object", F.col("_top").isNull() & other_json),
-        ("not_json", F.col("_top").isNull()),
-        ("schema", ~F.coalesce(shape_ok, F.lit(False))),
-    ])).drop("_top")
+    return held.withColumn("problem", F.coalesce(
+        F.when(F.trim(F.regexp_replace(body, r"\s+", " ")) == "", F.lit("empty")),
+        shape_problem(body),
+        F.when(~F.coalesce(shape_ok, F.lit(False)), F.lit("schema")),
+    )).drop("_top")
 
 
 def proposals_from(checked: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cliploom import rules
 from cliploom.functions.columns import first_problem
+from cliploom.functions.json import object_keys, shape_problem
 
 
 @dataclass(frozen=True)
@@ -120,7 +121,7 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def parse(docs: DataFrame, kind: Kind, text: str = "document") -> DataFrame:
     """Add ``doc`` (the typed content) and ``problem`` (NULL when accepted)."""
     body = F.col(text)
-    keys = F.json_object_keys(body)
+    keys = object_keys(body)
     allowed = F.array(*[F.lit(k) for k in (*kind.required, *kind.optional)])
     needed = F.array(*[F.lit(k) for k in kind.required])
     held = docs.withColumns({
@@ -131,15 +132,15 @@ def parse(docs: DataFrame, kind: Kind, text: str = "document") -> DataFrame:
     inner = held.select("*", *[
         F.expr(_inside(test, kind)).alias(f"_rule_{name}") for name, test in kind.rules])
     problem: list[tuple[str, Column]] = [
-        ("not_object", F.col("_any").isNull() & F.from_json(body, "array<string>").isNotNull()),
-        ("not_json", F.col("_any").isNull()),
         ("schema_version", ~F.col("_any")["schema_version"].eqNullSafe(
             F.lit(str(kind.version)))),
         ("missing_field", F.size(F.array_except(needed, "_keys")) > 0),
         ("unknown_field", F.size(F.array_except("_keys", allowed)) > 0),
         *[(name, F.coalesce(F.col(f"_rule_{name}"), F.lit(False))) for name, _ in kind.rules],
     ]
-    return inner.withColumn("problem", first_problem(problem)).drop(
+    return inner.withColumn(
+        "problem", F.coalesce(shape_problem(body), first_problem(problem))
+    ).drop(
         "_any", "_keys", *[f"_rule_{n}" for n, _ in kind.rules])
 
 

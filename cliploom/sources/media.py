@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliploom.functions.columns import first_problem, is_finite
+from cliploom.functions.json import shape_problem
 
 _STREAM = ("codec_type", "codec_name", "width", "height", "sample_rate", "channels",
            "avg_frame_rate", "r_frame_rate", "sample_aspect_ratio", "duration")
@@ -48,7 +49,7 @@ def probe_media(docs: DataFrame, text: str = "document") -> DataFrame:
     length = c("duration_seconds")
     return out.withColumns({
         "problem": first_problem([
-            ("not_json", c("_d").isNull()),
+            ("not_json", shape_problem(c(text)).isNotNull() | c("_d").isNull()),
             ("no_video", c("_video").isNull()),
             ("no_audio", c("_audio").isNull()),
             ("no_duration", length.isNull()),
