@@ -77,22 +77,22 @@ def ass_stamp(centis: Column) -> Column:
 def fixed2(seconds: Column) -> Column:
     """Two decimals as C prints them: rounded from the binary value, not from its decimal text.
 
-    Only a value whose thousandth digit is a lone 5 can differ between the two. The exact
-    sign of ``value * 1000 - round(value * 1000)`` comes from an error-free product.
+    Only a value whose thousandths round to a lone 5 can differ between the two. On which side
+    of that midpoint it lies is the exact sign of ``value * 1000 - midpoint``, which an
+    error-free product gives.
     """
     product = seconds * 1000.0
     whole = F.rint(product)
     high = seconds * 134217729.0 - (seconds * 134217729.0 - seconds)
     low = seconds - high
     error = (high * 1000.0 - product) + low * 1000.0
-    tie = (product == whole) & (F.abs(whole % 10) == 5)
-    down, up = F.floor(product / 10), F.ceil(product / 10)
+    side = (product - whole) + error
+    down = F.floor(whole / 10)
+    up = down + 1
     even = F.when(down % 2 == 0, down).otherwise(up)
     centis = (
-        F.when(tie & (error > 0), up)
-        .when(tie & (error < 0), down)
-        .when(tie, even)
-        .otherwise(F.rint(seconds * 100.0).cast("bigint"))
+        F.when(F.abs(whole % 10) != 5, F.rint(seconds * 100.0).cast("bigint"))
+        .when(side > 0, up).when(side < 0, down).otherwise(even)
     )
     size = F.abs(centis)
     sign = F.when(centis < 0, F.lit("-")).otherwise(F.lit(""))
