@@ -81,7 +81,7 @@ def chunk_extents(
     """Chunks without their text: what placement and validation need."""
     per_window = (
         window_segments(segments, runs, policy)
-        .groupBy("run_id", "window_k", "window_start", "window_end")
+        .groupBy("run_id", "window_k", "window_start", "window_end", "duration")
         .agg(
             F.min("start").alias("start"), F.max("end").alias("end"),
             F.count("*").alias("segment_count"), F.max("first_k").alias("latest_first_k"),
@@ -103,7 +103,7 @@ def build_chunks(
     )
     per_window = (
         window_segments(segments, runs, policy)
-        .groupBy("run_id", "window_k", "window_start", "window_end")
+        .groupBy("run_id", "window_k", "window_start", "window_end", "duration")
         .agg(
             F.min("start").alias("start"), F.max("end").alias("end"),
             F.max("first_k").alias("latest_first_k"),

@@ -226,24 +226,32 @@ def greedy_dedup(
     return _folded(small_rows, keys, own_limit, able, payload).unionByName(settled)
 
 
-def pairwise_overlaps(candidates: DataFrame, threshold: float, keys: list[str] | None = None,
-                      ) -> DataFrame:
-    """Pairs (id_a < id_b) of one run overlapping at or above ``threshold`` (> 0).
+def overlap_partners(candidates: DataFrame, threshold: float, keys: list[str] | None = None
+                     ) -> DataFrame:
+    """Per candidate: how many others of its run overlap it at or above ``threshold`` (> 0),
+    and the strongest such overlap (NULL when there is none).
 
-    Only cells that could hold a partner are visited.
+    Equal intervals are counted once with their number of copies, and only cells that could
+    hold a partner are visited, so copies cost nothing and no list of pairs is ever written.
     """
     keys = keys or ["run_id"]
     cells = _Cells(threshold)
-    left = candidates.select(*keys, "candidate_id", "start", "end")
-    right = candidates.select(
-        *keys, F.col("candidate_id").alias("id_b"), F.col("start").alias("start_b"),
-        F.col("end").alias("end_b"), *cells.cell(),
-    )
-    ratio = overlap_ratio(F.col("start"), F.col("end"), F.col("start_b"), F.col("end_b"))
-    return (
-        cells.spread(left)
+    spans = candidates.groupBy(*keys, "start", "end").agg(F.count("*").alias("copies"))
+    there = spans.select(
+        *keys, F.col("start").alias("o_start"), F.col("end").alias("o_end"),
+        F.col("copies").alias("o_copies"), *cells.cell())
+    ratio = overlap_ratio(F.col("start"), F.col("end"), F.col("o_start"), F.col("o_end"))
+    same = (F.col("start") == F.col("o_start")) & (F.col("end") == F.col("o_end"))
+    others = F.when(same, F.col("o_copies") - 1).otherwise(F.col("o_copies"))
+    found = (
+        cells.spread(spans)
         .withColumnsRenamed({"near_band": "band", "near_slot": "slot"})
-        .join(right, [*keys, "band", "slot"])
-        .where((F.col("candidate_id") < F.col("id_b")) & (ratio >= F.lit(threshold)))
-        .select(*keys, F.col("candidate_id").alias("id_a"), "id_b", ratio.alias("iou"))
+        .join(there, [*keys, "band", "slot"])
+        .withColumns({"iou": ratio, "others": others})
+        .where((F.col("iou") >= F.lit(threshold)) & (F.col("others") > 0))
+        .groupBy(*keys, "start", "end")
+        .agg(F.sum("others").alias("partners"), F.max("iou").alias("best_iou"))
     )
+    return candidates.join(found, [*keys, "start", "end"], "left").select(
+        *keys, "candidate_id",
+        F.coalesce("partners", F.lit(0).cast("bigint")).alias("partners"), "best_iou")

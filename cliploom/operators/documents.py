@@ -94,11 +94,10 @@ def clip_ass(cues: DataFrame, clips: DataFrame, width: int, height: int,
         *CLIP, F.concat(head, F.coalesce("body", F.lit("")), F.lit("\n")).alias("document"))
 
 
-def _clock(text: Column, pattern: str, fraction_ms: int) -> Column:
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, pattern, i).try_cast("bigint")
-
-    return ((part(1) * 60 + part(2)) * 60 + part(3)) * 1000 + part(4) * fraction_ms
+def _clock(hours: Column, minutes: Column, seconds: Column, rest: Column, unit_ms: int) -> Column:
+    """Milliseconds from digit texts; anything else gives NULL."""
+    h, m, s, r = (x.try_cast("bigint") for x in (hours, minutes, seconds, rest))
+    return ((h * 60 + m) * 60 + s) * 1000 + r * unit_ms
 
 
 def _outcome(docs: DataFrame, events: Column) -> DataFrame:
@@ -112,7 +111,6 @@ def _outcome(docs: DataFrame, events: Column) -> DataFrame:
 
 def parse_srt(docs: DataFrame) -> DataFrame:
     """Documents with ``events`` (start_ms, end_ms, text) and ``problem``."""
-    stamp = r"\A(\d{2}):(\d{2}):(\d{2}),(\d{3})\z"
     both = r"\A\d{2}:\d{2}:\d{2},\d{3} --> \d{2}:\d{2}:\d{2},\d{3}\z"
     blocks = F.filter(
         F.split(F.replace(F.col("document"), F.lit("\r\n"), F.lit("\n")), "\n\n"),
@@ -122,10 +120,13 @@ def parse_srt(docs: DataFrame) -> DataFrame:
         lines = F.split(F.regexp_replace(block, r"\A\n+|\n+\z", ""), "\n")
         times = F.trim(F.get(lines, F.lit(1)))
         ok = times.rlike(both)
-        # Only well-formed stamps are read: CASE keeps the casts away from the others.
-        sides = F.split(times, " --> ")
-        start = F.when(ok, _clock(F.get(sides, F.lit(0)), stamp, 1))
-        end = F.when(ok, _clock(F.get(sides, F.lit(1)), stamp, 1))
+
+        def at(first: int) -> Column:
+            digits = [F.substring(times, first + i, n) for i, n in ((0, 2), (3, 2), (6, 2), (9, 3))]
+            return F.when(ok, _clock(*digits, 1))
+
+        # The format is fixed-width once it matches: two stamps, five characters between.
+        start, end = at(1), at(18)
         problem = (
             F.when(F.size(lines) < 3, F.lit("no_text"))
             .when(F.trim(F.get(lines, F.lit(0))) != (i + 1).cast("string"), F.lit("wrong_number"))
@@ -150,8 +151,12 @@ def parse_ass(docs: DataFrame) -> DataFrame:
         fields = F.split(F.substring(line, 10, 2147483647), ",", 10)
         left, right = F.trim(F.get(fields, F.lit(1))), F.trim(F.get(fields, F.lit(2)))
         ok = left.rlike(stamp) & right.rlike(stamp)
-        start = F.when(ok, _clock(left, stamp, 10))
-        end = F.when(ok, _clock(right, stamp, 10))
+
+        def at(text: Column) -> Column:
+            parts = F.split(text, "[:.]")
+            return F.when(ok, _clock(*[F.get(parts, F.lit(i)) for i in range(4)], 10))
+
+        start, end = at(left), at(right)
         problem = (
             F.when(F.size(fields) != 10, F.lit("wrong_fields"))
             .when(~ok, F.lit("bad_timestamps"))

@@ -1,10 +1,10 @@
 """Validation, snapping and scoring of proposals.
 
-Speech edges are laid out by (run, time bucket). Every bucket holds the distinct edges within
-reach of it and the distinct segments covering it, so a proposal's start and end each find all
-they need in exactly one bucket: two equi joins, no pairs, no grouping afterwards. The
-bucket's sets are built with map-side combining and hold distinct positions inside a few
-seconds of media, however many copies the input has.
+Spoken spans (segments and words) are laid out by (run, time bucket). Every bucket holds the
+distinct spans within reach of it, so a proposal's start and end each find all they need in
+exactly one bucket: two equi joins, no pairs, no grouping afterwards. The bucket's set is built
+with map-side combining and holds distinct spans around a few seconds of media, however many
+copies the input has.
 """
 
 from __future__ import annotations
@@ -17,15 +17,13 @@ from cliploom.functions.columns import reasons
 from cliploom.rules import Policy
 
 
-def place(proposals: DataFrame, chunks: DataFrame, runs: DataFrame) -> DataFrame:
+def place(proposals: DataFrame, chunks: DataFrame) -> DataFrame:
     """Proposals with the extent of the chunk they answer and the source duration."""
     where = chunks.select(
-        "run_id", "chunk_id", "window_start", "window_end",
+        "run_id", "chunk_id", "window_start", "window_end", "duration",
         F.col("start").alias("chunk_start"), F.col("end").alias("chunk_end"),
     )
-    return proposals.join(where, ["run_id", "chunk_id"]).join(
-        runs.select("run_id", "duration"), "run_id"
-    )
+    return proposals.join(where, ["run_id", "chunk_id"])
 
 
 def bucket_seconds(snap: float) -> float:
@@ -33,44 +31,27 @@ def bucket_seconds(snap: float) -> float:
 
 
 def speech_index(segments: DataFrame, words: DataFrame, snap: float) -> DataFrame:
-    """(run, bucket) -> distinct edges within reach, distinct segments covering the bucket."""
+    """(run, bucket) -> distinct spoken spans within reach of the bucket."""
     width = bucket_seconds(snap)
     reach = snap + 2 * rules.TIME_EPSILON
     seg = segments.select(
         "run_id", F.col("index").alias("seg_index"), F.col("start").alias("seg_start"),
         F.col("end").alias("seg_end"),
     )
-    word_edges = words.select("run_id", "seg_index", "start", "end").join(
+    of_words = words.select("run_id", "seg_index", "start", "end").join(
         seg, ["run_id", "seg_index"]
     ).select("run_id", "seg_start", "seg_end", "start", "end", F.lit(1).alias("rank"))
-    seg_edges = seg.select(
+    of_segments = seg.select(
         "run_id", "seg_start", "seg_end", F.col("seg_start").alias("start"),
         F.col("seg_end").alias("end"), F.lit(0).alias("rank"),
     )
-
-    def edge(name: str, opens: bool) -> Column:
-        return F.struct(
-            F.col(name).alias("at"), "rank", F.lit(opens).alias("opens"), "seg_start", "seg_end"
-        )
-
-    edges = (
-        seg_edges.unionByName(word_edges)
-        .select("run_id", F.explode(F.array(edge("start", True), edge("end", False))).alias("edge"))
-        .withColumn("bucket", F.explode(F.sequence(
-            F.floor((F.col("edge.at") - reach) / width), F.floor((F.col("edge.at") + reach) / width)
-        )))
-    )
-    cover = seg.select(
-        "run_id", F.struct("seg_start", "seg_end").alias("cover"),
-        F.explode(F.sequence(
-            F.floor((F.col("seg_start") - reach) / width), F.floor((F.col("seg_end") + reach) / width)
-        )).alias("bucket"),
-    )
-    rows = edges.withColumn("cover", F.lit(None).cast(cover.schema["cover"].dataType)).unionByName(
-        cover.withColumn("edge", F.lit(None).cast(edges.schema["edge"].dataType))
-    )
-    return rows.groupBy("run_id", "bucket").agg(
-        F.collect_set("edge").alias("edges"), F.collect_set("cover").alias("covers")
+    buckets = F.sequence(
+        F.floor((F.col("start") - reach) / width), F.floor((F.col("end") + reach) / width))
+    span = F.struct("rank", "start", "end", "seg_start", "seg_end")
+    return (
+        of_segments.unionByName(of_words)
+        .select("run_id", F.explode(buckets).alias("bucket"), span.alias("span"))
+        .groupBy("run_id", "bucket").agg(F.collect_set("span").alias("spans"))
     )
 
 
@@ -84,28 +65,26 @@ def _look_up(placed: DataFrame, index: DataFrame, side: str, snap: float | Colum
     def in_chunk(x: Column) -> Column:
         return (x["seg_end"] > F.col("window_start")) & (x["seg_start"] < F.col("window_end"))
 
-    near = F.filter("edges", lambda x: in_chunk(x) & (F.abs(t - x["at"]) <= reach))
-    spoken = F.exists(
-        "covers",
-        lambda x: in_chunk(x)
-        & (x["seg_start"] - rules.TIME_EPSILON <= t)
-        & (t <= x["seg_end"] + rules.TIME_EPSILON),
-    )
+    def supports(x: Column) -> Column:
+        spoken = (x["start"] - rules.TIME_EPSILON <= t) & (t <= x["end"] + rules.TIME_EPSILON)
+        near = (F.abs(t - x["start"]) <= reach) | (F.abs(t - x["end"]) <= reach)
+        return in_chunk(x) & (spoken | near)
+
     direction = 1.0 if opens else -1.0
     best = F.array_min(F.transform(
-        F.filter("_near", lambda x: x["opens"] == F.lit(opens)),
+        F.filter("_near", lambda x: F.abs(t - x[side]) <= reach),
         lambda x: F.struct(
-            F.abs(x["at"] - t).alias("distance"), x["rank"].alias("rank"),
-            (x["at"] * direction).alias("tie"), x["at"].alias("at"),
+            F.abs(x[side] - t).alias("distance"), x["rank"].alias("rank"),
+            (x[side] * direction).alias("tie"), x[side].alias("at"),
         ),
     ))
     keyed = placed.withColumn("bucket", F.floor(t / width))
-    found = keyed.join(index, ["run_id", "bucket"], "left").withColumn("_near", near)
+    found = keyed.join(index, ["run_id", "bucket"], "left").withColumn(
+        "_near", F.filter("spans", supports))
     return (
-        found.withColumn(f"{side}_grounded",
-                         F.coalesce((F.size("_near") > 0) | spoken, F.lit(False)))
+        found.withColumn(f"{side}_grounded", F.coalesce(F.size("_near") > 0, F.lit(False)))
         .withColumn(f"{side}_anchor", best)
-        .drop("bucket", "edges", "covers", "_near")
+        .drop("bucket", "spans", "_near")
     )
 
 

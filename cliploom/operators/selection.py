@@ -24,14 +24,16 @@ def rank_kept(judged: DataFrame, keys: list[str], kept: Column) -> DataFrame:
     Kept intervals do not overlap beyond the threshold, so how many a run can hold is set by
     its length in media time, not by how many proposals it received.
     """
-    order = Window.partitionBy(*keys, "_kept").orderBy(
+    # Rows that get no rank are spread out, so they never crowd the ranked ones.
+    lane = F.when(kept, F.lit(-1)).otherwise(F.abs(F.hash("candidate_id")) % 1024)
+    order = Window.partitionBy(*keys, "_lane").orderBy(
         F.col("total_score").desc(), F.col("start"), F.col("candidate_id")
     )
     return (
-        judged.withColumn("_kept", kept)
+        judged.withColumn("_lane", lane)
         .withColumn("priority_rank",
-                    F.when(F.col("_kept"), F.row_number().over(order).cast("bigint")))
-        .drop("_kept")
+                    F.when(F.col("_lane") == -1, F.row_number().over(order).cast("bigint")))
+        .drop("_lane")
     )
 
 
@@ -89,10 +91,10 @@ def settle(assessed: DataFrame, policy: Policy, sizes_from: DataFrame | None = N
 
 def select_candidates(
     proposals: DataFrame, chunks: DataFrame, segments: DataFrame, words: DataFrame,
-    runs: DataFrame, policy: Policy, fold_rows: int | None = None,
+    policy: Policy, fold_rows: int | None = None,
 ) -> DataFrame:
     """One row per proposal, with its terminal outcome and everything recorded about it."""
-    assessed = assess(place(proposals, chunks, runs), segments, words, policy)
+    assessed = assess(place(proposals, chunks), segments, words, policy)
     return settle(assessed, policy, sizes_from=proposals, fold_rows=fold_rows)
 
 
@@ -114,40 +116,50 @@ def funnel(outcomes: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def presentation(outcomes: DataFrame) -> DataFrame:
     """Position of every row inside its outcome list of its run.
 
-    Invalid rows follow (chunk, ordinal); all others follow the priority order. Positions are
-    counted score by score, so one long list is spread over as many tasks as it has scores.
+    Invalid rows follow (chunk, ordinal); all others follow the priority order.
     """
     invalid = F.col("outcome") == "invalid"
-    coarse = F.when(invalid, F.lit(0.0)).otherwise(-F.col("total_score"))
-    lane = F.when(invalid, F.col("chunk_id")).otherwise(F.lit(""))
-    fine = F.struct(
-        F.when(invalid, F.lit(0.0)).otherwise(F.col("start")).alias("a"),
-        F.when(invalid, F.lit("")).otherwise(F.col("candidate_id")).alias("b"),
-        F.when(invalid, F.col("ordinal")).otherwise(F.lit(0)).alias("c"),
-    )
-    rows = outcomes.withColumns({"_coarse": coarse, "_lane": lane, "_fine": fine})
-    return number_by(rows, ["run_id", "outcome"], ["_coarse", "_lane"], "_fine", 1)
+    rows = outcomes.withColumns({
+        "_score": F.when(invalid, F.lit(0.0)).otherwise(-F.col("total_score")),
+        "_chunk": F.when(invalid, F.col("chunk_id")).otherwise(F.lit("")),
+        "_at": F.when(invalid, F.floor(F.col("ordinal") / 1024).cast("double"))
+        .otherwise(F.col("start")),
+        "_head": F.when(invalid, F.lit("")).otherwise(F.substring("candidate_id", 1, 8)),
+        "_fine": F.struct(
+            F.when(invalid, F.lit("")).otherwise(F.col("candidate_id")).alias("id"),
+            F.when(invalid, F.col("ordinal")).otherwise(F.lit(0)).alias("ordinal")),
+    })
+    return number_by(
+        rows, ["run_id", "outcome"], [["_score", "_chunk"], ["_at", "_head"]], "_fine", 1)
 
 
 def canonical_positions(proposals: DataFrame) -> DataFrame:
-    return number_by(proposals, ["run_id"], ["chunk_id"], "ordinal", 0)
+    """Arrival-independent 0-based position of every proposal of a run."""
+    rows = proposals.withColumn("_block", F.floor(F.col("ordinal") / 1024))
+    return number_by(rows, ["run_id"], [["chunk_id"], ["_block"]], "ordinal", 0)
 
 
-def number_by(rows: DataFrame, keys: list[str], coarse: list[str], fine: str, first: int
+def number_by(rows: DataFrame, keys: list[str], levels: list[list[str]], fine: str, first: int
               ) -> DataFrame:
-    """Position by (coarse, fine): rows of earlier coarse values, counted once per value, plus
-    the place inside the own one."""
-    before = Window.partitionBy(*keys).orderBy(*coarse).rowsBetween(
-        Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(*keys, *coarse).count().withColumn(
-        "_before", F.coalesce(F.sum("count").over(before), F.lit(0).cast("bigint"))
-    ).drop("count")
-    inside = Window.partitionBy(*keys, *coarse).orderBy(fine)
-    return (
-        rows.withColumn("_n", F.row_number().over(inside)).join(sizes, [*keys, *coarse])
-        .withColumn("position", (F.col("_before") + F.col("_n") - 1 + first).cast("bigint"))
-        .drop("_before", "_n", *[c for c in (*coarse, fine) if c.startswith("_")])
-    )
+    """Position of a row by (levels..., fine) without sorting a whole run in one task.
+
+    Per level, the rows of earlier values are counted once per value (combined before the
+    shuffle); only rows equal on all levels are sorted together.
+    """
+    numbered, inside, offset = rows, list(keys), F.lit(first)
+    for i, level in enumerate(levels):
+        order = Window.partitionBy(*inside).orderBy(*level).rowsBetween(
+            Window.unboundedPreceding, -1)
+        name = f"_before{i}"
+        sizes = rows.groupBy(*inside, *level).count().withColumn(
+            name, F.coalesce(F.sum("count").over(order), F.lit(0).cast("bigint"))).drop("count")
+        inside = [*inside, *level]
+        numbered = numbered.join(sizes, inside)
+        offset = offset + F.col(name)
+    place = F.row_number().over(Window.partitionBy(*inside).orderBy(fine))
+    drop = [c for c in numbered.columns if c.startswith("_")]
+    return numbered.withColumn("_n", place).withColumn(
+        "position", (offset + F.col("_n") - 1).cast("bigint")).drop("_n", *drop)
 
 
 def policy_problems() -> Column:

@@ -30,12 +30,12 @@ def allowed_moves() -> list[str]:
 def illegal_moves(history: DataFrame) -> DataFrame:
     """Rows of a status history (run_id, ts, event_id, status) no rule allows.
 
-    Scanned day by day, so a run with a very long history is not one task.
+    Scanned hour by hour, so a run with a very long history is not one task.
     """
     placed = history.withColumn("_at", F.struct("ts", "event_id"))
     scanned = running_before(
         placed, ["run_id"], "_at", {"before": ("last", F.col("status"))},
-        block=F.to_date("ts"))
+        block=F.date_trunc("hour", "ts"))
     move = F.concat_ws(">", "before", "status")
     return scanned.where(
         F.col("before").isNotNull() & (F.col("before") != F.col("status"))

@@ -73,7 +73,7 @@ def chunk_bridge(v: Views) -> DataFrame:
 SELECT run_id, candidate_id, ordinal, chunk_id, round(cs * 1000)::BIGINT AS chunk_start_ms,
   round(ce * 1000)::BIGINT AS chunk_end_ms, ps AS start_ms, pe AS end_ms FROM q_proposals""")
 def proposals_chunks(v: Views) -> DataFrame:
-    return P.place(v.proposals, v.chunks, v.runs).select(
+    return P.place(v.proposals, v.chunks).select(
         "run_id", "candidate_id", "ordinal", "chunk_id",
         ms(F.col("chunk_start")).alias("chunk_start_ms"),
         ms(F.col("chunk_end")).alias("chunk_end_ms"), F.col("p_start_ms").alias("start_ms"),
@@ -82,7 +82,7 @@ def proposals_chunks(v: Views) -> DataFrame:
 
 def _anchored(v: Views) -> DataFrame:
     return P.with_anchors(
-        P.place(v.proposals, v.chunks, v.runs), v.segments, v.words, VIEW_POLICY.snap_seconds)
+        P.place(v.proposals, v.chunks), v.segments, v.words, VIEW_POLICY.snap_seconds)
 
 
 @plan("proposal_spoken", """
@@ -93,7 +93,7 @@ FROM q_proposals p JOIN q_chunk_edges a USING (run_id, chunk_id)
 GROUP BY p.run_id, p.candidate_id""")
 def proposal_spoken(v: Views) -> DataFrame:
     """The interval part alone: a zero reach leaves only 'inside a segment or word'."""
-    placed = P.place(v.proposals, v.chunks, v.runs)
+    placed = P.place(v.proposals, v.chunks)
     seen = P.with_anchors(placed, v.segments, v.words, 1e-9)
     return seen.select(
         "run_id", "candidate_id", F.col("start_grounded").alias("start_spoken"),
@@ -170,12 +170,15 @@ _IOU_AB = """CASE WHEN least(a.fe, b.fe) - greatest(a.fs, b.fs) <= 0 THEN 0 ELSE
 
 
 @plan("pairwise_iou", f"""
-SELECT a.run_id, a.candidate_id AS id_a, b.candidate_id AS id_b, {_IOU_AB} AS iou
-FROM q_survivors a JOIN q_survivors b ON a.run_id = b.run_id AND a.candidate_id < b.candidate_id
-WHERE {_IOU_AB} >= 0.25""")
+SELECT s.run_id, s.candidate_id, count(p.iou) AS partners, max(p.iou) AS best_iou
+FROM q_survivors s LEFT JOIN (
+  SELECT a.run_id, a.candidate_id, {_IOU_AB} AS iou FROM q_survivors a JOIN q_survivors b
+    ON a.run_id = b.run_id AND a.candidate_id <> b.candidate_id WHERE {_IOU_AB} >= 0.25) p
+  ON p.run_id = s.run_id AND p.candidate_id = s.candidate_id
+GROUP BY s.run_id, s.candidate_id""")
 def pairwise_iou(v: Views) -> DataFrame:
-    """Pairs at a stated overlap; the cells visited keep it linear in matching neighbours."""
-    return D.pairwise_overlaps(_survivors(v), 0.25)
+    """Partners of every candidate, not the list of all pairs."""
+    return D.overlap_partners(_survivors(v), 0.25)
 
 
 @plan("interval_iou", """
@@ -185,7 +188,7 @@ SELECT run_id, candidate_id, CASE WHEN least(e, ce) - greatest(s, cs) <= 0 THEN
 def interval_iou(v: Views) -> DataFrame:
     """Overlap of every well-formed proposal with its chunk."""
     ratio = overlap_ratio(F.col("start"), F.col("end"), F.col("chunk_start"), F.col("chunk_end"))
-    return P.place(v.proposals, v.chunks, v.runs).where("end > start").select(
+    return P.place(v.proposals, v.chunks).where("end > start").select(
         "run_id", "candidate_id", ratio.alias("iou"))
 
 

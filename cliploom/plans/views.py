@@ -212,7 +212,7 @@ class Views:
     @staged
     def assessed(self) -> DataFrame:
         """Validated, snapped and scored proposals."""
-        placed = place(self.proposals, self.chunks, self.runs)
+        placed = place(self.proposals, self.chunks)
         return assess(placed, self.segments, self.words, VIEW_POLICY)
 
     @staged

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.session import shared_folder
@@ -32,6 +32,12 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _last_per(changes: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """The values of the latest batch that touched a key, combined before the shuffle."""
+    latest = F.max_by(F.struct(*values), F.col("batch").cast("bigint")).alias("v")
+    return changes.groupBy(*keys).agg(latest).select(*keys, "v.*")
+
+
 def latest_decisions(log: DataFrame) -> DataFrame:
     """Decision stream -> the current decision per candidate.
 
@@ -43,9 +49,7 @@ def latest_decisions(log: DataFrame) -> DataFrame:
     current = log.groupBy(*keys).agg(
         F.max_by("decision", last).alias("decision"), F.max(last)["event_id"].alias("event_id"))
     changes = _run_to_end(current, "update", _folder(log.sparkSession))
-    order = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
-    return changes.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(
-        *keys, "decision", "event_id")
+    return _last_per(changes, keys, ["decision", "event_id"])
 
 
 def usage_windows(usage: DataFrame, width: str = "1 day", lateness: str = "2 hours"
@@ -58,6 +62,4 @@ def usage_windows(usage: DataFrame, width: str = "1 day", lateness: str = "2 hou
         .select("run_id", F.col("w.start").alias("window_start"), "calls", "tokens")
     )
     changes = _run_to_end(counted, "update", _folder(usage.sparkSession))
-    order = Window.partitionBy("run_id", "window_start").orderBy(F.col("batch").desc())
-    return changes.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(
-        "run_id", "window_start", "calls", "tokens")
+    return _last_per(changes, ["run_id", "window_start"], ["calls", "tokens"])

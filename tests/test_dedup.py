@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cliploom.operators.dedup import greedy_dedup, pairwise_overlaps
+from cliploom.operators.dedup import greedy_dedup, overlap_partners
 
 SCHEMA = "run_id long, candidate_id string, start double, end double, total_score double"
 
@@ -76,13 +76,16 @@ def test_ineligible_rows_pass_through(spark):
         assert got == {(1, "a"): None, (1, "b"): None, (1, "c"): "b"}
 
 
-def test_pairwise(spark):
+def test_partners(spark):
     rng = random.Random(5)
     rows = [(1, f"c{i:03d}", s, s + rng.uniform(1, 120), 1.0)
             for i in range(150) for s in [rng.uniform(0, 400)]]
+    rows += [(1, f"copy{i}", 10.0, 40.0, 1.0) for i in range(30)]
     for threshold in (0.1, 0.5, 0.9):
-        want = {(a[1], b[1]) for a in rows for b in rows
-                if a[1] < b[1] and iou(a[2:4], b[2:4]) >= threshold}
-        df = spark.createDataFrame(rows, SCHEMA)
-        got = [(r.id_a, r.id_b) for r in pairwise_overlaps(df, threshold).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+        want = {}
+        for a in rows:
+            hits = [iou(a[2:4], b[2:4]) for b in rows if b[1] != a[1]]
+            hits = [h for h in hits if h >= threshold]
+            want[a[1]] = (len(hits), max(hits) if hits else None)
+        got = overlap_partners(spark.createDataFrame(rows, SCHEMA), threshold).collect()
+        assert {r.candidate_id: (r.partners, r.best_iou) for r in got} == want

@@ -39,7 +39,7 @@ def funnel(spark, items, policy=POLICY, **more):
     segments, words, runs = grid(spark)
     chunks = chunking.chunk_extents(segments, runs, policy)
     rows = propose(spark, items).repartition(4, F.rand(random.randrange(99)))
-    out = selection.select_candidates(rows, chunks, segments, words, runs, policy, **more)
+    out = selection.select_candidates(rows, chunks, segments, words, policy, **more)
     return {r.candidate_id: r for r in out.collect()}
 
 
@@ -134,7 +134,7 @@ def test_nearest_anchor_equals_brute_force(spark):
         rows.append((1, chunk, i, s, s + round(rng.uniform(1, 40), 2), f"c{i}", (1, 1, 1, 1, 1, 1)))
     df = spark.createDataFrame(rows, "run_id long, chunk_id string, ordinal long, start double, "
                                      f"end double, candidate_id string, scores struct<{SCORES}>")
-    placed = proposals.place(df, chunks, runs)
+    placed = proposals.place(df, chunks)
     got = {r.candidate_id: r for r in proposals.with_anchors(placed, segments, words, 2.5).collect()}
     for _, chunk, i, s, e, name, _ in rows:
         ws, we = windows[chunk]
@@ -203,6 +203,6 @@ def test_permutations(spark):
         df = propose(spark, items)
         parts = [df.where(F.col("ordinal") == i) for i in order]
         rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-        out = selection.select_candidates(rows, chunks, segments, words, runs, POLICY)
+        out = selection.select_candidates(rows, chunks, segments, words, POLICY)
         seen.add(tuple(sorted((r.candidate_id, r.outcome, r.rank) for r in out.collect())))
     assert len(seen) == 1
