@@ -131,18 +131,19 @@ def time_cues(limited: DataFrame, cue: CaptionRules = CaptionRules()) -> DataFra
     entry = F.struct("cue_pos", "raw_start", "raw_end", "limit", "words")
     blocks = limited.groupBy(*CLIP, "timing_block").agg(
         F.first("clip_length").alias("clip"), F.array_sort(F.collect_list(entry)).alias("cues"))
-    start = "least(greatest(c.raw_start, s.prev), clip)"
-    end = f"least(greatest(c.raw_end, {start}), clip)"
-    room = f"least(greatest(c.limit, {start}), clip)"
-    shown = (f"IF({end} - {start} < {cue.min_cue_seconds}D, "
-             f"least({start} + {cue.min_cue_seconds}D, {room}), {end})")
+    # One-element transforms name the intermediate values, so each is computed once.
     fold = f"""aggregate(cues,
         named_struct('prev', 0.0D, 'out', filter(transform(cues, c -> named_struct(
             'cue_pos', c.cue_pos, 'start', c.raw_start, 'end', c.raw_end, 'words', c.words)),
             c -> false)),
-        (s, c) -> IF({shown} - {start} <= {rules.CAPTION_EPSILON}D, s,
-          named_struct('prev', {shown}, 'out', array_append(s.out, named_struct(
-            'cue_pos', c.cue_pos, 'start', {start}, 'end', {shown}, 'words', c.words)))),
+        (s, c) -> transform(transform(transform(
+            array(least(greatest(c.raw_start, s.prev), clip)),
+            b -> named_struct('b', b, 'e', least(greatest(c.raw_end, b), clip))),
+            x -> named_struct('b', x.b, 'e', IF(x.e - x.b < {cue.min_cue_seconds}D,
+                least(x.b + {cue.min_cue_seconds}D, least(greatest(c.limit, x.b), clip)), x.e))),
+            x -> IF(x.e - x.b <= {rules.CAPTION_EPSILON}D, s,
+                named_struct('prev', x.e, 'out', array_append(s.out, named_struct(
+                    'cue_pos', c.cue_pos, 'start', x.b, 'end', x.e, 'words', c.words)))))[0],
         s -> s.out)"""
     timed = blocks.withColumn("timed", F.expr(fold)).select(*CLIP, F.inline("timed"))
     order = Window.partitionBy(*CLIP).orderBy("cue_pos")

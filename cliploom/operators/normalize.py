@@ -101,7 +101,9 @@ def clamp_segments(raw_segments: DataFrame, runs: DataFrame) -> DataFrame:
         .join(runs.select("run_id", "duration"), "run_id")
         .withColumn("probability", F.lit(None).cast("double"))
     )
-    scanned = running_before(ready, ["run_id"], "seg_pos", {"_max": ("max", F.col("raw_start"))})
+    scanned = running_before(
+        ready, ["run_id"], "seg_pos", {"_max": ("max", F.col("raw_start"))},
+        summary_from=raw_segments.withColumnRenamed("start", "raw_start"))
     floor = F.least(
         F.greatest(F.lit(0.0), F.coalesce(F.col("_max"), F.lit(0.0))), F.col("duration")
     )
@@ -119,7 +121,8 @@ def clamp_words(raw_words: DataFrame, clamped_segments: DataFrame) -> DataFrame:
         inside, ["run_id", "seg_pos"]
     )
     scanned = running_before(
-        ready, ["run_id", "seg_pos"], "word_pos", {"_max": ("max", F.col("raw_start"))}
+        ready, ["run_id", "seg_pos"], "word_pos", {"_max": ("max", F.col("raw_start"))},
+        summary_from=raw_words.withColumnRenamed("start", "raw_start"),
     )
     floor = F.least(
         F.greatest(F.col("seg_start"), F.coalesce(F.col("_max"), F.col("seg_start"))),

@@ -25,14 +25,17 @@ def running_before(
     position: str,
     values: dict[str, tuple[str, Column]],
     block: Column | None = None,
+    summary_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per row, what the rows before it in its run come to; NULL where none precedes.
 
     ``values`` maps an output name to (kind, column); kind is "max", "sum" or "last" (the
-    value of the row just before).
+    value of the row just before). ``summary_from`` is a cheaper frame with the same keys,
+    positions and values, read for the block summaries.
     """
     block = block if block is not None else F.floor(F.col(position) / BLOCK_ROWS)
     work = df.withColumn("_block", block)
+    brief = (df if summary_from is None else summary_from).withColumn("_block", block)
     summaries, carries, insides, totals = [], [], {}, {}
     across = Window.partitionBy(*keys).orderBy("_block")
     inside = Window.partitionBy(*keys, "_block").orderBy(position)
@@ -41,6 +44,7 @@ def running_before(
         v, s, c, i = (F.col(f"_{p}_{name}") for p in "vsci")
         if kind == "last":
             work = work.withColumn(f"_v_{name}", F.struct(column.alias("x")))
+            brief = brief.withColumn(f"_v_{name}", F.struct(column.alias("x")))
             summaries.append(F.max_by(v, F.col(position)).alias(f"_s_{name}"))
             carries.append(F.lag(s).over(across).alias(f"_c_{name}"))
             insides[f"_i_{name}"] = F.lag(v).over(inside)
@@ -48,6 +52,7 @@ def running_before(
             continue
         fold = _FOLD[kind]
         work = work.withColumn(f"_v_{name}", column)
+        brief = brief.withColumn(f"_v_{name}", column)
         summaries.append(fold(v).alias(f"_s_{name}"))
         carries.append(fold(s).over(across.rowsBetween(*before)).alias(f"_c_{name}"))
         insides[f"_i_{name}"] = fold(v).over(inside.rowsBetween(*before))
@@ -55,7 +60,7 @@ def running_before(
         totals[name] = F.greatest(i, c) if kind == "max" else F.when(
             i.isNotNull() | c.isNotNull(), both
         )
-    carried = work.groupBy(*keys, "_block").agg(*summaries).select(*keys, "_block", *carries)
+    carried = brief.groupBy(*keys, "_block").agg(*summaries).select(*keys, "_block", *carries)
     joined = work.withColumns(insides).join(carried, [*keys, "_block"]).withColumns(totals)
     return joined.drop("_block", *[f"_{p}_{n}" for n in values for p in "vsci"])
 
