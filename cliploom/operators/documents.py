@@ -101,8 +101,12 @@ def _clock(hours: Column, minutes: Column, seconds: Column, rest: Column, unit_m
 
 
 def _outcome(docs: DataFrame, events: Column) -> DataFrame:
-    """Attach events and the first problem; a document is read whole or refused whole."""
-    return docs.withColumn("events", events).withColumn(
+    """Attach events and the first problem; a document is read whole or refused whole.
+
+    The events go through a one-row explode: later filters on ``problem`` then read the parsed
+    column instead of parsing again.
+    """
+    return docs.withColumn("events", F.explode(F.array(events))).withColumn(
         "problem",
         F.get(F.filter(F.transform("events", lambda e: e["problem"]),
                        lambda p: p.isNotNull()), F.lit(0)),

@@ -31,22 +31,34 @@ def _score_ok(text: Column) -> Column:
     return number.isNotNull() & (number == F.floor(number)) & number.between(0, 100)
 
 
-def _candidate_ok(raw: Column) -> Column:
-    """One proposal has exactly the expected fields, types and sizes."""
-    item = F.from_json(raw, _CANDIDATE)
-    scores = F.from_json(item["scores"], _SCORES)
-    kinds = F.regexp_replace(
-        F.schema_of_variant(F.try_parse_json(raw)), "scores: OBJECT<[^>]*>", "scores: OBJECT"
-    )
+def _candidates_ok(items: Column) -> Column:
+    """Every proposal has exactly the expected fields, types and sizes.
+
+    Each text is parsed once, in two steps, before the tests look at it.
+    """
+    read = F.transform(items, lambda raw: F.struct(
+        raw.alias("raw"), F.from_json(raw, _CANDIDATE).alias("item"),
+        F.regexp_replace(F.schema_of_variant(F.try_parse_json(raw)),
+                         "scores: OBJECT<[^>]*>", "scores: OBJECT").alias("kinds"),
+    ))
+    read = F.transform(read, lambda x: F.struct(
+        x["raw"].alias("raw"), x["item"].alias("item"), x["kinds"].alias("kinds"),
+        F.from_json(x["item"]["scores"], _SCORES).alias("scores"),
+        x["item"]["start"].try_cast("double").alias("start"),
+        x["item"]["end"].try_cast("double").alias("end"),
+    ))
+    return F.forall(read, _candidate_ok)
+
+
+def _candidate_ok(x: Column) -> Column:
     tests = [
-        _keys_are(raw, FIELDS),
-        _keys_are(item["scores"], rules.SCORE_NAMES),
-        *[item[side].try_cast("double").isNotNull() & is_finite(item[side].try_cast("double"))
-          for side in ("start", "end")],
-        item["category"].isin(*rules.CATEGORIES),
-        *[kinds.rlike(f"[<, ]{name}: STRING") & F.length(item[name]).between(1, limit)
+        _keys_are(x["raw"], FIELDS),
+        _keys_are(x["item"]["scores"], rules.SCORE_NAMES),
+        *[x[side].isNotNull() & is_finite(x[side]) for side in ("start", "end")],
+        x["item"]["category"].isin(*rules.CATEGORIES),
+        *[x["kinds"].rlike(f"[<, ]{name}: STRING") & F.length(x["item"][name]).between(1, limit)
           for name, limit in TEXT_LIMITS.items()],
-        *[_score_ok(scores[name]) for name in rules.SCORE_NAMES],
+        *[_score_ok(x["scores"][name]) for name in rules.SCORE_NAMES],
     ]
     verdict = tests[0]
     for test in tests[1:]:
@@ -65,7 +77,7 @@ def check_replies(replies: DataFrame, text: str = "raw_response") -> DataFrame:
         & starts_list(body, "candidates")
         & F.col("items").isNotNull()
         & (F.size("items") <= MAX_PROPOSALS)
-        & F.forall("items", _candidate_ok)
+        & _candidates_ok(F.col("items"))
     )
     return held.withColumn("problem", F.coalesce(
         F.when(F.trim(F.regexp_replace(body, r"\s+", " ")) == "", F.lit("empty")),

@@ -74,10 +74,12 @@ class Views:
     def lines(self) -> DataFrame:
         """One spoken line: its tokens, start and end in milliseconds."""
         tokens = F.filter(F.split("line", " "), lambda w: w != "")
+        # Whole documents are shuffled once, before they are taken apart; the ordered sums below
+        # then find their rows in place.
         lines = (
             self.table("documents")
-            .select(F.col("doc_id").alias("run_id"), F.posexplode(F.split("text", "\n"))
-                    .alias("seg_pos", "line"))
+            .select(F.col("doc_id").alias("run_id"), "text").repartition("run_id")
+            .select("run_id", F.posexplode(F.split("text", "\n")).alias("seg_pos", "line"))
             .select("run_id", F.col("seg_pos").cast("bigint"), tokens.alias("tokens"))
             .where(F.size("tokens") > 0)
         )
