@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,35 +115,48 @@ def _outcome(docs: DataFrame, events: Column) -> DataFrame:
     )
 
 
+def _with(rows: Column, names: list[str], **more: Callable[[Column], Column]) -> Column:
+    """Add named values to every struct of an array, so later steps read instead of recompute."""
+    return F.transform(rows, lambda x: F.struct(
+        *[x[n].alias(n) for n in names], *[make(x).alias(n) for n, make in more.items()]))
+
+
+def _event(x: Column, problem: Column, text: Column) -> Column:
+    return F.struct(x["start"].alias("start_ms"), x["end"].alias("end_ms"), text.alias("text"),
+                    problem.alias("problem"))
+
+
 def parse_srt(docs: DataFrame) -> DataFrame:
     """Documents with ``events`` (start_ms, end_ms, text) and ``problem``."""
     both = r"\A\d{2}:\d{2}:\d{2},\d{3} --> \d{2}:\d{2}:\d{2},\d{3}\z"
     blocks = F.filter(
         F.split(F.replace(F.col("document"), F.lit("\r\n"), F.lit("\n")), "\n\n"),
-        lambda b: F.trim(F.regexp_replace(b, r"\s+", " ")) != "")
-
-    def event(block: Column, i: Column) -> Column:
-        lines = F.split(F.regexp_replace(block, r"\A\n+|\n+\z", ""), "\n")
-        times = F.trim(F.get(lines, F.lit(1)))
-        ok = times.rlike(both)
+        lambda b: F.trim(b, F.lit(" \t\n\r")) != "")
 
-        def at(first: int) -> Column:
-            digits = [F.substring(times, first + i, n) for i, n in ((0, 2), (3, 2), (6, 2), (9, 3))]
-            return F.when(ok, _clock(*digits, 1))
+    def at(x: Column, first: int) -> Column:
+        # Fixed width once it matches: two stamps, five characters between.
+        digits = [F.substring(x["times"], first + i, n) for i, n in ((0, 2), (3, 2), (6, 2), (9, 3))]
+        return F.when(x["ok"], _clock(*digits, 1))
 
-        # The format is fixed-width once it matches: two stamps, five characters between.
-        start, end = at(1), at(18)
+    def event(x: Column) -> Column:
+        lines = x["lines"]
         problem = (
             F.when(F.size(lines) < 3, F.lit("no_text"))
-            .when(F.trim(F.get(lines, F.lit(0))) != (i + 1).cast("string"), F.lit("wrong_number"))
-            .when(~ok, F.lit("bad_timestamps"))
-            .when(end <= start, F.lit("ends_before_start"))
+            .when(F.trim(F.get(lines, F.lit(0))) != (x["i"] + 1).cast("string"),
+                  F.lit("wrong_number"))
+            .when(~x["ok"], F.lit("bad_timestamps"))
+            .when(x["end"] <= x["start"], F.lit("ends_before_start"))
         )
         text = F.array_join(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), "\n")
-        return F.struct(start.alias("start_ms"), end.alias("end_ms"), text.alias("text"),
-                        problem.alias("problem"))
+        return _event(x, problem, text)
 
-    return _outcome(docs, F.transform(blocks, event))
+    rows = F.transform(blocks, lambda b, i: F.struct(
+        F.split(F.trim(b, F.lit("\n")), "\n").alias("lines"), i.alias("i")))
+    rows = _with(rows, ["lines", "i"],
+                 times=lambda x: F.trim(F.coalesce(F.get(x["lines"], F.lit(1)), F.lit(""))))
+    rows = _with(rows, ["lines", "i", "times"], ok=lambda x: x["times"].rlike(both))
+    rows = _with(rows, ["lines", "i", "ok"], start=lambda x: at(x, 1), end=lambda x: at(x, 18))
+    return _outcome(docs, F.transform(rows, event))
 
 
 def parse_ass(docs: DataFrame) -> DataFrame:
@@ -151,26 +166,30 @@ def parse_ass(docs: DataFrame) -> DataFrame:
         F.split(F.replace(F.col("document"), F.lit("\r\n"), F.lit("\n")), "\n"),
         lambda x: x.startswith("Dialogue:"))
 
-    def event(line: Column) -> Column:
-        fields = F.split(F.substring(line, 10, 2147483647), ",", 10)
-        left, right = F.trim(F.get(fields, F.lit(1))), F.trim(F.get(fields, F.lit(2)))
-        ok = left.rlike(stamp) & right.rlike(stamp)
+    def field(x: Column, i: int) -> Column:
+        return F.trim(F.coalesce(F.get(x["fields"], F.lit(i)), F.lit("")))
 
-        def at(text: Column) -> Column:
-            parts = F.split(text, "[:.]")
-            return F.when(ok, _clock(*[F.get(parts, F.lit(i)) for i in range(4)], 10))
+    def at(x: Column, name: str) -> Column:
+        parts = F.split(x[name], "[:.]")
+        return F.when(x["ok"], _clock(*[F.get(parts, F.lit(i)) for i in range(4)], 10))
 
-        start, end = at(left), at(right)
+    def event(x: Column) -> Column:
         problem = (
-            F.when(F.size(fields) != 10, F.lit("wrong_fields"))
-            .when(~ok, F.lit("bad_timestamps"))
-            .when(end <= start, F.lit("ends_before_start"))
+            F.when(F.size(x["fields"]) != 10, F.lit("wrong_fields"))
+            .when(~x["ok"], F.lit("bad_timestamps"))
+            .when(x["end"] <= x["start"], F.lit("ends_before_start"))
         )
-        text = F.replace(F.get(fields, F.lit(9)), F.lit("\\N"), F.lit("\n"))
-        return F.struct(start.alias("start_ms"), end.alias("end_ms"), text.alias("text"),
-                        problem.alias("problem"))
-
-    return _outcome(docs, F.transform(lines, event))
+        text = F.replace(F.get(x["fields"], F.lit(9)), F.lit("\\N"), F.lit("\n"))
+        return _event(x, problem, text)
+
+    rows = F.transform(lines, lambda line: F.struct(
+        F.split(F.substring(line, 10, 2147483647), ",", 10).alias("fields")))
+    rows = _with(rows, ["fields"], left=lambda x: field(x, 1), right=lambda x: field(x, 2))
+    rows = _with(rows, ["fields", "left", "right"],
+                 ok=lambda x: x["left"].rlike(stamp) & x["right"].rlike(stamp))
+    rows = _with(rows, ["fields", "ok"], start=lambda x: at(x, "left"),
+                 end=lambda x: at(x, "right"))
+    return _outcome(docs, F.transform(rows, event))
 
 
 def events_of(parsed: DataFrame) -> DataFrame:
