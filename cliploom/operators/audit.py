@@ -14,14 +14,6 @@ from cliploom.rules import MediaTarget
 
 CLIP = ["run_id", "candidate_id"]
 
-#: Fields a clip's metadata and its index entry both hold, in the order they are compared.
-SHARED_FIELDS = (
-    "candidate_id", "rank", "decision", "original_start", "original_end", "start", "end",
-    "duration", "width", "height", "sample_aspect_ratio", "video_codec", "audio_codec",
-    "measured_duration_seconds", "sha256", "size_bytes", "srt_sha256", "ass_sha256", "cue_count",
-    "subtitles_burned",
-)
-
 
 def _prefixed(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys])
@@ -46,7 +38,7 @@ def reconcile_index(index: DataFrame, shortlist: DataFrame, with_decision: bool)
 
 def reconcile_metadata(metadata: DataFrame, index: DataFrame) -> DataFrame:
     """First shared field a metadata document and its index entry disagree on."""
-    fields = SHARED_FIELDS[1:]
+    fields = rules.SHARED_FIELDS[1:]
     a, b = _prefixed(metadata, "m_", CLIP), _prefixed(index, "i_", CLIP)
     return a.join(b, CLIP).select(*CLIP, first_problem([
         (name, ~F.col(f"m_{name}").eqNullSafe(F.col(f"i_{name}"))) for name in fields
@@ -167,14 +159,6 @@ def record_problems() -> Column:
     ])
 
 
-#: Executor fields the raw replies and the configuration both name.
-EXECUTOR = ("analyzer", "analyzer_version", "model", "prompt_version", "prompt_sha256",
-            "fixture_sha256")
-#: Policy fields the candidates and the configuration both name.
-POLICY = ("score_formula_version", "target_candidates", "max_candidates", "min_score",
-          "dedupe_iou", "boundary_snap_seconds")
-
-
 def identity_problems(transcripts: DataFrame, chunks: DataFrame, raw: DataFrame,
                       candidates: DataFrame, config: DataFrame, answers: DataFrame) -> DataFrame:
     """First way the four records of an analysis contradict each other, per run.
@@ -194,13 +178,13 @@ def identity_problems(transcripts: DataFrame, chunks: DataFrame, raw: DataFrame,
     return joined.join(uncovered, "run_id", "left").select("run_id", first_problem([
         ("chunks_transcript", differ("c_transcript_sha256", "transcript_sha256")),
         ("raw_transcript", differ("r_transcript_sha256", "c_transcript_sha256")),
-        *[(name, differ(f"r_{name}", f"f_{name}")) for name in EXECUTOR],
+        *[(name, differ(f"r_{name}", f"f_{name}")) for name in rules.EXECUTOR_FIELDS],
         ("answered_chunks", c("_uncovered").isNotNull()),
         ("proposed_count", differ("r_proposed_count", "s_proposed")),
         ("source_duration", differ("s_source_duration", "c_source_duration")),
         ("rules_version", differ(version, "r_rules_version") | differ(version, "s_rules_version")
          | differ(version, "f_rules_version")),
-        *[(name, differ(f"s_{name}", f"f_{name}")) for name in POLICY],
+        *[(name, differ(f"s_{name}", f"f_{name}")) for name in rules.POLICY_FIELDS],
     ]).alias("problem"))
 
 

@@ -62,7 +62,7 @@ def candidate_identifier() -> Column:
 
 
 #: Settings that say where and how, not what; they do not identify a run.
-ENVIRONMENT_ONLY = ("paths.input", "paths.output", "logging.level")
+ENVIRONMENT_ONLY = ("workspace.root",)
 
 
 def config_digest(settings: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -76,8 +76,7 @@ def ass_header(width: int, height: int, style: CaptionStyle) -> str:
         "1",
     ))
     return "\n".join((
-        "[Script Info]", "ScriptType: v4.00+", "WrapStyle: 2", "ScaledBorderAndShadow: yes",
-        "YCbCr Matrix: None", f"PlayResX: {width}", f"PlayResY: {height}", "",
+        *rules.ASS_SCRIPT_INFO, f"PlayResX: {width}", f"PlayResY: {height}", "",
         "[V4+ Styles]", f"Format: {rules.ASS_STYLE_FORMAT}", f"Style: {look}", "",
         "[Events]", f"Format: {rules.ASS_EVENT_FORMAT}",
     ))

@@ -194,12 +194,27 @@ def src_output_indexes(v: Views) -> DataFrame:
     docs = _ordered(clip_index(v), "rank", "clips", [
         c("candidate_id"), c("rank"), c("start"), c("end"), F.lit("clip.mp4").alias("filename"),
         c("sha256")]).select("run_id", damaged([
-            F.lit(1080).alias("width"), F.lit(1920).alias("height"), c("clips")], 1)
+            F.lit(1080).alias("width"), F.lit(1920).alias("height"), c("clips")], 2)
             .alias("document"))
-    return S.rows_of(S.parse(docs, S.INDEX), "clips").select(
+    return S.rows_of(S.parse(docs, S.CLIP_INDEX), "clips").select(
         "run_id", "candidate_id", "rank", "sha256")
 
 
+@plan("src_preview_indexes", f"""
+SELECT run_id, candidate_id, rank FROM q_selected WHERE {_SOUND} AND run_id % 13 <> 2""")
+def src_preview_indexes(v: Views) -> DataFrame:
+    """Preview indexes; in some runs the ranks do not start at one."""
+    c = F.col
+    rank = F.when(c("run_id") % 13 == 2, c("rank") + 1).otherwise(c("rank"))
+    docs = _ordered(v.selected.withColumn("rank", rank), "rank", "previews", [
+        c("candidate_id"), c("rank"), c("start"), c("end"), F.lit("x.mp4").alias("filename"),
+        F.sha2("candidate_id", 256).alias("sha256")]).select("run_id", damaged([
+            F.lit(540).alias("width"), F.lit(960).alias("height"), c("previews")], 1)
+            .alias("document"))
+    return S.rows_of(S.parse(docs, S.PREVIEW_INDEX), "previews").select(
+        "run_id", "candidate_id", "rank")
+
+
 @plan("src_manifests", f"""
 SELECT run_id, stage, completed_at FROM q_records WHERE {_SOUND}""")
 def src_manifests(v: Views) -> DataFrame:
@@ -208,8 +223,9 @@ def src_manifests(v: Views) -> DataFrame:
     value = F.struct(
         F.lit("f").alias("fingerprint"), F.lit("c").alias("stage_config_sha256"),
         F.lit(1).alias("schema_version"),
-        F.date_format(F.timestamp_seconds("completed_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-        .alias("completed_at"))
+        F.date_format(
+            F.to_utc_timestamp(F.timestamp_seconds("completed_at"), F.current_timezone()),
+            "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("completed_at"))
     docs = stage_records(v).groupBy("run_id").agg(
         F.map_from_entries(F.collect_list(F.struct("stage", value.alias("v")))).alias("stages")
     ).select("run_id", damaged([

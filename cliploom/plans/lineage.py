@@ -52,14 +52,14 @@ def prompt_digest(v: Views) -> DataFrame:
 
 
 part("q_settings", """
-SELECT run_id, unnest(['analysis.min_score', 'analysis.window', 'analysis.model', 'logging.level',
-    'paths.output']) AS name,
+SELECT run_id, unnest(['analysis.min_score', 'analysis.window', 'analysis.model',
+    'workspace.root']) AS name,
   unnest([(60 + run_id % 3)::VARCHAR, '360', CASE WHEN run_id % 5 = 0 THEN NULL ELSE 'm1' END,
-    'L' || run_id, '/tmp/' || run_id]) AS value FROM q_runs""")
+    '/data/' || run_id]) AS value FROM q_runs""")
 part("q_config", """
 SELECT run_id, sha256(string_agg(name || '=' || coalesce(value, '~'), '|' ORDER BY
   name || '=' || coalesce(value, '~'))) AS config_sha256
-FROM q_settings WHERE name NOT IN ('logging.level', 'paths.output', 'paths.input')
+FROM q_settings WHERE name <> 'workspace.root'
 GROUP BY run_id""")
 
 
@@ -69,8 +69,7 @@ def settings(v: Views) -> DataFrame:
     pairs = [
         ("analysis.min_score", (60 + r % 3).cast("string")), ("analysis.window", F.lit("360")),
         ("analysis.model", F.when(r % 5 != 0, F.lit("m1"))),
-        ("logging.level", F.concat(F.lit("L"), r.cast("string"))),
-        ("paths.output", F.concat(F.lit("/tmp/"), r.cast("string"))),
+        ("workspace.root", F.concat(F.lit("/data/"), r.cast("string"))),
     ]
     entries = F.array(*[
         F.struct(F.lit(n).alias("name"), value.cast("string").alias("value"))

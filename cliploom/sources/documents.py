@@ -87,13 +87,25 @@ DECISIONS = Kind(
      ("beyond_source",
       "exists(decisions, d -> d.final_end > source_duration_seconds + 1e-6)")),
 )
-INDEX = Kind(
-    1,
-    "schema_version:int,run_id:bigint,width:int,height:int,clips:array<struct<"
-    "candidate_id:string,rank:bigint,start:double,end:double,filename:string,sha256:string>>",
+_FILE = "candidate_id:string,rank:bigint,start:double,end:double,filename:string,sha256:string"
+#: Clip ranks keep the gaps that rejections leave; preview ranks have none.
+CLIP_INDEX = Kind(
+    2,
+    f"schema_version:int,run_id:bigint,width:int,height:int,clips:array<struct<{_FILE}>>",
     ("schema_version", "run_id", "width", "height", "clips"), (),
     (("listed_twice",
-      "size(array_distinct(transform(clips, c -> c.candidate_id))) < size(clips)"),),
+      "size(array_distinct(transform(clips, c -> c.candidate_id))) < size(clips)"),
+     ("ranks_not_increasing",
+      "exists(transform(clips, (c, i) -> i > 0 AND c.rank <= get(clips, i - 1).rank), x -> x)")),
+)
+PREVIEW_INDEX = Kind(
+    1,
+    f"schema_version:int,run_id:bigint,width:int,height:int,previews:array<struct<{_FILE}>>",
+    ("schema_version", "run_id", "width", "height", "previews"), (),
+    (("listed_twice",
+      "size(array_distinct(transform(previews, c -> c.candidate_id))) < size(previews)"),
+     ("ranks_not_contiguous",
+      "exists(transform(previews, (c, i) -> c.rank <> i + 1), x -> x)")),
 )
 MANIFEST = Kind(
     rules.MANIFEST_SCHEMA_VERSION,
