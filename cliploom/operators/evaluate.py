@@ -40,9 +40,9 @@ def acceptance_rates(decided: DataFrame) -> DataFrame:
 
 
 def rejection_distribution(outcomes: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Counts of pipeline reasons and of editorial reasons, kept as two vocabularies."""
+    """Counts of the reasons of our rules and of editorial reasons, kept as two vocabularies."""
     ours = outcomes.select(F.explode("rejection_reasons").alias("reason")).groupBy("reason").agg(
-        F.count("*").alias("n")).withColumn("vocabulary", F.lit("pipeline"))
+        F.count("*").alias("n")).withColumn("vocabulary", F.lit("rules"))
     theirs = decisions.where("decision = 'rejected' AND reason IS NOT NULL").groupBy("reason").agg(
         F.count("*").alias("n")).withColumn("vocabulary", F.lit("editorial"))
     return ours.unionByName(theirs)

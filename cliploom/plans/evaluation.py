@@ -49,7 +49,7 @@ def acceptance_rates(v: Views) -> DataFrame:
 @plan("rejection_distribution", """
 SELECT reason, count(*) AS n, 'editorial' AS vocabulary FROM q_decisions
 WHERE decision = 'rejected' GROUP BY reason
-UNION ALL SELECT reason, count(*), 'pipeline' FROM (
+UNION ALL SELECT reason, count(*), 'rules' FROM (
   SELECT unnest(CASE outcome WHEN 'invalid' THEN string_split(reasons, ',')
     WHEN 'deduplicated' THEN ['duplicate'] WHEN 'selected' THEN [] ELSE [outcome] END) AS reason
   FROM q_outcomes) GROUP BY reason""")
