@@ -2,4 +2,31 @@
 
 from __future__ import annotations
 
-QUERIES = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cliploom.llm import decontam, simhash
+from cliploom.llm.common import table
+from cliploom.session import write_stage
+
+
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    marked = write_stage(
+        docs.select("doc_id", simhash.fingerprints("text").alias("fp")), "fingerprints")
+    found = simhash.near_duplicates(marked)
+    return marked.join(found, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("first_id").alias("component_id"))
+
+
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    index = decontam.build_index(table(spark, folder, "documents"))
+    matches = decontam.search(index, table(spark, folder, "benchmark"))
+    return decontam.contamination(index, matches).select(
+        F.col("doc").alias("doc_id"), "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {q.__name__: q for q in (op3_simhash, op4_decontamination)}

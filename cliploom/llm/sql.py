@@ -103,5 +103,39 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM coded
 """
 
-CHECKS = {"op5_mixing": MIXING, "op8_chat_formatting": CHAT, "op9_sharding": SHARDING,
+DECONTAMINATION = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+items AS (
+  SELECT item_id, words, least(len(words), 10) AS size FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark) WHERE len(words) > 0),
+wanted AS (
+  SELECT DISTINCT item_id, size, unnest(list_transform(range(1, len(words) - size + 2),
+    lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase
+  FROM items),
+windows AS (
+  SELECT row_id, size, unnest(range(1, len(words) - size + 2)) AS begun,
+    unnest(list_transform(range(1, len(words) - size + 2),
+      lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase
+  FROM docs, (SELECT DISTINCT size FROM items) WHERE len(words) >= size),
+hits AS (SELECT row_id, item_id, begun, size FROM windows JOIN wanted USING (size, phrase)),
+covered AS (
+  SELECT row_id, count(DISTINCT position) AS n_hit
+  FROM (SELECT row_id, unnest(range(begun, begun + size)) AS position FROM hits) GROUP BY row_id),
+named AS (
+  SELECT row_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT row_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY row_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (row_id) LEFT JOIN named USING (row_id)
+"""
+
+CHECKS = {"op4_decontamination": DECONTAMINATION, "op5_mixing": MIXING, "op8_chat_formatting": CHAT, "op9_sharding": SHARDING,
           "op10_warc": WARC}
