@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import decontam, simhash
+from cliploom.llm import decontam, quality, simhash
 from cliploom.llm.common import table
 from cliploom.session import write_stage
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    measured = write_stage(
+        quality.measure(table(spark, folder, "documents"), "doc_id"), "measured")
+    judged = quality.judge(measured, quality.fit(measured))
+    return judged.select(
+        F.col("keep_doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     marked = write_stage(
@@ -29,4 +38,4 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {q.__name__: q for q in (op3_simhash, op4_decontamination)}
+QUERIES = {q.__name__: q for q in (op1_quality, op3_simhash, op4_decontamination)}
