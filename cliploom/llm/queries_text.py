@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import decontam, quality, simhash
+from cliploom.llm import decontam, quality, simhash, toxicity
 from cliploom.llm.common import table
 from cliploom.session import write_stage
 
@@ -19,6 +19,11 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
         "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(
+        table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     marked = write_stage(
@@ -38,4 +43,4 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op3_simhash, op4_decontamination)}
+QUERIES = {q.__name__: q for q in (op1_quality, op2_toxicity, op3_simhash, op4_decontamination)}
