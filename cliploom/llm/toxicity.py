@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and the first five characters of longer words. A bounded sample of labelled
+Terms are words and the first three, five and seven characters of longer words. A bounded sample of labelled
 documents (Bounds.examples per class, those with the smallest digests of their ids) tells which
 terms go with the label; only these span the space. Their document frequencies are counted over
 all documents. Examples and documents are TF-IDF vectors of unit length; the score of a document
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from cliploom.session import write_stage
 
-PREFIX = 5
+PREFIXES = (3, 5, 7)
 #: ASCII characters that are not letters become spaces; words are then split at white space.
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -58,8 +58,9 @@ def terms_of(text: str | None) -> Counter:
     """Terms of a text and how often each occurs; prefixes end in an asterisk."""
     words = Counter((text or "").lower().encode().translate(_LETTERS).decode().split())
     for word, n in list(words.items()):
-        if len(word) > PREFIX:
-            words[word[:PREFIX] + "*"] += n
+        for length in PREFIXES:
+            if len(word) > length:
+                words[word[:length] + "*"] += n
     return words
 
 
