@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import decontam, quality, simhash, toxicity
+from cliploom.llm import decontam, linededup, quality, simhash, tokens, toxicity
 from cliploom.llm.common import table
 from cliploom.session import write_stage
 
@@ -43,4 +43,13 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op2_toxicity, op3_simhash, op4_decontamination)}
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.deduplicate_lines(table(spark, folder, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, folder, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_quality, op2_toxicity, op3_simhash, op4_decontamination,
+                                op6_line_dedup, op7_token_counts)}
