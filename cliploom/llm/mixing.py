@@ -73,52 +73,50 @@ def sampling_key(row_id: Column, weight: Column, seed: str) -> Column:
     return -F.log(u) / F.when(weight > 0, weight).otherwise(1.0)
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = (3, 2),
-        most: int = 2, seed: str = "mix", keep: Sequence[str] = ()) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
-
-    size: words of the text (null: 0). copies: how often the mix takes the document, whole;
-    taken = size * copies. A document enters the last, partial epoch if its middle lies within
-    what the target leaves, so a source misses its target by half a document at most. Rows with
-    equal keys (repeated rows) are ordered by id and size; among rows equal in these either may
-    be taken, with the same figures. A source without words has target 0 and copies 0. An empty
-    table gives an empty result. `keep` names further columns to carry along.
-    """
+def draw(docs: DataFrame, seed: str = "mix", whole: bool = False) -> DataFrame:
+    """doc_id, source, size, key and bin of every document; with `whole`, the row itself too."""
+    row = F.struct(*[docs[c] for c in docs.columns]) if whole else F.lit(None)
     size = word_count(docs["text"])
-    slim = docs.select(
-        docs["doc_id"], docs["source"], *[docs[c].alias(f"kept_{c}") for c in keep],
+    sized = docs.select(
+        docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), row.alias("row"),
         size.alias("size"), quality_weight(docs["text"], size).alias("weight"))
-    slim = write_stage(
-        slim.withColumn("key", sampling_key(F.col("doc_id"), F.col("weight"), seed))
-        .withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1))
-                    .cast("int")), "sizes")
-
-    bins = slim.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    bins = write_stage(bins, "bins")
+    keyed = sized.select("doc_id", "source", "row", "size", sampling_key(
+        F.col("doc_id"), F.col("weight"), seed).alias("key"))
+    at = F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int")
+    return keyed.withColumn("bin", at) if whole else keyed.withColumn("bin", at).drop("row")
+
+
+def plan_mix(drawn: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = (3, 2),
+             most: int = 2) -> DataFrame:
+    """Per source (plan_source): source_size, target, epochs, rest (what the target leaves after
+    whole epochs), and the bin where the rest ends with the words before it; no bin if the rest
+    takes all."""
+    bins = write_stage(drawn.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
     sizes = bins.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
-    targets = write_stage(source_targets(sizes, weights, share, most), "targets")
+    targets = source_targets(sizes, weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))
                     ).otherwise(0).cast("long")
-    plan = targets.withColumn("epochs", epochs).withColumn(
-        "rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-
+    plan = write_stage(
+        targets.withColumn("epochs", epochs).withColumn(
+            "rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
+    same = F.col("source").eqNullSafe(F.col("s"))
     ends = F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin"))
     cuts = (
         bins.withColumn("bin_end", ends)
-        .join(plan.select(F.col("source").alias("s"), "rest"),
-              F.col("source").eqNullSafe(F.col("s")))
+        .join(plan.select(F.col("source").alias("s"), "rest"), same)
         .where("bin_end > rest").groupBy("source")
         .agg(F.min(F.struct("bin", (F.col("bin_end") - F.col("bin_size")).alias("start")))
              .alias("cut"))
     )
-    plan = write_stage(
-        plan.join(cuts.select(F.col("source").alias("s"), "cut"),
-                  F.col("source").eqNullSafe(F.col("s")), "left")
+    return write_stage(
+        plan.join(cuts.select(F.col("source").alias("s"), "cut"), same, "left")
         .select(F.col("source").alias("plan_source"), "source_size", "target", "epochs", "rest",
-                "cut.bin", "cut.start"), "plan")
-    plan = plan.withColumnsRenamed({"bin": "cut_bin", "start": "cut_start"})
-    rows = slim.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
+                F.col("cut.bin").alias("cut_bin"), F.col("cut.start").alias("cut_start")), "plan")
 
+
+def apply_mix(drawn: DataFrame, plan: DataFrame) -> DataFrame:
+    """drawn with source_size, target, copies and taken = size * copies."""
+    rows = drawn.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
     sure = rows.where("cut_bin is null or bin <> cut_bin").withColumn(
         "last", F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(
@@ -126,7 +124,28 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int
     before = F.col("cut_start") + F.coalesce(F.sum("size").over(order), F.lit(0))
     close = rows.where("bin = cut_bin").withColumn(
         "last", before + F.col("size") / 2 <= F.col("rest"))
-    copies = (F.col("epochs") + (F.col("last") & (F.col("source_size") > 0)).cast("long"))
+    copies = F.col("epochs") + (F.col("last") & (F.col("source_size") > 0)).cast("long")
     return sure.unionByName(close).select(
-        "doc_id", "source", *[F.col(f"kept_{c}").alias(c) for c in keep], "size", "source_size",
-        "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+        *drawn.columns, "source_size", "target", copies.alias("copies"),
+        (F.col("size") * copies).alias("taken"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+
+    size: words of the text (null: 0). copies: how often the mix takes the document, whole;
+    taken = size * copies. A document enters the last, partial epoch if its middle lies within
+    what the target leaves, so a source misses its target by half a document at most. Rows with
+    equal keys (repeated rows) are ordered by id and size; among rows equal in these either may
+    be taken, with the same figures. A source without words has target 0 and copies 0. An empty
+    table gives an empty result. Further columns are ignored, whatever their names."""
+    drawn = write_stage(draw(docs), "drawn")
+    return apply_mix(drawn, plan_mix(drawn)).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with their own columns alone."""
+    plan = plan_mix(write_stage(draw(docs), "drawn"))
+    taken = apply_mix(draw(docs, whole=True), plan).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
