@@ -47,7 +47,7 @@ class Rules:
     tail: float = 1e-6
     min_rows: int = 200
     steps: int = 12
-    settled: float = 1e-3
+    settled: float = 1e-2
 
 
 def limit(rules: Rules) -> float:
@@ -110,45 +110,48 @@ def _estimate(slack: tuple[float, ...]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for stratum, start, n, sums, products in frame.itertuples(index=False):
+            for stratum, start, n, was, sums, products in frame.itertuples(index=False):
                 mean = np.asarray(sums) / n
                 cov = np.zeros((P, P))
                 for (i, j), value in zip(PAIRS, products, strict=True):
                     cov[i, j] = cov[j, i] = value / n - mean[i] * mean[j]
                 white, log_det = _whiten(cov + ridge)
-                rows.append((stratum, start, mean, white[np.tril_indices(P)], log_det))
-            yield pd.DataFrame(rows, columns=["stratum", "start", "mean", "white", "log_det"])
+                rows.append((stratum, start, mean, white[np.tril_indices(P)], log_det,
+                             abs(log_det - was)))
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
     return run
 
 
-ESTIMATE = ("stratum string, start int, mean array<double>, white array<double>, log_det double")
+COLUMNS = ["stratum", "start", "mean", "white", "log_det", "moved"]
+ESTIMATE = ("stratum string, start int, mean array<double>, white array<double>, log_det double, "
+            "moved double")
 
 
 def _square() -> Column:
     """The squared Mahalanobis distance of the vector to its row's estimate."""
-    total = F.lit(0.0)
+    parts = []
     for i in range(P):
-        part = F.lit(0.0)
-        for k, (a, b) in enumerate(PAIRS):
-            if a == i:
-                part += F.col("white")[k] * (F.col(NAMES[b]) - F.col("mean")[b])
-        total += part * part
-    return total
+        whitened = " + ".join(f"white[{k}] * ({NAMES[b]} - mean[{b}])"
+                              for k, (a, b) in enumerate(PAIRS) if a == i)
+        parts.append(f"pow({whitened}, 2)")
+    return F.expr(" + ".join(parts))
 
 
 def _sums() -> list[Column]:
-    return [F.count("*").alias("n"), F.array(*[F.sum(n) for n in NAMES]).alias("sums"),
-            F.array(*[F.sum(F.col(NAMES[i]) * F.col(NAMES[j])) for i, j in PAIRS])
-            .alias("products")]
+    """The number of rows, and the sums and products of their vectors."""
+    sums = ", ".join(f"sum({n})" for n in NAMES)
+    products = ", ".join(f"sum({NAMES[i]} * {NAMES[j]})" for i, j in PAIRS)
+    return [F.expr(e) for e in ("count(*) AS n", f"array({sums}) AS sums",
+                                f"array({products}) AS products")]
 
 
 def _binned(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """Sums per (stratum, start, bin of distance), and the rows that lie further in."""
-    near = rows.join(estimates.select("stratum", "start", "mean", "white"), "stratum")
+    near = rows.join(estimates.select("stratum", "start", "mean", "white", "log_det"), "stratum")
     at = F.floor(8 * F.log(F.greatest(_square(), F.lit(1e-9)))).alias("bin")
-    sums = near.select("stratum", "start", *NAMES, at).groupBy("stratum", "start", "bin").agg(
-        *_sums())
+    sums = near.select("stratum", "start", "log_det", *NAMES, at).groupBy(
+        "stratum", "start", "bin").agg(F.max("log_det").alias("log_det"), *_sums())
     inner = Window.partitionBy("stratum", "start").orderBy("bin")
     return sums.select(
         "*", F.coalesce(F.sum("n").over(inner.rowsBetween(Window.unboundedPreceding, -1)),
@@ -158,9 +161,12 @@ def _binned(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
 def _added(sums: DataFrame) -> DataFrame:
     """One row per (stratum, start) from rows of sums."""
+    def each(name: str, size: int) -> Column:
+        return F.expr(f"array({', '.join(f'sum({name}[{i}])' for i in range(size))}) AS {name}")
+
     return sums.groupBy("stratum", "start").agg(
-        F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(P)]).alias("sums"),
-        F.array(*[F.sum(F.col("products")[k]) for k in range(len(PAIRS))]).alias("products"))
+        F.sum("n").alias("n"), F.max("log_det").alias("was"), each("sums", P),
+        each("products", len(PAIRS)))
 
 
 def _starts(rows: DataFrame, rules: Rules) -> DataFrame:
@@ -190,8 +196,8 @@ def _starts(rows: DataFrame, rules: Rules) -> DataFrame:
                 np.fill_diagonal(correlation, 1.0)
                 for start, matrix in enumerate((np.eye(P), correlation)):
                     white, log_det = _whiten(matrix * np.outer(scale, scale))
-                    out.append((stratum, start, q[:, 1], white[np.tril_indices(P)], log_det))
-            yield pd.DataFrame(out, columns=["stratum", "start", "mean", "white", "log_det"])
+                    out.append((stratum, start, q[:, 1], white[np.tril_indices(P)], log_det, 0.0))
+            yield pd.DataFrame(out, columns=COLUMNS)
 
     return scaled.join(sums, "stratum").mapInPandas(run, ESTIMATE)
 
@@ -228,12 +234,9 @@ def fit(measured: DataFrame, rules: Rules = Rules()) -> Model:
     estimates = write_stage(_starts(rows, rules), "starts")
     for _ in range(rules.steps):
         inner = _binned(rows, estimates).where(F.col("further_in") < rules.share * F.col("all_rows"))
-        closer = write_stage(
+        estimates = write_stage(
             _added(inner).mapInPandas(_estimate(rules.slack), ESTIMATE), "estimates")
-        moved = closer.join(
-            estimates.select("stratum", "start", F.col("log_det").alias("was")),
-            ["stratum", "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
-        estimates = closer
+        moved = estimates.agg(F.max("moved")).first()[0]
         if moved is None or moved < rules.settled:
             break
     # distances are scaled so that the middle one is where the normal law has it
