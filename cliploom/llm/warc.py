@@ -139,9 +139,7 @@ class Unpacker:
             if len(piece) < 10 or piece[3] & 0xE0:
                 raise zlib.error("no gzip header")
             self.stream, self.unpacked = zlib.decompressobj(GZIP), b""
-        parts = self.stream.decompress(piece)
-        self.unpacked += parts
-        self.held.append(piece)
+        self.unpacked += self.stream.decompress(piece)
         if self.stream.eof:
             if self.stream.unused_data or self.unpacked and not self.unpacked.startswith(FIRST):
                 raise zlib.error("no record")
@@ -149,6 +147,7 @@ class Unpacker:
             return done
         if not self.unpacked.startswith(FIRST):
             raise zlib.error("does not begin like a record")
+        self.held.append(piece)  # only what is accepted: a refused piece stays with the caller
         return None
 
     def drop(self) -> list[bytes]:
