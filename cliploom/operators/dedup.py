@@ -3,75 +3,25 @@
 Candidates are visited best first; one is dropped when an already kept one overlaps it at or
 above the threshold, and the best such keeper is recorded.
 
-Runs with few candidates are folded inside one row. Larger runs go through exact rounds that
-never gather a run: candidates fall into cells of (length band, start), and only one leader
-per cell is compared with the leaders of the bounded set of cells that could conflict. A
-leader that beats all of them is kept, everything it conflicts with is dropped, and the rest
-plays again. Both ways give the same rows.
+Equal intervals share the fate of the best one among them, so copies are folded first, on the map
+side. The distinct intervals of a run then pass by in order of priority, sorted by Spark, through
+a function that remembers only what it has kept, laid out in cells of (length band, start): an
+interval meets the few kept ones near it. No run is gathered, there are no rounds, and the same
+plan serves every size. Memory follows the kept intervals of one run, which do not overlap each
+other beyond the threshold.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliploom import rules
 from cliploom.functions.columns import overlap_ratio
-from cliploom.session import cut_lineage
-
-#: A run is folded inside one row up to this many candidates; beyond it, rounds are used.
-FOLD_ROWS = 4096
-
-
-def _iou(a: str, b: str) -> str:
-    overlap = f"(least({a}.e, {b}.e) - greatest({a}.s, {b}.s))"
-    union = f"(({a}.e - {a}.s) + ({b}.e - {b}.s) - {overlap})"
-    return f"CASE WHEN {overlap} <= 0 THEN 0.0D ELSE {overlap} / {union} END"
-
-
-def _priority() -> Column:
-    """Best first: higher total, then earlier start, then identifier."""
-    return F.struct(
-        (-F.col("total_score")).alias("p"), F.col("start").alias("s"),
-        F.col("candidate_id").alias("id"), F.col("end").alias("e"),
-    )
-
-
-def _folded(candidates: DataFrame, keys: list[str], threshold: Column, eligible: Column,
-            payload: list[str]) -> DataFrame:
-    """One grouping for everything: payload columns ride along, so nothing is joined back."""
-    empty = F.struct(F.lit(0).alias("_none"))
-    entry = F.struct(
-        _priority().alias("c"), eligible.alias("ok"),
-        (F.struct(*payload) if payload else empty).alias("d"),
-    )
-    rows = candidates.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(entry)).alias("_all"), F.first(threshold).alias("_limit")
-    )
-    able = "transform(filter(_all, x -> x.ok), x -> x.c)"
-    keep = (
-        f"aggregate({able}, filter({able}, x -> false), (kept, x) -> "
-        f"IF(exists(kept, k -> {_iou('k', 'x')} >= _limit), kept, array_append(kept, x)))"
-    )
-    keeper = (
-        f"IF(x.ok, try_element_at(filter(_kept, k -> k < x.c AND {_iou('k', 'x.c')} >= _limit), 1),"
-        " NULL)"
-    )
-    flat = rows.withColumn("_kept", F.expr(keep)).select(
-        *keys, F.expr(f"inline(transform(_all, x -> named_struct('x', x, 'keeper', {keeper})))")
-    )
-    return flat.select(
-        *keys,
-        F.col("x.c.id").alias("candidate_id"), F.col("x.c.s").alias("start"),
-        F.col("x.c.e").alias("end"), (-F.col("x.c.p")).alias("total_score"),
-        F.col("keeper.id").alias("kept_id"), (-F.col("keeper.p")).alias("kept_score"),
-        F.when(F.col("keeper.id").isNotNull(), overlap_ratio(
-            F.col("keeper.s"), F.col("keeper.e"), F.col("x.c.s"), F.col("x.c.e")
-        )).alias("iou"),
-        *[F.col(f"x.d.{name}").alias(name) for name in payload],
-    )
 
 
 class _Cells:
@@ -106,124 +56,108 @@ class _Cells:
         return banded.withColumn("near_slot", F.explode(F.sequence(low, high)))
 
 
-def _rounds(candidates: DataFrame, keys: list[str], limit: float) -> DataFrame:
-    """Exact greedy result for runs of any size."""
-    columns = [*keys, "candidate_id", "start", "end", "total_score"]
-    if limit <= 0:
-        # Every pair counts as a duplicate: the best of the run absorbs the rest.
-        best = candidates.groupBy(*keys).agg(F.min(_priority()).alias("k"))
-        return _with_keeper(candidates.select(*columns).join(best, keys))
-    cells = _Cells(limit)
-    open_rows = cut_lineage(candidates.select(*columns, *cells.cell()))
-    kept_parts: list[DataFrame] = []
-    while True:
-        leaders = cut_lineage(
-            open_rows.groupBy(*keys, "band", "slot").agg(F.min(_priority()).alias("k"))
-        )
-        if leaders.isEmpty():
-            break
-        flat = leaders.select(
-            *keys, "band", "slot", "k", F.col("k.s").alias("start"), F.col("k.e").alias("end")
-        )
-        rival = cells.spread(flat).select(
-            *keys, F.col("near_band").alias("band"), F.col("near_slot").alias("slot"),
-            F.col("k").alias("rival"),
-        )
-        beaten = (
-            leaders.join(rival, [*keys, "band", "slot"])
-            .where(F.col("rival") < F.col("k"))
-            .select(*keys, F.col("k.id").alias("candidate_id"))
-            .distinct()
-        )
-        won = cut_lineage(
-            flat.withColumn("candidate_id", F.col("k.id")).join(
-                beaten, [*keys, "candidate_id"], "left_anti"
-            ).select(*keys, "candidate_id", "start", "end", "k")
-        )
-        kept_parts.append(won)
-        gone = _conflicts(open_rows, won, keys, cells, limit).select(
-            *keys, "candidate_id"
-        ).unionByName(won.select(*keys, "candidate_id"))
-        open_rows = cut_lineage(open_rows.join(gone, [*keys, "candidate_id"], "left_anti"))
-    if not kept_parts:
-        return _with_keeper(candidates.select(*columns).withColumn("k", F.lit(None).cast(
-            leaders.schema["k"].dataType)).limit(0))
-    kept = kept_parts[0]
-    for part in kept_parts[1:]:
-        kept = kept.unionByName(part)
-    everyone = candidates.select(*columns, *cells.cell())
-    best_keeper = (
-        _conflicts(everyone, kept, keys, cells, limit)
-        .groupBy(*keys, "candidate_id")
-        .agg(F.min("k").alias("k"))
-    )
-    return _with_keeper(
-        candidates.select(*columns).join(best_keeper, [*keys, "candidate_id"], "left")
-    )
-
-
-def _conflicts(rows: DataFrame, kept: DataFrame, keys: list[str], cells: _Cells,
-               limit: float) -> DataFrame:
-    """(row, kept) where the kept one comes first and overlaps enough.
-
-    A cell holds at most a few kept intervals, since kept ones do not overlap each other.
-    """
-    reach = cells.spread(kept.select(*keys, "start", "end", "k")).select(
-        *keys, F.col("near_band").alias("band"), F.col("near_slot").alias("slot"), "k"
-    )
-    ratio = overlap_ratio(F.col("k.s"), F.col("k.e"), F.col("start"), F.col("end"))
-    return rows.join(reach, [*keys, "band", "slot"]).where(
-        (F.col("k") < _priority()) & (ratio >= F.lit(limit))
-    )
-
-
-def _with_keeper(df: DataFrame) -> DataFrame:
-    other = F.col("k.id") != F.col("candidate_id")
-    return (
-        df.withColumn("kept_id", F.when(other, F.col("k.id")))
-        .withColumn("kept_score", F.when(other, -F.col("k.p")))
-        .withColumn("iou", F.when(other, overlap_ratio(
-            F.col("k.s"), F.col("k.e"), F.col("start"), F.col("end"))))
-        .drop("k")
-    )
+def _keepers(keys: list[str]):
+    """The fold over rows sorted by keys and priority: each row with its keeper's, or nulls."""
+
+    def conflicts(limit, kept, order, start, end):
+        """The first kept interval that overlaps [start, end) enough."""
+        if limit <= 0:
+            return order[0] if order else None
+        length, best = end - start, None
+        if length <= 0 or limit > 1:
+            return None
+        reach = math.ceil(-math.log2(min(1.0, limit))) + 1
+        own = math.floor(math.log2(length))
+        for band in range(own - reach, own + reach + 1):
+            cells, size = kept.get(band), 2.0 ** band
+            if not cells:
+                continue
+            for cell in range(math.floor(start / size) - 2, math.floor(end / size) + 1):
+                for entry in cells.get(cell, ()):
+                    shared = min(end, entry[2]) - max(start, entry[1])
+                    if shared > 0 and (best is None or entry[0] < best[0]) and (
+                            shared / ((entry[2] - entry[1]) + length - shared) >= limit):
+                        best = entry
+        return best
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, kept, order = None, {}, []
+        for frame in frames:
+            found = []
+            owners = frame[keys].itertuples(index=False, name=None)
+            rows = frame[["start", "end", "limit", "total_score", "candidate_id"]].itertuples(
+                index=False, name=None)
+            for owner, (start, end, limit, score, name) in zip(owners, rows, strict=True):
+                if owner != run:
+                    run, kept, order = owner, {}, []
+                keeper = conflicts(limit, kept, order, start, end)
+                if keeper is None:
+                    entry = (len(order), start, end, score, name)
+                    order.append(entry)
+                    if end > start:
+                        band = math.floor(math.log2(end - start))
+                        kept.setdefault(band, {}).setdefault(
+                            math.floor(start / 2.0 ** band), []).append(entry)
+                    found.append((None, None, None, None))
+                else:
+                    found.append((keeper[4], keeper[3], keeper[1], keeper[2]))
+            out = frame[[*keys, "start", "end", "candidate_id", "total_score"]].copy()
+            for i, column in enumerate(("k_id", "k_score", "k_start", "k_end")):
+                out[column] = [f[i] for f in found]
+            yield out
+
+    return fold
 
 
 def greedy_dedup(
     candidates: DataFrame,
     threshold: float,
     keys: list[str] | None = None,
-    sizes_from: DataFrame | None = None,
-    fold_rows: int = FOLD_ROWS,
     eligible: Column | None = None,
     threshold_column: Column | None = None,
 ) -> DataFrame:
     """Every candidate with its keeper (``kept_id``, ``kept_score``, ``iou``), NULL when kept.
 
     ``candidates`` holds keys, candidate_id, start, end, total_score; other columns pass
-    through. Rows that are not ``eligible`` neither drop nor are dropped. ``sizes_from`` is a
-    cheaper frame with at least as many rows per run, used to find the large runs.
+    through. Rows that are not ``eligible`` neither drop nor are dropped. ``threshold_column``
+    gives each key its own threshold (a sweep over policies).
     """
     keys = keys or ["run_id"]
-    core = [*keys, "candidate_id", "start", "end", "total_score"]
-    payload = [c for c in candidates.columns if c not in core]
-    able = F.lit(True) if eligible is None else eligible
-    limit = threshold - rules.IOU_EPSILON
-    own_limit = F.lit(limit) if threshold_column is None else (
-        threshold_column - F.lit(rules.IOU_EPSILON))
-    sizes = (sizes_from if sizes_from is not None else candidates).groupBy(*keys).count()
-    large = sizes.where(F.col("count") > fold_rows).select(*keys)
-    if large.isEmpty():
-        return _folded(candidates, keys, own_limit, able, payload)
-    if threshold_column is not None:
-        raise ValueError("runs this large need one threshold per call")
-    large = cut_lineage(large)
-    small_rows = candidates.join(large, keys, "left_anti")
-    large_rows = cut_lineage(candidates.join(large, keys, "left_semi").withColumn("_able", able))
-    judged = _rounds(large_rows.where("_able"), keys, limit).select(
-        *keys, "candidate_id", "kept_id", "kept_score", "iou"
+    limit = (F.lit(threshold) if threshold_column is None else threshold_column).cast(
+        "double") - F.lit(rules.IOU_EPSILON)
+    able = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
+    marked = candidates.withColumn("_able", able)
+    best = F.min(F.struct((-F.col("total_score")).alias("p"), F.col("candidate_id").alias("id")))
+    spans = (
+        marked.withColumn("limit", limit).where("_able").groupBy(*keys, "start", "end")
+        .agg(best.alias("b"), F.first("limit").alias("limit"))
+        .select(*keys, "start", "end", "limit", (-F.col("b.p")).alias("total_score"),
+                F.col("b.id").alias("candidate_id"))
+    )
+    types = dict(spans.dtypes)
+    shape = ", ".join(f"`{k}` {types[k]}" for k in [*keys, "start", "end"])
+    settled = (
+        spans.repartition(*keys)
+        .sortWithinPartitions(*keys, F.col("total_score").desc(), "start", "candidate_id")
+        .mapInPandas(_keepers(keys), f"{shape}, candidate_id {types['candidate_id']}, "
+                     f"total_score double, k_id {types['candidate_id']}, k_score double, "
+                     "k_start double, k_end double")
+        .select(*keys, "start", "end", F.lit(True).alias("_able"), F.coalesce(
+            F.when(F.col("k_id").isNotNull(), F.struct(
+                F.col("k_id").alias("id"), F.col("k_score").alias("score"),
+                F.col("k_start").alias("s"), F.col("k_end").alias("e"))),
+            F.struct(F.col("candidate_id").alias("id"), F.col("total_score").alias("score"),
+                     F.col("start").alias("s"), F.col("end").alias("e"))).alias("_k"))
+    )
+    ratio = overlap_ratio(F.col("_k.s"), F.col("_k.e"), F.col("start"), F.col("end"))
+    dropped = (F.col("_k.id") != F.col("candidate_id")) & (ratio >= limit)
+    return (
+        marked.join(settled, [*keys, "start", "end", "_able"], "left")
+        .withColumn("iou", F.when(dropped, ratio))
+        .withColumn("kept_id", F.when(dropped, F.col("_k.id")))
+        .withColumn("kept_score", F.when(dropped, F.col("_k.score")))
+        .drop("_k", "_able")
     )
-    settled = large_rows.join(judged, [*keys, "candidate_id"], "left").drop("_able")
-    return _folded(small_rows, keys, own_limit, able, payload).unionByName(settled)
 
 
 def overlap_partners(candidates: DataFrame, threshold: float, keys: list[str] | None = None

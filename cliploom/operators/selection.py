@@ -37,8 +37,7 @@ def rank_kept(judged: DataFrame, keys: list[str], kept: Column) -> DataFrame:
     )
 
 
-def settle(assessed: DataFrame, policy: Policy, sizes_from: DataFrame | None = None,
-           keys: list[str] | None = None, fold_rows: int | None = None,
+def settle(assessed: DataFrame, policy: Policy, keys: list[str] | None = None,
            columns: dict[str, Column] | None = None) -> DataFrame:
     """Give every assessed proposal its one outcome.
 
@@ -57,9 +56,8 @@ def settle(assessed: DataFrame, policy: Policy, sizes_from: DataFrame | None = N
          "adjusted_end": "end"}
     )
     judged = greedy_dedup(
-        ready, policy.dedupe_iou, keys, sizes_from, eligible=valid & strong,
+        ready, policy.dedupe_iou, keys, eligible=valid & strong,
         threshold_column=own.get("dedupe_iou"),
-        **({} if fold_rows is None else {"fold_rows": fold_rows}),
     )
     ranked = rank_kept(judged, keys, valid & strong & F.col("kept_id").isNull())
     outcome = (
@@ -91,11 +89,11 @@ def settle(assessed: DataFrame, policy: Policy, sizes_from: DataFrame | None = N
 
 def select_candidates(
     proposals: DataFrame, chunks: DataFrame, segments: DataFrame, words: DataFrame,
-    policy: Policy, fold_rows: int | None = None,
+    policy: Policy,
 ) -> DataFrame:
     """One row per proposal, with its terminal outcome and everything recorded about it."""
     assessed = assess(place(proposals, chunks), segments, words, policy)
-    return settle(assessed, policy, sizes_from=proposals, fold_rows=fold_rows)
+    return settle(assessed, policy)
 
 
 def dedup_events(outcomes: DataFrame) -> DataFrame:
@@ -176,18 +174,19 @@ def policy_problems() -> Column:
     ])
 
 
-def sweep(assessed: DataFrame, policies: dict[str, Policy], sizes_from: DataFrame,
-          fold_rows: int | None = None) -> DataFrame:
+def sweep(assessed: DataFrame, policies: dict[str, Policy]) -> DataFrame:
     """Funnels of the same proposals under several policies that differ after scoring.
 
-    Each policy is one pass over the same assessed rows; the key becomes (policy_id, run_id).
+    One pass: every proposal is repeated once per policy, with the few columns the funnel needs,
+    and the key becomes (policy_id, run_id).
     """
-    parts = [
-        funnel(settle(assessed, policy, sizes_from=sizes_from, fold_rows=fold_rows))
-        .withColumn("policy_id", F.lit(name))
-        for name, policy in policies.items()
-    ]
-    result = parts[0]
-    for other in parts[1:]:
-        result = result.unionByName(other)
-    return result
+    table = F.array(*[F.struct(
+        F.lit(name).alias("policy_id"), F.lit(p.min_score).alias("min_score"),
+        F.lit(p.dedupe_iou).alias("dedupe_iou"), F.lit(p.max_candidates).alias("max_candidates"))
+        for name, p in policies.items()])
+    slim = assessed.select(
+        "run_id", "candidate_id", "start", "end", "adjusted_start", "adjusted_end",
+        "total_score", "invalid_reasons", F.explode(table).alias("p")).select("*", "p.policy_id")
+    keys = ["policy_id", "run_id"]
+    own = {name: F.col(f"p.{name}") for name in ("min_score", "dedupe_iou", "max_candidates")}
+    return funnel(settle(slim, next(iter(policies.values())), keys, own), keys)

@@ -9,24 +9,6 @@ from cliploom import rules
 from cliploom.functions.columns import first_problem
 from cliploom.operators.scans import running_before
 
-#: How many entries of RUN_STATUSES, from the first, form the success path.
-_PATH = rules.RUN_STATUSES[:9]
-#: The one backwards move: a finished review may be reopened.
-_REOPENED = ("REVIEWED", "READY_FOR_REVIEW")
-
-
-def allowed_moves() -> list[str]:
-    """Legal moves as ``FROM>TO``: one step forward, fail from before or after a stage, retry,
-    and reopening a review."""
-    moves = {">".join(pair) for pair in zip(_PATH, _PATH[1:], strict=False)}
-    for failed, done in zip(rules.RUN_STATUSES[9:], _PATH[1:8], strict=True):
-        before = _PATH[_PATH.index(done) - 1]
-        moves |= {f"{start}>{failed}" for start in (before, done, failed)}
-        moves.add(f"{failed}>{done}")
-    moves.add(">".join(_REOPENED))
-    return sorted(moves)
-
-
 def illegal_moves(history: DataFrame) -> DataFrame:
     """Rows of a status history (run_id, ts, event_id, status) no rule allows.
 
@@ -36,10 +18,11 @@ def illegal_moves(history: DataFrame) -> DataFrame:
     scanned = running_before(
         placed, ["run_id"], "_at", {"before": ("last", F.col("status"))},
         block=F.date_trunc("hour", "ts"))
+    allowed = [f"{start}>{end}" for start, ends in rules.STATUS_MOVES.items() for end in ends]
     move = F.concat_ws(">", "before", "status")
     return scanned.where(
         F.col("before").isNotNull() & (F.col("before") != F.col("status"))
-        & ~move.isin(*allowed_moves())
+        & ~move.isin(*allowed)
     ).select("run_id", "event_id", F.col("before").alias("from_status"),
              F.col("status").alias("to_status"))
 

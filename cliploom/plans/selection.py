@@ -202,7 +202,7 @@ def greedy_dedup(v: Views) -> DataFrame:
 @plan("global_rank", """
 SELECT run_id, id AS candidate_id, rk AS rank FROM q_ranked WHERE kept_id IS NULL""")
 def global_rank(v: Views) -> DataFrame:
-    judged = D.greedy_dedup(_survivors(v), VIEW_POLICY.dedupe_iou, sizes_from=v.proposals)
+    judged = D.greedy_dedup(_survivors(v), VIEW_POLICY.dedupe_iou)
     return (
         S.rank_kept(judged, ["run_id"], F.col("kept_id").isNull())
         .where("priority_rank IS NOT NULL")
@@ -317,11 +317,10 @@ FROM q_sweep_rows r LEFT JOIN (
   ON k.policy_id = r.policy_id AND k.run_id = r.run_id AND k.id = r.candidate_id
 GROUP BY r.policy_id, r.run_id""")
 def policy_sweep(v: Views) -> DataFrame:
-    rows = v.assessed
     policies = {
         "base": rules.Policy(min_score=65, dedupe_iou=0.6, max_candidates=5),
         "strict": rules.Policy(min_score=75, dedupe_iou=0.6, max_candidates=5),
         "loose_overlap": rules.Policy(min_score=65, dedupe_iou=0.8, max_candidates=5),
         "short_list": rules.Policy(min_score=65, dedupe_iou=0.6, max_candidates=2),
     }
-    return S.sweep(rows, policies, v.proposals)
+    return S.sweep(v.assessed, policies)

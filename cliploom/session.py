@@ -43,12 +43,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def write_stage(df: DataFrame, name: str) -> DataFrame:
     """Write a stage's table to the shared folder and read it back: columnar, pruned, and
     independent of the executors that made it."""

@@ -1,4 +1,4 @@
-"""Greedy deduplication: named cases, and both execution paths against a plain loop."""
+"""Greedy deduplication: named cases and larger runs against a plain loop."""
 
 import random
 
@@ -43,14 +43,13 @@ def run(spark, rows, threshold, **more):
     ([(1, "a", 10.0, 39.0, 70.0), (1, "b", 10.0, 39.0, 70.0)], 0.6, {"b": "a"}),
     ([(1, "a", 10.0, 40.0, 70.0), (1, "b", 40.0, 70.0, 70.0)], 0.1, {}),
 ])
-@pytest.mark.parametrize("fold_rows", [100, 0])
-def test_named_cases(spark, rows, threshold, dropped, fold_rows):
-    got = run(spark, rows, threshold, fold_rows=fold_rows)
+def test_named_cases(spark, rows, threshold, dropped):
+    got = run(spark, rows, threshold)
     assert {k[1]: v for k, v in got.items() if v} == dropped
 
 
 @pytest.mark.parametrize("threshold", [0.6, 0.25, 0.95, 1.0, 0.0])
-def test_rounds_equal_loop_on_a_hot_run(spark, threshold):
+def test_hot_run_equals_loop(spark, threshold):
     rng = random.Random(int(threshold * 100))
     rows = []
     for i in range(400):
@@ -59,7 +58,7 @@ def test_rounds_equal_loop_on_a_hot_run(spark, threshold):
                      float(rng.randrange(65, 75))))
     rows += [(7, f"copy{i:04d}", 50.0, 80.0, 70.0) for i in range(200)]
     rows += [(8, f"s{i}", float(i), i + 30.0, 70.0) for i in range(20)]
-    assert run(spark, rows, threshold, fold_rows=50) == loop(rows, threshold)
+    assert run(spark, rows, threshold) == loop(rows, threshold)
 
 
 def test_fold_equals_loop(spark):
@@ -71,9 +70,37 @@ def test_fold_equals_loop(spark):
 
 def test_ineligible_rows_pass_through(spark):
     rows = [(1, "a", 0.0, 30.0, 99.0), (1, "b", 0.0, 30.0, 70.0), (1, "c", 1.0, 31.0, 60.0)]
-    for fold in (100, 0):
-        got = run(spark, rows, 0.6, eligible=F.col("candidate_id") != "a", fold_rows=fold)
-        assert got == {(1, "a"): None, (1, "b"): None, (1, "c"): "b"}
+    got = run(spark, rows, 0.6, eligible=F.col("candidate_id") != "a")
+    assert got == {(1, "a"): None, (1, "b"): None, (1, "c"): "b"}
+
+
+@pytest.mark.parametrize("step", [20.0, 5.0])
+def test_falling_scores_along_a_run(spark, step):
+    """Nothing conflicts at 20 s; at 5 s each clip conflicts with the next one."""
+    rows = [(1, f"c{i:05d}", i * step, i * step + 60.0, 5000.0 - i) for i in range(2000)]
+    assert run(spark, rows, 0.6) == loop(rows, 0.6)
+
+
+def test_copies_are_one_interval(spark):
+    df = spark.range(100_000).select(
+        F.lit(1).cast("long").alias("run_id"), F.format_string("c%06d", "id").alias("candidate_id"),
+        F.lit(10.0).alias("start"), F.lit(40.0).alias("end"), F.lit(70.0).alias("total_score"))
+    kept = greedy_dedup(df, 0.6).groupBy("kept_id", "iou").count().collect()
+    assert {(r.kept_id, r.iou, r["count"]) for r in kept} == {
+        (None, None, 1), ("c000000", 1.0, 99_999)}
+
+
+def test_thresholds_by_key(spark):
+    rows = [(r, f"c{i}", s, s + 30.0, 90.0 - i) for r in (1, 2, 3) for i in range(40)
+            for s in [(i * 7) % 50 * 1.0]]
+    limits = {1: 0.6, 2: 0.3, 3: 0.9}
+    df = spark.createDataFrame(rows, SCHEMA)
+    column = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]),
+                          F.col("run_id").cast("int"))
+    got = {(r.run_id, r.candidate_id): r.kept_id
+           for r in greedy_dedup(df, 0.0, threshold_column=column).collect()}
+    assert got == {k: v for run_id, limit in limits.items()
+                   for k, v in loop([r for r in rows if r[0] == run_id], limit).items()}
 
 
 def test_partners(spark):

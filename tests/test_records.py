@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cliploom.operators import digests, replies, review, states
+from cliploom import rules
+from cliploom.operators import digests, replies, review
 from cliploom.sources import documents as S
 from cliploom.sources import sinks
 
@@ -68,7 +69,8 @@ def test_decisions(spark, change, problems):
 
 
 def test_state_table():
-    moves = set(states.allowed_moves())
+    moves = {f"{a}>{b}" for a, ends in rules.STATUS_MOVES.items() for b in ends}
+    assert rules.STATUS_MOVES.keys() < set(rules.RUN_STATUSES)
     assert "CREATED>INSPECTED" in moves and "REVIEWED>READY_FOR_REVIEW" in moves
     assert "CREATED>AUDIO_READY" not in moves and "READY_FOR_REVIEW>ANALYZED" not in moves
     assert "FAILED_RENDER>RENDERED" in moves and "FAILED_RENDER>FAILED_RENDER" in moves
