@@ -7,9 +7,10 @@ all documents. Examples and documents are TF-IDF vectors of unit length; the sco
 comes from the examples nearest by cosine.
 
 The search is exact. Examples lie in blocks of neighbours; the inverted index holds for every term
-the blocks it occurs in and its largest weight there. The weighted sum of these is an upper bound
-for a block, blocks are scored from the highest bound on, and the search ends where no bound
-reaches the k-th similarity found. The index is bounded by the sample and goes to the tasks whole.
+its postings and, for every block it occurs in, its largest weight there. The weighted sum of
+these is an upper bound for a block. The blocks with the highest bounds are scored first; then all
+others whose bound reaches the k-th similarity found, and no more. The index is bounded by the
+sample and goes to the tasks whole.
 
 Votes are weighted by squared similarity and by how often a class is in the labels compared with
 the sample. A logistic curve fitted to leave-one-out votes of the examples makes them calibrated.
@@ -40,13 +41,14 @@ _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 class Bounds:
     """examples: labelled documents of each class that are learnt from. terms: size of the
     vocabulary. min_docs: examples a term must occur in. neighbours: k. block: examples in a
-    block of the index."""
+    block of the index. first: blocks scored before the bounds are looked at."""
 
     examples: int = 10_000
-    terms: int = 4096
+    terms: int = 1024
     min_docs: int = 3
     neighbours: int = 16
     block: int = 64
+    first: int = 4
 
 
 def held_out(doc_id: Column) -> Column:
@@ -132,11 +134,13 @@ class Index:
     idf: np.ndarray
     k: int
     block: int
+    first: int
     ids: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
     ends: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     votes: np.ndarray = field(default_factory=lambda: np.empty((0, 2)))
     names: list = field(default_factory=list)
+    lists: list = field(default_factory=list)
     bounds: list = field(default_factory=list)
 
     def unit(self, ids: np.ndarray, tfs: np.ndarray) -> np.ndarray:
@@ -144,10 +148,11 @@ class Index:
         return weights / np.sqrt((weights * weights).sum())
 
     @classmethod
-    def build(cls, idf: np.ndarray, examples: list[tuple], k: int, block: int) -> Index:
+    def build(cls, idf: np.ndarray, examples: list[tuple], k: int, block: int,
+              first: int = 4) -> Index:
         """examples: (ids, tfs, toxic, example id). Equal vectors are one entry; entries are
         ordered by their heaviest terms, so that blocks hold similar ones."""
-        index = cls(idf, k, block)
+        index = cls(idf, k, block, first)
         merged: dict[tuple, tuple[list, list]] = {}
         for ids, tfs, toxic, name in sorted(examples, key=lambda e: (str(e[3]))):
             votes, names = merged.setdefault((tuple(ids), tuple(tfs)), ([0, 0], []))
@@ -166,55 +171,64 @@ class Index:
             index.ends = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])])
             index.votes = np.array([r[3] for r in rows], float)
             index.names = [r[4] for r in rows]
-        found: dict[int, dict[int, float]] = defaultdict(dict)
+        found: dict[int, list] = defaultdict(list)
         for i, row in enumerate(rows):
             for term, weight in zip(row[1].tolist(), row[2].tolist(), strict=True):
-                of = found[term]
-                of[i // block] = max(weight, of.get(i // block, 0.0))
-        index.bounds = [(np.array(list(found[t])), np.array(list(found[t].values())))
-                        if t in found else None for t in range(len(idf))]
+                found[term].append((i, weight))
+        for term in range(len(idf)):
+            entries = np.array([e for e, _ in found[term]], np.int64)
+            weights = np.array([w for _, w in found[term]])
+            index.lists.append((entries, weights))
+            blocks, starts = np.unique(entries // block, return_index=True)
+            most = np.maximum.reduceat(weights, starts) if len(starts) else weights
+            index.bounds.append((blocks, most))
         return index
 
+    def _similar(self, ids: list, query: list, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the wanted blocks that share a term, and their similarities."""
+        entries = np.concatenate([self.lists[t][0] for t in ids])
+        parts = np.concatenate([self.lists[t][1] * q for t, q in zip(ids, query, strict=True)])
+        inside = wanted[entries // self.block]
+        sums = np.bincount(entries[inside], parts[inside], minlength=len(self.names))
+        found = np.flatnonzero(sums)
+        return found, sums[found]
+
+    def _nearest_of(self, entries: np.ndarray, values: np.ndarray, own: int | None):
+        """Of these, the k nearest examples with all that tie with the last; its similarity, or
+        0 if there are fewer than k."""
+        order = np.lexsort((entries, -values))
+        entries, values = entries[order], values[order]
+        counts = self.votes[entries].sum(axis=1)
+        if own is not None and len(values) and values[0] > 1 - 1e-9:
+            counts[0] -= 1
+        reached = np.cumsum(counts)
+        if not len(reached) or reached[-1] < self.k:
+            return entries, values, 0.0
+        last = values[np.searchsorted(reached, self.k)]
+        near = values >= last - 1e-12
+        return entries[near], values[near], last
+
     def nearest(self, ids: np.ndarray, tfs: np.ndarray, own: int | None = None):
         """Entries and similarities of the k nearest examples, and all that tie with the last.
         own: the label of an example that is itself the query and does not count."""
-        query = self.unit(ids, tfs)
+        query = self.unit(ids, tfs).tolist()
+        ids = ids.tolist()
         above = np.zeros(len(self.names) // self.block + 1)
-        for term, weight in zip(ids.tolist(), query.tolist(), strict=True):
-            if self.bounds[term] is not None:
-                blocks, most = self.bounds[term]
-                above[blocks] += weight * most
-        dense = np.zeros(len(self.idf))
-        dense[ids] = query
-        entries, values, size, last = [], [], 0.0, 0.0
-        for b in np.argsort(-above, kind="stable").tolist():
-            # rounding: a bound may fall below the similarity it bounds by a few units
-            if above[b] <= 0 or size >= self.k and above[b] < last - 1e-9:
-                break
-            low, high = b * self.block, min((b + 1) * self.block, len(self.names))
-            at = self.ends[low:high]
-            products = (self.weights[at[0]:self.ends[high]]
-                        * dense[self.ids[at[0]:self.ends[high]]])
-            found = np.add.reduceat(products, at - at[0])
-            keep = found > 0
-            entries.append(np.arange(low, high)[keep])
-            values.append(found[keep])
-            all_e, all_v = np.concatenate(entries), np.concatenate(values)
-            order = np.lexsort((all_e, -all_v))
-            all_e, all_v = all_e[order], all_v[order]
-            counts = self.votes[all_e].sum(axis=1)
-            if own is not None and len(all_v) and all_v[0] > 1 - 1e-9:
-                counts[0] -= 1
-            reached = np.cumsum(counts)
-            size = reached[-1] if len(reached) else 0
-            if size >= self.k:
-                last = all_v[np.searchsorted(reached, self.k)]
-                near = all_v >= last - 1e-12
-                all_e, all_v = all_e[near], all_v[near]
-            entries, values = [all_e], [all_v]
-        if not entries:
-            return np.empty(0, np.int64), np.empty(0)
-        return entries[0], values[0]
+        for term, weight in zip(ids, query, strict=True):
+            blocks, most = self.bounds[term]
+            above[blocks] += weight * most
+        best = np.argsort(-above, kind="stable")[:self.first]
+        wanted = np.zeros(len(above), bool)
+        wanted[best] = True
+        entries, values = self._similar(ids, query, wanted)
+        entries, values, last = self._nearest_of(entries, values, own)
+        # rounding: a bound may fall below the similarity it bounds by a few units
+        rest = (above > 0) & (above >= last - 1e-9) & ~wanted
+        if rest.any():
+            more, other = self._similar(ids, query, rest)
+            entries, values, _ = self._nearest_of(
+                np.concatenate([entries, more]), np.concatenate([values, other]), own)
+        return entries, values
 
 
 @dataclass
@@ -329,7 +343,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(
     # the sample is bounded by its number, a vector by the vocabulary
     held = [(r.ids, r.tfs, r.toxic, r.doc_id) for r in
             examples.where(F.size("ids") > 0).select("ids", "tfs", "toxic", "doc_id").collect()]
-    index = Index.build(idf, held, bounds.neighbours, bounds.block)
+    index = Index.build(idf, held, bounds.neighbours, bounds.block, bounds.first)
     bare = {r.toxic: r["count"] for r in
             examples.where(F.size("ids") == 0).groupBy("toxic").count().collect()}
     weighed = [bare.get(c, 0) * lift[c] for c in (0, 1)]
