@@ -37,11 +37,16 @@ def reconcile_index(index: DataFrame, shortlist: DataFrame, with_decision: bool)
 
 
 def reconcile_metadata(metadata: DataFrame, index: DataFrame) -> DataFrame:
-    """First shared field a metadata document and its index entry disagree on."""
-    fields = rules.SHARED_FIELDS[1:]
-    a, b = _prefixed(metadata, "m_", CLIP), _prefixed(index, "i_", CLIP)
-    return a.join(b, CLIP).select(*CLIP, first_problem([
-        (name, ~F.col(f"m_{name}").eqNullSafe(F.col(f"i_{name}"))) for name in fields
+    """First shared field a metadata document and the index entry of its directory disagree on;
+    a directory with only one of the two is reported as well."""
+    keys, here = ["run_id", "directory"], F.lit(True).alias("here")
+    a = _prefixed(metadata.select("*", here), "m_", keys)
+    b = _prefixed(index.select("*", here), "i_", keys)
+    return a.join(b, keys, "full_outer").select(*keys, first_problem([
+        ("missing_metadata", F.col("m_here").isNull()),
+        ("missing_index", F.col("i_here").isNull()),
+        *[(name, ~F.col(f"m_{name}").eqNullSafe(F.col(f"i_{name}")))
+          for name in rules.SHARED_FIELDS],
     ]).alias("problem"))
 
 
@@ -58,14 +63,19 @@ def reconcile_files(recorded: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def check_media(media: DataFrame, targets: DataFrame, wanted: MediaTarget) -> DataFrame:
-    """First way a produced file is not what was asked for."""
+    """First way a produced file is not what was asked for; a target without a file and a file
+    without a target are reported as well."""
     c = F.col
     ratio = [] if wanted.pixel_ratio is None else [
         ("pixel_ratio_missing", c("sample_aspect_ratio").isNull()),
         ("pixel_ratio", c("sample_aspect_ratio") != wanted.pixel_ratio),
     ]
     length = c("end") - c("start")
-    return media.join(targets.select(*CLIP, "start", "end"), CLIP).select(*CLIP, first_problem([
+    found = media.withColumn("_found", F.lit(True))
+    asked = targets.select(*CLIP, "start", "end", F.lit(True).alias("_asked"))
+    return found.join(asked, CLIP, "full_outer").select(*CLIP, first_problem([
+        ("missing_media", c("_found").isNull()),
+        ("unknown_target", c("_asked").isNull()),
         ("dimensions", (c("width") != wanted.width) | (c("height") != wanted.height)),
         ("video_codec", ~c("video_codec").eqNullSafe(F.lit(wanted.video_codec))),
         *ratio,
@@ -161,14 +171,16 @@ def record_problems() -> Column:
 
 def identity_problems(transcripts: DataFrame, chunks: DataFrame, raw: DataFrame,
                       candidates: DataFrame, config: DataFrame, answers: DataFrame) -> DataFrame:
-    """First way the four records of an analysis contradict each other, per run.
+    """First way the records of an analysis contradict each other, per run of any record; a
+    record that a run lacks comes first.
 
     ``answers`` holds runs whose answered chunks are not exactly the chunks cut.
     """
     key, c = ["run_id"], F.col
-    joined = transcripts
+    joined = transcripts.withColumn("here", F.lit(True))
     for prefix, df in (("c_", chunks), ("r_", raw), ("s_", candidates), ("f_", config)):
-        joined = joined.join(_prefixed(df, prefix, key), "run_id")
+        held = _prefixed(df.withColumn("here", F.lit(True)), prefix, key)
+        joined = joined.join(held, "run_id", "full_outer")
     uncovered = answers.select("run_id").distinct().withColumn("_uncovered", F.lit(True))
 
     def differ(a: str, b: str) -> Column:
@@ -176,6 +188,9 @@ def identity_problems(transcripts: DataFrame, chunks: DataFrame, raw: DataFrame,
 
     version = "c_rules_version"
     return joined.join(uncovered, "run_id", "left").select("run_id", first_problem([
+        *[(f"missing_{name}", c(f"{prefix}here").isNull()) for prefix, name in (
+            ("", "transcript"), ("c_", "chunks"), ("r_", "raw"), ("s_", "candidates"),
+            ("f_", "config"))],
         ("chunks_transcript", differ("c_transcript_sha256", "transcript_sha256")),
         ("raw_transcript", differ("r_transcript_sha256", "c_transcript_sha256")),
         *[(name, differ(f"r_{name}", f"f_{name}")) for name in rules.EXECUTOR_FIELDS],

@@ -22,8 +22,10 @@ def decision_problems(decisions: DataFrame, runs: DataFrame) -> DataFrame:
     kind, has_final = c("decision"), c("final_start").isNotNull() & c("final_end").isNotNull()
     approved, edited, rejected = (kind == k for k in ("approved", "edited", "rejected"))
     repeated = decisions.groupBy(*KEYS).agg((F.count("*") > 1).alias("_repeated"))
-    joined = decisions.join(runs.select("run_id", "duration"), "run_id").join(repeated, KEYS)
+    known = runs.select("run_id", "duration", F.lit(True).alias("_known"))
+    joined = decisions.join(known, "run_id", "left").join(repeated, KEYS)
     return joined.withColumn("problems", reasons([
+        ("unknown_run", c("_known").isNull()),
         ("unknown_decision", ~kind.isin("approved", "edited", "rejected")),
         ("timestamp_not_utc", ~F.coalesce(is_utc_stamp(c("reviewed_at")), F.lit(False))),
         ("original_not_ordered",
@@ -41,7 +43,7 @@ def decision_problems(decisions: DataFrame, runs: DataFrame) -> DataFrame:
         ("detail_too_long", F.length("detail") > rules.DETAIL_MAX_LENGTH),
         ("ends_beyond_source", c("final_end") > c("duration") + rules.TIME_EPSILON),
         ("repeated_candidate", c("_repeated")),
-    ])).drop("_repeated", "duration")
+    ])).drop("_repeated", "duration", "_known")
 
 
 def coherence_problems(decisions: DataFrame, selected: DataFrame, runs: DataFrame) -> DataFrame:
@@ -49,18 +51,20 @@ def coherence_problems(decisions: DataFrame, selected: DataFrame, runs: DataFram
     own = selected.select(
         *KEYS, F.col("start").alias("_start"), F.col("end").alias("_end"))
     about = runs.select(
-        "run_id", F.col("analysis_fingerprint").alias("_print"), F.col("duration").alias("_dur"))
+        "run_id", F.col("analysis_fingerprint").alias("_print"), F.col("duration").alias("_dur"),
+        F.lit(True).alias("_known"))
     c = F.col
     return (
-        decisions.join(about, "run_id").join(own, KEYS, "left")
+        decisions.join(about, "run_id", "left").join(own, KEYS, "left")
         .withColumn("problem", first_problem([
+            ("unknown_run", c("_known").isNull()),
             ("other_analysis", c("analysis_fingerprint") != c("_print")),
             ("other_duration", ~close(c("source_duration"), c("_dur"))),
             ("not_selected", c("_start").isNull()),
             ("original_start_differs", ~close(c("original_start"), c("_start"))),
             ("original_end_differs", ~close(c("original_end"), c("_end"))),
         ]))
-        .drop("_start", "_end", "_print", "_dur")
+        .drop("_start", "_end", "_print", "_dur", "_known")
     )
 
 

@@ -88,14 +88,16 @@ def preview_reconcile(v: Views) -> DataFrame:
 
 
 @plan("metadata_reconcile", """
-SELECT run_id, candidate_id, CASE x % 23 WHEN 0 THEN 'rank' WHEN 1 THEN 'end'
+SELECT run_id, 'clip_' || candidate_id AS directory, CASE x % 23 WHEN 0 THEN 'rank' WHEN 1 THEN 'end'
   WHEN 2 THEN 'video_codec' WHEN 3 THEN 'size_bytes' WHEN 4 THEN 'cue_count'
   WHEN 5 THEN 'sample_aspect_ratio' WHEN 6 THEN 'subtitles_burned' WHEN 7 THEN 'srt_sha256'
+  WHEN 8 THEN 'candidate_id' WHEN 9 THEN 'missing_metadata' WHEN 10 THEN 'missing_index'
   ELSE 'ok' END AS verdict FROM q_index_full""")
 def metadata_reconcile(v: Views) -> DataFrame:
     c, f = F.col, F.col("x") % 23
-    index = clip_index(v)
-    meta = index.withColumns({
+    index = clip_index(v).withColumn("directory", F.concat(F.lit("clip_"), c("candidate_id")))
+    meta = index.where(f != 9).withColumns({
+        "candidate_id": F.when(f == 8, F.lit("cand_other")).otherwise(c("candidate_id")),
         "rank": F.when(f == 0, c("rank") + 1).otherwise(c("rank")),
         "end": F.when(f == 1, c("end") + 0.5).otherwise(c("end")),
         "video_codec": F.when(f == 2, F.lit("hevc")).otherwise(c("video_codec")),
@@ -105,8 +107,8 @@ def metadata_reconcile(v: Views) -> DataFrame:
         "subtitles_burned": f != 6,
         "srt_sha256": F.when(f == 7, F.lit("bad")).otherwise(c("srt_sha256")),
     })
-    return A.reconcile_metadata(meta, index).select(
-        "run_id", "candidate_id", F.coalesce("problem", F.lit("ok")).alias("verdict"))
+    return A.reconcile_metadata(meta, index.where(f != 10)).select(
+        "run_id", "directory", F.coalesce("problem", F.lit("ok")).alias("verdict"))
 
 
 _NAMES = ("clip.mp4", "subtitles.srt", "subtitles.ass", "metadata.json")
@@ -151,8 +153,10 @@ def file_reconcile(v: Views) -> DataFrame:
 @plan("output_media_check", """
 SELECT run_id, candidate_id, CASE x % 13 WHEN 0 THEN 'dimensions' WHEN 1 THEN 'video_codec'
   WHEN 2 THEN 'pixel_ratio_missing' WHEN 3 THEN 'pixel_ratio' WHEN 4 THEN 'no_audio'
-  WHEN 5 THEN 'audio_codec' WHEN 6 THEN 'duration_drift' ELSE 'ok' END AS verdict
-FROM q_index_full""")
+  WHEN 5 THEN 'audio_codec' WHEN 6 THEN 'duration_drift' WHEN 8 THEN 'missing_media'
+  ELSE 'ok' END AS verdict
+FROM q_index_full
+UNION ALL SELECT run_id, candidate_id || '_x', 'unknown_target' FROM q_index_full WHERE x % 13 = 9""")
 def output_media_check(v: Views) -> DataFrame:
     f = F.col("x") % 13
     length = F.col("end") - F.col("start")
@@ -163,7 +167,10 @@ def output_media_check(v: Views) -> DataFrame:
         F.when(f == 3, F.lit("4:3")).when(f != 2, F.lit("1:1")).alias("sample_aspect_ratio"),
         F.when(f == 5, F.lit("mp3")).when(f != 4, F.lit("aac")).alias("audio_codec"),
         F.when(f == 6, length + 1.2).when(f == 7, length + 0.9).otherwise(length)
-        .alias("duration_seconds"))
+        .alias("duration_seconds"), f.alias("f"))
+    extra = media.where("f = 9").withColumn(
+        "candidate_id", F.concat("candidate_id", F.lit("_x")))
+    media = media.where("f <> 8").unionByName(extra).drop("f")
     return A.check_media(media, v.targets, rules.CLIP_TARGET).select(
         "run_id", "candidate_id", F.coalesce("problem", F.lit("ok")).alias("verdict"))
 
@@ -215,14 +222,16 @@ SELECT run_id, candidate_id, CASE f WHEN 0 THEN 'start_delta_differs'
     CASE WHEN start_kind <> 'unchanged' OR end_kind <> 'unchanged' THEN 'reverted_with_anchor' END
     ], lambda x: x IS NOT NULL), ',')
   WHEN 2 THEN 'adjusted_not_ordered,end_delta_differs' ELSE '' END AS problems
-FROM (SELECT *, {_X_SQL} % 19 AS f FROM q_snapped WHERE reasons = '' AND NOT reverted)""")
+FROM (SELECT *, CASE WHEN reverted THEN 3 ELSE {_X_SQL} % 19 END AS f FROM q_snapped
+  WHERE reasons = '')""")
 def boundary_record_check(v: Views) -> DataFrame:
-    c, f = F.col, F.col("x") % 19
-    rows = v.assessed.where((F.size("invalid_reasons") == 0) & ~F.col("reverted")).withColumn(
-        "x", mark()).withColumnsRenamed({"start": "proposed_start", "end": "proposed_end"})
+    c = F.col
+    f = F.when(c("was_reverted"), 3).otherwise(c("x") % 19)
+    rows = v.assessed.where(F.size("invalid_reasons") == 0).withColumn("x", mark()).withColumn(
+        "was_reverted", c("reverted")).withColumnsRenamed({"start": "proposed_start", "end": "proposed_end"})
     faulty = rows.withColumns({
         "start_delta": F.when(f == 0, c("start_delta") + 0.25).otherwise(c("start_delta")),
-        "reverted": f == 1,
+        "reverted": (f == 1) | c("was_reverted"),
         "adjusted_end": F.when(f == 2, c("adjusted_start")).otherwise(c("adjusted_end")),
     })
     return faulty.select(
@@ -329,7 +338,9 @@ SELECT run_id, run_id % 41 AS f FROM q_runs""")
 SELECT i.run_id, CASE f WHEN 0 THEN 'chunks_transcript' WHEN 1 THEN 'raw_transcript'
   WHEN 2 THEN 'model' WHEN 3 THEN 'prompt_sha256' WHEN 4 THEN 'fixture_sha256'
   WHEN 5 THEN 'answered_chunks' WHEN 6 THEN 'proposed_count' WHEN 7 THEN 'source_duration'
-  WHEN 8 THEN 'rules_version' WHEN 9 THEN 'min_score' WHEN 10 THEN 'dedupe_iou' ELSE 'ok' END
+  WHEN 8 THEN 'rules_version' WHEN 9 THEN 'min_score' WHEN 10 THEN 'dedupe_iou'
+  WHEN 11 THEN 'missing_chunks' WHEN 12 THEN 'missing_raw' WHEN 13 THEN 'missing_candidates'
+  WHEN 14 THEN 'missing_config' WHEN 15 THEN 'missing_transcript' ELSE 'ok' END
   AS verdict FROM q_identity i WHERE run_id IN (SELECT run_id FROM q_proposals)""")
 def identity_coherence(v: Views) -> DataFrame:
     c, f = F.col, F.col("run_id") % 41
@@ -374,6 +385,8 @@ def identity_coherence(v: Views) -> DataFrame:
         "run_id", F.when(f == 8, 2).otherwise(1).alias("rules_version"), *executor("config"),
         *policy("config"))
     uncovered = rows.where(f == 5).select("run_id")
+    transcripts = v.transcript_digests.join(counts.select("run_id"), "run_id", "left_semi")
     return A.identity_problems(
-        v.transcript_digests, chunks, raw, candidates, config, uncovered
+        transcripts.where(f != 15), chunks.where(f != 11), raw.where(f != 12),
+        candidates.where(f != 13), config.where(f != 14), uncovered,
     ).select("run_id", F.coalesce("problem", F.lit("ok")).alias("verdict"))

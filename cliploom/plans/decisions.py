@@ -28,7 +28,8 @@ part("q_faulty0", """
 SELECT *, (h // 10) % 17 AS g FROM q_decisions
 UNION ALL SELECT *, (h // 10) % 17 AS g FROM q_decisions WHERE (h // 10) % 17 = 11""")
 part("q_faulty", """
-SELECT run_id, h, g, decision, duration_ms,
+SELECT CASE WHEN g = 15 THEN -1 - q_faulty0.run_id ELSE q_faulty0.run_id END AS run_id,
+  h, g, decision, duration_ms,
   CASE WHEN g = 9 THEN candidate_id || 'x' ELSE candidate_id END AS candidate_id,
   CASE WHEN g = 10 THEN os + 0.25 ELSE os END AS os,
   CASE WHEN g = 6 THEN os WHEN g = 12 THEN oe + 0.25 ELSE oe END AS oe,
@@ -40,8 +41,9 @@ SELECT run_id, h, g, decision, duration_ms,
   CASE WHEN g = 2 THEN ' ' WHEN g = 3 THEN 'note' WHEN g = 8 THEN repeat('d', 2001) ELSE detail END
     AS detail,
   CASE WHEN g IN (4, 5) THEN false ELSE true END AS utc,
-  CASE WHEN run_id % 31 = 0 THEN 'other' ELSE 'print' || run_id END AS fingerprint,
-  CASE WHEN run_id % 37 = 0 THEN duration_ms + 1000 ELSE duration_ms END / 1000.0::DOUBLE AS dur
+  CASE WHEN q_faulty0.run_id % 31 = 0 THEN 'other' ELSE 'print' || q_faulty0.run_id END
+    AS fingerprint,
+  CASE WHEN q_faulty0.run_id % 37 = 0 THEN duration_ms + 1000 ELSE duration_ms END / 1000.0::DOUBLE AS dur
 FROM q_faulty0""")
 part("q_targets", """
 SELECT run_id, candidate_id, rank, h, category, decision, os, oe, total,
@@ -56,6 +58,7 @@ _MOVED = "(abs(ns - os) > 1e-6 OR abs(ne - oe) > 1e-6)"
 
 @plan("decision_validate", f"""
 SELECT f.run_id, f.candidate_id, f.decision, count(*) AS copies, array_to_string(list_filter([
+  CASE WHEN g = 15 THEN 'unknown_run' END,
   CASE WHEN NOT utc THEN 'timestamp_not_utc' END,
   CASE WHEN os < 0 OR oe <= os THEN 'original_not_ordered' END,
   CASE WHEN decision IN ('approved', 'edited') AND (ns IS NULL OR ne IS NULL)
@@ -68,7 +71,7 @@ SELECT f.run_id, f.candidate_id, f.decision, count(*) AS copies, array_to_string
   CASE WHEN detail IS NOT NULL AND reason IS NULL THEN 'detail_without_reason' END,
   CASE WHEN reason = 'other' AND trim(coalesce(detail, '')) = '' THEN 'other_needs_detail' END,
   CASE WHEN length(detail) > 2000 THEN 'detail_too_long' END,
-  CASE WHEN ne > duration_ms / 1000.0::DOUBLE + 1e-6 THEN 'ends_beyond_source' END,
+  CASE WHEN g <> 15 AND ne > duration_ms / 1000.0::DOUBLE + 1e-6 THEN 'ends_beyond_source' END,
   CASE WHEN n.n > 1 THEN 'repeated_candidate' END], lambda x: x IS NOT NULL), ',') AS problems
 FROM q_faulty f JOIN (SELECT run_id, candidate_id, count(*) AS n FROM q_faulty GROUP BY ALL) n
   USING (run_id, candidate_id)
@@ -81,7 +84,7 @@ def decision_validate(v: Views) -> DataFrame:
 
 @plan("orphan_decisions", """
 SELECT DISTINCT f.run_id, f.candidate_id,
-  CASE WHEN fingerprint <> 'print' || f.run_id THEN 'other_analysis'
+  CASE WHEN g = 15 THEN 'unknown_run' WHEN fingerprint <> 'print' || f.run_id THEN 'other_analysis'
     WHEN abs(dur - duration_ms / 1000.0::DOUBLE) > 1e-6 THEN 'other_duration'
     WHEN s.fs IS NULL THEN 'not_selected'
     WHEN abs(f.os - s.fs) > 1e-6 THEN 'original_start_differs'

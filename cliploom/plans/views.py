@@ -420,7 +420,8 @@ class Views:
         repeated = broken.where(c("g") == 11)
         rows = broken.unionByName(repeated)
         return rows.select(
-            "run_id", "h", "g", "decision",
+            F.when(c("g") == 15, -1 - c("run_id")).otherwise(c("run_id")).alias("run_id"),
+            "h", "g", "decision",
             F.when(c("g") == 9, F.concat("candidate_id", F.lit("x"))).otherwise(c("candidate_id"))
             .alias("candidate_id"),
             F.when(c("g") == 10, c("original_start") + 0.25).otherwise(c("original_start"))

@@ -3,10 +3,15 @@
 A reader takes a column of document texts, from files or from a table, and splits it: every
 document is accepted whole or set aside with the first thing wrong with it. Nothing is
 repaired, migrated or partly salvaged.
+
+What a document may hold is written down as a shape: names, kinds and nesting. Names and JSON
+kinds are checked at every level before anything is read from it, so a number in quotes, a null,
+a NaN or an extra field deep inside refuses the document. Rules about values come after.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,110 +22,200 @@ from cliploom.functions.columns import first_problem
 from cliploom.functions.json import object_keys, shape_problem
 
 
+#: A shape: "string", "int" or "number"; a dictionary of names (with ? if the field may be absent
+#: or null) for an object; a list of one shape for a list; ("map", shape) for free names.
+Shape = str | dict | list | tuple
+
+
 @dataclass(frozen=True)
 class Kind:
-    """One kind of document: exact version, exact fields, and what else must hold."""
+    """One kind of document: exact version, exact shape, and what else must hold."""
 
     version: int
-    schema: str
-    required: tuple[str, ...]
-    optional: tuple[str, ...] = ()
+    shape: dict
     rules: tuple[tuple[str, str], ...] = field(default=())
 
+    @property
+    def names(self) -> list[str]:
+        return [name.rstrip("?") for name in self.shape]
 
-_SCORES = ",".join(f"{n}:int" for n in rules.SCORE_NAMES)
-_CANDIDATE = (
-    "start:double,end:double,category:string,topic:string,hook:string,summary:string,"
-    f"reason:string,scores:struct<{_SCORES}>,warnings:array<string>"
-)
+    @property
+    def required(self) -> list[str]:
+        return [name for name in self.shape if not name.endswith("?")]
+
+
+_DDL = {"string": "string", "int": "bigint", "number": "double"}
+_JSON_KINDS = {"string": "STRING", "int": "BIGINT", "number": r"(BIGINT|DOUBLE|DECIMAL\(\d+,\s*\d+\))"}
+
+
+def ddl(shape: Shape) -> str:
+    """The Spark type that a shape is read into."""
+    if isinstance(shape, str):
+        return _DDL[shape]
+    if isinstance(shape, list):
+        return f"array<{ddl(shape[0])}>"
+    if isinstance(shape, tuple):
+        return f"map<string,{ddl(shape[1])}>"
+    return f"struct<{','.join(f'`{n.rstrip('?')}`:{ddl(x)}' for n, x in shape.items())}>"
+
+
+def fits(value: str, shape: Shape, depth: int = 0) -> str:
+    """SQL: whether a VARIANT has exactly the names and kinds of a shape, at every level."""
+    kind, item = f"schema_of_variant({value})", f"v{depth}"
+    if isinstance(shape, str):
+        return f"{kind} RLIKE '^{_JSON_KINDS[shape]}$'".replace("\\", "\\\\")
+    if isinstance(shape, list):
+        return (f"(startswith({kind}, 'ARRAY') AND forall(variant_get({value}, '$', "
+                f"'array<variant>'), {item} -> {fits(item, shape[0], depth + 1)}))")
+    entries = f"variant_get({value}, '$', 'map<string,variant>')"
+    if isinstance(shape, tuple):
+        return (f"(startswith({kind}, 'OBJECT') AND forall(map_values({entries}), "
+                f"{item} -> {fits(item, shape[1], depth + 1)}))")
+    names = ", ".join(f"'{n.rstrip('?')}'" for n in shape)
+    tests = [f"startswith({kind}, 'OBJECT')",
+             f"size(array_except(map_keys({entries}), array({names}))) = 0"]
+    for name, inner in shape.items():
+        part = f"variant_get({value}, '$.{name.rstrip('?')}', 'variant')"
+        test = f"coalesce({fits(part, inner, depth + 1)}, false)"
+        if name.endswith("?"):
+            test = f"({part} IS NULL OR is_variant_null({part}) OR {test})"
+        tests.append(test)
+    return f"({' AND '.join(tests)})"
+
+
+def _not_utc(name: str) -> str:
+    return (f"NOT ({name} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}"
+            "([.][0-9]+)?(Z|[+]00:00)$')")
 
+
+def _among(values: tuple[str, ...]) -> str:
+    return "(" + ",".join(f"'{v}'" for v in values) + ")"
+
+
+def _twice(rows: str, name: str) -> str:
+    return f"size(array_distinct(transform({rows}, r -> r.{name}))) < size({rows})"
+
+
+def _any(rows: str, test: str) -> str:
+    """Whether a test of row r, its place i or the row before holds anywhere."""
+    return f"exists(transform({rows}, (r, i) -> {test}), x -> x)"
+
+
+_HEAD = {"schema_version": "int", "run_id": "int"}
+_WORD = {"word": "string", "start": "number", "end": "number", "probability?": "number"}
 TRANSCRIPT = Kind(
     rules.TRANSCRIPT_SCHEMA_VERSION,
-    "schema_version:int,run_id:bigint,language:string,language_probability:double,"
-    "duration_seconds:double,declared_duration_seconds:double,model:string,created_at:string,"
-    "segments:array<struct<index:bigint,start:double,end:double,text:string,"
-    "words:array<struct<word:string,start:double,end:double,probability:double>>>>",
-    ("schema_version", "run_id", "language", "duration_seconds", "model", "created_at",
-     "segments"),
-    ("language_probability", "declared_duration_seconds"),
+    {**_HEAD, "language": "string", "language_probability?": "number",
+     "duration_seconds": "number", "declared_duration_seconds?": "number", "model": "string",
+     "created_at": "string",
+     "segments": [{"index": "int", "start": "number", "end": "number", "text": "string",
+                   "words": [_WORD]}]},
     (("duration_not_positive", "duration_seconds <= 0"),
-     ("indices_not_contiguous",
-      "exists(transform(segments, (s, i) -> s.index <> i), x -> x)"),
-     ("beyond_duration", "exists(segments, s -> s.end > duration_seconds)")),
+     ("timestamp_not_utc", _not_utc("created_at")),
+     ("indices_not_contiguous", _any("segments", "r.index <> i")),
+     ("segment_not_ordered", _any("segments", "r.start < 0 OR r.end < r.start")),
+     ("segments_not_sorted", _any("segments", "i > 0 AND r.start < get(segments, i - 1).start")),
+     ("word_not_ordered", _any("segments", "exists(r.words, w -> w.end < w.start)")),
+     ("word_outside_segment", _any(
+         "segments", "exists(r.words, w -> w.start < r.start - 1e-6 OR w.end > r.end + 1e-6)")),
+     ("beyond_duration", _any("segments", "r.end > duration_seconds"))),
 )
 BATCHES = Kind(
     1,
-    "schema_version:int,run_id:bigint,model:string,batches:array<struct<chunk_id:string,"
-    f"raw_response:string,candidates:array<struct<{_CANDIDATE}>>,error:string>>",
-    ("schema_version", "run_id", "model", "batches"), (),
-    (("chunk_answered_twice",
-      "size(array_distinct(transform(batches, b -> b.chunk_id))) < size(batches)"),
-     ("failed_and_answered",
-      "exists(batches, b -> b.error IS NOT NULL AND size(b.candidates) > 0)")),
+    {**_HEAD, "model": "string",
+     "batches": [{
+         "chunk_id": "string", "raw_response": "string", "error?": "string",
+         "candidates": [{
+             "start": "number", "end": "number", "category": "string", "topic": "string",
+             "hook": "string", "summary": "string", "reason": "string",
+             "scores": {name: "int" for name in rules.SCORE_NAMES}, "warnings": ["string"]}]}]},
+    (("chunk_answered_twice", _twice("batches", "chunk_id")),
+     ("failed_and_answered", _any("batches", "r.error IS NOT NULL AND size(r.candidates) > 0"))),
 )
 CANDIDATES = Kind(
     1,
-    "schema_version:int,run_id:bigint,proposed:bigint,candidates:array<struct<id:string,"
-    "rank:bigint,start:double,end:double,total_score:double,status:string>>",
-    ("schema_version", "run_id", "proposed", "candidates"), (),
-    (("ranks_not_contiguous",
-      "exists(transform(candidates, (c, i) -> c.rank <> i + 1), x -> x)"),),
+    {**_HEAD, "proposed": "int",
+     "candidates": [{"id": "string", "rank": "int", "start": "number", "end": "number",
+                     "total_score": "number", "status": "string"}]},
+    (("ranks_not_contiguous", _any("candidates", "r.rank <> i + 1")),
+     ("listed_twice", _twice("candidates", "id")),
+     ("not_ordered", _any("candidates", "r.start < 0 OR r.end <= r.start")),
+     ("score_out_of_range", _any("candidates", "r.total_score < 0 OR r.total_score > 100")),
+     ("unknown_status", _any("candidates", "r.status <> 'suggested'"))),
 )
 CHUNKS = Kind(
     1,
-    "schema_version:int,run_id:bigint,chunks:array<struct<id:string,index:bigint,"
-    "window_start:double,window_end:double,start:double,end:double>>",
-    ("schema_version", "run_id", "chunks"), (),
-    (("indices_not_contiguous", "exists(transform(chunks, (c, i) -> c.index <> i), x -> x)"),),
+    {**_HEAD, "chunks": [{"id": "string", "index": "int", "window_start": "number",
+                          "window_end": "number", "start": "number", "end": "number"}]},
+    (("indices_not_contiguous", _any("chunks", "r.index <> i")),
+     ("listed_twice", _twice("chunks", "id")),
+     ("not_ordered", _any("chunks", "r.end < r.start OR r.window_end <= r.window_start"))),
 )
+_KEPT = "abs(r.final_start - r.original_start) <= 1e-6 AND abs(r.final_end - r.original_end) <= 1e-6"
 DECISIONS = Kind(
     1,
-    "schema_version:int,run_id:bigint,source_duration_seconds:double,created_at:string,"
-    "updated_at:string,decisions:array<struct<candidate_id:string,decision:string,"
-    "original_start:double,original_end:double,final_start:double,final_end:double,"
-    "reason:string,detail:string,reviewed_at:string>>",
-    ("schema_version", "run_id", "source_duration_seconds", "created_at", "updated_at",
-     "decisions"), (),
-    (("updated_before_created", "to_timestamp(updated_at) < to_timestamp(created_at)"),
-     ("decided_twice",
-      "size(array_distinct(transform(decisions, d -> d.candidate_id))) < size(decisions)"),
-     ("beyond_source",
-      "exists(decisions, d -> d.final_end > source_duration_seconds + 1e-6)")),
+    {**_HEAD, "source_duration_seconds": "number", "created_at": "string", "updated_at": "string",
+     "decisions": [{
+         "candidate_id": "string", "decision": "string", "original_start": "number",
+         "original_end": "number", "final_start?": "number", "final_end?": "number",
+         "reason?": "string", "detail?": "string", "reviewed_at": "string"}]},
+    (("timestamp_not_utc", f"{_not_utc('created_at')} OR {_not_utc('updated_at')} OR "
+      + _any("decisions", _not_utc("r.reviewed_at"))),
+     ("updated_before_created", "to_timestamp(updated_at) < to_timestamp(created_at)"),
+     ("unknown_decision", _any(
+         "decisions", "r.decision NOT IN ('approved', 'edited', 'rejected')")),
+     ("original_not_ordered", _any(
+         "decisions", "r.original_start < 0 OR r.original_end <= r.original_start")),
+     ("interval_missing", _any(
+         "decisions", "r.decision <> 'rejected' AND (r.final_start IS NULL OR r.final_end IS NULL)")),
+     ("approved_moved", _any("decisions", f"r.decision = 'approved' AND NOT ({_KEPT})")),
+     ("edited_not_moved", _any("decisions", f"r.decision = 'edited' AND {_KEPT}")),
+     ("edited_not_ordered", _any(
+         "decisions", "r.decision = 'edited' AND (r.final_start < 0 OR r.final_end <= r.final_start)")),
+     ("rejected_with_interval", _any(
+         "decisions",
+         "r.decision = 'rejected' AND (r.final_start IS NOT NULL OR r.final_end IS NOT NULL)")),
+     ("unknown_reason", _any("decisions", f"r.reason NOT IN {_among(rules.EDITORIAL_REASONS)}")),
+     ("reason_without_rejection", _any(
+         "decisions",
+         "r.decision <> 'rejected' AND (r.reason IS NOT NULL OR r.detail IS NOT NULL)")),
+     ("decided_twice", _twice("decisions", "candidate_id")),
+     ("beyond_source", _any("decisions", "r.final_end > source_duration_seconds + 1e-6"))),
+)
+_FILE = {"candidate_id": "string", "rank": "int", "start": "number", "end": "number",
+         "filename": "string", "sha256": "string"}
+_FILE_RULES = (
+    ("dimensions_not_positive", "width <= 0 OR height <= 0"),
 )
-_FILE = "candidate_id:string,rank:bigint,start:double,end:double,filename:string,sha256:string"
 #: Clip ranks keep the gaps that rejections leave; preview ranks have none.
 CLIP_INDEX = Kind(
-    2,
-    f"schema_version:int,run_id:bigint,width:int,height:int,clips:array<struct<{_FILE}>>",
-    ("schema_version", "run_id", "width", "height", "clips"), (),
-    (("listed_twice",
-      "size(array_distinct(transform(clips, c -> c.candidate_id))) < size(clips)"),
-     ("ranks_not_increasing",
-      "exists(transform(clips, (c, i) -> i > 0 AND c.rank <= get(clips, i - 1).rank), x -> x)")),
+    2, {**_HEAD, "width": "int", "height": "int", "clips": [_FILE]},
+    (*_FILE_RULES,
+     ("not_ordered", _any("clips", "r.start < 0 OR r.end <= r.start")),
+     ("listed_twice", _twice("clips", "candidate_id")),
+     ("ranks_not_increasing", _any(
+         "clips", "r.rank < 1 OR i > 0 AND r.rank <= get(clips, i - 1).rank"))),
 )
 PREVIEW_INDEX = Kind(
-    1,
-    f"schema_version:int,run_id:bigint,width:int,height:int,previews:array<struct<{_FILE}>>",
-    ("schema_version", "run_id", "width", "height", "previews"), (),
-    (("listed_twice",
-      "size(array_distinct(transform(previews, c -> c.candidate_id))) < size(previews)"),
-     ("ranks_not_contiguous",
-      "exists(transform(previews, (c, i) -> c.rank <> i + 1), x -> x)")),
+    1, {**_HEAD, "width": "int", "height": "int", "previews": [_FILE]},
+    (*_FILE_RULES,
+     ("not_ordered", _any("previews", "r.start < 0 OR r.end <= r.start")),
+     ("listed_twice", _twice("previews", "candidate_id")),
+     ("ranks_not_contiguous", _any("previews", "r.rank <> i + 1"))),
 )
 MANIFEST = Kind(
     rules.MANIFEST_SCHEMA_VERSION,
-    "schema_version:int,run_id:bigint,created_at:string,status:string,config_sha256:string,"
-    "stages:map<string,struct<fingerprint:string,stage_config_sha256:string,"
-    "schema_version:int,completed_at:string>>",
-    ("schema_version", "run_id", "created_at", "status", "config_sha256", "stages"), (),
-    (("unknown_status",
-      "status NOT IN (" + ",".join(f"'{s}'" for s in rules.RUN_STATUSES) + ")"),),
+    {**_HEAD, "created_at": "string", "status": "string", "config_sha256": "string",
+     "stages": ("map", {"fingerprint": "string", "stage_config_sha256": "string",
+                        "schema_version": "int", "completed_at": "string"})},
+    (("unknown_status", f"status NOT IN {_among(rules.RUN_STATUSES)}"),
+     ("unknown_stage", f"exists(map_keys(stages), k -> k NOT IN {_among(rules.STAGES)})"),
+     ("timestamp_not_utc", f"{_not_utc('created_at')} OR exists(map_values(stages), "
+      f"r -> {_not_utc('r.completed_at')})")),
 )
 STAGE_CONFIG = Kind(
-    1,
-    "schema_version:int,run_id:bigint,stage:string,settings:map<string,string>",
-    ("schema_version", "run_id", "stage", "settings"), (),
-    (("unknown_stage", "stage NOT IN (" + ",".join(f"'{s}'" for s in rules.STAGES) + ")"),),
+    1, {**_HEAD, "stage": "string", "settings": ("map", "string")},
+    (("unknown_stage", f"stage NOT IN {_among(rules.STAGES)}"),),
 )
 
 
@@ -131,38 +226,41 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def parse(docs: DataFrame, kind: Kind, text: str = "document") -> DataFrame:
-    """Add ``doc`` (the typed content) and ``problem`` (NULL when accepted)."""
+    """Add ``doc`` (the typed content) and ``problem`` (NULL when accepted).
+
+    Tests are in this order: the text is one JSON object, its version, its field names, names and
+    kinds at every level (``wrong_shape``), then the rules of the kind. A rule about an optional
+    field that is absent does not apply; no other value can be missing by then.
+    """
     body = F.col(text)
-    keys = object_keys(body)
-    allowed = F.array(*[F.lit(k) for k in (*kind.required, *kind.optional)])
-    needed = F.array(*[F.lit(k) for k in kind.required])
-    held = docs.withColumns({
-        "doc": F.from_json(body, f"struct<{kind.schema}>"),
-        "_any": F.from_json(body, "map<string,string>"),
-        "_keys": keys,
+    names = F.array(*[F.lit(n) for n in kind.names])
+    needed = F.array(*[F.lit(n) for n in kind.required])
+    held = docs.withColumns({"_json": F.try_parse_json(body), "_keys": object_keys(body)})
+    shaped = held.withColumns({
+        "_fits": F.expr(fits("_json", kind.shape)),
+        "doc": F.from_json(body, ddl(kind.shape)),
+        "_version": F.try_variant_get("_json", "$.schema_version", "string"),
     })
-    inner = held.select("*", *[
+    inner = shaped.select("*", *[
         F.expr(_inside(test, kind)).alias(f"_rule_{name}") for name, test in kind.rules])
     problem: list[tuple[str, Column]] = [
-        ("schema_version", ~F.col("_any")["schema_version"].eqNullSafe(
-            F.lit(str(kind.version)))),
+        ("not_json", F.col("_json").isNull()),
+        ("schema_version", ~F.col("_version").eqNullSafe(F.lit(str(kind.version)))),
         ("missing_field", F.size(F.array_except(needed, "_keys")) > 0),
-        ("unknown_field", F.size(F.array_except("_keys", allowed)) > 0),
+        ("unknown_field", F.size(F.array_except("_keys", names)) > 0),
+        ("wrong_shape", ~F.coalesce("_fits", F.lit(False))),
         *[(name, F.coalesce(F.col(f"_rule_{name}"), F.lit(False))) for name, _ in kind.rules],
     ]
     return inner.withColumn(
         "problem", F.coalesce(shape_problem(body), first_problem(problem))
-    ).drop(
-        "_any", "_keys", *[f"_rule_{n}" for n, _ in kind.rules])
+    ).drop("_json", "_fits", "_version", "_keys", *[f"_rule_{n}" for n, _ in kind.rules])
 
 
 def _inside(test: str, kind: Kind) -> str:
     """Rule texts name top-level fields; they live under ``doc``."""
-    import re
-
     out = test
-    for name in (*kind.required, *kind.optional):
-        out = re.sub(rf"(?<![.\w']){name}(?![\w'])", f"doc.{name}", out)
+    for name in kind.names:
+        out = re.sub(rf"(?<![.\w'`]){name}(?![\w'])", f"doc.{name}", out)
     return out
 
 
@@ -209,8 +307,21 @@ def stage_records(parsed: DataFrame) -> DataFrame:
         "run_id", "stage", "r.*")
 
 
-def file_digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Name, size and SHA-256 of files; the content never leaves the scan."""
-    return spark.read.format("binaryFile").load(paths).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+#: A file's content is one value, and a value holds less than 2 GB.
+LARGEST_FILE = 1 << 30
+
+
+def file_digests(spark: SparkSession, paths: str | list[str],
+                 largest: int = LARGEST_FILE) -> DataFrame:
+    """Name, size, SHA-256 and problem of files; the content never leaves the scan. The content
+    of files above ``largest`` bytes is not read: no digest, and problem ``too_large``."""
+    files = spark.read.format("binaryFile").load(paths)
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    small, large = F.col("length") <= largest, F.col("length") > largest
+    read = files.where(small).select(
+        name, F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"),
+        F.lit(None).cast("string").alias("problem"))
+    left = files.where(large).select(
+        name, F.col("length").alias("size_bytes"), F.lit(None).cast("string").alias("sha256"),
+        F.lit("too_large").alias("problem"))
+    return read.unionByName(left)

@@ -1,5 +1,8 @@
 """Replies, decisions, states, sources, sinks and digests."""
 
+import json
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,7 +83,7 @@ def test_state_table():
 
 def test_documents_from_files(spark, tmp_path):
     good = ('{"schema_version":1,"run_id":1,"language":"es","duration_seconds":9.5,"model":"m",'
-            '"created_at":"x","segments":[{"index":0,"start":0.0,"end":1.0,"text":"a","words":[]}]}')
+            '"created_at":"2024-01-01T00:00:00Z","segments":[{"index":0,"start":0.0,"end":1.0,"text":"a","words":[]}]}')
     cases = {
         "a": (good, None), "b": (good[:40], "not_json"), "c": (f"[{good}]", "not_object"),
         "d": (good.replace('version":1', 'version":2'), "schema_version"),
@@ -88,13 +91,64 @@ def test_documents_from_files(spark, tmp_path):
         "f": (good.replace('{"schema', '{"x":1,"schema'), "unknown_field"),
         "g": (good.replace('"index":0', '"index":1'), "indices_not_contiguous"),
         "h": (good.replace('"end":1.0', '"end":10.0'), "beyond_duration"),
+        "i": (good.replace("9.5", '"abc"'), "wrong_shape"),
+        "j": (good.replace("9.5", "null"), "wrong_shape"),
+        "k": (good.replace("9.5", "NaN"), "not_json"),
+        "l": (re.sub(r'"segments":.*', '"segments":"none"}', good), "wrong_shape"),
+        "m": (good.replace('"text":"a"', '"text":"a","note":1'), "wrong_shape"),
+        "n": (good.replace('"start":0.0', '"start":"x"'), "wrong_shape"),
+        "o": (good.replace("00Z", "00"), "timestamp_not_utc"),
+        "p": (good.replace('"words":[]', '"words":[{"word":"w","start":0.5,"end":2}]'),
+              "word_outside_segment"),
+        "q": (good.replace('"end":1.0', '"end":-1.0'), "segment_not_ordered"),
+        "r": (good.replace('"words":[]', '"words":[{"word":"w","start":0.5,"end":1}]'), None),
     }
     for name, (body, _) in cases.items():
         (tmp_path / f"{name}.json").write_text(body)
     parsed = S.parse(S.read_files(spark, f"{tmp_path}/*.json"), S.TRANSCRIPT)
     got = {r.path[-6]: r.problem for r in parsed.collect()}
     assert got == {k: v for k, (_, v) in cases.items()}
-    assert S.transcript_segments(parsed).count() == 1
+    assert S.transcript_segments(parsed).count() == 2
+
+
+DECIDED = {"candidate_id": "c", "decision": "approved", "original_start": 1.0, "original_end": 2.0,
+           "final_start": 1.0, "final_end": 2.0, "reviewed_at": "2024-01-01T00:00:00Z"}
+REVIEW = {"schema_version": 1, "run_id": 1, "source_duration_seconds": 9,
+          "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-01T00:00:00Z"}
+FILE = {"candidate_id": "c", "rank": 1, "start": 0, "end": 1.5, "filename": "f", "sha256": "s"}
+
+
+@pytest.mark.parametrize("kind,document,problem", [
+    (S.DECISIONS, {**REVIEW, "decisions": [DECIDED]}, None),
+    (S.DECISIONS, {**REVIEW, "decisions": [{**DECIDED, "decision": "maybe"}]}, "unknown_decision"),
+    (S.DECISIONS, {**REVIEW, "decisions": [{**DECIDED, "final_end": 3.0}]}, "approved_moved"),
+    (S.DECISIONS, {**REVIEW, "decisions": [{**DECIDED, "reviewed_at": "2024-01-01T00:00:00"}]},
+     "timestamp_not_utc"),
+    (S.DECISIONS, {**REVIEW, "decisions": [{**DECIDED, "original_start": "x"}]}, "wrong_shape"),
+    (S.DECISIONS, {**REVIEW, "decisions": [{**DECIDED, "reason": "other"}]},
+     "reason_without_rejection"),
+    (S.MANIFEST, {"schema_version": 2, "run_id": "1", "created_at": "2024-01-01T00:00:00Z",
+                  "status": "CREATED", "config_sha256": "c", "stages": {}}, "wrong_shape"),
+    (S.MANIFEST, {"schema_version": 2, "run_id": 1, "created_at": "2024-01-01T00:00:00Z",
+                  "status": "CREATED", "config_sha256": "c", "stages": "bad"}, "wrong_shape"),
+    (S.BATCHES, {"schema_version": 1, "run_id": 1, "model": "m", "batches": "x"}, "wrong_shape"),
+    (S.CHUNKS, {"schema_version": 1, "run_id": 1, "chunks": 5}, "wrong_shape"),
+    (S.CLIP_INDEX, {"schema_version": 2, "run_id": 1, "width": "w", "height": 1, "clips": None},
+     "wrong_shape"),
+    (S.CLIP_INDEX, {"schema_version": 2, "run_id": 1, "width": 2, "height": 1, "clips": [FILE]},
+     None),
+    (S.STAGE_CONFIG, {"schema_version": 1, "run_id": 1, "stage": "audio", "settings": []},
+     "wrong_shape"),
+    (S.CANDIDATES, {"schema_version": 1, "run_id": 1, "proposed": 1, "candidates": [
+        {"id": "a", "rank": 1, "start": 0, "end": 1, "total_score": 500, "status": "suggested"}]},
+     "score_out_of_range"),
+    (S.CANDIDATES, {"schema_version": 1, "run_id": 1, "proposed": 1, "candidates": [
+        {"id": "a", "rank": 1, "start": 0, "end": 1, "total_score": 50, "status": "zzz"}]},
+     "unknown_status"),
+])
+def test_documents_are_refused_whole(spark, kind, document, problem):
+    docs = spark.createDataFrame([(json.dumps(document),)], "document string")
+    assert S.parse(docs, kind).first().problem == problem
 
 
 def test_partition_sink_replaces_only_its_partitions(spark, tmp_path):
