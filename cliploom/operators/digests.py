@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliploom import rules
-from cliploom.functions.columns import digest
+from cliploom.functions.columns import digest, unix_newlines
 
 FANOUT = 1024
 LEVELS = 3
-PROMPT_VERSION = "clip_candidates/v1"
 
 
 def tree_digest(df: DataFrame, keys: Sequence[str], position: str, leaf: str, out: str
@@ -47,15 +46,18 @@ def transcript_digest(segments_ms: DataFrame) -> DataFrame:
     return tree_digest(leaves, ["run_id"], "index", "_leaf", "transcript_sha256")
 
 
-def prompt_digest() -> Column:
-    return F.sha2(F.lit(PROMPT_VERSION), 256)
+def prompt_digest(text: str = rules.PROMPT_TEXT) -> Column:
+    """Digest of a prompt text, whatever its line ends."""
+    return F.sha2(unix_newlines(F.lit(text)), 256)
 
 
-def candidate_identifier() -> Column:
-    """Identity of a proposal, taken before its boundary is touched."""
+def candidate_identifier(prompt_version: str = rules.PROMPT_VERSION,
+                         prompt_text: str = rules.PROMPT_TEXT) -> Column:
+    """Identity of a proposal, taken before its boundary is touched. Another prompt text is
+    another identity, whatever its label says."""
     return F.concat(F.lit("cand_"), F.substring(digest(
         F.lit(rules.CANDIDATE_ID_VERSION), F.col("transcript_sha256"), F.col("chunk_id"),
-        F.col("ordinal"), F.lit(PROMPT_VERSION), prompt_digest(), F.col("p_start_ms"),
+        F.col("ordinal"), F.lit(prompt_version), prompt_digest(prompt_text), F.col("p_start_ms"),
         F.col("p_end_ms"), F.col("category"), F.col("topic"), F.col("hook"), F.col("summary"),
         F.col("reason"), *[F.col(f"scores.{n}") for n in rules.SCORE_NAMES],
     ), 1, 16))

@@ -18,12 +18,13 @@ from cliploom.rules import Policy
 
 
 def place(proposals: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Proposals with the extent of the chunk they answer and the source duration."""
+    """Proposals with the extent of the chunk they answer and the source duration; those that
+    name an unknown chunk stay, without either."""
     where = chunks.select(
         "run_id", "chunk_id", "window_start", "window_end", "duration",
         F.col("start").alias("chunk_start"), F.col("end").alias("chunk_end"),
     )
-    return proposals.join(where, ["run_id", "chunk_id"])
+    return proposals.join(where, ["run_id", "chunk_id"], "left")
 
 
 def bucket_seconds(snap: float) -> float:
@@ -102,6 +103,7 @@ def validation_reasons(policy_min: Column, policy_max: Column) -> Column:
     start, end = F.col("start"), F.col("end")
     length = end - start
     return reasons([
+        ("unknown_chunk", F.col("chunk_start").isNull()),
         ("invalid_interval", (start < 0) | (end <= start + eps)),
         ("outside_chunk",
          (start < F.col("chunk_start") - eps) | (end > F.col("chunk_end") + eps)),
@@ -132,7 +134,7 @@ def snap(df: DataFrame, policy_min: Column, policy_max: Column) -> DataFrame:
         )
 
     return (
-        df.withColumn("reverted", broken)
+        df.withColumn("reverted", F.coalesce(broken, F.lit(False)))
         .withColumn("adjusted_start", F.when(broken, F.col("start")).otherwise(to_start))
         .withColumn("adjusted_end", F.when(broken, F.col("end")).otherwise(to_end))
         .withColumn("start_anchor_kind", anchor_name("start"))

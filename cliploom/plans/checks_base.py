@@ -108,7 +108,7 @@ SELECT *, {_CATEGORY_LIST}[(h % 11) + 1] AS category, 'topic ' || (h % 97) AS to
 part("q_proposals", f"""
 SELECT p.*, ps / 1000.0::DOUBLE AS s, pe / 1000.0::DOUBLE AS e, duration,
   'cand_' || substr(sha256(concat_ws('|', {rules.CANDIDATE_ID_VERSION}, tsha, chunk_id, ordinal,
-    'clip_candidates/v1', sha256('clip_candidates/v1'), ps, pe, category, topic, hook, summary,
+    '{rules.PROMPT_VERSION}', sha256('{rules.PROMPT_TEXT}'), ps, pe, category, topic, hook, summary,
     reason, {", ".join("sc_" + n for n in rules.SCORE_NAMES)})), 1, 16) AS candidate_id
 FROM q_prop1 p JOIN q_transcript USING (run_id) JOIN q_runs USING (run_id)""")
 

@@ -43,6 +43,19 @@ def funnel(spark, items, policy=POLICY, **more):
     return {r.candidate_id: r for r in out.collect()}
 
 
+def test_unknown_chunks_stay_in_the_funnel(spark):
+    segments, words, runs = grid(spark)
+    chunks = chunking.chunk_extents(segments, runs, POLICY)
+    rows = propose(spark, [(10, 39, 80), (50, 80, 90)]).withColumn("chunk_id", F.when(
+        F.col("candidate_id") == "cand_0001", "chunk_9999").otherwise(F.col("chunk_id")))
+    out = selection.select_candidates(rows, chunks, segments, words, POLICY)
+    found = {r.candidate_id: r for r in out.collect()}
+    assert found["cand_0001"].invalid_reasons == ["unknown_chunk", "ungrounded"]
+    assert found["cand_0000"].outcome == "selected"
+    counts = selection.funnel(out).first()
+    assert (counts.proposed, counts.invalid) == (2, 1)
+
+
 @pytest.mark.parametrize("start,end,reasons", [
     (10.0, 39.0, []),
     (-1.0, 39.0, ["invalid_interval", "outside_chunk"]),

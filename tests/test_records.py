@@ -71,6 +71,13 @@ def test_decisions(spark, change, problems):
     assert list(review.decision_problems(df, runs).first().problems) == problems
 
 
+def test_identity_follows_the_prompt_text(spark):
+    one = spark.range(1).select(
+        digests.prompt_digest("a\r\nb").alias("x"), digests.prompt_digest("a\nb").alias("y"),
+        digests.prompt_digest("a\nc").alias("z")).first()
+    assert one.x == one.y != one.z
+
+
 def test_state_table():
     moves = {f"{a}>{b}" for a, ends in rules.STATUS_MOVES.items() for b in ends}
     assert rules.STATUS_MOVES.keys() < set(rules.RUN_STATUSES)
