@@ -50,7 +50,9 @@ def rejection_distribution(outcomes: DataFrame, decisions: DataFrame) -> DataFra
 
 def match_reference(candidates: DataFrame, reference: DataFrame, threshold: float = MATCH_IOU
                     ) -> DataFrame:
-    """Pairs overlapping above the threshold, marked best for the clip and for the candidate.
+    """For every clip the candidate that overlaps it most, for every candidate the clip, above
+    the threshold; a pair that is both is one row. Other pairs are not listed, so the result
+    follows clips and candidates, not their product.
 
     Both sides meet by (run, minute); a pair counts in the one minute where both are first on.
     """
@@ -65,19 +67,20 @@ def match_reference(candidates: DataFrame, reference: DataFrame, threshold: floa
     iou = overlap_ratio(F.col("start"), F.col("end"), F.col("clip_start"), F.col("clip_end"))
     pairs = left.join(right, ["run_id", "minute"]).where(once).withColumn("iou", iou).where(
         F.col("iou") > threshold)
-    score = F.struct("iou", "candidate_id", "clip_no")
-    best_clip = pairs.groupBy("run_id", "clip_no").agg(F.max(score).alias("b1"))
-    best_candidate = pairs.groupBy("run_id", "candidate_id").agg(F.max(score).alias("b2"))
-    return (
-        pairs.join(best_clip, ["run_id", "clip_no"]).join(best_candidate, ["run_id", "candidate_id"])
-        .select(
-            "run_id", "candidate_id", "clip_no", "iou",
-            ms(F.abs(F.col("start") - F.col("clip_start"))).alias("start_error_ms"),
-            ms(F.abs(F.col("end") - F.col("clip_end"))).alias("end_error_ms"),
-            (F.col("b1.candidate_id") == F.col("candidate_id")).alias("best_for_clip"),
-            (F.col("b2.clip_no") == F.col("clip_no")).alias("best_for_candidate"),
-        )
-    )
+    best = F.max(F.struct(
+        "iou", "candidate_id", "clip_no",
+        ms(F.abs(F.col("start") - F.col("clip_start"))).alias("start_error_ms"),
+        ms(F.abs(F.col("end") - F.col("clip_end"))).alias("end_error_ms"))).alias("b")
+    keys = ["run_id", "candidate_id", "clip_no", "iou", "start_error_ms", "end_error_ms"]
+    sides = [
+        pairs.groupBy("run_id", side).agg(best).select("run_id", "b.*", *[
+            F.lit(side == own).alias(flag) for own, flag in (
+                ("clip_no", "best_for_clip"), ("candidate_id", "best_for_candidate"))])
+        for side in ("clip_no", "candidate_id")
+    ]
+    return sides[0].unionByName(sides[1]).groupBy(*keys).agg(
+        F.max("best_for_clip").alias("best_for_clip"),
+        F.max("best_for_candidate").alias("best_for_candidate"))
 
 
 def evaluation_metrics(candidates: DataFrame, reference: DataFrame, matches: DataFrame

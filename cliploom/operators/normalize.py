@@ -241,11 +241,13 @@ def invariant_violations(segments: DataFrame, words: DataFrame, runs: DataFrame)
     """Rows of a transcript that break its own contract, with every broken rule."""
     seg = running_before(
         segments.join(runs.select("run_id", "duration"), "run_id"), ["run_id"], "index",
-        {"before": ("last", F.col("start"))},
+        {"before": ("last", F.col("start")), "previous": ("last", F.col("index"))},
     )
+    following = F.coalesce(F.col("previous") + 1, F.lit(0))
     seg_rows = seg.select(
         "run_id", "index", F.lit(-1).cast("bigint").alias("word_pos"),
         F.explode(_broken([
+            ("index_not_contiguous", F.col("index") != following),
             ("negative_start", F.col("start") < 0),
             ("end_before_start", F.col("end") < F.col("start")),
             ("starts_before_previous", F.col("start") < F.col("before")),

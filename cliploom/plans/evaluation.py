@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cliploom import rules
 from cliploom.functions.columns import ms
 from cliploom.operators import evaluate as E
 from cliploom.operators import review as V
@@ -57,10 +58,9 @@ def rejection_distribution(v: Views) -> DataFrame:
     return E.rejection_distribution(v.outcomes, v.decisions)
 
 
-part("q_ref_chunk", "SELECT * FROM q_chunks WHERE chunk_index = 0")
-part("q_ref0", recipe("q_ref_chunk", "[100, 101, 102]"))
+part("q_ref0", recipe("q_chunks", "[100, 101, 102]"))
 part("q_reference", """
-SELECT run_id, ordinal AS clip_no, ps / 1000.0::DOUBLE AS s, pe / 1000.0::DOUBLE AS e FROM q_ref0
+SELECT run_id, chunk_index * 1000 + ordinal AS clip_no, ps / 1000.0::DOUBLE AS s, pe / 1000.0::DOUBLE AS e FROM q_ref0
 WHERE ordinal - 100 < run_id % 3 + 1 AND ps >= 0 AND pe > ps
 UNION ALL
 SELECT run_id, rank AS clip_no, (round(fs * 1000)::BIGINT + (h % 7) * 1000) / 1000.0::DOUBLE,
@@ -83,12 +83,11 @@ FROM q_pairs WHERE iou > 0.5""")
 
 
 def reference_clips(v: Views) -> DataFrame:
-    """Human clips: some by the recipe over the first chunk, some near what was selected."""
-    first = v.chunks.where("chunk_index = 0")
-    made = v._proposal_ms(first, F.explode(F.expr("sequence(100L, 102L)"))).where(
+    """Human clips: some by the recipe over every chunk, some near what was selected."""
+    made = v._proposal_ms(v.chunks, F.explode(F.expr("sequence(100L, 102L)"))).where(
         (F.col("ordinal") - 100 < F.col("run_id") % 3 + 1) & (F.col("p_start_ms") >= 0)
         & (F.col("p_end_ms") > F.col("p_start_ms"))
-    ).select("run_id", F.col("ordinal").alias("clip_no"), seconds("p_start_ms").alias("start"),
+    ).select("run_id", (F.col("chunk_index") * 1000 + F.col("ordinal")).alias("clip_no"), seconds("p_start_ms").alias("start"),
              seconds("p_end_ms").alias("end"))
     h = F.col("h")
     near = v.selected.where(h % 2 == 0).select(
@@ -100,7 +99,7 @@ def reference_clips(v: Views) -> DataFrame:
 
 @plan("ground_truth_match", """
 SELECT run_id, candidate_id, clip_no, iou, start_error_ms, end_error_ms, best_for_clip,
-  best_for_candidate FROM q_matches""")
+  best_for_candidate FROM q_matches WHERE best_for_clip OR best_for_candidate""")
 def ground_truth_match(v: Views) -> DataFrame:
     return E.match_reference(v.selected, reference_clips(v))
 
@@ -134,36 +133,38 @@ def boundary_error(v: Views) -> DataFrame:
     return E.boundary_error(v.decisions)
 
 
-@plan("run_report", """
+_TIMED = list(zip(rules.STAGES, rules.STAGES[1:], strict=False))
+
+
+@plan("run_report", f"""
 SELECT r.run_id, r.duration_ms, coalesce(f.n, 0)::BIGINT AS proposed, coalesce(f.v, 0)::BIGINT AS valid,
-  coalesce(f.s, 0)::BIGINT AS selected, coalesce(d.p, 0)::BIGINT AS presented,
+  coalesce(f.s, 0)::BIGINT AS selected, coalesce(f.u, 0)::BIGINT AS deduplicated, coalesce(d.p, 0)::BIGINT AS presented,
   coalesce(d.a, 0)::BIGINT AS approved, coalesce(d.e, 0)::BIGINT AS edited,
   coalesce(d.j, 0)::BIGINT AS rejected, d.a::DOUBLE / nullif(d.p, 0) AS acceptance_rate,
-  t.analysis_seconds, t.render_seconds
+  {", ".join(f"t.{later}_seconds" for _, later in _TIMED)}
 FROM q_runs r
 LEFT JOIN (SELECT run_id, count(*) AS n, count_if(outcome <> 'invalid') AS v,
-    count_if(outcome = 'selected') AS s FROM q_outcomes GROUP BY run_id) f USING (run_id)
+    count_if(outcome = 'selected') AS s, count_if(outcome = 'deduplicated') AS u FROM q_outcomes GROUP BY run_id) f USING (run_id)
 LEFT JOIN (SELECT run_id, count(*) AS p, count_if(decision = 'approved') AS a,
     count_if(decision = 'edited') AS e, count_if(decision = 'rejected') AS j
   FROM q_decisions GROUP BY run_id) d USING (run_id)
 LEFT JOIN (SELECT run_id,
-    max(completed_at) FILTER (WHERE stage = 'analysis')
-      - max(completed_at) FILTER (WHERE stage = 'transcription') AS analysis_seconds,
-    max(completed_at) FILTER (WHERE stage = 'render')
-      - max(completed_at) FILTER (WHERE stage = 'review') AS render_seconds
+    {", ".join(f"max(completed_at) FILTER (WHERE stage = '{later}')"
+               f" - max(completed_at) FILTER (WHERE stage = '{stage}') AS {later}_seconds"
+               for stage, later in _TIMED)}
   FROM q_records GROUP BY run_id) t USING (run_id)""")
 def run_report(v: Views) -> DataFrame:
     def at(stage: str):
         return F.max(F.when(F.col("stage") == stage, F.col("completed_at")))
 
     timings = stage_records(v).groupBy("run_id").agg(
-        (at("analysis") - at("transcription")).alias("analysis_seconds"),
-        (at("render") - at("review")).alias("render_seconds"))
+        *[(at(later) - at(stage)).alias(f"{later}_seconds") for stage, later in _TIMED])
     report = E.run_report(
         v.runs, funnel(v.outcomes), V.decision_counts(v.runs, v.decisions), timings)
     zero = F.lit(0).cast("bigint")
     return report.select(
         "run_id", ms(F.col("duration")).alias("duration_ms"),
         *[F.coalesce(n, zero).alias(n) for n in (
-            "proposed", "valid", "selected", "presented", "approved", "edited", "rejected")],
-        "acceptance_rate", "analysis_seconds", "render_seconds")
+            "proposed", "valid", "selected", "deduplicated", "presented", "approved", "edited",
+            "rejected")],
+        "acceptance_rate", *[f"{later}_seconds" for _, later in _TIMED])

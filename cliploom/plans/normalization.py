@@ -128,10 +128,12 @@ def running_floor(v: Views) -> DataFrame:
 
 @plan("transcript_invariants", """
 SELECT run_id, seg_pos, -1::BIGINT AS word_pos, unnest(list_filter([
+    CASE WHEN seg_pos <> coalesce(previous + 1, 0) THEN 'index_not_contiguous' END,
     CASE WHEN s < 0 THEN 'negative_start' END, CASE WHEN e < s THEN 'end_before_start' END,
     CASE WHEN s < before THEN 'starts_before_previous' END,
     CASE WHEN e > duration THEN 'ends_beyond_duration' END], lambda x: x IS NOT NULL)) AS problem
-FROM (SELECT g.*, r.duration, lag(g.s) OVER (PARTITION BY g.run_id ORDER BY g.seg_pos) AS before
+FROM (SELECT g.*, r.duration, lag(g.s) OVER (PARTITION BY g.run_id ORDER BY g.seg_pos) AS before,
+        lag(g.seg_pos) OVER (PARTITION BY g.run_id ORDER BY g.seg_pos) AS previous
       FROM q_raw_segments g JOIN q_runs r USING (run_id))
 UNION ALL
 SELECT run_id, seg_pos, word_pos, unnest(list_filter([

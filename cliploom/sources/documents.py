@@ -22,7 +22,7 @@ from cliploom.functions.columns import first_problem
 from cliploom.functions.json import object_keys, shape_problem
 
 
-#: A shape: "string", "int" or "number"; a dictionary of names (with ? if the field may be absent
+#: A shape: "string", "int" or "number" (with ? if null will do); a dictionary of names (with ? if the field may be absent
 #: or null) for an object; a list of one shape for a list; ("map", shape) for free names.
 Shape = str | dict | list | tuple
 
@@ -51,7 +51,7 @@ _JSON_KINDS = {"string": "STRING", "int": "BIGINT", "number": r"(BIGINT|DOUBLE|D
 def ddl(shape: Shape) -> str:
     """The Spark type that a shape is read into."""
     if isinstance(shape, str):
-        return _DDL[shape]
+        return _DDL[shape.rstrip("?")]
     if isinstance(shape, list):
         return f"array<{ddl(shape[0])}>"
     if isinstance(shape, tuple):
@@ -62,6 +62,8 @@ def ddl(shape: Shape) -> str:
 def fits(value: str, shape: Shape, depth: int = 0) -> str:
     """SQL: whether a VARIANT has exactly the names and kinds of a shape, at every level."""
     kind, item = f"schema_of_variant({value})", f"v{depth}"
+    if isinstance(shape, str) and shape.endswith("?"):
+        return f"({value} IS NULL OR is_variant_null({value}) OR {fits(value, shape[:-1], depth)})"
     if isinstance(shape, str):
         return f"{kind} RLIKE '^{_JSON_KINDS[shape]}$'".replace("\\", "\\\\")
     if isinstance(shape, list):
@@ -214,7 +216,7 @@ MANIFEST = Kind(
       f"r -> {_not_utc('r.completed_at')})")),
 )
 STAGE_CONFIG = Kind(
-    1, {**_HEAD, "stage": "string", "settings": ("map", "string")},
+    1, {**_HEAD, "stage": "string", "settings": ("map", "string?")},
     (("unknown_stage", f"stage NOT IN {_among(rules.STAGES)}"),),
 )
 

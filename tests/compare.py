@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -64,7 +65,7 @@ def main() -> None:
 
     folder = sys.argv[1]
     wanted = sys.argv[2:]
-    spark = build_session("8")
+    spark = build_session(os.environ.get("COMPARE_CPUS", "8"))
     con = connect(folder)
     sqls, bad = entry.oracle_sql(), []
     for name, function in entry.queries().items():
