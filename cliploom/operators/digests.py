@@ -77,22 +77,20 @@ def config_digest(settings: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sha2(F.array_join(F.array_sort(F.collect_set(entry)), "|"), 256).alias("config_sha256"))
 
 
-def stage_fingerprints(parts: dict[str, list[tuple[DataFrame, str]]], runs: DataFrame
-                       ) -> DataFrame:
-    """(run_id, stage, fingerprint): per stage, the digest of its named input digests in order.
+def stage_fingerprints(digests: dict[str, tuple[DataFrame, str]], stages: dict[str, list[str]],
+                       runs: DataFrame) -> DataFrame:
+    """(run_id, stage, fingerprint): per stage, the digest of its inputs in order.
 
-    ``parts`` maps a stage to (frame, column) pairs, each frame one row per run.
+    ``digests`` names (frame, column) pairs, each frame one row per run; each is joined once.
+    ``stages`` lists a stage's inputs: names of digests, or of stages before it, so that a change
+    anywhere upstream reaches every fingerprint downstream.
     """
-    out: DataFrame | None = None
-    for stage, inputs in parts.items():
-        joined = runs.select("run_id")
-        names = []
-        for i, (frame, column) in enumerate(inputs):
-            name = f"_p{i}"
-            joined = joined.join(frame.select("run_id", F.col(column).alias(name)), "run_id",
-                                 "left")
-            names.append(name)
-        rows = joined.select("run_id", F.lit(stage).alias("stage"), digest(
-            F.lit(f"{stage}-v1"), *[F.col(n) for n in names]).alias("fingerprint"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    row = runs.select("run_id")
+    for name, (frame, column) in digests.items():
+        row = row.join(frame.select("run_id", F.col(column).alias(f"d_{name}")), "run_id", "left")
+    for stage, inputs in stages.items():
+        named = [F.col(f"s_{i}") if i in stages else F.col(f"d_{i}") for i in inputs]
+        row = row.withColumn(f"s_{stage}", digest(F.lit(f"{stage}-v1"), *named))
+    entries = F.array(*[F.struct(F.lit(stage).alias("stage"),
+                                 F.col(f"s_{stage}").alias("fingerprint")) for stage in stages])
+    return row.select("run_id", F.inline(entries))

@@ -9,6 +9,7 @@ from cliploom import rules
 from cliploom.functions.columns import digest, unix_newlines
 from cliploom.operators import digests as D
 from cliploom.operators import states as S
+from cliploom.operators.replies import MAX_PROPOSALS
 from cliploom.plans.registry import part, plan
 from cliploom.plans.views import Views
 
@@ -96,10 +97,10 @@ part("q_leaf_chunks", """
 SELECT run_id, chunk_index AS pos, sha256(concat_ws('|', chunk_id, round(s * 1000)::BIGINT,
   round(e * 1000)::BIGINT)) AS d FROM q_chunks""")
 part("q_leaf_raw", f"""
-SELECT run_id, chunk_index * 4 + ordinal AS pos, sha256(concat_ws('|', ps, pe, category, topic, hook,
+SELECT run_id, chunk_index * 200 + ordinal AS pos, sha256(concat_ws('|', ps, pe, category, topic, hook,
   summary, reason, {_SCORES})) AS d FROM q_proposals""")
 part("q_leaf_outcomes", """
-SELECT run_id, chunk_index * 4 + ordinal AS pos, sha256(concat_ws('|', candidate_id, outcome,
+SELECT run_id, chunk_index * 200 + ordinal AS pos, sha256(concat_ws('|', candidate_id, outcome,
   coalesce(rank::VARCHAR, '~'), round(fs * 1000)::BIGINT, round(fe * 1000)::BIGINT)) AS d
 FROM q_outcomes""")
 part("q_leaf_decisions", """
@@ -126,19 +127,21 @@ for _name in ("chunks", "raw", "outcomes", "decisions", "clips"):
     _tree_parts(_name)
 
 part("q_fingerprints", """
-SELECT r.run_id, unnest(['transcription', 'analysis', 'preview', 'review', 'render']) AS stage,
- unnest([
-  sha256(concat_ws('|', 'transcription-v1', tsha, config_sha256)),
-  sha256(concat_ws('|', 'analysis-v1', tsha, coalesce(c.d, '~'), coalesce(p.d, '~'),
-    coalesce(o.d, '~'), config_sha256)),
-  sha256(concat_ws('|', 'preview-v1', coalesce(o.d, '~'), config_sha256)),
-  sha256(concat_ws('|', 'review-v1', coalesce(o.d, '~'), coalesce(x.d, '~'), config_sha256)),
-  sha256(concat_ws('|', 'render-v1', coalesce(x.d, '~'), coalesce(k.d, '~'), config_sha256))])
-  AS fingerprint
-FROM q_runs r JOIN q_transcript USING (run_id) JOIN q_config USING (run_id)
-LEFT JOIN q_t3_chunks c USING (run_id) LEFT JOIN q_t3_raw p USING (run_id)
-LEFT JOIN q_t3_outcomes o USING (run_id) LEFT JOIN q_t3_decisions x USING (run_id)
-LEFT JOIN q_t3_clips k USING (run_id)""")
+SELECT run_id, unnest(['transcription', 'analysis', 'preview', 'review', 'render']) AS stage,
+  unnest([transcribed, analysed, previewed, reviewed, rendered]) AS fingerprint
+FROM (SELECT r.run_id,
+    sha256('audio:' || r.run_id || ':' || r.duration_ms) AS audio,
+    sha256(concat_ws('|', 'transcription-v1', audio, tsha, config_sha256)) AS transcribed,
+    sha256(concat_ws('|', 'analysis-v1', transcribed, coalesce(c.d, '~'), coalesce(p.d, '~'),
+      coalesce(o.d, '~'), config_sha256)) AS analysed,
+    sha256(concat_ws('|', 'preview-v1', analysed, coalesce(o.d, '~'), config_sha256)) AS previewed,
+    sha256(concat_ws('|', 'review-v1', analysed, previewed, coalesce(x.d, '~'), config_sha256))
+      AS reviewed,
+    sha256(concat_ws('|', 'render-v1', reviewed, coalesce(k.d, '~'), config_sha256)) AS rendered
+  FROM q_runs r JOIN q_transcript USING (run_id) JOIN q_config USING (run_id)
+  LEFT JOIN q_t3_chunks c USING (run_id) LEFT JOIN q_t3_raw p USING (run_id)
+  LEFT JOIN q_t3_outcomes o USING (run_id) LEFT JOIN q_t3_decisions x USING (run_id)
+  LEFT JOIN q_t3_clips k USING (run_id))""")
 
 
 def fingerprints(v: Views) -> DataFrame:
@@ -151,7 +154,9 @@ def fingerprints(v: Views) -> DataFrame:
         leaves = df.select("run_id", at.alias("at"), digest(*parts).alias("leaf"))
         return D.tree_digest(leaves, ["run_id"], "at", "leaf", "d")
 
-    place = F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("bigint") * 4 + c("ordinal")
+    # a reply holds MAX_PROPOSALS at most, so chunks keep apart and the order is that of reading
+    chunk = F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("bigint")
+    place = chunk * MAX_PROPOSALS + c("ordinal")
     chunks = tree(v.chunks, c("chunk_index"), c("chunk_id"), whole("start"), whole("end"))
     raw = v.proposals.select("run_id", place.alias("at"), _content().alias("leaf"))
     raw = D.tree_digest(raw, ["run_id"], "at", "leaf", "d")
@@ -160,14 +165,20 @@ def fingerprints(v: Views) -> DataFrame:
     decisions = tree(v.decisions, c("rank"), c("candidate_id"), c("decision"),
                      whole("final_start"), whole("final_end"), c("reason"), c("detail"))
     clips = tree(v.targets, c("rank"), c("candidate_id"), whole("start"), whole("end"))
-    text = (v.transcript_digests, "transcript_sha256")
-    config = (D.config_digest(settings(v), ["run_id"]), "config_sha256")
+    heard = F.concat_ws(":", F.lit("audio"), c("run_id").cast("string"),
+                        c("duration_ms").cast("string"))
     return D.stage_fingerprints({
-        "transcription": [text, config],
-        "analysis": [text, (chunks, "d"), (raw, "d"), (outcomes, "d"), config],
-        "preview": [(outcomes, "d"), config],
-        "review": [(outcomes, "d"), (decisions, "d"), config],
-        "render": [(decisions, "d"), (clips, "d"), config],
+        "audio": (v.runs_ms.select("run_id", F.sha2(heard, 256).alias("d")), "d"),
+        "text": (v.transcript_digests, "transcript_sha256"),
+        "chunks": (chunks, "d"), "raw": (raw, "d"), "outcomes": (outcomes, "d"),
+        "decisions": (decisions, "d"), "clips": (clips, "d"),
+        "config": (D.config_digest(settings(v), ["run_id"]), "config_sha256"),
+    }, {
+        "transcription": ["audio", "text", "config"],
+        "analysis": ["transcription", "chunks", "raw", "outcomes", "config"],
+        "preview": ["analysis", "outcomes", "config"],
+        "review": ["analysis", "preview", "decisions", "config"],
+        "render": ["review", "clips", "config"],
     }, v.runs)
 
 
