@@ -22,3 +22,20 @@ def documents(spark: SparkSession) -> DataFrame:
 
 def nothing(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
+
+
+def fair_shares(sizes, weights, total, most):
+    """Targets by rounds: share by weight, cut, share the excess again."""
+    targets = dict.fromkeys(sizes, 0.0)
+    open_ones, left = {s for s in sizes if sizes[s]}, total
+    while open_ones and left > 1e-9:
+        whole = sum(weights[s] for s in open_ones)
+        for s in open_ones:
+            targets[s] += left * weights[s] / whole
+        left = 0.0
+        for s in list(open_ones):
+            if targets[s] >= most * sizes[s]:
+                left += targets[s] - most * sizes[s]
+                targets[s] = most * sizes[s]
+                open_ones.discard(s)
+    return targets
