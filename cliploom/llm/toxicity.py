@@ -43,8 +43,8 @@ class Bounds:
     vocabulary. min_docs: examples a term must occur in. neighbours: k. block: examples in a
     block of the index. first: blocks scored before the bounds are looked at."""
 
-    examples: int = 10_000
-    terms: int = 1024
+    examples: int = 5_000
+    terms: int = 256
     min_docs: int = 3
     neighbours: int = 16
     block: int = 64
@@ -178,24 +178,51 @@ class Index:
         for term in range(len(idf)):
             entries = np.array([e for e, _ in found[term]], np.int64)
             weights = np.array([w for _, w in found[term]])
-            index.lists.append((entries, weights))
+            index.lists.append((entries, entries // block, weights))
             blocks, starts = np.unique(entries // block, return_index=True)
             most = np.maximum.reduceat(weights, starts) if len(starts) else weights
             index.bounds.append((blocks, most))
         return index
 
-    def _similar(self, ids: list, query: list, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries of the wanted blocks that share a term, and their similarities."""
-        entries = np.concatenate([self.lists[t][0] for t in ids])
-        parts = np.concatenate([self.lists[t][1] * q for t, q in zip(ids, query, strict=True)])
-        inside = wanted[entries // self.block]
-        sums = np.bincount(entries[inside], parts[inside], minlength=len(self.names))
+    def _in_blocks(self, ids: list, query: list, blocks: np.ndarray
+                   ) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of a few blocks and their similarities, from the entries' own vectors."""
+        dense = np.zeros(len(self.idf))
+        dense[ids] = query
+        found = []
+        for b in np.sort(blocks).tolist():
+            low, high = b * self.block, min((b + 1) * self.block, len(self.names))
+            if low < high:
+                at = self.ends[low:high]
+                span = slice(at[0], self.ends[high])
+                sums = np.add.reduceat(self.weights[span] * dense[self.ids[span]], at - at[0])
+                found.append((np.arange(low, high), sums))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0)
+        entries, sums = (np.concatenate(x) for x in zip(*found, strict=True))
+        return entries[sums > 0], sums[sums > 0]
+
+    def _in_lists(self, ids: list, query: list, wanted: np.ndarray
+                  ) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the wanted blocks and their similarities, from the terms' postings."""
+        entries, parts = [], []
+        for term, weight in zip(ids, query, strict=True):
+            own, blocks, weights = self.lists[term]
+            inside = wanted[blocks]
+            entries.append(own[inside])
+            parts.append(weights[inside] * weight)
+        sums = np.bincount(np.concatenate(entries), np.concatenate(parts),
+                           minlength=len(self.names))
         found = np.flatnonzero(sums)
         return found, sums[found]
 
     def _nearest_of(self, entries: np.ndarray, values: np.ndarray, own: int | None):
         """Of these, the k nearest examples with all that tie with the last; its similarity, or
         0 if there are fewer than k."""
+        if len(values) > 4 * self.k:
+            # every entry is an example at least, so the k-th is among the k + 1 best entries
+            near = values >= np.partition(values, -self.k - 1)[-self.k - 1] - 1e-12
+            entries, values = entries[near], values[near]
         order = np.lexsort((entries, -values))
         entries, values = entries[order], values[order]
         counts = self.votes[entries].sum(axis=1)
@@ -220,12 +247,12 @@ class Index:
         best = np.argsort(-above, kind="stable")[:self.first]
         wanted = np.zeros(len(above), bool)
         wanted[best] = True
-        entries, values = self._similar(ids, query, wanted)
+        entries, values = self._in_blocks(ids, query, best)
         entries, values, last = self._nearest_of(entries, values, own)
         # rounding: a bound may fall below the similarity it bounds by a few units
         rest = (above > 0) & (above >= last - 1e-9) & ~wanted
         if rest.any():
-            more, other = self._similar(ids, query, rest)
+            more, other = self._in_lists(ids, query, rest)
             entries, values, _ = self._nearest_of(
                 np.concatenate([entries, more]), np.concatenate([values, other]), own)
         return entries, values
@@ -356,6 +383,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(
         votes.slope, votes.offset = fit_logistic(
             np.log(share / (1 - share)), toxic, np.array(lift)[toxic.astype(int)])
 
-    scored = slim.select("doc_id", _scorer(index, votes)("ids", "tfs").alias("s"))
+    # vectors are small and searches are not: more tasks than the vectors' bytes ask for
+    spread = slim.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
+    scored = spread.select("doc_id", _scorer(index, votes)("ids", "tfs").alias("s"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "s.*").withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int"))
