@@ -90,6 +90,13 @@ def _count_terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                            columns=["term", "clean", "toxic"])
 
 
+def _count_ids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents per term, added up in the task: the vocabulary bounds the rows of a batch."""
+    for frame in frames:
+        ids, n = np.unique(np.concatenate([np.empty(0, np.int32), *frame["ids"]]), return_counts=True)
+        yield pd.DataFrame({"id": ids.astype(np.int32), "n": n})
+
+
 def choose_terms(texts: DataFrame, bounds: Bounds) -> list[str]:
     """The terms that go with either label more than chance explains: chi-squared above twice
     the logarithm of the number of terms tried, the strongest first, ties by term."""
@@ -353,8 +360,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(
 
     n_docs = slim.count()
     df = np.zeros(len(terms))
-    for row in slim.select(F.explode("ids").alias("id")).groupBy("id").count().collect():
-        df[row.id] = row["count"]
+    counted = slim.select("ids").mapInPandas(_count_ids, "id int, n long")
+    for row in counted.groupBy("id").agg(F.sum("n").alias("n")).collect():
+        df[row.id] = row.n
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
     sizes = {r.toxic: r["count"] for r in labels.where(~held_out(F.col("doc_id")))
