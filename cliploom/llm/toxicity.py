@@ -6,11 +6,10 @@ terms go with the label; only these span the space. Their document frequencies a
 all documents. Examples and documents are TF-IDF vectors of unit length; the score of a document
 comes from the examples nearest by cosine.
 
-The search is exact. Examples lie in blocks of neighbours; the inverted index holds for every term
-its postings and, for every block it occurs in, its largest weight there. The weighted sum of
-these is an upper bound for a block. The blocks with the highest bounds are scored first; then all
-others whose bound reaches the k-th similarity found, and no more. The index is bounded by the
-sample and goes to the tasks whole.
+The search is exact. Every document is compared with all examples in single precision: the terms
+that many examples have by a matrix product, the others by their postings. What comes near the
+k-th similarity is computed again in double precision. The index is bounded by the sample and goes
+to the tasks whole.
 
 Votes are weighted by squared similarity and by how often a class is in the labels compared with
 the sample. A logistic curve fitted to leave-one-out votes of the examples makes them calibrated.
@@ -23,6 +22,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -33,22 +33,23 @@ from pyspark.sql import types as T
 from cliploom.session import write_stage
 
 PREFIXES = (3, 5, 7)
+#: Terms in more than one of so many entries are compared by a matrix product.
+COMMON = 64
+#: More than sums of single precision are off.
+ROUNDING = 1e-4
 #: ASCII characters that are not letters become spaces; words are then split at white space.
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """examples: labelled documents of each class that are learnt from. terms: size of the
-    vocabulary. min_docs: examples a term must occur in. neighbours: k. block: examples in a
-    block of the index. first: blocks scored before the bounds are looked at."""
+    """examples: labelled documents of each class that are learnt from. min_docs: examples a term
+    must occur in. neighbours: k. block: documents that are compared with the examples at once."""
 
-    examples: int = 5_000
-    terms: int = 256
+    examples: int = 10_000
     min_docs: int = 3
     neighbours: int = 16
-    block: int = 64
-    first: int = 4
+    block: int = 256
 
 
 def held_out(doc_id: Column) -> Column:
@@ -98,8 +99,9 @@ def _count_ids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def choose_terms(texts: DataFrame, bounds: Bounds) -> list[str]:
-    """The terms that go with either label more than chance explains: chi-squared above twice
-    the logarithm of the number of terms tried, the strongest first, ties by term."""
+    """All terms that go with either label more than chance explains: chi-squared above twice
+    the logarithm of the number of terms tried, the strongest first, ties by term. The sample
+    bounds their number."""
     counts = write_stage(
         texts.mapInPandas(_count_terms, "term string, clean long, toxic long")
         .groupBy("term").agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a"))
@@ -115,7 +117,7 @@ def choose_terms(texts: DataFrame, bounds: Bounds) -> list[str]:
         n0 * n1 * found * F.greatest(n0 + n1 - found, F.lit(1.0)))
     rows = counts.select("term", square.alias("square")).where(
         F.col("square") > 2 * math.log(tried)).orderBy(F.desc("square"), "term")
-    return [r.term for r in rows.limit(bounds.terms).collect()]
+    return [r.term for r in rows.collect()]
 
 
 def _vectorizer(terms: list[str]):
@@ -136,30 +138,26 @@ def _vectorizer(terms: list[str]):
 
 @dataclass
 class Index:
-    """Distinct example vectors in blocks, with the examples' labels counted per vector."""
+    """Distinct example vectors, with the examples' labels counted per vector. block: queries
+    that are compared at once."""
 
     idf: np.ndarray
     k: int
     block: int
-    first: int
     ids: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
     ends: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     votes: np.ndarray = field(default_factory=lambda: np.empty((0, 2)))
     names: list = field(default_factory=list)
-    lists: list = field(default_factory=list)
-    bounds: list = field(default_factory=list)
 
     def unit(self, ids: np.ndarray, tfs: np.ndarray) -> np.ndarray:
         weights = (1 + np.log(tfs)) * self.idf[ids]
         return weights / np.sqrt((weights * weights).sum())
 
     @classmethod
-    def build(cls, idf: np.ndarray, examples: list[tuple], k: int, block: int,
-              first: int = 4) -> Index:
-        """examples: (ids, tfs, toxic, example id). Equal vectors are one entry; entries are
-        ordered by their heaviest terms, so that blocks hold similar ones."""
-        index = cls(idf, k, block, first)
+    def build(cls, idf: np.ndarray, examples: list[tuple], k: int, block: int) -> Index:
+        """examples: (ids, tfs, toxic, example id). Equal vectors are one entry."""
+        index = cls(idf, k, block)
         merged: dict[tuple, tuple[list, list]] = {}
         for ids, tfs, toxic, name in sorted(examples, key=lambda e: (str(e[3]))):
             votes, names = merged.setdefault((tuple(ids), tuple(tfs)), ([0, 0], []))
@@ -178,50 +176,32 @@ class Index:
             index.ends = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])])
             index.votes = np.array([r[3] for r in rows], float)
             index.names = [r[4] for r in rows]
-        found: dict[int, list] = defaultdict(list)
-        for i, row in enumerate(rows):
-            for term, weight in zip(row[1].tolist(), row[2].tolist(), strict=True):
-                found[term].append((i, weight))
-        for term in range(len(idf)):
-            entries = np.array([e for e, _ in found[term]], np.int64)
-            weights = np.array([w for _, w in found[term]])
-            index.lists.append((entries, entries // block, weights))
-            blocks, starts = np.unique(entries // block, return_index=True)
-            most = np.maximum.reduceat(weights, starts) if len(starts) else weights
-            index.bounds.append((blocks, most))
         return index
 
-    def _in_blocks(self, ids: list, query: list, blocks: np.ndarray
-                   ) -> tuple[np.ndarray, np.ndarray]:
-        """Entries of a few blocks and their similarities, from the entries' own vectors."""
-        dense = np.zeros(len(self.idf))
-        dense[ids] = query
-        found = []
-        for b in np.sort(blocks).tolist():
-            low, high = b * self.block, min((b + 1) * self.block, len(self.names))
-            if low < high:
-                at = self.ends[low:high]
-                span = slice(at[0], self.ends[high])
-                sums = np.add.reduceat(self.weights[span] * dense[self.ids[span]], at - at[0])
-                found.append((np.arange(low, high), sums))
-        if not found:
-            return np.empty(0, np.int64), np.empty(0)
-        entries, sums = (np.concatenate(x) for x in zip(*found, strict=True))
-        return entries[sums > 0], sums[sums > 0]
-
-    def _in_lists(self, ids: list, query: list, wanted: np.ndarray
-                  ) -> tuple[np.ndarray, np.ndarray]:
-        """Entries of the wanted blocks and their similarities, from the terms' postings."""
-        entries, parts = [], []
-        for term, weight in zip(ids, query, strict=True):
-            own, blocks, weights = self.lists[term]
-            inside = wanted[blocks]
-            entries.append(own[inside])
-            parts.append(weights[inside] * weight)
-        sums = np.bincount(np.concatenate(entries), np.concatenate(parts),
-                           minlength=len(self.names))
-        found = np.flatnonzero(sums)
-        return found, sums[found]
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in self.__dict__.items() if name != "_sides"}
+
+    @cached_property
+    def _sides(self) -> tuple:
+        """Made in the task: places of the common terms (-1 for the others), their matrix (term,
+        entry), and the postings of all terms with where each term's begin."""
+        entries = np.repeat(np.arange(len(self.names)), np.diff(self.ends))
+        counts = np.bincount(self.ids, minlength=len(self.idf))
+        common = counts * COMMON > len(self.names)
+        places = np.where(common, np.cumsum(common) - 1, -1)
+        matrix = np.zeros((int(common.sum()), len(self.names)), np.float32)
+        inside = common[self.ids]
+        matrix[places[self.ids[inside]], entries[inside]] = self.weights[inside]
+        order = np.argsort(self.ids, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        return places, matrix, entries[order], self.weights[order].astype(np.float32), starts
+
+    def _exact(self, entries: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """Similarities of entries to a query laid out over all terms."""
+        sizes = self.ends[entries + 1] - self.ends[entries]
+        begun = np.cumsum(sizes) - sizes
+        at = np.repeat(self.ends[entries] - begun, sizes) + np.arange(sizes.sum())
+        return np.add.reduceat(self.weights[at] * dense[self.ids[at]], begun)
 
     def _nearest_of(self, entries: np.ndarray, values: np.ndarray, own: int | None):
         """Of these, the k nearest examples with all that tie with the last; its similarity, or
@@ -242,27 +222,43 @@ class Index:
         near = values >= last - 1e-12
         return entries[near], values[near], last
 
+    def _nearest_block(self, queries: list[tuple], owns: list) -> Iterator[tuple]:
+        places, matrix, entries, weights, starts = self._sides
+        units = [self.unit(ids, tfs) for ids, tfs in queries]
+        left = np.zeros((len(queries), len(matrix)), np.float32)
+        for row, (ids, _), unit in zip(left, queries, units, strict=True):
+            inside = places[ids] >= 0
+            row[places[ids[inside]]] = unit[inside]
+        near = left @ matrix
+        for row, (ids, _), unit in zip(near, queries, units, strict=True):
+            for term in np.flatnonzero(places[ids] < 0).tolist():
+                own = slice(starts[ids[term]], starts[ids[term] + 1])
+                row[entries[own]] += weights[own] * np.float32(unit[term])
+        dense = np.zeros(len(self.idf))
+        for row, (ids, _), unit, own in zip(near, queries, units, owns, strict=True):
+            least = 0.0
+            if len(row) > self.k:
+                # every entry is an example at least, so the k-th is among the k + 1 best entries
+                least = np.partition(row, -self.k - 1)[-self.k - 1] - ROUNDING
+            found = np.flatnonzero((row > 0) & (row >= least))
+            if not len(found):
+                yield found, np.empty(0)
+                continue
+            dense[ids] = unit
+            entries_near, values, _ = self._nearest_of(found, self._exact(found, dense), own)
+            dense[ids] = 0
+            yield entries_near, values
+
+    def nearest_all(self, queries: list[tuple], owns: list | None = None) -> Iterator[tuple]:
+        """For every query (ids, tfs) the entries and similarities of the k nearest examples, and
+        all that tie with the last. owns: the label of an example that is itself the query and
+        does not count, or None."""
+        owns = owns or [None] * len(queries)
+        for at in range(0, len(queries), self.block):
+            yield from self._nearest_block(queries[at:at + self.block], owns[at:at + self.block])
+
     def nearest(self, ids: np.ndarray, tfs: np.ndarray, own: int | None = None):
-        """Entries and similarities of the k nearest examples, and all that tie with the last.
-        own: the label of an example that is itself the query and does not count."""
-        query = self.unit(ids, tfs).tolist()
-        ids = ids.tolist()
-        above = np.zeros(len(self.names) // self.block + 1)
-        for term, weight in zip(ids, query, strict=True):
-            blocks, most = self.bounds[term]
-            above[blocks] += weight * most
-        best = np.argsort(-above, kind="stable")[:self.first]
-        wanted = np.zeros(len(above), bool)
-        wanted[best] = True
-        entries, values = self._in_blocks(ids, query, best)
-        entries, values, last = self._nearest_of(entries, values, own)
-        # rounding: a bound may fall below the similarity it bounds by a few units
-        rest = (above > 0) & (above >= last - 1e-9) & ~wanted
-        if rest.any():
-            more, other = self._in_lists(ids, query, rest)
-            entries, values, _ = self._nearest_of(
-                np.concatenate([entries, more]), np.concatenate([values, other]), own)
-        return entries, values
+        return next(self.nearest_all([(ids, tfs)], [own]))
 
 
 @dataclass
@@ -277,14 +273,17 @@ class Votes:
     slope: float = 1.0
     offset: float = 0.0
 
-    def raw(self, index: Index, ids: list, tfs: list, own: int | None = None):
-        entries, values = index.nearest(np.array(ids, np.int32), np.array(tfs, float), own)
-        votes = index.votes[entries].copy()
-        if own is not None and len(values) and values[0] > 1 - 1e-9:
-            votes[0, own] -= 1
-        weighed = (votes * np.array(self.lift) * np.square(values)[:, None]).sum(axis=0)
-        share = (weighed[1] + 0.5 * self.prior) / (weighed.sum() + 0.5)
-        return min(max(share, 1e-4), 1 - 1e-4), entries, values
+    def raw(self, index: Index, queries: list[tuple], owns: list | None = None) -> Iterator[tuple]:
+        """The toxic share of the votes, entries and similarities for every query (ids, tfs)."""
+        queries = [(np.array(ids, np.int32), np.array(tfs, float)) for ids, tfs in queries]
+        owns = owns or [None] * len(queries)
+        for (entries, values), own in zip(index.nearest_all(queries, owns), owns, strict=True):
+            votes = index.votes[entries].copy()
+            if own is not None and len(values) and values[0] > 1 - 1e-9:
+                votes[0, own] -= 1
+            weighed = (votes * np.array(self.lift) * np.square(values)[:, None]).sum(axis=0)
+            share = (weighed[1] + 0.5 * self.prior) / (weighed.sum() + 0.5)
+            yield min(max(share, 1e-4), 1 - 1e-4), entries, values
 
     def score(self, share: float) -> float:
         odds = math.log(share / (1 - share))
@@ -314,18 +313,13 @@ SCORE = T.StructType([
 def _scorer(index: Index, votes: Votes, shown: int = 3):
     @F.pandas_udf(SCORE)
     def score(ids: pd.Series, tfs: pd.Series) -> pd.DataFrame:
-        known: dict[tuple, tuple] = {}
-        rows = []
-        for i, n in zip(ids, tfs, strict=True):
-            key = (tuple(i), tuple(n))
-            if key not in known:
-                if not len(i):
-                    known[key] = (votes.none, [], [])
-                else:
-                    share, entries, values = votes.raw(index, i, n)
-                    known[key] = (votes.score(share), [str(index.names[e]) for e in entries[:shown]],
-                                  values[:shown].tolist())
-            rows.append(known[key])
+        keys = [(tuple(i), tuple(n)) for i, n in zip(ids, tfs, strict=True)]
+        asked = [key for key in dict.fromkeys(keys) if key[0]]
+        known: dict[tuple, tuple] = {((), ()): (votes.none, [], [])}
+        for key, (share, entries, values) in zip(asked, votes.raw(index, asked), strict=True):
+            known[key] = (votes.score(share), [str(index.names[e]) for e in entries[:shown]],
+                          values[:shown].tolist())
+        rows = [known[key] for key in keys]
         return pd.DataFrame(rows, columns=["score", "evidence", "similarity"])
 
     return score
@@ -334,8 +328,8 @@ def _scorer(index: Index, votes: Votes, shown: int = 3):
 def _leave_one_out(index: Index, votes: Votes):
     @F.pandas_udf(T.DoubleType())
     def share(ids: pd.Series, tfs: pd.Series, toxic: pd.Series) -> pd.Series:
-        return pd.Series([votes.raw(index, i, n, int(t))[0] if len(i) else math.nan
-                          for i, n, t in zip(ids, tfs, toxic, strict=True)], dtype="float64")
+        found = votes.raw(index, list(zip(ids, tfs, strict=True)), [int(t) for t in toxic])
+        return pd.Series([share for share, _, _ in found], dtype="float64")
 
     return share
 
@@ -375,10 +369,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(
     votes = Votes(prior, lift, none=prior)
 
     examples = slim.join(F.broadcast(chosen), slim["doc_id"] == chosen["example_id"])
-    # the sample is bounded by its number, a vector by the vocabulary
+    # the sample is bounded by its number, a vector by its text and the vocabulary
     held = [(r.ids, r.tfs, r.toxic, r.doc_id) for r in
             examples.where(F.size("ids") > 0).select("ids", "tfs", "toxic", "doc_id").collect()]
-    index = Index.build(idf, held, bounds.neighbours, bounds.block, bounds.first)
+    index = Index.build(idf, held, bounds.neighbours, bounds.block)
     bare = {r.toxic: r["count"] for r in
             examples.where(F.size("ids") == 0).groupBy("toxic").count().collect()}
     weighed = [bare.get(c, 0) * lift[c] for c in (0, 1)]

@@ -138,6 +138,15 @@ def test_toxicity_on_held_out_labels(spark):
     assert same.exceptAll(scores.select("doc_id", "score")).isEmpty()
 
 
+def test_every_telling_term_is_in_the_vocabulary(spark):
+    """400 words, each in 20 toxic and no clean examples: more than 256 terms tell."""
+    words = ["".join("abcdefghij"[int(c)] for c in f"{n:03d}") for n in range(400)]
+    rows = [(" ".join(words[(20 * i + k) % 400] for k in range(20)), 1) for i in range(400)]
+    rows += [("plain", 0)] * 400
+    texts = spark.createDataFrame(rows, "text string, toxic int")
+    assert set(toxicity.choose_terms(texts, toxicity.Bounds())) == {*words, "plain", "pla*"}
+
+
 def test_toxicity_of_messy_documents(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (8, 0), (None, 1), (7, None)],
                                    "doc_id long, toxic int")
