@@ -302,6 +302,15 @@ def test_hot_lines_make_no_pairs_but_stars(spark):
     assert all(r.n_deleted == (r.doc_id > 0) for r in rows)
 
 
+@pytest.mark.parametrize("n", [101, 5000])
+def test_short_lines_of_very_many_texts_go(spark, n):
+    passage = "\n".join(f"short line {i}" for i in range(20))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("number "), F.col("id"), F.lit("\n" + passage)).alias("text"))
+    rows = linededup.deduplicate_lines(docs).select("doc_id", "n_deleted").collect()
+    assert all(r.n_deleted == (20 if r.doc_id else 0) for r in rows) and len(rows) == n
+
+
 def test_lines_of_messy_documents(spark):
     rows = linededup.deduplicate_lines(documents(spark)).collect()
     assert len(rows) == 12
