@@ -311,6 +311,33 @@ def test_short_lines_of_very_many_texts_go(spark, n):
     assert all(r.n_deleted == (20 if r.doc_id else 0) for r in rows) and len(rows) == n
 
 
+def test_lines_against_all_pairs(spark):
+    """Few different lines, so that most have an earlier holder elsewhere: every run of five words
+    that any earlier text has goes, and with it all that patience diffs of all pairs find."""
+    draw = random.Random(4)
+    lines = ["a b c", "d e f", "g h", "i", "j k l m n o", "p q", "r s t u", ""]
+    texts = ["a b c\n1", "d e f\n2", "a b c\nd e f\n3", "a b c\nd e f\n4"]
+    texts += ["\n".join([*draw.choices(lines, k=draw.randrange(1, 7)), str(i)]) for i in range(5, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in linededup.deduplicate_lines(docs).collect()}
+    parsed = [[(n, p, x, len(x.split())) for p, (n, x) in enumerate(
+        (n, x) for n, x in enumerate(text.split("\n")) if x)] for text in texts]
+
+    def runs(own):
+        spans = [own[i:j] for i in range(len(own)) for j in range(i + 1, len(own) + 1)]
+        return [(tuple(x[2] for x in s), {x[0] for x in s}) for s in spans
+                if sum(x[3] for x in s) >= 5]
+
+    for i, own in enumerate(parsed):
+        before = {key for earlier in parsed[:i] for key, _ in runs(earlier)}
+        want = set().union(*(at for key, at in runs(own) if key in before))
+        pairs = set().union(*(linededup.common_blocks(e, own, 5) for e in parsed[:i]))
+        assert pairs <= want
+        left = [x for n, x in enumerate(texts[i].split("\n")) if n not in want]
+        assert (got[i].text, got[i].n_deleted) == ("\n".join(left), len(want))
+    assert got[3].n_deleted == 2
+
+
 def test_lines_of_messy_documents(spark):
     rows = linededup.deduplicate_lines(documents(spark)).collect()
     assert len(rows) == 12
