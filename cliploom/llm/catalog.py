@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliploom.llm import queries_text, queries_tables, sql
+from cliploom.llm import queries_lexical, queries_tables, queries_text, sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return queries_text.QUERIES | queries_tables.QUERIES
+    return queries_text.QUERIES | queries_tables.QUERIES | queries_lexical.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
