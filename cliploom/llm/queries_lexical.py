@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import bpe, spelling
+from cliploom.llm import bpe, ranking, spelling
 from cliploom.llm.common import table
 
 
@@ -22,4 +22,10 @@ def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
         "word", "form", "root", "n", "n_near", "form_n")
 
 
-QUERIES = {q.__name__: q for q in (op11_bpe, op12_spelling)}
+def op13_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    index = ranking.build_index(table(spark, folder, "documents"))
+    return ranking.search(index, table(spark, folder, "benchmark")).select(
+        "item_id", "rank", F.col("doc").alias("doc_id"), "score")
+
+
+QUERIES = {q.__name__: q for q in (op11_bpe, op12_spelling, op13_ranking)}

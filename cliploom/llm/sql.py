@@ -181,5 +181,40 @@ FROM words w LEFT JOIN near USING (word)
 JOIN (SELECT word, arg_max(root, step) AS root FROM chains GROUP BY word) USING (word)
 """
 
-CHECKS = {"op12_spelling": SPELLING, "op4_decontamination": DECONTAMINATION, "op5_mixing": MIXING, "op8_chat_formatting": CHAT, "op9_sharding": SHARDING,
+RANKING = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+sized AS (
+  SELECT row_id, doc_id, terms, len(terms)::BIGINT AS n, count(*) FILTER (len(terms) > 0) OVER () AS docs,
+    (sum(len(terms)) OVER ())::BIGINT AS total FROM words),
+counted AS (
+  SELECT row_id, doc_id, 75 + (25 * n * docs) // total AS m, docs, term, count(*) AS tf
+  FROM (SELECT row_id, doc_id, n, docs, total, unnest(terms) AS term FROM sized)
+  GROUP BY ALL),
+weighed AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counted GROUP BY term),
+parts AS (
+  SELECT row_id, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * m)) AS part
+  FROM counted JOIN weighed USING (term)),
+items AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM benchmark),
+asked AS (
+  SELECT item, item_id, term, count(*) AS times
+  FROM (SELECT item, item_id, unnest(terms) AS term FROM items) GROUP BY ALL),
+scored AS (
+  SELECT item, item_id, row_id, doc_id, sum(times * part)::BIGINT AS score
+  FROM asked JOIN parts USING (term) GROUP BY ALL HAVING sum(times * part) > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+  FROM scored) WHERE rank <= 20
+"""
+
+CHECKS = {"op13_ranking": RANKING, "op12_spelling": SPELLING, "op4_decontamination": DECONTAMINATION, "op5_mixing": MIXING, "op8_chat_formatting": CHAT, "op9_sharding": SHARDING,
           "op10_warc": WARC}
