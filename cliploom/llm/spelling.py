@@ -1,12 +1,11 @@
 """Spelling variants: words one letter apart, and the common form that a rare word stands for.
 
 A word is a vector of bits, one for each letter and count ("a first e, a second e, ..."): its letter
-multiset. One letter replaced changes two bits, one inserted or deleted a single bit. The alphabet
-is dealt into parts, and two bits at most can spoil two parts at most, so words that differ by a
-replacement agree in all but two of PARTS parts, and words that differ by an insertion in all but
-one of two. Every choice of parts that may stay is enumerated: the choice with what the word has in
-it is a signature, and near words have an equal one. That is exact; nothing is sampled or hashed
-away.
+multiset. A replaced letter changes two bits, an inserted or deleted one a single bit. The alphabet
+is dealt into parts. Two bits spoil two parts at most, so words that differ by a replacement agree
+in one of three parts; words that differ by an insertion agree in one of two. Each part is
+enumerated as the one that stayed: its letters are a signature, and near words have an equal one.
+That is exact; nothing is sampled.
 
 A letter can change in one place only, so the half before it or the half after it stays letter by
 letter. Signatures carry one of the two halves, and the length, which keeps their groups small:
@@ -16,7 +15,6 @@ and counted only at the first signature that they share.
 
 from __future__ import annotations
 
-import itertools
 import re
 import zlib
 from collections import Counter
@@ -33,8 +31,8 @@ from cliploom.session import write_stage
 LETTERS, TIMES, MORE = 7, 2, 10
 #: One in so many words of a document loses a letter before counting.
 DROPPED = 31
-#: Parts of the alphabet for replacements (two may differ) and for insertions (one may).
-PARTS = 4
+#: Parts of the alphabet: one more than can be spoilt by a replacement and by an insertion.
+REPLACED, INSERTED = 3, 2
 #: Fixed value: the letters by frequency of use, so that parts share the common ones.
 ALPHABET = "etaoinsrhldcumfpgwybvkxjqz" + "".join(map(chr, range(0xC0, 0x100)))
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -83,63 +81,55 @@ def count_words(docs: DataFrame, key: str = "doc_id", least: int = LETTERS, time
     )
 
 
-def _parts(word: Column, parts: int) -> list[Column]:
-    """The letters of a word in each part of the alphabet, sorted. Signs that are not in the
-    alphabet belong to every part, which only makes signatures stricter than they need be for
-    words of other signs: count_words makes none."""
+def _part(word: Column, part: int, parts: int) -> Column:
+    """The letters of a word that are in one part of the alphabet, sorted. Signs that are not in
+    the alphabet are in every part; count_words makes none."""
     ordered = F.array_join(F.array_sort(F.split(word, "")), "")
-    return [F.translate(ordered, "".join(c for i, c in enumerate(ALPHABET) if i % parts != part), "")
-            for part in range(parts)]
-
-
-def _signed(words: DataFrame, parts: int, spoilt: int, grown: int) -> DataFrame:
-    """One row per word and signature: key, word, n, parts, and the choice and half of the key.
-
-    `grown` is how much longer the longer word of a pair is than this one: a pair's halves are cut
-    for the longer word."""
-    held = words.withColumn("parts", F.array(*_parts(F.col("word"), parts)))
-    size = F.length("word")
-    half = F.floor((size + grown) / 2).cast("int")
-    ends = F.array(F.substring("word", F.lit(1), half),
-                   F.substring("word", half + 1 - grown, size))
-    choices = F.array(*[F.array(*map(F.lit, c))
-                        for c in itertools.combinations(range(parts), parts - spoilt)])
+    return F.translate(ordered, "".join(c for i, c in enumerate(ALPHABET) if i % parts != part), "")
+
+
+def _halves(word: Column, grown: int) -> list[Column]:
+    """The front and the back of a word, cut for a pair whose longer word has `grown` letters
+    more than this one."""
+    half = F.floor((F.length(word) + grown) / 2).cast("int")
+    return [F.substring(word, F.lit(1), half), F.substring(word, half + 1 - grown, F.length(word))]
+
+
+def _signed(words: DataFrame, parts: int, grown: int) -> DataFrame:
+    """(key, sign, word): one row per word, part that may have stayed and half that may have."""
+    word = F.col("word")
+    signs = [
+        F.xxhash64(F.length(word) + grown, F.lit(2 * part + side), _part(word, part, parts), half)
+        for part in range(parts) for side, half in enumerate(_halves(word, grown))]
+    return words.select("word", F.posexplode(F.array(*signs)).alias("sign", "key"))
+
+
+def _met(longer: DataFrame, shorter: DataFrame, parts: int, grown: int) -> DataFrame:
+    """(word, o_word): pairs with an equal signature that are one letter apart, each at the first
+    signature that it has: the first part in which the words agree, and the front if they agree
+    there. Keys are hashes; what meets by chance does not pass."""
+    a, b = F.col("a.word"), F.col("b.word")
+    same = F.lit(parts - 1)
+    for part in reversed(range(parts - 1)):
+        same = F.when(_part(a, part, parts) == _part(b, part, parts), part).otherwise(same)
+    front = F.when(_halves(a, 0)[0] == _halves(b, grown)[0], 0).otherwise(1)
     return (
-        held.withColumn("ends", ends)
-        .select("word", "n", "parts", "ends", F.explode(choices).alias("choice"))
-        .select("word", "n", "parts", "ends", "choice",
-                F.posexplode("ends").alias("side", "end"))
-        .select("word", "n", "parts", "ends", "choice", "side", F.xxhash64(
-            F.length("word") + grown, "choice",
-            F.transform("choice", lambda i: F.get("parts", i)), "side", "end").alias("key"))
+        longer.alias("a").join(shorter.alias("b"), F.col("a.key") == F.col("b.key"))
+        .where((F.col("a.sign") == F.col("b.sign")) & (F.length(a) == F.length(b) + grown)
+               & (F.levenshtein(a, b, 1) == 1) & (F.col("a.sign") == 2 * same + front))
+        .select(a.alias("word"), b.alias("o_word"))
     )
 
 
-def _met(left: DataFrame, right: DataFrame, kept: int) -> DataFrame:
-    """Pairs with an equal signature, each at the first that it has: the first `kept` parts in
-    which the words agree, and the front half if that is the same."""
-    other = right.select(*[F.col(c).alias(f"o_{c}") for c in right.columns])
-    agreed = F.filter(
-        F.transform(F.arrays_zip(F.col("parts").alias("a"), F.col("o_parts").alias("b")),
-                    lambda p, i: F.when(p["a"] == p["b"], i)), lambda i: i.isNotNull())
-    front = F.get("ends", F.lit(0)) == F.get("o_ends", F.lit(0))
-    first = (F.col("choice") == F.slice(agreed, 1, kept)) & (
-        F.col("side") == F.when(front, 0).otherwise(1))
-    return (
-        left.join(other, F.col("key") == F.col("o_key"))
-        .where((F.col("choice") == F.col("o_choice")) & (F.col("side") == F.col("o_side")) & first
-               & (F.get("ends", F.col("side")) == F.get("o_ends", F.col("side"))))
-        .select("word", "n", "o_word", "o_n")
-    )
-
-
-def near_pairs(words: DataFrame, parts: int = PARTS) -> DataFrame:
-    """(word, n, o_word, o_n): every pair of words one inserted, deleted or replaced letter apart,
-    once. words: distinct (word, n)."""
-    same = _signed(words, parts, 2, 0)
-    replaced = _met(same, same, parts - 2).where("word < o_word")
-    inserted = _met(_signed(words, 2, 1, 0), _signed(words, 2, 1, 1), 1)
-    return replaced.unionAll(inserted).where(F.levenshtein("word", "o_word", 1) == 1)
+def near_pairs(words: DataFrame) -> DataFrame:
+    """(word, o_word): all words one inserted, deleted or replaced letter apart, each pair in both
+    directions. words: distinct (word, n)."""
+    same = _signed(words, REPLACED, 0)
+    replaced = _met(same, same, REPLACED, 0)
+    grown = _met(_signed(words, INSERTED, 0), _signed(words, INSERTED, 1), INSERTED, 1)
+    both = F.array(F.struct("word", "o_word"),
+                   F.struct(F.col("o_word").alias("word"), F.col("word").alias("o_word")))
+    return replaced.unionAll(grown.select(F.explode(both).alias("p")).select("p.word", "p.o_word"))
 
 
 def variants(words: DataFrame, more: int = MORE) -> DataFrame:
@@ -148,18 +138,16 @@ def variants(words: DataFrame, more: int = MORE) -> DataFrame:
     The form is the most frequent near word, the first in code-point order of equals, if it is
     `more` times as frequent as the word. The root is the end of the chain of forms. It cannot
     return to a word, since every form is more frequent."""
-    pairs = near_pairs(words)
-    both = F.array(F.struct("word", "n", "o_word", "o_n"),
-                   F.struct(F.col("o_word").alias("word"), F.col("o_n").alias("n"),
-                             F.col("word").alias("o_word"), F.col("n").alias("o_n")))
-    best = F.min(F.when(F.col("p.o_n") >= more * F.col("p.n"),
-                        F.struct((-F.col("p.o_n")).alias("n"), F.col("p.o_word").alias("word"))))
-    near = pairs.select(F.explode(both).alias("p")).groupBy(F.col("p.word").alias("word")).agg(
-        F.count("*").alias("n_near"), best.alias("best"))
+    known = words.select(F.col("word").alias("o_word"), F.col("n").alias("o_n"))
+    near = near_pairs(words).join(known, "o_word").groupBy("word").agg(
+        F.count("*").alias("n_near"),
+        F.min(F.struct((-F.col("o_n")).alias("n"), F.col("o_word").alias("word"))).alias("best"))
+    common = -F.col("best.n") >= more * F.col("n")
     found = write_stage(
         words.join(near, "word", "left").select(
             "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-            F.col("best.word").alias("form"), (-F.col("best.n")).alias("form_n")), "variants")
+            F.when(common, F.col("best.word")).alias("form"),
+            F.when(common, -F.col("best.n")).alias("form_n")), "variants")
     roots = found.where("form is not null").select("word", F.col("form").alias("root"))
     while True:
         # every round doubles the reach; a form is ten times as frequent, so rounds are few
