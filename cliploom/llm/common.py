@@ -21,6 +21,19 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def only(docs: DataFrame, key: Column, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose key (an expression over docs, never null) is in wanted's only column.
+    Rows travel as one struct, so no name of docs can clash with another."""
+    row = F.struct(*[column(c).alias(c) for c in docs.columns]).alias("row")
+    named = wanted.toDF("wanted")
+    return docs.select(row, key.alias("key")).join(
+        named, F.col("key") == F.col("wanted"), how).select("row.*")
+
+
+def without(docs: DataFrame, key: Column, unwanted: DataFrame) -> DataFrame:
+    return only(docs, key, unwanted, "left_anti")
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import hex_number, word_count
+from cliploom.llm.common import column, hex_number, word_count
 from cliploom.session import write_stage
 
 WEIGHTS = (5, 2, 1)
@@ -75,11 +75,11 @@ def sampling_key(row_id: Column, weight: Column, seed: str) -> Column:
 
 def draw(docs: DataFrame, seed: str = "mix", whole: bool = False) -> DataFrame:
     """doc_id, source, size, key and bin of every document; with `whole`, the row itself too."""
-    row = F.struct(*[docs[c] for c in docs.columns]) if whole else F.lit(None)
-    size = word_count(docs["text"])
+    row = F.struct(*[column(c).alias(c) for c in docs.columns]) if whole else F.lit(None)
+    size = word_count(column("text"))
     sized = docs.select(
-        docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), row.alias("row"),
-        size.alias("size"), quality_weight(docs["text"], size).alias("weight"))
+        column("doc_id").alias("doc_id"), column("source").alias("source"), row.alias("row"),
+        size.alias("size"), quality_weight(column("text"), size).alias("weight"))
     keyed = sized.select("doc_id", "source", "row", "size", sampling_key(
         F.col("doc_id"), F.col("weight"), seed).alias("key"))
     at = F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int")

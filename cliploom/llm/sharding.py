@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import hex_number
+from cliploom.llm.common import column, hex_number
 
 #: Largest table that is broadcast: about 1 MB.
 MAX_SLOTS = 65_537
@@ -68,11 +68,11 @@ def place(docs: DataFrame, shards: list[str], slots: int, key: str = "doc_id") -
     empty result.
     """
     lookup = slot_table(docs.sparkSession, shards, slots)
-    kept = [docs[c] for c in docs.columns if c.lower() not in ("slot", "shard")]
-    slotted = docs.select(*kept, slot_of(docs[key], slots).alias("slot"))
-    columns = [c for c in slotted.columns if c != "slot"]
+    kept = [c for c in docs.columns if c.lower() not in ("slot", "shard")]
+    row = F.struct(*[column(c).alias(c) for c in kept]).alias("row")
+    slotted = docs.select(row, slot_of(column(key), slots).alias("slot"))
     # left join: the plan cannot drop a row
-    return slotted.join(F.broadcast(lookup), "slot", "left").select(*columns, "slot", "shard")
+    return slotted.join(F.broadcast(lookup), "slot", "left").select("row.*", "slot", "shard")
 
 
 def write_shards(placed: DataFrame, path: str, files_per_shard: int = 8) -> None:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cliploom.llm.common import column
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary's texts are cut before merging.
 PATTERN = (r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s")
@@ -122,8 +124,8 @@ def count_tokens(docs: DataFrame, fields: Sequence[str] = ("text",), key: str =
     goes to the tasks with the function."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    kind = docs.schema[key].dataType.simpleString()
-    texts = docs.select(docs[key].alias("doc"), *[docs[f].cast("string").alias(f"text_{i}")
+    kind = docs.select(column(key)).schema[0].dataType.simpleString()
+    texts = docs.select(column(key).alias("doc"), *[column(f).cast("string").alias(f"text_{i}")
                                                   for i, f in enumerate(fields)])
     counted = texts.mapInArrow(
         _counter(read_ranks(vocabulary), list(fields), rule), f"doc {kind}, {COUNTED}")
