@@ -1,12 +1,16 @@
-"""Line deduplication by runs of lines that texts share.
+"""Line deduplication by aligning documents that share rare runs of lines.
 
-A run is a few lines that follow each other (blank lines aside) and have BLOCK words together: from
-every line the shortest that begins there and the shortest that ends there. A common block of two
-texts with BLOCK words or more is made of runs that both have, whatever its length, and each of its
-lines is in one of them. Texts are ordered by id; a run belongs to the first text that has it, and
-all later texts lose its lines, wherever and as often as they stand. So the result is that of all
-pairs of texts, but no pair is made: rows are as many as runs, two a line at most, and a passage
-that any number of texts hold is found like one that two hold.
+Partners. A run is a few lines that follow each other (blank lines aside) and have BLOCK words
+together: from every line the shortest that begins there and the shortest that ends there. Any
+common block of two texts with BLOCK words or more is made of runs that both have. Texts are
+ordered by id. Of all texts that have a run only the first, its holder, is a partner of the others,
+so a run that any number of texts share makes a star and not all pairs; within a text such a run
+is as telling as a rare line, and short or frequent lines find partners only together.
+
+Alignment. Each later text is aligned with each of its partners by patience diff, and aligned blocks
+of BLOCK words go from the later text. Shared runs that a diff leaves because they stand in another
+order or again go with the block around them. So no other text need be asked: what a diff with any
+earlier text would find is in runs that a partner holds.
 
 Equal texts are one text throughout; of the documents that have it, all but the first lose every
 line. A text that a third of all documents copy is one row in every join.
@@ -14,6 +18,7 @@ line. A text that a third of all documents copy is one row in every join.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -23,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import word_count
+from cliploom.llm.common import column, word_count
 from cliploom.session import write_stage
 
 #: A run of lines that an earlier text has is deleted if it has BLOCK words.
@@ -71,7 +76,7 @@ def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def align(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     """Places (in a, in b) of equal items, rising in both, by patience diff: what two texts have in
-    common in the same order. Tests compare the runs with it."""
+    common in the same order."""
     found = []
     open_parts = [(0, len(a), 0, len(b))]
     while open_parts:
@@ -93,25 +98,42 @@ def align(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def common_blocks(earlier: list[tuple], later: list[tuple], least: int) -> list[int]:
-    """Line numbers of the later document inside common blocks of at least `least` words.
-
-    Lines are (line number, place among lines with words, hash, words)."""
-    aligned = align([x[2] for x in earlier], [x[2] for x in later])
-    lost: list[int] = []
-    block: list[tuple] = []
-    before = None
-    for i, j in [*aligned, (None, None)]:
-        follows = before is not None and i is not None and (
-            earlier[i][1] == earlier[before[0]][1] + 1 and later[j][1] == later[before[1]][1] + 1)
-        if not follows:
-            if sum(x[3] for x in block) >= least:
-                lost += [x[0] for x in block]
-            block = []
-        if i is not None:
-            block.append(later[j])
+def aligned_blocks(earlier: Sequence, later: Sequence, words: Sequence[int], least: int
+                   ) -> list[range]:
+    """Indices (into later) of the blocks with `least` words that a patience diff aligns."""
+    found: list[range] = []
+    begin, before = 0, (-2, -2)
+    for i, j in [*align(earlier, later), (-2, -2)]:
+        if (i, j) != (before[0] + 1, before[1] + 1):
+            found.append(range(begin, before[1] + 1))
+            begin = j
         before = (i, j)
-    return lost
+    return [block for block in found if sum(words[j] for j in block) >= least]
+
+
+def common_lines(earlier: Sequence, later: Sequence, words: Sequence[int], least: int) -> list[int]:
+    """Indices of the lines that the later text loses to the earlier one. words: of each later
+    line, 1 at least.
+
+    Aligned blocks go first. A diff keeps to one order and takes every line once; a run that it
+    left although both texts have it goes with the block around it, as far as the texts agree."""
+    lost = set(itertools.chain(*aligned_blocks(earlier, later, words, least)))
+    places = defaultdict(list)
+    for i, x in enumerate(earlier):
+        places[x].append(i)
+    for begin, end in runs_of(words, least):
+        if lost.issuperset(range(begin, end)):
+            continue
+        for i in places.get(later[begin], ()):
+            if earlier[i:i + end - begin] == later[begin:end]:
+                j = begin
+                while i and j and earlier[i - 1] == later[j - 1]:
+                    i, j = i - 1, j - 1
+                while i < len(earlier) and j < len(later) and earlier[i] == later[j]:
+                    lost.add(j)
+                    i, j = i + 1, j + 1
+                break
+    return sorted(lost)
 
 
 def runs_of(words: Sequence[int], least: int) -> list[tuple[int, int]]:
@@ -128,19 +150,32 @@ def runs_of(words: Sequence[int], least: int) -> list[tuple[int, int]]:
 
 
 def _run_maker(least: int):
-    """One row per text and run: the hash of the run and all lines in it."""
+    """One row per text and run: the hash of the run."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for digest, first_id, hashes, words in frame.itertuples(index=False):
                 at = np.flatnonzero(words)
                 spoken = np.asarray(hashes, np.int64)[at]
-                lines: dict[int, set] = defaultdict(set)
-                for begin, end in runs_of(np.asarray(words)[at], least):
-                    key = xxhash.xxh64_intdigest(spoken[begin:end].tobytes()) - (1 << 63)
-                    lines[key].update(at[begin:end].tolist())
-                rows += [(digest, first_id, key, sorted(own)) for key, own in lines.items()]
-            yield pd.DataFrame(rows, columns=["digest", "first_id", "run", "lines"])
+                keys = {xxhash.xxh64_intdigest(spoken[begin:end].tobytes()) - (1 << 63)
+                        for begin, end in runs_of(np.asarray(words)[at], least)}
+                rows += [(digest, first_id, key) for key in keys]
+            yield pd.DataFrame(rows, columns=["digest", "first_id", "run"])
+
+    return run
+
+
+def _aligner(least: int):
+    """One row per pair of a text and a partner: the lines that the text loses to it."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for digest, leader, theirs, own, words in frame.itertuples(index=False):
+                at = np.flatnonzero(words)
+                lost = common_lines(list(theirs), np.asarray(own)[at].tolist(),
+                                    np.asarray(words)[at].tolist(), least)
+                rows.append((digest, leader, at[lost].tolist()))
+            yield pd.DataFrame(rows, columns=["digest", "leader", "lost"])
 
     return run
 
@@ -151,8 +186,7 @@ def _lines(text: Column) -> Column:
 
 def find_deletions(docs: DataFrame, least: int = BLOCK) -> DataFrame:
     """(digest, first_id, lost, n_partners) for every text that shares anything: the smallest id
-    that has the text, the lines that its first document loses, and how many earlier texts were
-    the first to have them. docs: doc_id, text."""
+    that has the text, the lines that its first document loses, and to how many partners. docs: doc_id, text."""
     digest = F.md5(F.coalesce("text", F.lit("")))
     # white space at the ends of a line does not tell lines apart
     bare = F.transform(_lines(F.col("text")), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")))
@@ -167,16 +201,26 @@ def find_deletions(docs: DataFrame, least: int = BLOCK) -> DataFrame:
     named = texts.select("digest", F.col("first_id").cast("string"), F.col("lines.hash").alias("hash"),
                          F.col("lines.words").alias("words"))
     runs = write_stage(
-        named.mapInPandas(_run_maker(least), "digest string, first_id string, run long, "
-                                             "lines array<int>")
+        named.mapInPandas(_run_maker(least), "digest string, first_id string, run long")
         .withColumn("first_id", F.col("first_id").cast(id_type)), "runs")
     rank = F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "digest")
-    shared = runs.groupBy("run").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where(
-        "n > 1").select("run", F.col("first.digest").alias("leader"))
+    # written before it meets the runs, so that the join can deal a hot run to many tasks
+    shared = write_stage(
+        runs.groupBy("run").agg(F.count("*").alias("n"), F.min(rank).alias("first"))
+        .where("n > 1").select("run", F.col("first.digest").alias("leader")), "holders")
+    pairs = write_stage(
+        runs.select("digest", "run").join(shared, "run").where("digest <> leader")
+        .select("digest", "leader").distinct(), "pairs")
+    theirs = F.transform(F.filter("lines", lambda x: x["words"] > 0), lambda x: x["hash"])
     lost = (
-        runs.select("digest", "run", "lines").join(shared, "run").where("digest <> leader")
-        .groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lost"),
-                               F.size(F.collect_set("leader")).alias("n_partners"))
+        pairs.join(texts.select(F.col("digest").alias("leader"), theirs.alias("theirs")), "leader")
+        .join(texts.select("digest", F.col("lines.hash").alias("own"),
+                           F.col("lines.words").alias("words")), "digest")
+        .select("digest", "leader", "theirs", "own", "words")
+        .mapInPandas(_aligner(least), "digest string, leader string, lost array<int>")
+        .where(F.size("lost") > 0).groupBy("digest")
+        .agg(F.array_distinct(F.flatten(F.collect_list("lost"))).alias("lost"),
+             F.count("*").alias("n_partners"))
     )
     return texts.select("digest", "first_id", "copies").join(lost, "digest", "left").where(
         "copies > 1 or n_partners > 0").select(
@@ -192,7 +236,7 @@ def deduplicate_lines(docs: DataFrame, least: int = BLOCK) -> DataFrame:
     two texts is two documents, the one with the smaller digest first. Null ids come last. Null
     texts are empty: one line without words, never deleted, and text stays null or empty. An
     empty table gives an empty result. Further columns are ignored, whatever their names."""
-    docs = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"))
+    docs = docs.select(column("doc_id").alias("doc_id"), column("text").cast("string").alias("text"))
     found = write_stage(find_deletions(docs, least), "deletions")
     digest = F.md5(F.coalesce("text", F.lit("")))
     joined = docs.withColumn("digest", digest).join(found, "digest", "left")
