@@ -6,10 +6,13 @@ terms go with the label; only these span the space. Their document frequencies a
 all documents. Examples and documents are TF-IDF vectors of unit length; the score of a document
 comes from the examples nearest by cosine.
 
-The search is exact. Every document is compared with all examples in single precision: the terms
-that many examples have by a matrix product, the others by their postings. What comes near the
-k-th similarity is computed again in double precision. The index is bounded by the sample and goes
-to the tasks whole.
+The search is exact, over a block-max inverted index. Examples are sorted by their strongest terms
+and cut into blocks; a block has inverted lists for its terms and the largest weight of each list.
+The largest weights bound every similarity in a block. A document visits its most promising blocks
+first and keeps the k-th similarity that it has found; blocks whose bound lies below are skipped.
+Documents that visit a block together are compared by one product with its lists, in single
+precision; what comes near the k-th similarity is computed again in double precision. The index is
+bounded by the sample and goes to the tasks whole.
 
 Votes are weighted by squared similarity and by how often a class is in the labels compared with
 the sample. A logistic curve fitted to leave-one-out votes of the examples makes them calibrated.
@@ -30,11 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cliploom.llm.common import column
 from cliploom.session import write_stage
 
 PREFIXES = (3, 5, 7)
-#: Terms in more than one of so many entries are compared by a matrix product.
-COMMON = 64
+#: Examples of a block, and blocks that a document visits before it skips any.
+BLOCK, FIRST = 64, 2
 #: More than sums of single precision are off.
 ROUNDING = 1e-4
 #: ASCII characters that are not letters become spaces; words are then split at white space.
@@ -67,16 +71,21 @@ def terms_of(text: str | None) -> Counter:
     return words
 
 
-def example_labels(labels: DataFrame, per_class: int) -> DataFrame:
-    """(example_id, toxic) of the sample: distinct ids outside the held-out fifth. An id with
-    both labels is toxic; null ids and labels are left out."""
-    known = (
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the ids outside the held-out fifth, one row each: repeated label rows
+    count once, and an id with both labels is toxic. Null ids and labels are left out."""
+    return (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         .where(~held_out(F.col("doc_id")))
-        .select(F.col("doc_id").alias("example_id"), "toxic",
-                F.md5(F.col("doc_id").cast("string")).alias("draw"))
     )
+
+
+def example_labels(labels: DataFrame, per_class: int) -> DataFrame:
+    """(example_id, toxic) of the sample: of each class the ids with the smallest digests."""
+    known = known_labels(labels).select(
+        F.col("doc_id").alias("example_id"), "toxic",
+        F.md5(F.col("doc_id").cast("string")).alias("draw"))
     parts = [known.where(F.col("toxic") == c).orderBy("draw").limit(per_class) for c in (0, 1)]
     return write_stage(parts[0].union(parts[1]).drop("draw"), "examples")
 
@@ -149,6 +158,9 @@ class Index:
     ends: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     votes: np.ndarray = field(default_factory=lambda: np.empty((0, 2)))
     names: list = field(default_factory=list)
+    #: Pairs of a query and a block so far, and those of them that were compared.
+    asked: int = 0
+    visited: int = 0
 
     def unit(self, ids: np.ndarray, tfs: np.ndarray) -> np.ndarray:
         weights = (1 + np.log(tfs)) * self.idf[ids]
@@ -179,22 +191,24 @@ class Index:
         return index
 
     def __getstate__(self) -> dict:
-        return {name: value for name, value in self.__dict__.items() if name != "_sides"}
+        return {name: value for name, value in self.__dict__.items() if name != "_blocks"}
 
     @cached_property
-    def _sides(self) -> tuple:
-        """Made in the task: places of the common terms (-1 for the others), their matrix (term,
-        entry), and the postings of all terms with where each term's begin."""
-        entries = np.repeat(np.arange(len(self.names)), np.diff(self.ends))
-        counts = np.bincount(self.ids, minlength=len(self.idf))
-        common = counts * COMMON > len(self.names)
-        places = np.where(common, np.cumsum(common) - 1, -1)
-        matrix = np.zeros((int(common.sum()), len(self.names)), np.float32)
-        inside = common[self.ids]
-        matrix[places[self.ids[inside]], entries[inside]] = self.weights[inside]
-        order = np.argsort(self.ids, kind="stable")
-        starts = np.concatenate([[0], np.cumsum(counts)])
-        return places, matrix, entries[order], self.weights[order].astype(np.float32), starts
+    def _blocks(self) -> tuple:
+        """Made in the task: per block its entries, terms and lists (term, entry), and the largest
+        weights (term, block)."""
+        made = []
+        largest = np.zeros((len(self.idf), -(-len(self.names) // BLOCK)), np.float32)
+        for number, begin in enumerate(range(0, len(self.names), BLOCK)):
+            end = min(begin + BLOCK, len(self.names))
+            own = slice(self.ends[begin], self.ends[end])
+            entries = np.repeat(np.arange(end - begin), np.diff(self.ends[begin:end + 1]))
+            terms, places = np.unique(self.ids[own], return_inverse=True)
+            lists = np.zeros((len(terms), end - begin), np.float32)
+            lists[places, entries] = self.weights[own]
+            largest[terms, number] = lists.max(axis=1)
+            made.append((slice(begin, end), terms, lists))
+        return made, largest
 
     def _exact(self, entries: np.ndarray, dense: np.ndarray) -> np.ndarray:
         """Similarities of entries to a query laid out over all terms."""
@@ -222,18 +236,37 @@ class Index:
         near = values >= last - 1e-12
         return entries[near], values[near], last
 
+    def _visit(self, left: np.ndarray) -> np.ndarray:
+        """Similarities (query, entry) in single precision; 0 in blocks that a query skipped."""
+        blocks, largest = self._blocks
+        bounds = left @ largest + ROUNDING
+        near = np.zeros((len(left), len(self.names)), np.float32)
+        # the best so far: every entry is an example at least, and one may be the query itself
+        best = np.zeros((len(left), self.k + 1), np.float32)
+        promising = np.zeros(bounds.shape, bool)
+        first = np.argsort(-bounds, axis=1)[:, :FIRST]
+        np.put_along_axis(promising, first, True, axis=1)
+        for visited in (promising, ~promising):
+            for number in np.argsort(-bounds.max(axis=0, initial=0)):
+                within, terms, lists = blocks[number]
+                own = visited[:, number] & (bounds[:, number] > ROUNDING) & (
+                    bounds[:, number] >= best.min(axis=1))
+                own = np.flatnonzero(own)
+                if len(own):
+                    found = left[np.ix_(own, terms)] @ lists
+                    near[own, within] = found
+                    best[own] = np.partition(
+                        np.hstack([best[own], found]), found.shape[1], axis=1)[:, found.shape[1]:]
+                self.visited += len(own)
+        self.asked += bounds.size
+        return near
+
     def _nearest_block(self, queries: list[tuple], owns: list) -> Iterator[tuple]:
-        places, matrix, entries, weights, starts = self._sides
         units = [self.unit(ids, tfs) for ids, tfs in queries]
-        left = np.zeros((len(queries), len(matrix)), np.float32)
+        left = np.zeros((len(queries), len(self.idf)), np.float32)
         for row, (ids, _), unit in zip(left, queries, units, strict=True):
-            inside = places[ids] >= 0
-            row[places[ids[inside]]] = unit[inside]
-        near = left @ matrix
-        for row, (ids, _), unit in zip(near, queries, units, strict=True):
-            for term in np.flatnonzero(places[ids] < 0).tolist():
-                own = slice(starts[ids[term]], starts[ids[term] + 1])
-                row[entries[own]] += weights[own] * np.float32(unit[term])
+            row[ids] = unit
+        near = self._visit(left)
         dense = np.zeros(len(self.idf))
         for row, (ids, _), unit, own in zip(near, queries, units, owns, strict=True):
             least = 0.0
@@ -339,15 +372,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(
     examples as strings), similarity.
 
     Null and empty texts have no terms. Rows with one id are scored each by its own text; an id
-    that is an example is scored like any other document, itself among its neighbours. Without
-    labels of both classes every score is the toxic share of the labels (0.5 without any). An
-    empty table gives an empty result. Further columns are ignored, whatever their names."""
-    docs = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    labels = labels.select(labels["doc_id"].alias("doc_id"), labels["toxic"].alias("toxic"))
-    chosen = example_labels(labels, bounds.examples)
-    # at most 2 * bounds.examples rows
-    texts = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["example_id"]).select(
-        "text", "toxic")
+    that is an example is scored like any other document, itself among its neighbours, and stands
+    for its first text in code-point order if it has several. Ties in similarity all vote. Texts of
+    any length are read whole, one at a time. Without labels of both classes every score is the
+    toxic share of the labels (0.5 without any). An empty table gives an empty result. Further
+    columns are ignored, whatever their names."""
+    docs = docs.select(column("doc_id").alias("doc_id"), column("text").cast("string").alias("text"))
+    known = write_stage(known_labels(labels.select(
+        column("doc_id").alias("doc_id"), column("toxic").alias("toxic"))), "labels")
+    chosen = example_labels(known, bounds.examples)
+    # one text per sampled id, so 2 * bounds.examples rows at most
+    texts = write_stage(
+        docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["example_id"])
+        .groupBy("example_id", "toxic").agg(F.min("text").alias("text")), "example-texts")
     terms = choose_terms(texts, bounds)
     vector = _vectorizer(terms)("text")
     slim = write_stage(docs.select("doc_id", vector.alias("v")).select("doc_id", "v.*"), "vectors")
@@ -359,19 +396,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(
         df[row.id] = row.n
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
-    sizes = {r.toxic: r["count"] for r in labels.where(~held_out(F.col("doc_id")))
-             .where("toxic is not null").groupBy(F.col("toxic").cast("int").alias("toxic"))
-             .count().collect()}
+    sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     taken = {r.toxic: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.5
     lift = tuple(sizes.get(c, 0) / taken[c] if taken.get(c) else 0.0 for c in (0, 1))
     votes = Votes(prior, lift, none=prior)
 
-    examples = slim.join(F.broadcast(chosen), slim["doc_id"] == chosen["example_id"])
-    # the sample is bounded by its number, a vector by its text and the vocabulary
-    held = [(r.ids, r.tfs, r.toxic, r.doc_id) for r in
-            examples.where(F.size("ids") > 0).select("ids", "tfs", "toxic", "doc_id").collect()]
+    examples = write_stage(
+        texts.select("example_id", "toxic", vector.alias("v")).select("example_id", "toxic", "v.*"),
+        "example-vectors")
+    # the sample is bounded by its number, a vector by the vocabulary
+    held = [(r.ids, r.tfs, r.toxic, r.example_id) for r in examples.where(F.size("ids") > 0).collect()]
     index = Index.build(idf, held, bounds.neighbours, bounds.block)
     bare = {r.toxic: r["count"] for r in
             examples.where(F.size("ids") == 0).groupBy("toxic").count().collect()}
