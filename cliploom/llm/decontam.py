@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import lower_ascii
+from cliploom.llm.common import column, lower_ascii, without
 from cliploom.session import write_stage
 
 WINDOW = 10
@@ -109,8 +109,9 @@ def build_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     Rows with a null term are the documents: (shard, slot, doc, n_words), one for every row of
     docs, repeated ids and nulls included. The others are inverted lists: (shard, term, postings),
     positions as differences of 32-bit numbers; the empty term lists where documents start."""
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("doc"), docs["text"].alias("text")).mapInArrow(
+    kind = docs.select(column(key)).schema[0].dataType.simpleString()
+    rows = docs.select(
+        column(key).alias("doc"), column("text").cast("string").alias("text")).mapInArrow(
         _index, f"shard long, term string, postings binary, doc {kind}, slot int, n_words long")
     return write_stage(rows, "positional-index")
 
@@ -250,13 +251,14 @@ def contamination(index: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents in which a window of any item occurs. Whether one does follows
-    from the text alone, so equal texts share their fate; null texts have no words and stay."""
-    digest = F.md5(F.coalesce(docs["text"], F.lit("")))
-    index = build_index(docs.select(digest.alias("digest"), docs["text"].alias("text")), "digest")
+    """docs without the documents in which a window of any item occurs, columns as they are,
+    whatever their names. Whether one occurs follows from the text alone, so equal texts share
+    their fate; null and empty texts have no words and stay, and so do repeated rows. Items without
+    words match nothing; an empty table of either kind removes nothing. Texts of any length are
+    indexed whole."""
+    digest = F.md5(F.coalesce(column("text").cast("string"), F.lit("")))
+    index = build_index(
+        docs.select(digest.alias("digest"), column("text").cast("string").alias("text")), "digest")
     found = search(index, benchmark).where("exact").select("shard", "slot").distinct()
-    bad = (
-        index.where("term is null").join(found, ["shard", "slot"], "left_semi")
-        .select(F.col("doc").alias("bad_digest")).distinct()
-    )
-    return docs.join(write_stage(bad, "contaminated"), digest == F.col("bad_digest"), "left_anti")
+    bad = index.where("term is null").join(found, ["shard", "slot"], "left_semi").select("doc").distinct()
+    return without(docs, digest, write_stage(bad, "contaminated"))

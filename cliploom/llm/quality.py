@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliploom.llm.common import column, without
 from cliploom.llm.textstats import FIELDS, stats
 from cliploom.session import write_stage
 
@@ -214,8 +215,8 @@ def measure(docs: DataFrame, *keep: str) -> DataFrame:
     """The counts, the vector, lang and source of every document, under these names alone
     (whatever else docs has), with the columns named in keep as keep_<name>."""
     counted = docs.select(
-        *[docs[c].alias(f"keep_{c}") for c in keep], docs["lang"].cast("string").alias("lang"),
-        docs["source"].cast("string").alias("source"), stats(docs["text"]).alias("counts"))
+        *[column(c).alias(f"keep_{c}") for c in keep], column("lang").cast("string").alias("lang"),
+        column("source").cast("string").alias("source"), stats(column("text")).alias("counts"))
     counted = counted.select(*[c for c in counted.columns if c != "counts"], "counts.*")
     return counted.select("*", *vector())
 
@@ -263,10 +264,20 @@ def judge(measured: DataFrame, model: Model, rules: Rules = Rules()) -> DataFram
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """docs without the rejected ones. Null and empty texts have no words and are rejected."""
-    small = write_stage(measure(docs), "measured")
-    model = fit(small, rules)
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-                        docs["text"].alias("text"), docs["lang"].alias("lang"),
-                        docs["source"].alias("source"))
-    return judge(measure(whole, "row"), model, rules).where("kept").select("keep_row.*")
+    """docs without the rejected ones, columns as they are, whatever their names.
+
+    A verdict follows from text, language and source alone, so the texts are measured once, in a
+    slim table, and only the rejected (digest of text, language, source) meet the documents again.
+    Rows that are equal in these share their verdict; repeated rows all stay or all go. Null and
+    empty texts have no words and are rejected. Texts of any length are measured whole, one at a
+    time. An empty table stays empty."""
+    def key() -> list[Column]:
+        return [F.md5(F.coalesce(column("text").cast("string"), F.lit(""))).alias("digest"),
+                column("lang").cast("string").alias("lang"),
+                column("source").cast("string").alias("source")]
+
+    slim = docs.select(*key(), column("text").cast("string").alias("text"))
+    measured = write_stage(measure(slim, "digest"), "measured")
+    bad = judge(measured, fit(measured, rules), rules).where(~F.col("kept")).select(
+        F.struct(F.col("keep_digest").alias("digest"), "lang", "source").alias("bad")).distinct()
+    return without(docs, F.struct(*key()), write_stage(bad, "rejected"))

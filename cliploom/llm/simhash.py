@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cliploom.llm.common import components
+from cliploom.llm.common import column, components, only
 from cliploom.session import write_stage
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 3
@@ -181,20 +181,29 @@ def near_duplicates(fingerprinted: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: the one with the smallest id, and among rows of
-    that id the first by text and other columns as strings. Null texts have fingerprint 0, like
-    texts without words. Columns are kept as they are, whatever their names."""
-    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-                         docs["doc_id"].alias("doc_id"), fingerprints(docs["text"]).alias("fp"))
-    slim = write_stage(marked.select("doc_id", "fp"), "fingerprints")
-    found = near_duplicates(slim)
-    ids = slim.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    keep = (
-        found.join(ids, "fp").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .groupBy("root", "doc_id").agg(F.min("fp").alias("fp"))
-        .select(F.struct("doc_id", "fp").alias("kept"))
-    )
-    order = F.struct("row.text", F.to_json("row"))
-    return (
-        marked.select("row", F.struct("doc_id", "fp").alias("kept")).join(keep, "kept", "left_semi")
-        .groupBy("kept").agg(F.min_by("row", order).alias("row")).select("row.*")
+    that id the one whose digest over all columns is smallest. Null texts have fingerprint 0, like
+    texts without words. Columns are kept as they are, whatever their names.
+
+    Texts are fingerprinted once, beside ids and digests of whole rows; only the digests of the
+    rows that stay meet the documents again. Rows that are equal in every column are one row then:
+    where a kept row is repeated, one of its copies is taken."""
+    whole = F.md5(F.to_json(F.struct(*[column(c).alias(c) for c in docs.columns])))
+    slim = write_stage(
+        docs.select(column("doc_id").alias("doc_id"), whole.alias("digest"),
+                    column("text").cast("string").alias("text"))
+        .select("doc_id", "digest", fingerprints("text").alias("fp")), "fingerprints")
+    rows = slim.groupBy("doc_id", "fp", "digest").agg(F.count("*").alias("n"))
+    found = near_duplicates(slim.select("doc_id", "fp"))
+    first = (
+        write_stage(rows, "rows").join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+        .groupBy("root").agg(F.min(F.struct("fp", "digest", "n")).alias("kept"))
     )
+    keep = write_stage(first.select("kept.digest", "kept.n"), "kept")
+    single = only(docs, whole, keep.where("n = 1").select("digest"))
+    if keep.where("n > 1").isEmpty():
+        return single
+    repeated = only(docs, whole, keep.where("n > 1").select("digest"))
+    row = F.struct(*[column(c).alias(c) for c in docs.columns])
+    one = repeated.select(row.alias("row")).groupBy(F.md5(F.to_json("row")).alias("digest")).agg(
+        F.first("row").alias("row"))
+    return single.unionAll(one.select("row.*"))
