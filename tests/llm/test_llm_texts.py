@@ -5,6 +5,8 @@ import itertools
 import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -121,6 +123,110 @@ def test_nearest_is_exact():
         assert np.allclose(values, cosines[got])
 
 
+def test_blocks_below_the_bound_are_skipped():
+    """Examples of twenty subjects: a query looks into the blocks of its own."""
+    draw = np.random.default_rng(5)
+    examples = []
+    for n in range(2000):
+        subject = n % 20
+        ids = np.sort(draw.choice(15, 8, replace=False)) + 15 * subject
+        examples.append((ids.tolist(), draw.integers(1, 4, 8).tolist(), n % 2, n))
+    index = toxicity.Index.build(np.ones(300), examples, 10, 32)
+    queries = [(np.array(i), np.array(t, float)) for i, t, _, _ in examples[:100]]
+    everything = np.zeros((len(index.names), 300))
+    for e, (a, b) in enumerate(zip(index.ends, index.ends[1:])):
+        everything[e, index.ids[a:b]] = index.weights[a:b]
+    for (ids, tfs), (got, values) in zip(queries, index.nearest_all(queries), strict=True):
+        dense = np.zeros(300)
+        dense[ids] = index.unit(ids, tfs)
+        cosines = everything @ dense
+        last = np.sort(np.repeat(cosines, index.votes.sum(axis=1).astype(int)))[-10]
+        want = np.flatnonzero(cosines >= last - 1e-12)
+        assert set(got.tolist()) >= set(want.tolist())
+        assert np.allclose(values, cosines[got])
+    assert index.visited < index.asked / 4
+
+
+def plain_scores(docs, labels, bounds):
+    """Scores with every document compared with every example, term by term."""
+    held = {d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 0 for d, _ in docs}
+    known = {}
+    for d, toxic in labels:
+        if d is not None and toxic is not None and not zlib.crc32(str(d).encode()) % 5 == 0:
+            known[d] = max(toxic, known.get(d, 0))
+    draw = sorted(known, key=lambda d: hashlib.md5(str(d).encode()).hexdigest())
+    chosen = [d for c in (0, 1) for d in [d for d in draw if known[d] == c][:bounds.examples]]
+    texts = {d: min((t for i, t in docs if i == d and t is not None), default=None)
+             for d in chosen if any(i == d for i, _ in docs)}
+    counts = {}
+    for d, text in texts.items():
+        for term in toxicity.terms_of(text):
+            counts.setdefault(term, [0, 0])[known[d]] += 1
+    counts = {t: n for t, n in counts.items() if sum(n) >= bounds.min_docs}
+    n0, n1 = (float(sum(known[d] == c for d in texts)) for c in (0, 1))
+    told = set()
+    for term, (b, a) in counts.items():
+        square = (n0 + n1) * (a * n0 - b * n1) ** 2 / (n0 * n1 * (a + b) * max(n0 + n1 - a - b, 1))
+        if square > 2 * math.log(len(counts)):
+            told.add(term)
+    found = [{t: n for t, n in toxicity.terms_of(text).items() if t in told} for _, text in docs]
+    df = Counter(t for f in found for t in f)
+
+    def unit(terms):
+        raw = {t: (1 + math.log(n)) * (math.log((1 + len(docs)) / (1 + df[t])) + 1)
+               for t, n in terms.items()}
+        size = math.sqrt(sum(x * x for x in raw.values()))
+        return {t: x / size for t, x in raw.items()}
+
+    def own(text):
+        return unit({t: n for t, n in toxicity.terms_of(text).items() if t in told})
+
+    examples = [(own(text), known[d], d) for d, text in texts.items()]
+    sizes = [sum(v == c for v in known.values()) for c in (0, 1)]
+    prior = sizes[1] / sum(sizes)
+    lift = [sizes[c] / sum(known[d] == c for d in chosen) for c in (0, 1)]
+
+    def share(query, but=None):
+        near = sorted(((sum(x * v.get(t, 0) for t, x in query.items()), toxic)
+                       for v, toxic, d in examples if d != but and v), reverse=True)
+        last = near[bounds.neighbours - 1][0] if len(near) >= bounds.neighbours else 0
+        near = [(s, t) for s, t in near if s > 0 and s >= last - 1e-9]
+        weighed = [sum(s * s * lift[c] for s, t in near if t == c) for c in (0, 1)]
+        value = (weighed[1] + 0.5 * prior) / (sum(weighed) + 0.5)
+        return min(max(value, 1e-4), 1 - 1e-4)
+
+    tried = [(share(v, d), toxic) for v, toxic, d in examples if v]
+    slope, offset = toxicity.fit_logistic(
+        np.array([math.log(s / (1 - s)) for s, _ in tried]), np.array([t for _, t in tried], float),
+        np.array([lift[t] for _, t in tried]))
+    bare = [lift[c] * sum(t == c for v, t, _ in examples if not v) for c in (0, 1)]
+    none = (bare[1] + prior) / (sum(bare) + 1)
+    out = []
+    for (d, _), terms in zip(docs, found, strict=True):
+        s = share(unit(terms)) if terms else None
+        out.append((d, held[d], none if s is None else 1 / (
+            1 + math.exp(-(slope * math.log(s / (1 - s)) + offset)))))
+    return sorted(out, key=str)
+
+
+def test_scores_against_every_example(spark):
+    """Repeated label rows and a sampled id with two texts change nothing but that id's rows."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select(
+        "doc_id", "text").collect()]
+    labels = [tuple(r) for r in spark.read.parquet(f"{SMALL}/labels.parquet").select(
+        "doc_id", "toxic").collect()]
+    first = next(d for d, t in labels if t == 1 and zlib.crc32(str(d).encode()) % 5)
+    docs.append((first, "another text of the same id"))
+    labels += [r for r in labels if r[1] == 1] * 3
+    bounds = toxicity.Bounds(examples=60, neighbours=5)
+    made = toxicity.score_documents(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(3),
+        spark.createDataFrame(labels, "doc_id long, toxic int"), bounds)
+    got = sorted(((r.doc_id, r.held_out, r.score) for r in made.collect()), key=str)
+    for a, b in zip(got, plain_scores(docs, labels, bounds), strict=True):
+        assert a[:2] == b[:2] and math.isclose(a[2], b[2], abs_tol=1e-6), (a, b)
+
+
 def test_toxicity_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.01"
     scores = queries_text.op2_toxicity(spark, folder)
@@ -331,7 +437,9 @@ def test_lines_against_all_pairs(spark):
     for i, own in enumerate(parsed):
         before = {key for earlier in parsed[:i] for key, _ in runs(earlier)}
         want = set().union(*(at for key, at in runs(own) if key in before))
-        pairs = set().union(*(linededup.common_blocks(e, own, 5) for e in parsed[:i]))
+        hashes, sizes = [x[2] for x in own], [x[3] for x in own]
+        pairs = {own[j][0] for e in parsed[:i] for block in linededup.aligned_blocks(
+            [x[2] for x in e], hashes, sizes, 5) for j in block}
         assert pairs <= want
         left = [x for n, x in enumerate(texts[i].split("\n")) if n not in want]
         assert (got[i].text, got[i].n_deleted) == ("\n".join(left), len(want))
