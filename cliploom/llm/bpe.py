@@ -32,8 +32,8 @@ from cliploom.llm.lexicon import Lexicon, compile_lexicon
 from cliploom.session import shared_folder, write_stage
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Most words of a lexicon: it is a few MB then, whatever the corpus.
-LEXICON_WORDS = 120_000
+#: Most words of a lexicon: it is some 20 MB then, whatever the corpus.
+LEXICON_WORDS = 500_000
 #: Characters that a task cuts at a time, and words that it looks up at a time.
 PART, LOOKED_UP = 1 << 20, 1 << 20
 #: Words that a task counts before it passes them on, and documents that it returns at once.
@@ -238,11 +238,24 @@ def publish_lexicon(spark: SparkSession, data: bytes) -> str:
     return name
 
 
+def _merger(vocabulary: Vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [word.encode() for word in batch.column("word").to_pylist()]
+            ids = [np.array(vocabulary.merge(word), "<u4").tobytes() for word in words]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.binary()), pa.array(ids, pa.binary())], ["word", "ids"])
+
+    return run
+
+
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, most: int = LEXICON_WORDS) -> str:
-    """Compile the frequent words of docs; at most `most` words pass through the driver."""
-    chosen = frequent_words(docs, vocabulary, most).collect()
-    entries = [(row.word.encode(), vocabulary.merge(row.word.encode())) for row in chosen
-               if row.word not in vocabulary.control]
+    """Compile the frequent words of docs. Tasks merge and sort them; `most` words at most pass
+    by the driver, a part at a time, and it holds the automaton."""
+    chosen = frequent_words(docs, vocabulary, most).where(~F.col("word").isin(*vocabulary.control))
+    merged = write_stage(
+        chosen.mapInArrow(_merger(vocabulary), "word binary, ids binary"), "lexicon")
+    entries = ((bytes(row.word), bytes(row.ids)) for row in merged.orderBy("word").toLocalIterator())
     return publish_lexicon(docs.sparkSession, compile_lexicon(entries))
 
 

@@ -58,12 +58,16 @@ class _Builder:
         return self._state(self.open.pop())
 
 
-def compile_lexicon(entries: Iterable[tuple[bytes, Sequence[int]]]) -> bytes:
-    """The file of distinct words with their ids. No words give an automaton without words."""
-    words, ids = zip(*sorted(entries), strict=True) if entries else ((), ())
+def compile_lexicon(entries: Iterable[tuple[bytes, bytes]]) -> bytes:
+    """The file of distinct words, given in sorted order, with their ids (little-endian 32-bit
+    numbers). Entries pass by one at a time. No words give an automaton without words."""
     builder = _Builder()
-    for word in words:
+    table, ends, longest = bytearray(), [0], 0
+    for word, ids in entries:
         builder.add(word)
+        table += ids
+        ends.append(len(table) // 4)
+        longest = max(longest, len(word))
     root = builder.finish()
     keys, targets, outputs = [], [], []
     for state, (accepts, *arcs) in enumerate(builder.states):
@@ -74,12 +78,11 @@ def compile_lexicon(entries: Iterable[tuple[bytes, Sequence[int]]]) -> bytes:
             outputs.append(before)
             before += builder.sizes[to]
     parts = {
-        "keys": keys, "targets": targets, "outputs": outputs,
-        "ends": np.cumsum([0, *map(len, ids)]), "id_table": [i for own in ids for i in own],
-        "final": [state[0] for state in builder.states],
+        "keys": keys, "targets": targets, "outputs": outputs, "ends": ends,
+        "id_table": np.frombuffer(table, "<u4"), "final": [state[0] for state in builder.states],
     }
-    head = {"arcs": len(keys), "states": len(builder.states), "words": len(words),
-            "ids": len(parts["id_table"]), "root": root, "longest": max(map(len, words), default=0)}
+    head = {"arcs": len(keys), "states": len(builder.states), "words": len(ends) - 1,
+            "ids": ends[-1], "root": root, "longest": longest}
     return np.array([head[name] for name in _HEAD], "<i8").tobytes() + b"".join(
         np.asarray(parts[name], kind).tobytes() for name, kind, _, _ in _PARTS)
 
