@@ -43,7 +43,7 @@ def random_words(draw, n):
 def test_lexicon_gives_the_ids_of_its_words_and_no_others(tmp_path):
     words = random_words(random.Random(1), 300)
     ids = {w: [i, *range(i % 4)] for i, w in enumerate(words)}
-    (tmp_path / "lexicon").write_bytes(lexicon.compile_lexicon(list(ids.items())))
+    (tmp_path / "lexicon").write_bytes(lexicon.compile_lexicon((w, np.array(i, "<u4").tobytes()) for w, i in ids.items()))
     made = lexicon.Lexicon(str(tmp_path / "lexicon"))
     asked = [*random_words(random.Random(2), 900), b"", b"abcabcabcabc", b"x", *words]
     for word, number in zip(asked, made.numbers(asked).tolist(), strict=True):
@@ -54,7 +54,7 @@ def test_lexicon_gives_the_ids_of_its_words_and_no_others(tmp_path):
 
 def test_lexicon_is_the_smallest_automaton(tmp_path):
     words = random_words(random.Random(3), 200)
-    (tmp_path / "lexicon").write_bytes(lexicon.compile_lexicon([(w, [1]) for w in words]))
+    (tmp_path / "lexicon").write_bytes(lexicon.compile_lexicon((w, b"\0" * 4) for w in words))
     # as many states as there are different sets of endings
     prefixes = {w[:i] for w in words for i in range(len(w) + 1)}
     endings = {frozenset(w[len(p):] for w in words if w.startswith(p)) for p in prefixes}
@@ -87,7 +87,7 @@ def test_encoding_is_the_librarys_whatever_the_lexicon_holds(spark, library, kep
 def test_parts_of_long_texts_join(vocabulary, library, monkeypatch, tmp_path):
     monkeypatch.setattr(bpe, "PART", 50)
     monkeypatch.setattr(bpe, "LOOKED_UP", 20)
-    (tmp_path / "lexicon").write_bytes(lexicon.compile_lexicon([(b"word1", [1])][:0]))
+    (tmp_path / "lexicon").write_bytes(lexicon.compile_lexicon([]))
     texts = [PROSE, *HARD, "x  y\n z " * 40, PROSE + "  " + PROSE]
     made = bpe.Encoder(vocabulary, str(tmp_path / "lexicon"))
     assert list(made.encode(iter(texts))) == library_ids(library, texts)
