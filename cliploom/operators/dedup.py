@@ -1,27 +1,38 @@
-"""Greedy removal of overlapping candidates, run by run.
+"""Greedy removal of overlapping candidates, run by run, in parallel over the time of a run.
 
 Candidates are visited best first; one is dropped when an already kept one overlaps it at or
 above the threshold, and the best such keeper is recorded.
 
 Equal intervals share the fate of the best one among them, so copies are folded first, on the map
-side. The distinct intervals of a run then pass by in order of priority, sorted by Spark, through
-a function that remembers only what it has kept, laid out in cells of (length band, start): an
-interval meets the few kept ones near it. No run is gathered, there are no rounds, and the same
-plan serves every size. Memory follows the kept intervals of one run, which do not overlap each
-other beyond the threshold.
+side. Time is then cut into tiles. What happens to the best TOP open intervals of a tile follows
+from these alone, as far as none reaches over a border, so every tile is settled by itself: an
+interval is sure to be kept if it conflicts with no better one that is not sure to be dropped. An
+interval that reaches over a border is kept if it is free in all its tiles; until then it blocks
+those that conflict with it. All intervals that conflict with the newly kept ones are dropped by a
+join, and the open rest goes on with wider tiles. The best open interval of a run is settled in
+every round, and soon a run is one tile, so rounds follow the logarithm of its length and what fits
+into a tile, never the number of candidates.
+
+No task holds more than TOP intervals of a tile: Spark cuts a tile to its best ones before the
+shuffle, however many a hot run has.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom import rules
 from cliploom.functions.columns import overlap_ratio
+from cliploom.session import write_stage
+
+#: Seconds of a tile at first, how much wider it gets by round, and intervals that it settles.
+TILE, WIDER, TOP = 1800.0, 4, 512
+#: Seconds of a slot, in which intervals look up the kept ones near them.
+SLOT = 30.0
 
 
 class _Cells:
@@ -56,57 +67,108 @@ class _Cells:
         return banded.withColumn("near_slot", F.explode(F.sequence(low, high)))
 
 
-def _keepers(keys: list[str]):
-    """The fold over rows sorted by keys and priority: each row with its keeper's, or nulls."""
-
-    def conflicts(limit, kept, order, start, end):
-        """The first kept interval that overlaps [start, end) enough."""
-        if limit <= 0:
-            return order[0] if order else None
-        length, best = end - start, None
-        if length <= 0 or limit > 1:
-            return None
-        reach = math.ceil(-math.log2(min(1.0, limit))) + 1
-        own = math.floor(math.log2(length))
-        for band in range(own - reach, own + reach + 1):
-            cells, size = kept.get(band), 2.0 ** band
-            if not cells:
-                continue
-            for cell in range(math.floor(start / size) - 2, math.floor(end / size) + 1):
-                for entry in cells.get(cell, ()):
-                    shared = min(end, entry[2]) - max(start, entry[1])
-                    if shared > 0 and (best is None or entry[0] < best[0]) and (
-                            shared / ((entry[2] - entry[1]) + length - shared) >= limit):
-                        best = entry
-        return best
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, kept, order = None, {}, []
-        for frame in frames:
-            found = []
-            owners = frame[keys].itertuples(index=False, name=None)
-            rows = frame[["start", "end", "limit", "total_score", "candidate_id"]].itertuples(
-                index=False, name=None)
-            for owner, (start, end, limit, score, name) in zip(owners, rows, strict=True):
-                if owner != run:
-                    run, kept, order = owner, {}, []
-                keeper = conflicts(limit, kept, order, start, end)
-                if keeper is None:
-                    entry = (len(order), start, end, score, name)
-                    order.append(entry)
-                    if end > start:
-                        band = math.floor(math.log2(end - start))
-                        kept.setdefault(band, {}).setdefault(
-                            math.floor(start / 2.0 ** band), []).append(entry)
-                    found.append((None, None, None, None))
-                else:
-                    found.append((keeper[4], keeper[3], keeper[1], keeper[2]))
-            out = frame[[*keys, "start", "end", "candidate_id", "total_score"]].copy()
-            for i, column in enumerate(("k_id", "k_score", "k_start", "k_end")):
-                out[column] = [f[i] for f in found]
-            yield out
-
-    return fold
+def _conflict(start: Column, end: Column, other_start: Column, other_end: Column, limit: Column
+              ) -> Column:
+    return overlap_ratio(start, end, other_start, other_end) >= limit
+
+
+def _fold(rows: Column) -> Column:
+    """The rows of a tile, best first, that no better row of the tile rules out or leaves open.
+
+    seen holds what may rule others out: `sure` rows are kept, the others are open."""
+    seen_type = "array<struct<start:double,end:double,sure:boolean>>"
+
+    def step(done: Column, x: Column) -> Column:
+        # 2: conflicts with a kept row, 1: with an open one
+        met = F.aggregate(
+            done["seen"], F.lit(0), lambda worst, s: F.greatest(worst, F.when(
+                _conflict(s["start"], s["end"], x["start"], x["end"], x["limit"]),
+                F.when(s["sure"], 2).otherwise(1)).otherwise(0)))
+        return F.transform(F.array(met), lambda m: F.struct(
+            F.when(m == 2, done["seen"]).otherwise(F.concat(done["seen"], F.array(F.struct(
+                x["start"].alias("start"), x["end"].alias("end"),
+                ((m == 0) & ~x["crosses"]).alias("sure"))))).alias("seen"),
+            F.when(m > 0, done["free"]).otherwise(
+                F.concat(done["free"], F.array(x))).alias("free")))[0]
+
+    start = F.struct(F.array().cast(seen_type).alias("seen"), F.slice(rows, 1, 0).alias("free"))
+    return F.aggregate(rows, start, step, lambda done: done["free"])
+
+
+def _sure(open_rows: DataFrame, keys: list[str], width: float, top: int) -> DataFrame:
+    """Open intervals that are sure to be kept: free in every tile in which they lie."""
+    first, last = (F.floor(F.col(c) / width) for c in ("start", "end"))
+    last = F.greatest(first, last)
+    row = F.struct((-F.col("total_score")).alias("priority"), "start", "candidate_id", "end", "limit",
+                   (last > first).alias("crosses"), (last - first + 1).alias("tiles"))
+    order = Window.partitionBy(*keys, "tile").orderBy(*[f"row.{c}" for c in ("priority", "start", "candidate_id")])
+    tiled = open_rows.select(*keys, row.alias("row"), F.explode(F.sequence(first, last)).alias("tile"))
+    best = tiled.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top)
+    free = best.groupBy(*keys, "tile").agg(F.array_sort(F.collect_list("row")).alias("rows")).select(
+        *keys, F.explode(_fold(F.col("rows"))).alias("row"))
+    whole = free.groupBy(*keys, "row").agg(F.count("*").alias("in")).where("in = row.tiles")
+    return whole.select(*keys, "row.start", "row.end", "row.limit",
+                        (-F.col("row.priority")).alias("total_score"), "row.candidate_id")
+
+
+def _beside(kept: DataFrame, longest: DataFrame, keys: list[str]) -> DataFrame:
+    """Kept intervals (k_start, k_end, k_score, k_id) in every slot in which an interval that
+    conflicts with them may start. It starts before they end, and not earlier than its own length
+    before they start; its length is at most theirs over the threshold."""
+    length = F.col("k_end") - F.col("k_start")
+    reach = F.when(F.col("limit") > 0, F.least(
+        F.col("longest"), length / F.col("limit"))).otherwise(F.col("longest"))
+    slots = F.sequence(F.floor((F.col("k_start") - F.greatest(reach, F.lit(0.0))) / SLOT),
+                       F.floor(F.greatest("k_start", "k_end") / SLOT))
+    return (
+        kept.select(*keys, "limit", F.col("start").alias("k_start"), F.col("end").alias("k_end"),
+                    F.col("total_score").alias("k_score"), F.col("candidate_id").alias("k_id"))
+        .join(longest, keys).withColumn("slot", F.explode(slots)).drop("longest", "limit")
+    )
+
+
+def settle(spans: DataFrame, keys: list[str], tile: float = TILE, top: int = TOP
+           ) -> tuple[DataFrame, DataFrame]:
+    """The kept ones of distinct intervals (keys, start, end, limit, total_score, candidate_id),
+    and the longest interval of each key."""
+    longest = write_stage(
+        spans.groupBy(*keys).agg(F.max(F.col("end") - F.col("start")).alias("longest")), "longest")
+    # at a threshold of nothing everything conflicts with the best one, wherever it lies
+    whole = F.min(F.struct((-F.col("total_score")).alias("p"), "start", "candidate_id", "end", "limit"))
+    parts = [
+        spans.where("limit <= 0").groupBy(*keys).agg(whole.alias("b"))
+        .select(*keys, "b.start", "b.end", "b.limit", (-F.col("b.p")).alias("total_score"),
+                "b.candidate_id")]
+    rest, width = spans.where("limit > 0"), tile
+    while True:
+        sure = write_stage(_sure(rest, keys, width, top), "sure")
+        parts.append(sure)
+        same = (F.col("start") == F.col("k_start")) & (F.col("end") == F.col("k_end"))
+        conflict = _conflict(F.col("k_start"), F.col("k_end"), F.col("start"), F.col("end"), F.col("limit"))
+        near = _beside(sure, longest, keys).withColumnsRenamed({k: f"k_{k}" for k in (*keys, "slot")})
+        at = [F.col(k) == F.col(f"k_{k}") for k in (*keys, "slot")]
+        rest = write_stage(
+            rest.withColumn("slot", F.floor(F.col("start") / SLOT))
+            .join(near, [*at, same | conflict], "left_anti").drop("slot"), "open")
+        if rest.isEmpty():
+            break
+        width *= WIDER
+    kept = functools.reduce(DataFrame.unionAll, parts)
+    return kept, longest
+
+
+def rank_kept(kept: DataFrame, keys: list[str]) -> DataFrame:
+    """kept with priority_rank: 1..n over the kept intervals of a key, best first.
+
+    Intervals of better scores are counted once per score; only those of one score are sorted
+    together."""
+    better = Window.partitionBy(*keys).orderBy(F.desc("total_score")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    scores = kept.groupBy(*keys, "total_score").agg(F.count("*").alias("n")).select(
+        *keys, "total_score", F.coalesce(F.sum("n").over(better), F.lit(0)).alias("before"))
+    within = Window.partitionBy(*keys, "total_score").orderBy("start", "candidate_id")
+    return kept.join(scores, [*keys, "total_score"]).withColumn(
+        "priority_rank", (F.col("before") + F.row_number().over(within)).cast("bigint")).drop("before")
 
 
 def greedy_dedup(
@@ -116,9 +178,10 @@ def greedy_dedup(
     eligible: Column | None = None,
     threshold_column: Column | None = None,
 ) -> DataFrame:
-    """Every candidate with its keeper (``kept_id``, ``kept_score``, ``iou``), NULL when kept.
+    """Every candidate with its keeper (``kept_id``, ``kept_score``, ``iou``; NULL when kept) and
+    its ``priority_rank`` among the kept ones of its key (NULL when dropped).
 
-    ``candidates`` holds keys, candidate_id, start, end, total_score; other columns pass
+    ``candidates`` holds keys (not null), candidate_id, start, end, total_score; other columns pass
     through. Rows that are not ``eligible`` neither drop nor are dropped. ``threshold_column``
     gives each key its own threshold (a sweep over policies).
     """
@@ -128,27 +191,34 @@ def greedy_dedup(
     able = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
     marked = candidates.withColumn("_able", able)
     best = F.min(F.struct((-F.col("total_score")).alias("p"), F.col("candidate_id").alias("id")))
-    spans = (
+    spans = write_stage(
         marked.withColumn("limit", limit).where("_able").groupBy(*keys, "start", "end")
         .agg(best.alias("b"), F.first("limit").alias("limit"))
-        .select(*keys, "start", "end", "limit", (-F.col("b.p")).alias("total_score"),
-                F.col("b.id").alias("candidate_id"))
-    )
-    types = dict(spans.dtypes)
-    shape = ", ".join(f"`{k}` {types[k]}" for k in [*keys, "start", "end"])
-    settled = (
-        spans.repartition(*keys)
-        .sortWithinPartitions(*keys, F.col("total_score").desc(), "start", "candidate_id")
-        .mapInPandas(_keepers(keys), f"{shape}, candidate_id {types['candidate_id']}, "
-                     f"total_score double, k_id {types['candidate_id']}, k_score double, "
-                     "k_start double, k_end double")
-        .select(*keys, "start", "end", F.lit(True).alias("_able"), F.coalesce(
-            F.when(F.col("k_id").isNotNull(), F.struct(
-                F.col("k_id").alias("id"), F.col("k_score").alias("score"),
-                F.col("k_start").alias("s"), F.col("k_end").alias("e"))),
-            F.struct(F.col("candidate_id").alias("id"), F.col("total_score").alias("score"),
-                     F.col("start").alias("s"), F.col("end").alias("e"))).alias("_k"))
+        .select(*keys, "start", "end", "limit", (-F.col("b.p")).cast("double").alias("total_score"),
+                F.col("b.id").alias("candidate_id")), "spans")
+    kept, longest = settle(spans, keys)
+    first = kept.where("limit <= 0").select(
+        *keys, F.struct("total_score", "start", "candidate_id", "end").alias("first"))
+    order = F.struct((-F.col("k_score")).alias("p"), "k_start", "k_id", "k_end")
+    conflict = _conflict(F.col("k_start"), F.col("k_end"), F.col("start"), F.col("end"), F.col("limit"))
+    near = (
+        spans.where("limit > 0").withColumn("slot", F.floor(F.col("start") / SLOT))
+        .join(_beside(kept.where("limit > 0"), longest, keys), [*keys, "slot"]).where(conflict)
+        .groupBy(*keys, "start", "end").agg(F.min(order).alias("k"))
+        .select(*keys, "start", "end", F.struct(
+            F.col("k.k_id").alias("id"), (-F.col("k.p")).alias("score"), F.col("k.k_start").alias("s"),
+            F.col("k.k_end").alias("e")).alias("_k"))
     )
+    all_near = near.unionByName(
+        spans.where("limit <= 0").join(first, keys).select(*keys, "start", "end", F.struct(
+            F.col("first.candidate_id").alias("id"), F.col("first.total_score").alias("score"),
+            F.col("first.start").alias("s"), F.col("first.end").alias("e")).alias("_k")))
+    ranks = rank_kept(kept, keys).select(*keys, "start", "end", "priority_rank")
+    settled = spans.join(all_near, [*keys, "start", "end"], "left").join(
+        ranks, [*keys, "start", "end"], "left").select(
+        *keys, "start", "end", F.lit(True).alias("_able"), "priority_rank", F.coalesce("_k", F.struct(
+            F.col("candidate_id").alias("id"), F.col("total_score").alias("score"),
+            F.col("start").alias("s"), F.col("end").alias("e"))).alias("_k"))
     ratio = overlap_ratio(F.col("_k.s"), F.col("_k.e"), F.col("start"), F.col("end"))
     dropped = (F.col("_k.id") != F.col("candidate_id")) & (ratio >= limit)
     return (
@@ -156,6 +226,7 @@ def greedy_dedup(
         .withColumn("iou", F.when(dropped, ratio))
         .withColumn("kept_id", F.when(dropped, F.col("_k.id")))
         .withColumn("kept_score", F.when(dropped, F.col("_k.score")))
+        .withColumn("priority_rank", F.when(F.col("kept_id").isNull(), F.col("priority_rank")))
         .drop("_k", "_able")
     )
 

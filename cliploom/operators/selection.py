@@ -18,25 +18,6 @@ def passes_min_score(total: Column, minimum: Column) -> Column:
     return total + F.lit(rules.SCORE_EPSILON) >= minimum
 
 
-def rank_kept(judged: DataFrame, keys: list[str], kept: Column) -> DataFrame:
-    """1..n over the kept candidates of a run, best first.
-
-    Kept intervals do not overlap beyond the threshold, so how many a run can hold is set by
-    its length in media time, not by how many proposals it received.
-    """
-    # Rows that get no rank are spread out, so they never crowd the ranked ones.
-    lane = F.when(kept, F.lit(-1)).otherwise(F.abs(F.hash("candidate_id")) % 1024)
-    order = Window.partitionBy(*keys, "_lane").orderBy(
-        F.col("total_score").desc(), F.col("start"), F.col("candidate_id")
-    )
-    return (
-        judged.withColumn("_lane", lane)
-        .withColumn("priority_rank",
-                    F.when(F.col("_lane") == -1, F.row_number().over(order).cast("bigint")))
-        .drop("_lane")
-    )
-
-
 def settle(assessed: DataFrame, policy: Policy, keys: list[str] | None = None,
            columns: dict[str, Column] | None = None) -> DataFrame:
     """Give every assessed proposal its one outcome.
@@ -59,7 +40,6 @@ def settle(assessed: DataFrame, policy: Policy, keys: list[str] | None = None,
         ready, policy.dedupe_iou, keys, eligible=valid & strong,
         threshold_column=own.get("dedupe_iou"),
     )
-    ranked = rank_kept(judged, keys, valid & strong & F.col("kept_id").isNull())
     outcome = (
         F.when(~valid, F.lit("invalid"))
         .when(~strong, F.lit("below_min_score"))
@@ -68,7 +48,7 @@ def settle(assessed: DataFrame, policy: Policy, keys: list[str] | None = None,
         .otherwise(F.lit("selected"))
     )
     return (
-        ranked.withColumn("outcome", outcome)
+        judged.withColumn("outcome", outcome)
         .withColumn("rank", F.when(F.col("outcome") == "selected", F.col("priority_rank")))
         .withColumn(
             "status",

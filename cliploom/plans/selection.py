@@ -203,11 +203,8 @@ def greedy_dedup(v: Views) -> DataFrame:
 SELECT run_id, id AS candidate_id, rk AS rank FROM q_ranked WHERE kept_id IS NULL""")
 def global_rank(v: Views) -> DataFrame:
     judged = D.greedy_dedup(_survivors(v), VIEW_POLICY.dedupe_iou)
-    return (
-        S.rank_kept(judged, ["run_id"], F.col("kept_id").isNull())
-        .where("priority_rank IS NOT NULL")
-        .select("run_id", "candidate_id", F.col("priority_rank").alias("rank"))
-    )
+    return judged.where("priority_rank IS NOT NULL").select(
+        "run_id", "candidate_id", F.col("priority_rank").alias("rank"))
 
 
 @plan("top_n_ceiling", """

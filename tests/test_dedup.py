@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cliploom.operators import dedup
 from cliploom.operators.dedup import greedy_dedup, overlap_partners
 
 SCHEMA = "run_id long, candidate_id string, start double, end double, total_score double"
@@ -61,6 +62,40 @@ def test_hot_run_equals_loop(spark, threshold):
     assert run(spark, rows, threshold) == loop(rows, threshold)
 
 
+@pytest.mark.parametrize("tile, top", [(40.0, 3), (100.0, 16), (100000.0, 5)])
+@pytest.mark.parametrize("threshold", [0.6, 0.1])
+def test_tiles_equal_the_loop_however_small(spark, monkeypatch, tile, top, threshold):
+    """Intervals that reach over several borders, a run of a third of all rows, ties in score."""
+    monkeypatch.setattr(dedup.settle, "__defaults__", (tile, top))
+    rng = random.Random(int(tile))
+    rows = [(r, f"c{r}-{i}", s, s + rng.choice([0.0, 5.0, 25.0, 60.0, 300.0]), float(rng.randrange(60, 70)))
+            for r in [1] * 10 + list(range(2, 22)) for i in range(12) for s in [rng.uniform(-50, 600)]]
+    rows = [(r, f"{name}-{i}", *rest) for i, (r, name, *rest) in enumerate(rows)]
+    assert run(spark, rows, threshold) == loop(rows, threshold)
+
+
+def test_ranks_follow_the_priority(spark):
+    rng = random.Random(8)
+    rows = [(i % 3, f"c{i:03d}", s, s + 30.0, float(rng.randrange(60, 64)))
+            for i in range(200) for s in [rng.uniform(0, 3000)]]
+    got = {(r.run_id, r.candidate_id): r.priority_rank
+           for r in greedy_dedup(spark.createDataFrame(rows, SCHEMA), 0.5).collect()}
+    kept = {k for k, keeper in loop(rows, 0.5).items() if keeper is None}
+    want = {}
+    for run_id in range(3):
+        own = sorted((r for r in rows if r[0] == run_id and (r[0], r[1]) in kept),
+                     key=lambda r: (-r[4], r[2], r[1]))
+        want |= {(run_id, r[1]): n for n, r in enumerate(own, 1)}
+    assert got == {(r[0], r[1]): want.get((r[0], r[1])) for r in rows}
+
+
+def test_no_python_runs_in_the_tasks(spark):
+    rows = [(1, f"c{i}", float(i), i + 30.0, 70.0) for i in range(50)]
+    df = greedy_dedup(spark.createDataFrame(rows, SCHEMA), 0.6)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
 def test_fold_equals_loop(spark):
     rng = random.Random(3)
     rows = [(r, f"c{i}", s, s + rng.uniform(20, 90), float(rng.randrange(60, 100)))
