@@ -15,9 +15,8 @@ from cliploom.functions.json import object_keys, shape_problem, starts_list
 from cliploom.rules import Policy
 
 #: Text fields of a proposed candidate and their longest accepted length.
-TEXT_LIMITS = {"topic": 200, "hook": 500, "summary": 2000, "reason": 2000}
 MAX_PROPOSALS = 200
-FIELDS = ("start", "end", "category", *TEXT_LIMITS, "scores")
+FIELDS = ("start", "end", "category", *rules.TEXT_LIMITS, "scores")
 _CANDIDATE = "struct<" + ",".join(f"`{f}`:string" for f in FIELDS) + ">"
 _SCORES = "struct<" + ",".join(f"`{f}`:string" for f in rules.SCORE_NAMES) + ">"
 
@@ -57,7 +56,7 @@ def _candidate_ok(x: Column) -> Column:
         *[x[side].isNotNull() & is_finite(x[side]) for side in ("start", "end")],
         x["item"]["category"].isin(*rules.CATEGORIES),
         *[x["kinds"].rlike(f"[<, ]{name}: STRING") & F.length(x["item"][name]).between(1, limit)
-          for name, limit in TEXT_LIMITS.items()],
+          for name, limit in rules.TEXT_LIMITS.items()],
         *[_score_ok(x["scores"][name]) for name in rules.SCORE_NAMES],
     ]
     verdict = tests[0]
@@ -95,7 +94,7 @@ def proposals_from(checked: DataFrame) -> DataFrame:
     return rows.select(
         "run_id", "chunk_id", F.col("ordinal").cast("bigint").alias("ordinal"),
         item["start"].cast("double").alias("start"), item["end"].cast("double").alias("end"),
-        *[item[f].alias(f) for f in ("category", *TEXT_LIMITS)],
+        *[item[f].alias(f) for f in ("category", *rules.TEXT_LIMITS)],
         F.struct(*[
             scores[n].cast("double").cast("int").alias(n) for n in rules.SCORE_NAMES
         ]).alias("scores"),

@@ -31,11 +31,14 @@ def decision_problems(decisions: DataFrame, runs: DataFrame) -> DataFrame:
         ("original_not_ordered",
          (c("original_start") < 0) | (c("original_end") <= c("original_start"))),
         ("interval_missing", (approved | edited) & ~has_final),
+        ("final_negative", (c("final_start") < 0) | (c("final_end") < 0)),
         ("approved_moved", approved & has_final & _moved()),
         ("edited_not_ordered", edited & (c("final_end") <= c("final_start"))),
         ("edited_not_moved", edited & has_final & ~_moved()),
         ("rejected_with_interval",
          rejected & (c("final_start").isNotNull() | c("final_end").isNotNull())),
+        ("reason_without_rejection",
+         ~rejected & (c("reason").isNotNull() | c("detail").isNotNull())),
         ("unknown_reason", c("reason").isNotNull() & ~c("reason").isin(*rules.EDITORIAL_REASONS)),
         ("detail_without_reason", c("detail").isNotNull() & c("reason").isNull()),
         ("other_needs_detail",

@@ -33,10 +33,11 @@ SELECT CASE WHEN g = 15 THEN -1 - q_faulty0.run_id ELSE q_faulty0.run_id END AS
   CASE WHEN g = 9 THEN candidate_id || 'x' ELSE candidate_id END AS candidate_id,
   CASE WHEN g = 10 THEN os + 0.25 ELSE os END AS os,
   CASE WHEN g = 6 THEN os WHEN g = 12 THEN oe + 0.25 ELSE oe END AS oe,
-  CASE WHEN g = 1 THEN os ELSE ns END AS ns,
+  CASE WHEN g = 1 THEN os WHEN g = 13 AND decision <> 'rejected' THEN -4 ELSE ns END AS ns,
   CASE WHEN g = 0 THEN ne + 0.5 WHEN g = 1 THEN oe WHEN g = 7
     THEN ne + duration_ms / 1000.0::DOUBLE ELSE ne END AS ne,
-  CASE WHEN g = 2 AND decision = 'rejected' THEN 'other' WHEN g = 3 THEN NULL ELSE reason END
+  CASE WHEN g = 2 AND decision = 'rejected' THEN 'other' WHEN g = 3 THEN NULL
+    WHEN g = 14 THEN 'weak_hook' ELSE reason END
     AS reason,
   CASE WHEN g = 2 THEN ' ' WHEN g = 3 THEN 'note' WHEN g = 8 THEN repeat('d', 2001) ELSE detail END
     AS detail,
@@ -63,11 +64,14 @@ SELECT f.run_id, f.candidate_id, f.decision, count(*) AS copies, array_to_string
   CASE WHEN os < 0 OR oe <= os THEN 'original_not_ordered' END,
   CASE WHEN decision IN ('approved', 'edited') AND (ns IS NULL OR ne IS NULL)
     THEN 'interval_missing' END,
+  CASE WHEN ns < 0 OR ne < 0 THEN 'final_negative' END,
   CASE WHEN decision = 'approved' AND {_MOVED} THEN 'approved_moved' END,
   CASE WHEN decision = 'edited' AND ne <= ns THEN 'edited_not_ordered' END,
   CASE WHEN decision = 'edited' AND NOT {_MOVED} THEN 'edited_not_moved' END,
   CASE WHEN decision = 'rejected' AND (ns IS NOT NULL OR ne IS NOT NULL)
     THEN 'rejected_with_interval' END,
+  CASE WHEN decision <> 'rejected' AND (reason IS NOT NULL OR detail IS NOT NULL)
+    THEN 'reason_without_rejection' END,
   CASE WHEN detail IS NOT NULL AND reason IS NULL THEN 'detail_without_reason' END,
   CASE WHEN reason = 'other' AND trim(coalesce(detail, '')) = '' THEN 'other_needs_detail' END,
   CASE WHEN length(detail) > 2000 THEN 'detail_too_long' END,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,7 +149,7 @@ def src_candidate_sets(v: Views) -> DataFrame:
     docs = _ordered(v.selected, "rank", "candidates", [
         c("candidate_id").alias("id"), c("rank"), c("start"), c("end"), c("total_score"),
         c("status")]).select("run_id", damaged(
-            [F.lit(4).cast("bigint").alias("proposed"), c("candidates")], 1).alias("document"))
+            [F.size("candidates").cast("bigint").alias("proposed"), c("candidates")], 1).alias("document"))
     return S.rows_of(S.parse(docs, S.CANDIDATES), "candidates").select(
         "run_id", c("id").alias("candidate_id"), "rank", ms(c("start")).alias("start_ms"),
         ms(c("end")).alias("end_ms"), "total_score")
@@ -248,6 +250,98 @@ def src_stage_configs(v: Views) -> DataFrame:
         "run_id", F.explode("settings").alias("name", "value"))
 
 
+_WORDS = ('[{"word":"a","start":0.0,"end":0.2,"probability":0.5},'
+          '{"word":"b","start":0.2,"end":0.4,"probability":null}]')
+_SCORED = ",".join(f'"{n}":70' for n in rules.SCORE_NAMES)
+_ONE_FILE = ('{"candidate_id":"cand_1","rank":1,"start":1.0,"end":30.0,"filename":"clip-1.mp4",'
+             f'"sha256":"{"0a" * 32}"' + "}")
+#: Sound documents of each kind (the run's id and length are put in), and what breaks one rule of
+#: each: its name, a piece of the text, and what stands there instead.
+VALUE_FAULTS: dict[str, tuple[S.Kind, str, tuple[tuple[str, str, str], ...]]] = {
+    "transcript": (S.TRANSCRIPT, (
+        '{"schema_version":%d,"run_id":RUN,"language":"es","language_probability":0.98,'
+        '"duration_seconds":LENGTH,"model":"small","created_at":"2024-01-01T00:00:00Z",'
+        '"segments":[{"index":0,"start":0.0,"end":0.4,"text":"a b","words":%s}]}') % (
+            rules.TRANSCRIPT_SCHEMA_VERSION, _WORDS), (
+        ("probability_out_of_range", '"probability":0.5', '"probability":7'),
+        ("probability_out_of_range", "0.98", "9"),
+        ("words_not_sorted", '"start":0.2', '"start":-0.0,"end":0.1},{"word":"c","start":0.3,'
+                             '"end":0.3},{"word":"d","start":0.1'),
+        ("timestamp_not_utc", "2024-01-01", "2024-99-01"),
+        ("not_finite", "LENGTH", "1e400"),
+        ("duration_not_positive", "LENGTH", "0"),
+        ("word_outside_segment", '"end":0.2', '"end":0.9'),
+        ("wrong_shape", '"index":0', '"index":"0"'))),
+    "batches": (S.BATCHES, (
+        '{"schema_version":1,"run_id":RUN,"model":"m","batches":[{"chunk_id":"chunk_0000",'
+        '"raw_response":"text","model":"m","candidates":[{"start":1.0,"end":LENGTH,'
+        '"category":"tip","topic":"t","hook":"h","summary":"s","reason":"r",'
+        '"scores":{%s},"warnings":[]}]}]}') % _SCORED, (
+        ("rating_out_of_range", '"clarity":70', '"clarity":900'),
+        ("rating_out_of_range", '"hook":70', '"hook":-1'),
+        ("unknown_category", '"tip"', '"zzz"'),
+        ("text_out_of_bounds", '"topic":"t"', '"topic":"' + "t" * 500 + '"'),
+        ("text_out_of_bounds", '"hook":"h"', '"hook":""'),
+        ("too_many_warnings", "[]", "[" + ",".join(['"w"'] * 21) + "]"),
+        ("other_model", '"model":"m","candidates"', '"model":"n","candidates"'),
+        ("name_missing", '"chunk_0000"', '""'),
+        ("not_finite", '"start":1.0', '"start":1e999'))),
+    "candidates": (S.CANDIDATES, (
+        '{"schema_version":1,"run_id":RUN,"proposed":3,"candidates":[{"id":"cand_1","rank":1,'
+        '"start":0.0,"end":LENGTH,"total_score":80.5,"status":"suggested"},{"id":"cand_2",'
+        '"rank":2,"start":0.0,"end":LENGTH,"total_score":70,"status":"suggested"}]}'), (
+        ("proposed_too_few", '"proposed":3', '"proposed":0'),
+        ("unsafe_identifier", '"cand_1"', '"../x"'),
+        ("score_out_of_range", "80.5", "800.5"),
+        ("ranks_not_contiguous", '"rank":2', '"rank":3'),
+        ("listed_twice", "cand_2", "cand_1"))),
+    "chunks": (S.CHUNKS, (
+        '{"schema_version":1,"run_id":RUN,"chunks":[{"id":"chunk_0000","index":0,'
+        '"window_start":0.0,"window_end":120.0,"start":0.0,"end":LENGTH}]}'), (
+        ("unsafe_identifier", "chunk_0000", "chunk 0"),
+        ("not_ordered", '"window_end":120.0', '"window_end":0.0'),
+        ("not_finite", "120.0", "1e400"))),
+    "decisions": (S.DECISIONS, (
+        '{"schema_version":1,"run_id":RUN,"source_duration_seconds":LENGTH,'
+        '"created_at":"2024-01-01T00:00:00Z","updated_at":"2024-01-02T00:00:00Z","decisions":['
+        '{"candidate_id":"cand_1","decision":"rejected","original_start":0.0,"original_end":0.1,'
+        '"reason":"other","detail":"note","reviewed_at":"2024-01-01T10:00:00Z"}]}'), (
+        ("other_needs_detail", '"note"', '" "'),
+        ("other_needs_detail", ',"detail":"note"', ""),
+        ("detail_without_reason", '"reason":"other",', ""),
+        ("detail_too_long", '"note"', '"' + "d" * 3000 + '"'),
+        ("original_beyond_source", '"original_end":0.1', '"original_end":1e12'),
+        ("rejected_with_interval", '"reason"', '"final_start":0.0,"reason"'),
+        ("reason_without_rejection", '"rejected"', '"approved","final_start":0.0,"final_end":0.1'))),
+    "clips": (S.CLIP_INDEX, (
+        '{"schema_version":2,"run_id":RUN,"width":1080,"height":1920,"clips":[%s]}') % _ONE_FILE, (
+        ("unsafe_identifier", "cand_1", "../x"), ("unsafe_filename", "clip-1.mp4", "/etc/passwd"),
+        ("bad_digest", "0a" * 32, "zz"), ("dimensions_not_positive", "1080", "0"))),
+    "previews": (S.PREVIEW_INDEX, (
+        '{"schema_version":1,"run_id":RUN,"width":540,"height":960,"previews":[%s]}') % _ONE_FILE, (
+        ("unsafe_identifier", "cand_1", "a/b"), ("unsafe_filename", "clip-1.mp4", "..mp4"),
+        ("bad_digest", "0a" * 32, "0A" * 32), ("ranks_not_contiguous", '"rank":1', '"rank":2'))),
+}
+
+
+@plan("src_value_rules", " UNION ALL ".join(
+    f"""SELECT run_id, '{name}' AS kind, {["ok", *[f[0] for f in faults]]}
+  [1 + run_id % {len(faults) + 1}] AS verdict FROM q_runs""" for name, (_, _, faults) in VALUE_FAULTS.items()))
+def src_value_rules(v: Views) -> DataFrame:
+    """A document of every kind and run, each with one value that its kind forbids, or sound."""
+    made = []
+    for name, (kind, sound, faults) in VALUE_FAULTS.items():
+        f = (F.col("run_id") % (len(faults) + 1)).cast("int")
+        old = F.element_at(F.array(*[F.lit(x) for x in ("", *[f[1] for f in faults])]), f + 1)
+        new = F.element_at(F.array(*[F.lit(x) for x in ("", *[f[2] for f in faults])]), f + 1)
+        text = F.when(f == 0, F.lit(sound)).otherwise(F.replace(F.lit(sound), old, new))
+        text = F.replace(text, F.lit("RUN"), F.col("run_id").cast("string"))
+        text = F.replace(text, F.lit("LENGTH"), F.col("duration").cast("string"))
+        docs = v.runs.select("run_id", text.alias("document"))
+        made.append(_verdicts(S.parse(docs, kind), F.lit(name).alias("kind")))
+    return functools.reduce(DataFrame.unionByName, made)
+
+
 @plan("src_file_digests")
 def src_file_digests(v: Views) -> DataFrame:
     """Inventory of the given files themselves."""

@@ -428,13 +428,15 @@ class Views:
             .alias("original_start"),
             F.when(c("g") == 6, c("original_start")).when(c("g") == 12, c("original_end") + 0.25)
             .otherwise(c("original_end")).alias("original_end"),
-            F.when(c("g") == 1, c("original_start")).otherwise(c("final_start"))
-            .alias("final_start"),
+            F.when(c("g") == 1, c("original_start"))
+            .when((c("g") == 13) & (c("decision") != "rejected"), F.lit(-4.0))
+            .otherwise(c("final_start")).alias("final_start"),
             F.when(c("g") == 0, c("final_end") + 0.5).when(c("g") == 1, c("original_end"))
             .when(c("g") == 7, c("final_end") + seconds("duration_ms"))
             .otherwise(c("final_end")).alias("final_end"),
             F.when((c("g") == 2) & (c("decision") == "rejected"), F.lit("other"))
-            .when(c("g") == 3, none).otherwise(c("reason")).alias("reason"),
+            .when(c("g") == 3, none).when(c("g") == 14, F.lit("weak_hook"))
+            .otherwise(c("reason")).alias("reason"),
             F.when(c("g") == 2, F.lit(" ")).when(c("g") == 3, F.lit("note"))
             .when(c("g") == 8, F.repeat(F.lit("d"), 2001)).otherwise(c("detail")).alias("detail"),
             F.when(c("g") == 4, F.lit("2024-01-01T00:00:00+02:00"))

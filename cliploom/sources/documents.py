@@ -85,11 +85,39 @@ def fits(value: str, shape: Shape, depth: int = 0) -> str:
     return f"({' AND '.join(tests)})"
 
 
+def infinite(value: str, shape: Shape, depth: int = 0) -> str | None:
+    """SQL: whether a number of a value read by its shape is infinite (1e400 is JSON, but no
+    double holds it). None where the shape has no such numbers."""
+    item = f"n{depth}"
+    if isinstance(shape, str):
+        return f"abs({value}) = double('Infinity')" if shape.startswith("number") else None
+    if isinstance(shape, dict):
+        tests = [t for name, inner in shape.items()
+                 if (t := infinite(f"{value}.{name.rstrip('?')}", inner, depth))]
+        return f"({' OR '.join(tests)})" if tests else None
+    rows = value if isinstance(shape, list) else f"map_values({value})"
+    inner = infinite(item, shape[0] if isinstance(shape, list) else shape[1], depth + 1)
+    return f"exists({rows}, {item} -> {inner})" if inner else None
+
+
 def _not_utc(name: str) -> str:
-    return (f"NOT ({name} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}"
+    return (f"(try_to_timestamp({name}) IS NULL OR NOT {_utc_form(name)})")
+
+
+def _utc_form(name: str) -> str:
+    return (f"({name} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}"
             "([.][0-9]+)?(Z|[+]00:00)$')")
 
 
+def _unsafe(name: str) -> str:
+    """An identifier that names a file may hold letters, digits, _ and - only."""
+    return f"NOT ({name} RLIKE '^[A-Za-z0-9_-]+$')"
+
+
+def _outside(name: str, least: int, most: int) -> str:
+    return f"length({name}) NOT BETWEEN {least} AND {most}"
+
+
 def _among(values: tuple[str, ...]) -> str:
     return "(" + ",".join(f"'{v}'" for v in values) + ")"
 
@@ -113,6 +141,8 @@ TRANSCRIPT = Kind(
      "segments": [{"index": "int", "start": "number", "end": "number", "text": "string",
                    "words": [_WORD]}]},
     (("duration_not_positive", "duration_seconds <= 0"),
+     ("probability_out_of_range", "language_probability NOT BETWEEN 0 AND 1 OR " + _any(
+         "segments", "exists(r.words, w -> coalesce(w.probability NOT BETWEEN 0 AND 1, false))")),
      ("timestamp_not_utc", _not_utc("created_at")),
      ("indices_not_contiguous", _any("segments", "r.index <> i")),
      ("segment_not_ordered", _any("segments", "r.start < 0 OR r.end < r.start")),
@@ -120,18 +150,31 @@ TRANSCRIPT = Kind(
      ("word_not_ordered", _any("segments", "exists(r.words, w -> w.end < w.start)")),
      ("word_outside_segment", _any(
          "segments", "exists(r.words, w -> w.start < r.start - 1e-6 OR w.end > r.end + 1e-6)")),
+     ("words_not_sorted", _any(
+         "segments", "exists(transform(r.words, (w, k) -> k > 0 AND w.start < "
+                     "get(r.words, k - 1).start), x -> x)")),
      ("beyond_duration", _any("segments", "r.end > duration_seconds"))),
 )
 BATCHES = Kind(
     1,
     {**_HEAD, "model": "string",
      "batches": [{
-         "chunk_id": "string", "raw_response": "string", "error?": "string",
+         "chunk_id": "string", "raw_response": "string", "error?": "string", "model?": "string",
          "candidates": [{
              "start": "number", "end": "number", "category": "string", "topic": "string",
              "hook": "string", "summary": "string", "reason": "string",
              "scores": {name: "int" for name in rules.SCORE_NAMES}, "warnings": ["string"]}]}]},
-    (("chunk_answered_twice", _twice("batches", "chunk_id")),
+    (("name_missing", "model = '' OR " + _any("batches", "r.chunk_id = ''")),
+     ("chunk_answered_twice", _twice("batches", "chunk_id")),
+     ("other_model", _any("batches", "r.model IS NOT NULL AND r.model <> model")),
+     ("rating_out_of_range", _any("batches", "exists(r.candidates, c -> " + " OR ".join(
+         f"c.scores.{name} NOT BETWEEN 0 AND 100" for name in rules.SCORE_NAMES) + ")")),
+     ("unknown_category", _any(
+         "batches", f"exists(r.candidates, c -> c.category NOT IN {_among(rules.CATEGORIES)})")),
+     ("text_out_of_bounds", _any("batches", "exists(r.candidates, c -> " + " OR ".join(
+         _outside(f"c.{name}", 1, most) for name, most in rules.TEXT_LIMITS.items()) + ")")),
+     ("too_many_warnings", _any(
+         "batches", f"exists(r.candidates, c -> size(c.warnings) > {rules.MAX_WARNINGS})")),
      ("failed_and_answered", _any("batches", "r.error IS NOT NULL AND size(r.candidates) > 0"))),
 )
 CANDIDATES = Kind(
@@ -139,7 +182,9 @@ CANDIDATES = Kind(
     {**_HEAD, "proposed": "int",
      "candidates": [{"id": "string", "rank": "int", "start": "number", "end": "number",
                      "total_score": "number", "status": "string"}]},
-    (("ranks_not_contiguous", _any("candidates", "r.rank <> i + 1")),
+    (("proposed_too_few", "proposed < size(candidates)"),
+     ("unsafe_identifier", _any("candidates", _unsafe("r.id"))),
+     ("ranks_not_contiguous", _any("candidates", "r.rank <> i + 1")),
      ("listed_twice", _twice("candidates", "id")),
      ("not_ordered", _any("candidates", "r.start < 0 OR r.end <= r.start")),
      ("score_out_of_range", _any("candidates", "r.total_score < 0 OR r.total_score > 100")),
@@ -149,7 +194,8 @@ CHUNKS = Kind(
     1,
     {**_HEAD, "chunks": [{"id": "string", "index": "int", "window_start": "number",
                           "window_end": "number", "start": "number", "end": "number"}]},
-    (("indices_not_contiguous", _any("chunks", "r.index <> i")),
+    (("unsafe_identifier", _any("chunks", _unsafe("r.id"))),
+     ("indices_not_contiguous", _any("chunks", "r.index <> i")),
      ("listed_twice", _twice("chunks", "id")),
      ("not_ordered", _any("chunks", "r.end < r.start OR r.window_end <= r.window_start"))),
 )
@@ -181,18 +227,32 @@ DECISIONS = Kind(
      ("reason_without_rejection", _any(
          "decisions",
          "r.decision <> 'rejected' AND (r.reason IS NOT NULL OR r.detail IS NOT NULL)")),
+     ("detail_without_reason", _any("decisions", "r.detail IS NOT NULL AND r.reason IS NULL")),
+     ("other_needs_detail", _any(
+         "decisions", "r.reason = 'other' AND trim(coalesce(r.detail, '')) = ''")),
+     ("detail_too_long", _any("decisions", f"length(r.detail) > {rules.DETAIL_MAX_LENGTH}")),
      ("decided_twice", _twice("decisions", "candidate_id")),
+     ("original_beyond_source", _any(
+         "decisions", "r.original_end > source_duration_seconds + 1e-6")),
      ("beyond_source", _any("decisions", "r.final_end > source_duration_seconds + 1e-6"))),
 )
 _FILE = {"candidate_id": "string", "rank": "int", "start": "number", "end": "number",
          "filename": "string", "sha256": "string"}
-_FILE_RULES = (
-    ("dimensions_not_positive", "width <= 0 OR height <= 0"),
-)
+
+
+def _file_rules(rows: str) -> tuple[tuple[str, str], ...]:
+    return (
+        ("dimensions_not_positive", "width <= 0 OR height <= 0"),
+        ("unsafe_identifier", _any(rows, _unsafe("r.candidate_id"))),
+        ("unsafe_filename", _any(rows, "NOT (r.filename RLIKE '^[A-Za-z0-9_-]+[.][A-Za-z0-9]+$')")),
+        ("bad_digest", _any(rows, "NOT (r.sha256 RLIKE '^[0-9a-f]{64}$')")),
+    )
+
+
 #: Clip ranks keep the gaps that rejections leave; preview ranks have none.
 CLIP_INDEX = Kind(
     2, {**_HEAD, "width": "int", "height": "int", "clips": [_FILE]},
-    (*_FILE_RULES,
+    (*_file_rules("clips"),
      ("not_ordered", _any("clips", "r.start < 0 OR r.end <= r.start")),
      ("listed_twice", _twice("clips", "candidate_id")),
      ("ranks_not_increasing", _any(
@@ -200,7 +260,7 @@ CLIP_INDEX = Kind(
 )
 PREVIEW_INDEX = Kind(
     1, {**_HEAD, "width": "int", "height": "int", "previews": [_FILE]},
-    (*_FILE_RULES,
+    (*_file_rules("previews"),
      ("not_ordered", _any("previews", "r.start < 0 OR r.end <= r.start")),
      ("listed_twice", _twice("previews", "candidate_id")),
      ("ranks_not_contiguous", _any("previews", "r.rank <> i + 1"))),
@@ -231,7 +291,8 @@ def parse(docs: DataFrame, kind: Kind, text: str = "document") -> DataFrame:
     """Add ``doc`` (the typed content) and ``problem`` (NULL when accepted).
 
     Tests are in this order: the text is one JSON object, its version, its field names, names and
-    kinds at every level (``wrong_shape``), then the rules of the kind. A rule about an optional
+    kinds at every level (``wrong_shape``), numbers beyond a double (``not_finite``), then the rules
+    of the kind. A rule about an optional
     field that is absent does not apply; no other value can be missing by then.
     """
     body = F.col(text)
@@ -251,6 +312,7 @@ def parse(docs: DataFrame, kind: Kind, text: str = "document") -> DataFrame:
         ("missing_field", F.size(F.array_except(needed, "_keys")) > 0),
         ("unknown_field", F.size(F.array_except("_keys", names)) > 0),
         ("wrong_shape", ~F.coalesce("_fits", F.lit(False))),
+        ("not_finite", F.coalesce(F.expr(infinite("doc", kind.shape) or "false"), F.lit(False))),
         *[(name, F.coalesce(F.col(f"_rule_{name}"), F.lit(False))) for name, _ in kind.rules],
     ]
     return inner.withColumn(
