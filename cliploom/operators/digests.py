@@ -77,20 +77,30 @@ def config_digest(settings: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sha2(F.array_join(F.array_sort(F.collect_set(entry)), "|"), 256).alias("config_sha256"))
 
 
-def stage_fingerprints(digests: dict[str, tuple[DataFrame, str]], stages: dict[str, list[str]],
-                       runs: DataFrame) -> DataFrame:
-    """(run_id, stage, fingerprint): per stage, the digest of its inputs in order.
+def stage_fingerprints(inputs: DataFrame, stages: dict[str, list[str]]) -> DataFrame:
+    """(run_id, stage, fingerprint, inputs_sha256): per stage, the digest of all that it was made
+    from, and that of the inputs it reads itself.
 
-    ``digests`` names (frame, column) pairs, each frame one row per run; each is joined once.
-    ``stages`` lists a stage's inputs: names of digests, or of stages before it, so that a change
-    anywhere upstream reaches every fingerprint downstream.
+    ``inputs`` has one row per run with a digest column per input. ``stages`` lists a stage's
+    inputs: names of those columns, or of stages before it, so that a change anywhere upstream
+    reaches every fingerprint downstream.
     """
+    row = inputs
+    for stage, names in stages.items():
+        label = F.lit(f"{stage}-v1")
+        parts = [F.col(f"s_{n}" if n in stages else n) for n in names]
+        row = row.withColumns({
+            f"s_{stage}": digest(label, *parts),
+            f"i_{stage}": digest(label, *[F.col(n) for n in names if n not in stages])})
+    entries = F.array(*[F.struct(
+        F.lit(stage).alias("stage"), F.col(f"s_{stage}").alias("fingerprint"),
+        F.col(f"i_{stage}").alias("inputs_sha256")) for stage in stages])
+    return row.select("run_id", F.inline(entries))
+
+
+def per_run(runs: DataFrame, digests: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """One row per run with a column per (frame, column); each frame has one row per run."""
     row = runs.select("run_id")
     for name, (frame, column) in digests.items():
-        row = row.join(frame.select("run_id", F.col(column).alias(f"d_{name}")), "run_id", "left")
-    for stage, inputs in stages.items():
-        named = [F.col(f"s_{i}") if i in stages else F.col(f"d_{i}") for i in inputs]
-        row = row.withColumn(f"s_{stage}", digest(F.lit(f"{stage}-v1"), *named))
-    entries = F.array(*[F.struct(F.lit(stage).alias("stage"),
-                                 F.col(f"s_{stage}").alias("fingerprint")) for stage in stages])
-    return row.select("run_id", F.inline(entries))
+        row = row.join(frame.select("run_id", F.col(column).alias(name)), "run_id", "left")
+    return row

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliploom import rules
 from cliploom.functions.columns import ms
+from cliploom.operators import review as R
 from cliploom.operators.selection import funnel
 from cliploom.plans.lineage import settings, stage_records
 from cliploom.plans.audits import clip_index
@@ -17,7 +19,7 @@ from cliploom.plans.views import Views
 from cliploom.session import shared_folder
 from cliploom.sources import documents as S
 from cliploom.sources import media as M
-from cliploom.sources import sinks as K
+from cliploom.sources.store import publish, published
 
 #: Verdict of each damage, by run_id % 11; all other documents are sound.
 _DAMAGE = """CASE run_id % 11 WHEN 0 THEN 'schema_version' WHEN 1 THEN 'not_json'
@@ -392,14 +394,18 @@ def src_media_probe(v: Views) -> DataFrame:
 
 
 @plan("sink_tables", """
-SELECT run_id, run_id % 8 AS run_bucket, count(*) AS proposed,
-  count_if(outcome = 'selected')::BIGINT AS selected FROM q_outcomes GROUP BY run_id""")
+SELECT r.run_id, proposed, selected, coalesce(decided, 0) AS decided FROM (
+  SELECT run_id, count(*) AS proposed, count_if(outcome = 'selected')::BIGINT AS selected
+  FROM q_outcomes GROUP BY run_id) r
+LEFT JOIN (SELECT run_id, count(*) AS decided FROM q_decisions GROUP BY run_id) d USING (run_id)""")
 def sink_tables(v: Views) -> DataFrame:
-    """Everything is computed, written partition by partition, and read back."""
-    import uuid
-
-    path = f"{shared_folder(v.spark)}/sink-{uuid.uuid4().hex}"
-    rows = funnel(v.outcomes).select(
-        "run_id", (F.col("run_id") % 8).alias("run_bucket"), "proposed", "selected")
-    K.write_partitions(rows, path, ["run_bucket"])
-    return v.spark.read.parquet(path).withColumn("run_bucket", F.col("run_bucket").cast("bigint"))
+    """Two tables published as one version after all checks, and read back by its mark."""
+    root = f"{shared_folder(v.spark)}/published-{uuid.uuid4().hex}"
+    sound = R.decision_problems(v.decisions, v.runs).where(F.size("problems") > 0)
+    publish(v.spark, root, {"funnel": funnel(v.outcomes).select("run_id", "proposed", "selected"),
+                            "decisions": v.decisions.select("run_id", "candidate_id", "decision")},
+            {"unsound decisions": sound})
+    found = published(v.spark, root)
+    decided = found["decisions"].groupBy("run_id").agg(F.count("*").alias("decided"))
+    return found["funnel"].join(decided, "run_id", "left").withColumn(
+        "decided", F.coalesce("decided", F.lit(0).cast("bigint")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +13,11 @@ from cliploom.functions.columns import digest, unix_newlines
 from cliploom.operators import digests as D
 from cliploom.operators import states as S
 from cliploom.operators.replies import MAX_PROPOSALS
+from cliploom.plans.audits import clip_index
 from cliploom.plans.registry import part, plan
 from cliploom.plans.views import Views
+from cliploom.session import shared_folder, write_stage
+from cliploom.sources.store import StageStore
 
 _SCORES = ", ".join("sc_" + n for n in rules.SCORE_NAMES)
 
@@ -123,97 +129,160 @@ FROM q_t1_{name} GROUP BY run_id, b // 1024""")
 SELECT run_id, sha256(string_agg(d, '|' ORDER BY b)) AS d FROM q_t2_{name} GROUP BY run_id""")
 
 
-for _name in ("chunks", "raw", "outcomes", "decisions", "clips"):
+part("q_leaf_files", "SELECT run_id, rank AS pos, sha AS d FROM q_index_full")
+for _name in ("chunks", "raw", "outcomes", "decisions", "clips", "files"):
     _tree_parts(_name)
 
-part("q_fingerprints", """
-SELECT run_id, unnest(['transcription', 'analysis', 'preview', 'review', 'render']) AS stage,
-  unnest([transcribed, analysed, previewed, reviewed, rendered]) AS fingerprint
-FROM (SELECT r.run_id,
-    sha256('audio:' || r.run_id || ':' || r.duration_ms) AS audio,
-    sha256(concat_ws('|', 'transcription-v1', audio, tsha, config_sha256)) AS transcribed,
-    sha256(concat_ws('|', 'analysis-v1', transcribed, coalesce(c.d, '~'), coalesce(p.d, '~'),
-      coalesce(o.d, '~'), config_sha256)) AS analysed,
-    sha256(concat_ws('|', 'preview-v1', analysed, coalesce(o.d, '~'), config_sha256)) AS previewed,
-    sha256(concat_ws('|', 'review-v1', analysed, previewed, coalesce(x.d, '~'), config_sha256))
-      AS reviewed,
-    sha256(concat_ws('|', 'render-v1', reviewed, coalesce(k.d, '~'), config_sha256)) AS rendered
-  FROM q_runs r JOIN q_transcript USING (run_id) JOIN q_config USING (run_id)
-  LEFT JOIN q_t3_chunks c USING (run_id) LEFT JOIN q_t3_raw p USING (run_id)
-  LEFT JOIN q_t3_outcomes o USING (run_id) LEFT JOIN q_t3_decisions x USING (run_id)
-  LEFT JOIN q_t3_clips k USING (run_id))""")
-
-
-def fingerprints(v: Views) -> DataFrame:
+#: Per stage, the digests and the stages before it that it is made from.
+STAGE_INPUTS = {
+    "transcription": ["audio", "text", "config"],
+    "analysis": ["transcription", "chunks", "raw", "outcomes", "config"],
+    "preview": ["analysis", "outcomes", "config"],
+    "review": ["analysis", "preview", "decisions", "config"],
+    "render": ["review", "clips", "files", "config"],
+}
+_INPUTS = ("audio", "text", "chunks", "raw", "outcomes", "decisions", "clips", "files", "config")
+#: What had another value when the stages were recorded: input, and runs by remainder.
+CHANGED = {"text": (11, 3), "audio": (13, 4), "decisions": (7, 2), "files": (17, 5), "config": (19, 6)}
+
+part("q_inputs", """
+SELECT r.run_id, sha256(coalesce(documents.text, '')) AS audio, tsha AS text, c.d AS chunks,
+  p.d AS raw, o.d AS outcomes, x.d AS decisions, k.d AS clips, f.d AS files, config_sha256 AS config
+FROM q_runs r JOIN documents ON doc_id = r.run_id
+  JOIN q_transcript t ON t.run_id = r.run_id JOIN q_config g ON g.run_id = r.run_id
+  LEFT JOIN q_t3_chunks c ON c.run_id = r.run_id LEFT JOIN q_t3_raw p ON p.run_id = r.run_id
+  LEFT JOIN q_t3_outcomes o ON o.run_id = r.run_id LEFT JOIN q_t3_decisions x ON x.run_id = r.run_id
+  LEFT JOIN q_t3_clips k ON k.run_id = r.run_id LEFT JOIN q_t3_files f ON f.run_id = r.run_id""")
+part("q_inputs_then", "SELECT run_id, " + ", ".join(
+    f"CASE WHEN run_id % {CHANGED[n][0]} = {CHANGED[n][1]} THEN sha256('then|' || coalesce({n}, '~')) "
+    f"ELSE {n} END AS {n}" if n in CHANGED else n for n in _INPUTS) + " FROM q_inputs")
+
+
+def _chain(source: str) -> str:
+    """SQL of the fingerprints that follow from a table of inputs."""
+    def joined(stage: str, names: list[str]) -> str:
+        return f"sha256(concat_ws('|', '{stage}-v1', " + ", ".join(
+            f"s_{n}" if n in STAGE_INPUTS else f"coalesce({n}, '~')" for n in names) + "))"
+
+    sql = f"SELECT * FROM {source}"
+    for stage, names in STAGE_INPUTS.items():
+        own = joined(stage, [n for n in names if n not in STAGE_INPUTS])
+        sql = f"SELECT *, {joined(stage, names)} AS s_{stage}, {own} AS i_{stage} FROM ({sql})"
+    columns = [", ".join(f"{kind}_{stage}" for stage in STAGE_INPUTS) for kind in "si"]
+    return (f"SELECT run_id, config, unnest({list(STAGE_INPUTS)}) AS stage, "
+            f"unnest([{columns[0]}]) AS fingerprint, unnest([{columns[1]}]) AS inputs FROM ({sql})")
+
+
+part("q_fingerprints", _chain("q_inputs"))
+part("q_fingerprints_then", _chain("q_inputs_then"))
+
+
+def stage_inputs(v: Views) -> DataFrame:
+    """One row per run with the digest of everything a stage may be made from."""
     c = F.col
 
     def whole(x: str):
         return F.round(c(x) * 1000).cast("bigint")
 
     def tree(df: DataFrame, at, *parts) -> DataFrame:
-        leaves = df.select("run_id", at.alias("at"), digest(*parts).alias("leaf"))
-        return D.tree_digest(leaves, ["run_id"], "at", "leaf", "d")
+        return leaves(df.select("run_id", at.alias("at"), digest(*parts).alias("leaf")))
+
+    def leaves(df: DataFrame) -> DataFrame:
+        return D.tree_digest(df, ["run_id"], "at", "leaf", "d")
 
     # a reply holds MAX_PROPOSALS at most, so chunks keep apart and the order is that of reading
     chunk = F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("bigint")
     place = chunk * MAX_PROPOSALS + c("ordinal")
-    chunks = tree(v.chunks, c("chunk_index"), c("chunk_id"), whole("start"), whole("end"))
-    raw = v.proposals.select("run_id", place.alias("at"), _content().alias("leaf"))
-    raw = D.tree_digest(raw, ["run_id"], "at", "leaf", "d")
-    outcomes = tree(v.outcomes, place, c("candidate_id"), c("outcome"), c("rank"),
-                    whole("start"), whole("end"))
-    decisions = tree(v.decisions, c("rank"), c("candidate_id"), c("decision"),
-                     whole("final_start"), whole("final_end"), c("reason"), c("detail"))
-    clips = tree(v.targets, c("rank"), c("candidate_id"), whole("start"), whole("end"))
-    heard = F.concat_ws(":", F.lit("audio"), c("run_id").cast("string"),
-                        c("duration_ms").cast("string"))
-    return D.stage_fingerprints({
-        "audio": (v.runs_ms.select("run_id", F.sha2(heard, 256).alias("d")), "d"),
+    heard = v.table("documents").select(
+        c("doc_id").alias("run_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("d"))
+    return D.per_run(v.runs, {
+        "audio": (heard, "d"),
         "text": (v.transcript_digests, "transcript_sha256"),
-        "chunks": (chunks, "d"), "raw": (raw, "d"), "outcomes": (outcomes, "d"),
-        "decisions": (decisions, "d"), "clips": (clips, "d"),
+        "chunks": (tree(v.chunks, c("chunk_index"), c("chunk_id"), whole("start"), whole("end")), "d"),
+        "raw": (leaves(v.proposals.select("run_id", place.alias("at"), _content().alias("leaf"))), "d"),
+        "outcomes": (tree(v.outcomes, place, c("candidate_id"), c("outcome"), c("rank"),
+                          whole("start"), whole("end")), "d"),
+        "decisions": (tree(v.decisions, c("rank"), c("candidate_id"), c("decision"),
+                           whole("final_start"), whole("final_end"), c("reason"), c("detail")), "d"),
+        "clips": (tree(v.targets, c("rank"), c("candidate_id"), whole("start"), whole("end")), "d"),
+        "files": (leaves(clip_index(v).select(
+            "run_id", c("rank").alias("at"), c("sha256").alias("leaf"))), "d"),
         "config": (D.config_digest(settings(v), ["run_id"]), "config_sha256"),
-    }, {
-        "transcription": ["audio", "text", "config"],
-        "analysis": ["transcription", "chunks", "raw", "outcomes", "config"],
-        "preview": ["analysis", "outcomes", "config"],
-        "review": ["analysis", "preview", "decisions", "config"],
-        "render": ["review", "clips", "config"],
-    }, v.runs)
+    })
+
+
+def inputs_then(inputs: DataFrame) -> DataFrame:
+    """The inputs as they were when the stages were recorded."""
+    def old(name: str):
+        return F.sha2(F.concat(F.lit("then|"), F.coalesce(name, F.lit("~"))), 256)
+
+    return inputs.withColumns({
+        name: F.when(F.col("run_id") % n == rest, old(name)).otherwise(F.col(name))
+        for name, (n, rest) in CHANGED.items()})
 
 
 @plan("stage_fingerprints", "SELECT run_id, stage, fingerprint FROM q_fingerprints")
 def stage_fingerprints(v: Views) -> DataFrame:
-    return fingerprints(v)
+    return D.stage_fingerprints(stage_inputs(v), STAGE_INPUTS).drop("inputs_sha256")
 
 
 _STAGE_NO = "list_position(['inspect', 'audio', 'transcription', 'analysis', 'preview', 'review', 'render'], stage)"
 
 
 @plan("reuse_audit", f"""
-SELECT run_id, stage, CASE f WHEN 0 THEN 'missing' WHEN 1 THEN 'schema_differs'
-  WHEN 2 THEN 'config_changed' WHEN 3 THEN 'incoherent' WHEN 4 THEN 'inputs_differ'
-  WHEN 5 THEN 'fingerprint_differs' WHEN 6 THEN 'settings_differ' ELSE 'reusable' END AS verdict
-FROM (SELECT run_id, stage, (run_id * 5 + {_STAGE_NO}) % 13 AS f FROM q_fingerprints)""")
+SELECT n.run_id, n.stage, CASE WHEN f = 0 THEN 'missing' WHEN f = 1 THEN 'schema_differs'
+  WHEN t.config <> n.config THEN 'config_changed' WHEN f = 3 THEN 'incoherent'
+  WHEN t.inputs <> n.inputs THEN 'inputs_differ'
+  WHEN t.fingerprint <> n.fingerprint THEN 'fingerprint_differs'
+  WHEN f = 6 THEN 'settings_differ' ELSE 'reusable' END AS verdict
+FROM (SELECT *, (run_id * 5 + {_STAGE_NO}) % 13 AS f FROM q_fingerprints) n
+JOIN q_fingerprints_then t USING (run_id, stage)""")
 def reuse_audit(v: Views) -> DataFrame:
+    """What is wanted now beside what the runs wrote down when some inputs were others: a stage is
+    reusable only if nothing that it was made from, at any distance, has changed since."""
     c = F.col
     f = (c("run_id") * 5 + S.stage_position()) % 13
-    config = D.config_digest(settings(v), ["run_id"])
-    base = fingerprints(v).join(config, "run_id").withColumn("f", f)
-    inputs = F.concat(F.lit("in-"), c("run_id").cast("string"))
-    wanted = base.select(
-        "run_id", "stage", "fingerprint", "config_sha256",
+    now = write_stage(stage_inputs(v), "inputs")
+    then = inputs_then(now)
+
+    def made(inputs: DataFrame) -> DataFrame:
+        return D.stage_fingerprints(inputs, STAGE_INPUTS).join(
+            inputs.select("run_id", c("config").alias("config_sha256")), "run_id").withColumn("f", f)
+
+    wanted = made(now).select(
+        "run_id", "stage", "fingerprint", "config_sha256", "inputs_sha256",
         F.when(c("f") == 6, F.lit("new")).otherwise(c("config_sha256"))
-        .alias("wanted_config_sha256"),
-        inputs.alias("inputs_sha256"), (c("f") == 3).alias("incoherent"))
-    recorded = base.where("f <> 0").select(
+        .alias("wanted_config_sha256"), (c("f") == 3).alias("incoherent"))
+    recorded = made(then).where("f <> 0").select(
         "run_id", "stage", F.when(c("f") == 1, 2).otherwise(1).alias("schema_version"),
-        F.when(c("f") == 2, F.lit("old")).otherwise(c("config_sha256")).alias("config_sha256"),
-        F.when(c("f") == 4, F.lit("old")).otherwise(inputs).alias("inputs_sha256"),
-        F.when(c("f") == 5, F.lit("old")).otherwise(c("fingerprint")).alias("fingerprint"))
+        "config_sha256", "inputs_sha256", "fingerprint")
     return S.reuse_verdicts(wanted, recorded)
 
 
+part("q_todo", """
+SELECT n.run_id, n.stage FROM q_fingerprints n
+JOIN q_fingerprints_then t USING (run_id, stage) WHERE n.fingerprint <> t.fingerprint""")
+
+
+@plan("stages_to_do", """
+SELECT stage, count(*) AS runs, sum(run_id)::BIGINT AS run_ids FROM q_todo GROUP BY stage""")
+def stages_to_do(v: Views) -> DataFrame:
+    """Stages are stored as they were then; what a store still has to compute now is exactly what
+    is made from something that has changed."""
+    now = write_stage(stage_inputs(v), "inputs")
+    store = StageStore(v.spark, f"{shared_folder(v.spark)}/store-{uuid.uuid4().hex}")
+    before = D.stage_fingerprints(inputs_then(now), STAGE_INPUTS)
+    wanted = D.stage_fingerprints(now, STAGE_INPUTS)
+    todo = []
+    for stage in STAGE_INPUTS:
+        own = before.where(F.col("stage") == stage)
+        store.ensure(stage, own, lambda runs: runs.select("run_id"))
+        todo.append(store.missing(stage, wanted.where(F.col("stage") == stage)).select(
+            "run_id", F.lit(stage).alias("stage")))
+    return functools.reduce(DataFrame.unionAll, todo).groupBy("stage").agg(
+        F.count("*").alias("runs"), F.sum("run_id").alias("run_ids"))
+
+
 part("q_records", """
 SELECT run_id, stage, (1700000000 + run_id * 100 + list_position(['inspect', 'audio',
   'transcription', 'analysis', 'preview', 'review', 'render'], stage)

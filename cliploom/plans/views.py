@@ -19,7 +19,7 @@ from cliploom.operators.digests import candidate_identifier, transcript_digest
 from cliploom.operators.proposals import assess, place
 from cliploom.operators.selection import settle
 from cliploom.rules import Policy
-from cliploom.session import write_stage
+from cliploom.session import files_of, stage_table
 
 VIEW_POLICY = Policy(window_seconds=120.0, overlap_seconds=30.0, target=5, max_candidates=5)
 
@@ -42,18 +42,12 @@ def seconds(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column) / F.lit(1000.0)
 
 
-#: Stage tables already written by this session, by (application, folder, stage).
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
-
-
 def staged(build: Callable[[Views], DataFrame]) -> cached_property:
-    """A view that several later steps read: written once, as the stages of a run are."""
+    """A view that several later steps read: written once, as the stages of a run are, and found
+    again by later queries and sessions as long as the given tables are the same."""
 
     def read(views: Views) -> DataFrame:
-        key = (views.spark.sparkContext.applicationId, views.folder, build.__name__)
-        if key not in _WRITTEN:
-            _WRITTEN[key] = write_stage(build(views), build.__name__)
-        return _WRITTEN[key]
+        return stage_table(views.spark, build.__name__, views.inputs, lambda: build(views))
 
     return cached_property(read)
 
@@ -65,6 +59,12 @@ class Views:
         self.spark = spark
         self.folder = folder
 
+    @cached_property
+    def inputs(self) -> str:
+        """What the given tables are: their files, sizes and times of change."""
+        tables = [f"{self.folder}/{name}.parquet" for name in ("documents", "events", "conversations")]
+        return repr(files_of(self.spark, *tables))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
