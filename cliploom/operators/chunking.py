@@ -27,9 +27,11 @@ def chunk_line(start: Column, end: Column, text: Column) -> Column:
     )
 
 
-def window_segments(segments: DataFrame, runs: DataFrame, policy: Policy) -> DataFrame:
-    """(run, window k, segment) for every segment sharing time with window k (strictly)."""
-    stride, width = F.lit(policy.stride), F.lit(policy.window_seconds)
+def window_segments(segments: DataFrame, runs: DataFrame, policy: Policy,
+                    grid: tuple[Column, Column] | None = None) -> DataFrame:
+    """(run, window k, segment) for every segment sharing time with window k (strictly). ``grid``
+    gives each segment row its own stride and width instead of the policy's."""
+    stride, width = grid or (F.lit(policy.stride), F.lit(policy.window_seconds))
     first = F.greatest(F.floor((F.col("start") - width) / stride) - 1, F.lit(0))
     last = F.greatest(F.ceil(F.col("end") / stride) + 1, F.lit(0))
     k = F.col("window_k")
@@ -50,9 +52,10 @@ def window_segments(segments: DataFrame, runs: DataFrame, policy: Policy) -> Dat
     )
 
 
-def _numbered(per_window: DataFrame, skip_covered: bool) -> DataFrame:
+def _numbered(per_window: DataFrame, skip_covered: bool, keys: tuple[str, ...] = ("run_id",)
+              ) -> DataFrame:
     """Number the emitted windows; ordering spans windows of one run, bounded by its length."""
-    order = Window.partitionBy("run_id").orderBy("window_k")
+    order = Window.partitionBy(*keys).orderBy("window_k")
     marked = per_window.withColumn("_before", F.lag("window_k").over(order)).withColumn(
         "_covered", F.coalesce(F.col("latest_first_k") <= F.col("_before"), F.lit(False))
     )
@@ -90,6 +93,23 @@ def chunk_extents(
     return _numbered(per_window, skip_covered)
 
 
+def chunk_extents_by_grid(segments: DataFrame, runs: DataFrame,
+                          grids: dict[str, tuple[float, float]]) -> DataFrame:
+    """chunk_extents under several (stride, width) at once, keyed by (grid_id, run_id): one pass
+    over the segments, each of which is repeated once per grid."""
+    table = F.array(*[F.struct(F.lit(name).alias("grid_id"), F.lit(float(stride)).alias("stride"),
+                               F.lit(float(width)).alias("width"))
+                      for name, (stride, width) in grids.items()])
+    placed = window_segments(
+        segments.select("run_id", "start", "end", F.inline(table)), runs, Policy(),
+        (F.col("stride"), F.col("width")))
+    keys = ("grid_id", "run_id")
+    per_window = placed.groupBy(*keys, "window_k", "window_start", "window_end", "duration").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"),
+        F.count("*").alias("segment_count"), F.max("first_k").alias("latest_first_k"))
+    return _numbered(per_window, False, keys)
+
+
 def build_chunks(
     segments: DataFrame, runs: DataFrame, policy: Policy, skip_covered: bool = False
 ) -> DataFrame:

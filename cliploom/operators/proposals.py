@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cliploom import rules
 from cliploom.functions.columns import reasons
+from cliploom.operators.ledger import ranked
 from cliploom.rules import Policy
 
 
@@ -27,6 +28,24 @@ def place(proposals: DataFrame, chunks: DataFrame) -> DataFrame:
     return proposals.join(where, ["run_id", "chunk_id"], "left")
 
 
+ANSWER_PROBLEMS = ("unknown_chunk", "answered_twice", "other_model")
+
+
+def answer_problems(answers: DataFrame, chunks: DataFrame, models: DataFrame) -> DataFrame:
+    """(run_id, problem, rank): answers (run_id, chunk_id, model) that do not belong to a run whose
+    chunks and model (run_id, model) are known. An answer that names no model is not held to one."""
+    known = chunks.select("run_id", "chunk_id", F.lit(True).alias("_known"))
+    asked = models.select("run_id", F.col("model").alias("_asked"))
+    copies = answers.groupBy("run_id", "chunk_id").agg(F.count("*").alias("_copies"))
+    return ranked(
+        answers.join(known, ["run_id", "chunk_id"], "left").join(asked, "run_id", "left")
+        .join(copies, ["run_id", "chunk_id"]).select("run_id", F.explode(reasons([
+            ("unknown_chunk", F.col("_known").isNull()),
+            ("answered_twice", F.col("_copies") > 1),
+            ("other_model", F.col("model") != F.col("_asked")),
+        ])).alias("problem")), ANSWER_PROBLEMS)
+
+
 def bucket_seconds(snap: float) -> float:
     return max(10.0, 4.0 * snap)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cliploom import rules
 from cliploom.functions.columns import close, first_problem, is_blank, is_utc_stamp, reasons
+from cliploom.operators.ledger import admitted, ledger, ranked
 
 KEYS = ["run_id", "candidate_id"]
 
@@ -76,19 +77,38 @@ def pending(selected: DataFrame, decisions: DataFrame) -> DataFrame:
     return selected.join(decisions.select(*KEYS), KEYS, "left_anti")
 
 
+TARGET_PROBLEMS = ("decided_twice", "not_selected", "original_start_differs",
+                   "original_end_differs", "pending")
+
+
+def target_problems(selected: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(run_id, problem, rank): everything that keeps a run's review from naming its clips."""
+    c = F.col
+    own = selected.select(*KEYS, c("start").alias("_start"), c("end").alias("_end"))
+    told = decisions.join(own, KEYS, "left").select("run_id", F.explode(reasons([
+        ("not_selected", c("_start").isNull()),
+        ("original_start_differs", ~close(c("original_start"), c("_start"))),
+        ("original_end_differs", ~close(c("original_end"), c("_end"))),
+    ])).alias("problem"))
+    twice = decisions.groupBy(*KEYS).count().where("count > 1").select(
+        "run_id", F.lit("decided_twice").alias("problem"))
+    late = pending(selected, decisions).select("run_id", F.lit("pending").alias("problem"))
+    return ranked(twice.unionAll(told).unionAll(late), TARGET_PROBLEMS)
+
+
 def clip_targets(selected: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Intervals to cut for runs whose review is finished; ranks keep their gaps.
+    """Intervals to cut for runs whose review is finished and fits the shortlist; ranks keep their
+    gaps. A run with any of target_problems has no clips at all.
 
     An approval takes the candidate's own interval, an edit the reviewer's.
     """
     taken = decisions.select(*KEYS, "decision", "final_start", "final_end")
-    open_runs = pending(selected, decisions).select("run_id").distinct()
+    refused = ledger({"review": target_problems(selected, decisions)})
     edited = F.col("decision") == "edited"
     return (
-        selected.select(*KEYS, "rank", "start", "end", "category", "total_score")
+        admitted(selected.select(*KEYS, "rank", "start", "end", "category", "total_score"), refused)
         .join(taken, KEYS)
         .where(F.col("decision").isin("approved", "edited"))
-        .join(open_runs, "run_id", "left_anti")
         .select(
             *KEYS, "rank", "decision", "category", "total_score",
             F.col("start").alias("original_start"), F.col("end").alias("original_end"),

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom import rules
 from cliploom.functions.columns import reasons
+from cliploom.operators.chunking import chunk_extents_by_grid
 from cliploom.operators.dedup import greedy_dedup
-from cliploom.operators.proposals import assess, place
+from cliploom.operators.proposals import (
+    assess, place, snap, validation_reasons, weighted_total, with_anchors,
+)
 from cliploom.rules import Policy
 
 OUTCOMES = ("invalid", "below_min_score", "deduplicated", "not_in_top_n", "selected")
@@ -154,12 +159,25 @@ def policy_problems() -> Column:
     ])
 
 
+def _differing(policies: dict[str, Policy]) -> set[str]:
+    first, *others = policies.values()
+    return {f.name for f in dataclasses.fields(Policy)
+            if any(getattr(p, f.name) != getattr(first, f.name) for p in others)}
+
+
+AFTER_SCORING = ("min_score", "dedupe_iou", "max_candidates")
+
+
 def sweep(assessed: DataFrame, policies: dict[str, Policy]) -> DataFrame:
-    """Funnels of the same proposals under several policies that differ after scoring.
+    """Funnels of the same proposals under several policies that differ after scoring; any other
+    difference is an error (`sweep_all` takes it).
 
     One pass: every proposal is repeated once per policy, with the few columns the funnel needs,
     and the key becomes (policy_id, run_id).
     """
+    ignored = _differing(policies) - {*AFTER_SCORING, "target"}
+    if ignored:
+        raise ValueError(f"policies differ before scoring: {', '.join(sorted(ignored))}")
     table = F.array(*[F.struct(
         F.lit(name).alias("policy_id"), F.lit(p.min_score).alias("min_score"),
         F.lit(p.dedupe_iou).alias("dedupe_iou"), F.lit(p.max_candidates).alias("max_candidates"))
@@ -168,5 +186,63 @@ def sweep(assessed: DataFrame, policies: dict[str, Policy]) -> DataFrame:
         "run_id", "candidate_id", "start", "end", "adjusted_start", "adjusted_end",
         "total_score", "invalid_reasons", F.explode(table).alias("p")).select("*", "p.policy_id")
     keys = ["policy_id", "run_id"]
-    own = {name: F.col(f"p.{name}") for name in ("min_score", "dedupe_iou", "max_candidates")}
+    own = {name: F.col(f"p.{name}") for name in AFTER_SCORING}
     return funnel(settle(slim, next(iter(policies.values())), keys, own), keys)
+
+
+#: What a sweep over whole policies gives each row of its own. The target only guides a reviewer.
+SWEPT = (*AFTER_SCORING, "window_seconds", "overlap_seconds", "snap_seconds", "min_duration",
+         "max_duration", "weights", "target")
+
+
+def outcomes_by_policy(proposals: DataFrame, segments: DataFrame, words: DataFrame,
+                       runs: DataFrame, policies: dict[str, Policy]) -> DataFrame:
+    """The outcome of every proposal under every policy, keyed by (policy_id, run_id); each policy's
+    rows are those of a run of its own over chunks of its own.
+
+    What policies share is done once: chunks once per (stride, width), the look-up of spoken edges
+    in one index at the largest snap, once per (grid, snap). Only then is a proposal repeated for
+    every policy, with its durations, weights, threshold and limits."""
+    unknown = _differing(policies) - set(SWEPT)
+    if unknown:
+        raise ValueError(f"policies differ in what is not swept: {', '.join(sorted(unknown))}")
+    grids = {(p.stride, p.window_seconds): None for p in policies.values()}
+    grids = {f"grid-{i}": grid for i, grid in enumerate(grids)}
+    named = {grid: name for name, grid in grids.items()}
+    sights = {(named[p.stride, p.window_seconds], float(p.snap_seconds)): None for p in policies.values()}
+    chunks = chunk_extents_by_grid(segments, runs, grids).select(
+        "grid_id", "run_id", "chunk_id", "window_start", "window_end", "duration",
+        F.col("start").alias("chunk_start"), F.col("end").alias("chunk_end"))
+    sight = F.array(*[F.struct(F.lit(grid).alias("grid_id"), F.lit(reach).alias("snap_seconds"))
+                      for grid, reach in sights])
+    placed = proposals.select("*", F.inline(sight)).join(
+        chunks, ["grid_id", "run_id", "chunk_id"], "left")
+    seen = with_anchors(placed, segments, words, max(p.snap_seconds for p in policies.values()),
+                        F.col("snap_seconds"))
+    table = F.array(*[F.struct(
+        F.lit(name).alias("policy_id"), F.lit(named[p.stride, p.window_seconds]).alias("grid"),
+        F.lit(float(p.snap_seconds)).alias("snap"),
+        F.lit(float(p.min_duration)).alias("min_duration"),
+        F.lit(float(p.max_duration)).alias("max_duration"),
+        F.lit(float(p.min_score)).alias("min_score"), F.lit(float(p.dedupe_iou)).alias("dedupe_iou"),
+        F.lit(p.max_candidates).alias("max_candidates"),
+        F.array(*[F.lit(w).cast("decimal(5,4)") for w in p.weights]).alias("weights"))
+        for name, p in policies.items()])
+    rows = seen.withColumn("p", F.explode(table)).where(
+        (F.col("p.grid") == F.col("grid_id")) & (F.col("p.snap") == F.col("snap_seconds"))
+    ).withColumn("policy_id", F.col("p.policy_id"))
+    low, high = F.col("p.min_duration"), F.col("p.max_duration")
+    weights = [F.get("p.weights", F.lit(i)) for i in range(len(rules.SCORE_NAMES))]
+    checked = rows.withColumn("invalid_reasons", validation_reasons(low, high))
+    assessed = snap(checked, low, high).withColumn(
+        "total_score", weighted_total(weights).cast("double")
+    ).drop("start_anchor", "end_anchor", "start_grounded", "end_grounded")
+    own = {name: F.col(f"p.{name}") for name in AFTER_SCORING}
+    return settle(assessed, next(iter(policies.values())), ["policy_id", "run_id"], own).drop("p")
+
+
+def sweep_all(proposals: DataFrame, segments: DataFrame, words: DataFrame, runs: DataFrame,
+              policies: dict[str, Policy]) -> DataFrame:
+    """Funnels of the same proposals under several policies, whatever these differ in."""
+    return funnel(outcomes_by_policy(proposals, segments, words, runs, policies),
+                  ["policy_id", "run_id"])

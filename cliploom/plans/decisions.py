@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from cliploom import rules
 from cliploom.functions.columns import ms
+from cliploom.operators import proposals as P
 from cliploom.operators import review as V
+from cliploom.operators.ledger import admitted, ledger
 from cliploom.plans.registry import part, plan
 from cliploom.plans.views import Views
 
@@ -153,3 +155,63 @@ QUALIFY row_number() OVER (PARTITION BY run_id, candidate_id ORDER BY ts DESC, e
 """)
 def latest_decision(v: Views) -> DataFrame:
     return V.latest_decision(v.decision_log)
+
+
+part("q_answers", """
+SELECT run_id, CASE WHEN (run_id + chunk_index) % 41 = 0 THEN 'chunk_9999'
+    WHEN (run_id + chunk_index) % 43 = 1 THEN 'chunk_0000' ELSE chunk_id END AS chunk_id,
+  CASE WHEN (run_id + chunk_index) % 37 = 2 THEN 'other' WHEN chunk_index % 3 = 0 THEN NULL
+    ELSE 'm' || run_id % 3 END AS model FROM q_chunks""")
+part("q_refusals", """
+SELECT f.run_id, 'review' AS operator, 2 AS step, CASE WHEN s.fs IS NULL THEN 2 END AS rank
+FROM q_faulty f LEFT JOIN q_selected s USING (run_id, candidate_id) WHERE s.fs IS NULL
+UNION ALL SELECT f.run_id, 'review', 2, 3 FROM q_faulty f JOIN q_selected s USING (run_id, candidate_id)
+WHERE abs(f.os - s.fs) > 1e-6
+UNION ALL SELECT f.run_id, 'review', 2, 4 FROM q_faulty f JOIN q_selected s USING (run_id, candidate_id)
+WHERE abs(f.oe - s.fe) > 1e-6
+UNION ALL SELECT run_id, 'review', 2, 1 FROM q_faulty GROUP BY run_id, candidate_id HAVING count(*) > 1
+UNION ALL SELECT run_id, 'review', 2, 5 FROM q_selected
+WHERE (run_id, candidate_id) NOT IN (SELECT (run_id, candidate_id) FROM q_faulty)
+UNION ALL SELECT run_id, 'analysis', 1, 1 FROM q_answers
+WHERE (run_id, chunk_id) NOT IN (SELECT (run_id, chunk_id) FROM q_chunks)
+UNION ALL SELECT a.run_id, 'analysis', 1, 2 FROM q_answers a JOIN (
+  SELECT run_id, chunk_id FROM q_answers GROUP BY ALL HAVING count(*) > 1) t USING (run_id, chunk_id)
+UNION ALL SELECT run_id, 'analysis', 1, 3 FROM q_answers WHERE model <> 'm' || run_id % 3""")
+
+
+@plan("run_refusals", f"""
+SELECT run_id, first.operator AS operator, CASE first.operator
+  WHEN 'analysis' THEN {list(P.ANSWER_PROBLEMS)}[first.rank]
+  ELSE {list(V.TARGET_PROBLEMS)}[first.rank] END AS problem, n AS n_problems
+FROM (SELECT run_id, min({{'step': step, 'rank': rank, 'operator': operator}}) AS first, count(*) AS n
+  FROM q_refusals GROUP BY run_id)""")
+def run_refusals(v: Views) -> DataFrame:
+    """Runs that an analysis or a review cannot stand for, with the first thing wrong."""
+    return ledger({
+        "analysis": P.answer_problems(answers(v), v.chunks, models(v)),
+        "review": V.target_problems(v.selected, v.faulty_decisions)})
+
+
+def answers(v: Views) -> DataFrame:
+    """Answers to chunks; some name another chunk or another model."""
+    c = F.col
+    at = c("run_id") + c("chunk_index")
+    return v.chunks.select(
+        "run_id", F.when(at % 41 == 0, F.lit("chunk_9999")).when(at % 43 == 1, F.lit("chunk_0000"))
+        .otherwise(c("chunk_id")).alias("chunk_id"),
+        F.when(at % 37 == 2, F.lit("other")).when(c("chunk_index") % 3 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("m"), (c("run_id") % 3).cast("string"))).alias("model"))
+
+
+def models(v: Views) -> DataFrame:
+    return v.runs.select("run_id", F.concat(
+        F.lit("m"), (F.col("run_id") % 3).cast("string")).alias("model"))
+
+
+@plan("admitted_targets", """
+SELECT t.run_id, candidate_id, rank FROM q_targets t WHERE t.run_id NOT IN (
+  SELECT run_id FROM q_refusals WHERE step = 1)""")
+def admitted_targets(v: Views) -> DataFrame:
+    """Clips of runs that nothing before has refused."""
+    refused = ledger({"analysis": P.answer_problems(answers(v), v.chunks, models(v))})
+    return admitted(v.targets, refused).select("run_id", "candidate_id", "rank")

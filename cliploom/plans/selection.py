@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -321,3 +324,16 @@ def policy_sweep(v: Views) -> DataFrame:
         "short_list": rules.Policy(min_score=65, dedupe_iou=0.6, max_candidates=2),
     }
     return S.sweep(v.assessed, policies)
+
+
+@plan("policy_sweep_windows")
+def policy_sweep_windows(v: Views) -> DataFrame:
+    """Policies that differ in windows, overlap, snap, durations and weights; tests compare each
+    with a run of its own."""
+    change = functools.partial(dataclasses.replace, VIEW_POLICY)
+    return S.sweep_all(v.proposals, v.segments, v.words, v.runs, {
+        "base": VIEW_POLICY, "wide": change(window_seconds=240.0),
+        "overlapping": change(overlap_seconds=60.0), "loose_snap": change(snap_seconds=5.0),
+        "short_clips": change(min_duration=10.0, max_duration=45.0),
+        "hook_first": change(weights=("0.50", "0.10", "0.10", "0.10", "0.10", "0.10"), min_score=75),
+    })

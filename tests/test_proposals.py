@@ -1,12 +1,16 @@
 """Validation, snapping, scoring and the funnel on the twelve-segment grid."""
 
+import dataclasses
+import functools
 import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from cliploom.operators import chunking, proposals, selection
+from cliploom.operators import chunking, proposals, review, selection
+from cliploom.operators.ledger import admitted, ledger
+from cliploom.plans.views import VIEW_POLICY, Views
 from cliploom.rules import Policy
 
 POLICY = Policy(window_seconds=360.0, overlap_seconds=30.0)
@@ -215,3 +219,78 @@ def test_permutations(spark):
         out = selection.select_candidates(rows, chunks, segments, words, POLICY)
         seen.add(tuple(sorted((r.candidate_id, r.outcome, r.rank) for r in out.collect())))
     assert len(seen) == 1
+
+
+def test_every_swept_policy_equals_a_run_of_its_own(spark):
+    v = Views(spark, "/root/testdata/sf0.001")
+    change = functools.partial(dataclasses.replace, VIEW_POLICY)
+    policies = {
+        "base": VIEW_POLICY, "wide": change(window_seconds=240.0),
+        "overlapping": change(overlap_seconds=60.0), "loose_snap": change(snap_seconds=5.0),
+        "tight_snap": change(snap_seconds=0.5, overlap_seconds=60.0, target=3),
+        "short_clips": change(min_duration=10.0, max_duration=45.0, dedupe_iou=0.3),
+        "hook_first": change(weights=("0.50", "0.10", "0.10", "0.10", "0.10", "0.10"), min_score=75,
+                             max_candidates=2)}
+    columns = ["run_id", "chunk_id", "ordinal", "candidate_id", "outcome", "rank", "start", "end",
+               "total_score", "kept_id", "iou", "invalid_reasons", "reverted"]
+    swept = selection.outcomes_by_policy(v.proposals, v.segments, v.words, v.runs, policies)
+    rows = swept.select("policy_id", *columns).collect()
+    funnels = {}
+    for name, policy in policies.items():
+        chunks = chunking.chunk_extents(v.segments, v.runs, policy)
+        alone = selection.select_candidates(v.proposals, chunks, v.segments, v.words, policy)
+        got = sorted((r[1:] for r in rows if r.policy_id == name), key=str)
+        want = sorted(map(tuple, alone.select(*columns).collect()), key=str)
+        assert got == want, name
+        funnels[name] = sorted(r[4] for r in got)
+    assert all(funnels[n] != funnels["base"] for n in policies if n != "base")
+
+
+def test_a_difference_that_a_sweep_would_ignore_is_an_error(spark):
+    v = Views(spark, "/root/testdata/sf0.001")
+    change = functools.partial(dataclasses.replace, VIEW_POLICY)
+    for other in (change(snap_seconds=5.0), change(window_seconds=200.0), change(max_duration=50.0),
+                  change(weights=("0.50", "0.10", "0.10", "0.10", "0.10", "0.10"))):
+        with pytest.raises(ValueError, match="differ before scoring"):
+            selection.sweep(v.assessed, {"a": VIEW_POLICY, "b": other})
+    selection.sweep(v.assessed, {"a": VIEW_POLICY, "b": change(target=2)})
+
+
+def test_answers_that_belong_elsewhere_refuse_their_run(spark):
+    chunks = spark.createDataFrame([(r, f"chunk_{i}") for r in (1, 2, 3, 4) for i in range(2)],
+                                   "run_id long, chunk_id string")
+    models = spark.createDataFrame([(r, "m") for r in (1, 2, 3, 4)], "run_id long, model string")
+    answers = spark.createDataFrame(
+        [(1, "chunk_0", "m"), (1, "chunk_1", None), (2, "chunk_0", "n"), (2, "chunk_7", "m"),
+         (3, "chunk_0", "m"), (3, "chunk_0", "m"), (4, "chunk_0", "n"), (9, "chunk_0", "m")],
+        "run_id long, chunk_id string, model string")
+    found = ledger({"analysis": proposals.answer_problems(answers, chunks, models)})
+    assert {(r.run_id, r.problem, r.n_problems) for r in found.collect()} == {
+        (2, "unknown_chunk", 2), (3, "answered_twice", 2), (4, "other_model", 1),
+        (9, "unknown_chunk", 1)}
+    assert {r.run_id for r in admitted(chunks, found).collect()} == {1}
+
+
+def test_reviews_that_do_not_fit_give_no_clips_at_all(spark):
+    selected = spark.createDataFrame(
+        [(run, f"c{i}", i, 10.0 * i, 10.0 * i + 30, "tip", 80.0) for run in range(1, 8) for i in (1, 2)],
+        "run_id long, candidate_id string, rank long, start double, end double, category string, "
+        "total_score double")
+    def decided(run, name, i, **other):
+        row = {"run_id": run, "candidate_id": name, "decision": "approved",
+               "original_start": 10.0 * i, "original_end": 10.0 * i + 30,
+               "final_start": 10.0 * i, "final_end": 10.0 * i + 30} | other
+        return tuple(row.values())
+    rows = [decided(run, f"c{i}", i) for run in range(1, 7) for i in (1, 2)]
+    rows += [decided(2, "c1", 1), decided(3, "c9", 9), decided(7, "c1", 1)]
+    rows = [r for r in rows if r[:2] not in {(4, "c1"), (5, "c2")}]
+    rows += [decided(4, "c1", 1, original_start=11.0), decided(5, "c2", 2, original_end=49.0)]
+    decisions = spark.createDataFrame(rows, (
+        "run_id long, candidate_id string, decision string, original_start double, "
+        "original_end double, final_start double, final_end double"))
+    clips = review.clip_targets(selected, decisions).collect()
+    assert sorted((c.run_id, c.candidate_id) for c in clips) == [(1, "c1"), (1, "c2"), (6, "c1"), (6, "c2")]
+    refused = ledger({"review": review.target_problems(selected, decisions)}).collect()
+    assert {(r.run_id, r.problem) for r in refused} == {
+        (2, "decided_twice"), (3, "not_selected"), (4, "original_start_differs"),
+        (5, "original_end_differs"), (7, "pending")}
