@@ -2,7 +2,7 @@
 
 from cliploom.plans import (  # noqa: F401
     checks_base, normalization, selection, answers, decisions, captions, audits, lineage, evaluation,
-    documents, streams,
+    documents, identity, streams,
 )
 from cliploom.plans.registry import oracle_sql, queries
 

@@ -73,6 +73,13 @@ def files_of(spark: SparkSession, *paths: str) -> list[FileState]:
     return sorted(found)
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Remove folders of this library's own, in whatever store they are."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @functools.cache
 def code_version() -> str:
     """A digest of this library's sources: other code makes other tables."""

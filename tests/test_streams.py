@@ -1,7 +1,9 @@
 """Streams over several files: batches merge, and rows past the watermark are late."""
 
+import uuid
 from datetime import datetime, timedelta
 
+from cliploom.session import files_of, remove, shared_folder
 from cliploom.streaming import reviews
 
 LOG = "run_id long, candidate_id string, ts timestamp, event_id long, decision string"
@@ -40,3 +42,34 @@ def test_late_usage_is_left_out(spark, tmp_path):
     got = {r.window_start.day: (r.calls, r.tokens)
            for r in reviews.usage_windows(usage).collect()}
     assert got == {1: (3, 31), 2: (1, 5), 3: (2, 9)}
+
+
+def test_many_batches_leave_a_table_as_large_as_its_keys(spark):
+    folder = f"{shared_folder(spark)}/test-{uuid.uuid4().hex}"
+    table = reviews.ChangedTable(spark, folder, ["id"], ["n"], merged=4)
+    want = {}
+    for number in range(30):
+        rows = [(i, 100 * number + i) for i in range(number % 3, 6, 2)]
+        want |= dict(rows)
+        frame = spark.createDataFrame(rows, "id long, n long")
+        table.land(frame, number)
+        if number % 7 == 0 or (number + 1) % 4 == 0:
+            table.land(frame, number)  # a retry, also of the batch that merged
+        assert {r.id: r.n for r in table.read().collect()} == want
+    parts = {f.path.split("/batch=")[1].split("/")[0] for f in files_of(spark, folder)}
+    assert len(parts) <= 10  # two versions, and the changes since the one before
+    versions = [f for f in files_of(spark, f"{folder}/table") if f.path.endswith("_SUCCESS")]
+    assert len(versions) == 2
+    assert spark.read.parquet(versions[-1].path.removesuffix("/_SUCCESS")).count() == len(want)
+
+
+def test_a_version_that_died_is_made_again(spark):
+    folder = f"{shared_folder(spark)}/test-{uuid.uuid4().hex}"
+    table = reviews.ChangedTable(spark, folder, ["id"], ["n"], merged=2)
+    one = spark.createDataFrame([(1, 1)], "id long, n long")
+    table.land(one, 0)
+    # the version of batch 1 was begun, and has no mark
+    one.selectExpr("id", "5L AS batch", "99L AS n").write.parquet(f"{folder}/table/batch=1")
+    remove(spark, f"{folder}/table/batch=1/_SUCCESS")
+    table.land(spark.createDataFrame([(2, 2)], "id long, n long"), 1)
+    assert {r.id: r.n for r in table.read().collect()} == {1: 1, 2: 2}
