@@ -30,7 +30,8 @@ from cliploom.session import write_stage
 WINDOW = 10
 #: Words of a shard, and positions left free between its documents.
 SHARD_WORDS, GAP = 1 << 21, 64
-WORDS_PER_BLOCK = 200_000
+#: Words of a piece of an item, and of the pieces that are searched at once.
+PIECE, WORDS_PER_BLOCK = 2_000, 200_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bytes of words stay (A-Z in lower case), all others become a space.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isdigit() or 97 <= b <= 122 or b >= 128
@@ -189,45 +190,66 @@ def _search(shard: int, frame: pd.DataFrame, items: list[tuple], slop: int) -> p
     return pd.DataFrame(rows, columns=["shard", "slot", "item", "exact", "spans"])
 
 
+def item_pieces(benchmark: DataFrame, size: int = WINDOW, piece: int = PIECE) -> DataFrame:
+    """(digest, at, text): the distinct texts of benchmark, cut into pieces that begin every
+    `piece` words and reach `size` - 1 words into the next, so that each window is in one piece
+    whole. A text of fewer words than a window is one piece; one without words is none."""
+    words = F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(WORD), 0)
+    last = F.greatest(F.size("words") - size, F.lit(0))
+    return (
+        benchmark.select(F.coalesce(column("text").cast("string"), F.lit("")).alias("text"))
+        .groupBy(F.md5("text").alias("digest")).agg(F.first("text").alias("text"))
+        .select("digest", words.alias("words")).where(F.size("words") > 0)
+        .select("digest", "words", F.explode(F.sequence(F.lit(0), last, F.lit(piece))).alias("at"))
+        .select("digest", "at", F.array_join(
+            F.slice("words", F.col("at") + 1, piece + size - 1), " ").alias("text"))
+    )
+
+
 def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = 20) -> DataFrame:
     """Matches of benchmark items (item_id, text) in a stored index.
 
     (shard, slot, item_id, exact, spans): exact rows carry the merged word spans [start, end) of
-    all windows of `size` words that occur; the others say that all words of a window are within
-    `slop` positions of its rarest word (exact ones included). Items without words match nothing.
+    all windows of `size` words that occur, per piece of the item; the others say that all words of
+    a window are within `slop` positions of its rarest word (exact ones included). Items without
+    words match nothing. Equal texts are searched once; null item ids are ids like others.
 
-    The items are taken in blocks of about WORDS_PER_BLOCK words. The driver and each task hold
-    one block; the number of passes follows the benchmark, not the corpus."""
+    The items are taken in blocks of about WORDS_PER_BLOCK words, made of pieces of PIECE words at
+    most, so a very long item is in several. A block's matches are written before the next begins:
+    the driver and each task hold one block, and the number of passes follows the benchmark."""
     spark = index.sparkSession
     if slop >= GAP:
         raise ValueError(f"slop must be below {GAP}")
-    lowered = F.regexp_extract_all(lower_ascii(F.coalesce("text", F.lit(""))), F.lit(WORD), 0)
-    items = benchmark.select("item_id", "text", F.size(lowered).cast("long").alias("n"))
-    total = items.agg(F.sum("n")).first()[0] or 0
-    blocks = -(-total // WORDS_PER_BLOCK) or 1
-    parts = []
+    named = benchmark.select(
+        column("item_id").alias("item_id"),
+        F.md5(F.coalesce(column("text").cast("string"), F.lit(""))).alias("digest")).distinct()
+    pieces = write_stage(item_pieces(benchmark, size), "pieces")
+    total = pieces.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+    blocks = -(-total // WORDS_PER_BLOCK)
+    parts = [spark.createDataFrame(
+        [], "digest string, shard long, slot int, exact boolean, spans array<struct<start:int,end:int>>")]
     for block in range(blocks):
-        chosen = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = chosen.collect()
-        ids = [row.item_id for row in rows]
+        rows = pieces.where(F.pmod(F.xxhash64("digest", "at"), F.lit(blocks)) == block).collect()
         wanted = [(i, windows_of(words_of(row.text), size)) for i, row in enumerate(rows)]
         terms = sorted({word.decode() for _, windows in wanted for w in windows for word in w})
+        # at most WORDS_PER_BLOCK words, and one row per piece
         names = spark.createDataFrame([("",), *[(t,) for t in terms]], "term string")
+        numbered = spark.createDataFrame(
+            [(i, row.digest) for i, row in enumerate(rows)], "item long, digest string")
         found = (
             index.where("term is not null").join(F.broadcast(names), "term")
             .select("shard", "term", "postings").groupBy("shard")
             .applyInPandas(_searcher(wanted, slop), FOUND)
         )
-        kind = benchmark.schema["item_id"].dataType
-        numbered = spark.createDataFrame(
-            list(enumerate(ids)), f"item long, item_id {kind.simpleString()}")
-        parts.append(found.join(F.broadcast(numbered), "item").drop("item"))
-    return functools.reduce(DataFrame.unionByName, parts)
+        parts.append(write_stage(
+            found.join(F.broadcast(numbered), "item").select(parts[0].columns), "block-matches"))
+    matches = functools.reduce(DataFrame.unionAll, parts)
+    return matches.join(named, "digest").select("shard", "slot", "item_id", "exact", "spans")
 
 
 def contamination(index: DataFrame, matches: DataFrame) -> DataFrame:
     """Per indexed document: doc, n_words, n_hit (words inside any matching window), n_items,
-    item_ids (sorted as strings), n_near_items."""
+    item_ids (sorted as strings), n_near_items. Null item ids count as one item, without a name."""
     matches = write_stage(matches, "matches")
     covered = F.aggregate(
         F.array_sort(F.flatten(F.collect_list(F.when(F.col("exact"), F.col("spans"))))),
@@ -240,12 +262,14 @@ def contamination(index: DataFrame, matches: DataFrame) -> DataFrame:
     hits = matches.groupBy("shard", "slot").agg(
         covered.alias("n_hit"),
         F.array_sort(F.collect_set(F.when(F.col("exact"), named))).alias("item_ids"),
+        F.max((F.col("exact") & named.isNull()).cast("int")).alias("unnamed"),
         F.size(F.collect_set(F.when(~F.col("exact"), named))).cast("long").alias("n_near_items"))
     docs = index.where("term is null").select("shard", "slot", "doc", "n_words")
     none = F.array().cast("array<string>")
     return docs.join(hits, ["shard", "slot"], "left").select(
         "doc", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"),
+        (F.size(F.coalesce("item_ids", none)) + F.coalesce("unnamed", F.lit(0))).cast("long")
+        .alias("n_items"),
         F.coalesce("item_ids", none).alias("item_ids"),
         F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items"))
 
