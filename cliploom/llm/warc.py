@@ -27,6 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cliploom.llm.common import column
+from cliploom.session import write_stage
+
 MAGIC = b"\x1f\x8b\x08"
 GZIP = 31  # zlib's window bits for a gzip member
 FIRST = b"WARC/"
@@ -41,14 +44,17 @@ def plan_records(pages: DataFrame) -> DataFrame:
 
     Of pages with equal payloads the one with the largest id is the response and the others
     revisit it. Rows that repeat the largest id are responses too. A null html is empty; a null
-    id is smaller than any other. Keys are counted before the shuffle; pages then meet one row
-    per payload, so a payload shared by a third of all pages is a join that adaptive execution
-    splits."""
+    id is smaller than any other. The largest ids are a table (one row per payload) written before
+    pages meet it, so that both sides of the join are plain scans and adaptive execution splits a
+    payload that a third of all pages share. Further columns are ignored, whatever their names; a
+    payload is one value in its task, of any length that a value may have. An empty table gives an
+    empty result."""
     named = pages.select(
-        pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"),
-        F.coalesce(pages["html"], F.lit("")).cast("binary").alias("payload"))
+        column("page_id").cast("long").alias("page_id"), column("url").cast("string").alias("url"),
+        F.coalesce(column("html"), F.lit("")).cast("binary").alias("payload"))
     named = named.withColumn("digest", F.unhex(F.sha1("payload")))
-    first = named.groupBy("digest").agg(F.max("page_id").alias("first_id"))
+    first = write_stage(
+        named.groupBy("digest").agg(F.max("page_id").alias("first_id")), "first-copies")
     kept = F.col("page_id").eqNullSafe(F.col("first_id"))
     return named.join(first, "digest").select(
         "page_id", "url", "payload", F.when(kept, "response").otherwise("revisit")
