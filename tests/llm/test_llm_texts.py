@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cliploom.llm import (
-    decontam, linededup, quality, queries_text, sharding, simhash, textstats, tokens, toxicity,
+    decontam, linededup, mixing, quality, queries_text, sharding, simhash, textstats, tokens,
+    toxicity,
 )
 from cliploom.llm.queries_tables import SHARDS, SLOTS
 
@@ -469,6 +470,52 @@ def test_decontaminating_messy_documents(spark):
     assert decontam.contamination(index, decontam.search(index, items)).count() == 0
 
 
+@pytest.mark.parametrize("piece", [3, 7, 50])
+def test_long_items_are_searched_in_pieces(spark, monkeypatch, piece):
+    draw = random.Random(6)
+    words = [f"w{draw.randrange(30)}" for _ in range(120)]
+    cuts = [words[a:a + n] for a, n in ((0, 10), (5, 9), (30, 40), (110, 10), (61, 25))]
+    docs = [(i, " ".join(["x", *cut, "y", *words[i * 7:i * 7 + 12]])) for i, cut in enumerate(cuts)]
+    items = [(1, " ".join(words)), (2, " ".join(words)), (None, " ".join(words[20:60])),
+             (3, "w1"), (None, "w2"), (4, None)]
+    monkeypatch.setattr(decontam.item_pieces, "__defaults__", (10, piece))
+    monkeypatch.setattr(decontam, "WORDS_PER_BLOCK", 60)
+    index = decontam.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    found = decontam.contamination(index, decontam.search(
+        index, spark.createDataFrame(items, "item_id long, text string")))
+    got = {r.doc: (r.n_hit, r.n_items, r.item_ids) for r in found.collect()}
+    for doc, text in docs:
+        own, hit, names = decontam.words_of(text), set(), set()
+        for item, other in items:
+            wanted = decontam.windows_of(decontam.words_of(other))
+            for n in {len(w) for w in wanted}:
+                for i in range(len(own) - n + 1):
+                    if tuple(own[i:i + n]) in wanted:
+                        hit.update(range(i, i + n))
+                        names.add(item)
+        assert got[doc] == (len(hit), len(names), sorted(str(n) for n in names if n is not None))
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """A dot, a quote and the names that the operators use themselves."""
+    names = {"kept": "a.b", "fp": "c`d", "digest": "bad_digest", "row": "wanted", "slot": "key"}
+    docs = documents(spark).drop("key")
+    docs = docs.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns])
+    items = spark.createDataFrame([(1, "漢字 é ü", 0)], ITEM)
+    stages = {
+        "quality": quality.keep_good, "copies": simhash.deduplicate,
+        "leaks": lambda d: decontam.remove_contaminated(d, items), "mix": mixing.mixed_rows}
+    for name, stage in stages.items():
+        out = stage(docs)
+        assert out.columns == docs.columns and out.schema == docs.schema, name
+        assert out.count() > 0, name
+    placed = sharding.place(docs, SHARDS, SLOTS)
+    assert placed.columns == [c for c in docs.columns if c != "shard"] + ["slot", "shard"]
+    assert placed.count() == docs.count()
+    assert tokens.count_tokens(docs).count() >= docs.count()
+    assert linededup.deduplicate_lines(docs).count() == docs.count()
+
+
 def test_shards_of_an_index(spark, monkeypatch):
     monkeypatch.setattr(decontam, "SHARD_WORDS", 50)
     docs = spark.createDataFrame([(i, f"a{i % 3} b{i} a{i % 3} c") for i in range(40)],
