@@ -332,10 +332,6 @@ def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.where("problem IS NULL").select("doc.*")
 
 
-def quarantine(parsed: DataFrame, *keys: str) -> DataFrame:
-    return parsed.where("problem IS NOT NULL").select(*keys, "problem")
-
-
 def transcript_segments(parsed: DataFrame) -> DataFrame:
     return accepted(parsed).select("run_id", F.explode("segments").alias("s")).select(
         "run_id", "s.index", "s.start", "s.end", "s.text")

@@ -19,8 +19,3 @@ def write_partitions(df: DataFrame, path: str, by: Sequence[str], writers: int =
         salted.repartition(*by, "_salt").drop("_salt").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
     )
-
-
-def write_text_documents(documents: DataFrame, path: str) -> None:
-    """Documents as JSON lines (key columns and text): one record per document or part."""
-    documents.write.mode("overwrite").json(path)
