@@ -274,3 +274,11 @@ def invariant_violations(segments: DataFrame, words: DataFrame, runs: DataFrame)
 
 def _broken(named: list[tuple[str, Column]]) -> Column:
     return F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in named]), lambda x: x.isNotNull())
+
+
+def not_rising(rows: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
+    """Rows whose value does not exceed that of the row before them: indices of segments in a
+    transcript or a chunk, ranks of a shortlist or an index. Scanned in blocks of positions, so a
+    long run is not one task."""
+    scanned = running_before(rows, keys, position, {"_before": ("last", F.col(value))})
+    return scanned.where(F.col(value) <= F.col("_before")).drop("_before")

@@ -344,6 +344,21 @@ def src_value_rules(v: Views) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, made)
 
 
+@plan("content_digests", """
+SELECT 'document' AS kind, doc_id AS id, strlen(text)::BIGINT AS size_bytes, sha256(text) AS sha256
+FROM documents
+UNION ALL SELECT 'page', page_id, strlen(html)::BIGINT, sha256(html) FROM pages""")
+def content_digests(v: Views) -> DataFrame:
+    """Size and digest of every text and page: what file_digests gives for files."""
+    def rows(table: str, kind: str, key: str, text: str) -> DataFrame:
+        return v.table(table).select(
+            F.lit(kind).alias("kind"), F.col(key).alias("id"),
+            F.octet_length(text).cast("bigint").alias("size_bytes"), F.sha2(text, 256).alias("sha256"))
+
+    return rows("documents", "document", "doc_id", "text").unionByName(
+        rows("pages", "page", "page_id", "html"))
+
+
 @plan("src_file_digests")
 def src_file_digests(v: Views) -> DataFrame:
     """Inventory of the given files themselves."""

@@ -160,6 +160,33 @@ def order_violations(v: Views) -> DataFrame:
     return rows.where("start < before").select("run_id", "seg_pos")
 
 
+part("q_ordered", """
+SELECT run_id, 'segment_index' AS kind, seg_pos AS position,
+  CASE WHEN (run_id * 7 + seg_pos) % 53 = 0 THEN seg_pos - 2 ELSE seg_pos END AS value
+FROM q_raw_segments
+UNION ALL SELECT run_id, 'rank', rank, CASE WHEN (run_id * 5 + rank) % 19 = 0 THEN rank - 1 ELSE rank END
+FROM q_selected""")
+
+
+@plan("sequence_violations", """
+SELECT run_id, kind, position FROM (SELECT *, lag(value) OVER (
+  PARTITION BY run_id, kind ORDER BY position) AS before FROM q_ordered)
+WHERE value <= before""")
+def sequence_violations(v: Views) -> DataFrame:
+    """Segment indices and ranks that do not rise from one record to the next."""
+    c = F.col
+    indices = v.raw_segments.select(
+        "run_id", F.lit("segment_index").alias("kind"), c("seg_pos").alias("position"),
+        F.when((c("run_id") * 7 + c("seg_pos")) % 53 == 0, c("seg_pos") - 2)
+        .otherwise(c("seg_pos")).alias("value"))
+    ranks = v.selected.select(
+        "run_id", F.lit("rank").alias("kind"), c("rank").alias("position"),
+        F.when((c("run_id") * 5 + c("rank")) % 19 == 0, c("rank") - 1)
+        .otherwise(c("rank")).alias("value"))
+    return N.not_rising(indices.unionByName(ranks), ["run_id", "kind"], "position", "value").select(
+        "run_id", "kind", "position")
+
+
 @plan("dense_numbering", """
 SELECT run_id, seg_pos, (row_number() OVER (PARTITION BY run_id ORDER BY seg_pos) - 1)::BIGINT AS n
 FROM q_raw_segments WHERE trim(text) <> ''""")

@@ -38,3 +38,21 @@ def stream_usage(v: Views) -> DataFrame:
         F.round(F.col("value") * 100).cast("bigint").alias("tokens"))
     return S.usage_windows(usage).withColumn(
         "window_start", F.unix_seconds("window_start"))
+
+
+@plan("stream_usage_late", """
+SELECT user_id AS run_id, epoch(date_trunc('day', ts))::BIGINT AS window_start, count(*) AS calls,
+  sum(round(value * 100)::BIGINT)::BIGINT AS tokens, 0::BIGINT AS late_calls FROM events GROUP BY ALL""")
+def stream_usage_late(v: Views) -> DataFrame:
+    """Usage with the calls that came too late for their window, from one pass over the stream. The
+    given events are one batch, so none is late; tests take several."""
+    usage = _event_stream(v).select(
+        F.col("user_id").alias("run_id"), _utc("ts").alias("ts"),
+        F.round(F.col("value") * 100).cast("bigint").alias("tokens"))
+    counted, late = S.usage_with_late(usage)
+    keys = ["run_id", "window_start"]
+    joined = counted.join(late.select(*keys, F.col("calls").alias("late_calls")), keys, "full_outer")
+    zero = F.lit(0).cast("bigint")
+    return joined.select(
+        "run_id", F.unix_seconds("window_start").alias("window_start"),
+        *[F.coalesce(c, zero).alias(c) for c in ("calls", "tokens", "late_calls")])

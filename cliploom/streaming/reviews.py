@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.session import files_of, remove, shared_folder
+from cliploom.session import files_of, remove, shared_folder, write_stage
 
 
 #: Batches whose changes wait before they are merged into the table.
@@ -16,7 +16,8 @@ MERGED = 16
 
 
 class ChangedTable:
-    """A table that a stream keeps up to date: one row per key, that of the latest batch.
+    """A table that a stream keeps up to date: one row per key, that of the latest batch or, with
+    ``summed``, the sums of all batches.
 
     A batch lands as a folder of changes. Every MERGED batches these are merged with the table
     into a new version, and what it replaces is removed, so the table stays as large as its keys
@@ -24,9 +25,9 @@ class ChangedTable:
     that is complete is not made again."""
 
     def __init__(self, spark: SparkSession, folder: str, keys: list[str], values: list[str],
-                 merged: int = MERGED) -> None:
+                 merged: int = MERGED, summed: bool = False) -> None:
         self.spark, self.folder, self.keys, self.values = spark, folder, keys, values
-        self.merged = merged
+        self.merged, self.summed = merged, summed
 
     def _complete(self, kind: str) -> list[int]:
         """Numbers of the folders of a kind that Spark has finished."""
@@ -46,6 +47,9 @@ class ChangedTable:
         if not parts:
             return None
         rows = self.spark.read.parquet(*parts)
+        if self.summed:
+            return rows.groupBy(*self.keys).agg(
+                F.max("batch").alias("batch"), *[F.sum(v).alias(v) for v in self.values])
         latest = F.max_by(F.struct("batch", *self.values), "batch").alias("v")
         return rows.groupBy(*self.keys).agg(latest).select(*self.keys, "v.*")
 
@@ -101,3 +105,42 @@ def usage_windows(usage: DataFrame, width: str = "1 day", lateness: str = "2 hou
         .select("run_id", F.col("w.start").alias("window_start"), "calls", "tokens")
     )
     return _run_to_end(counted, ["run_id", "window_start"], ["calls", "tokens"])
+
+
+def usage_with_late(usage: DataFrame, width: str = "1 day", lateness: str = "2 hours"
+                    ) -> tuple[DataFrame, DataFrame]:
+    """Usage stream -> (counted, late), both (run_id, window_start, calls, tokens), from one pass.
+
+    A row is late if its window had ended, by the watermark, before its batch began: the latest
+    time of all earlier batches less ``lateness``, as Spark's own watermark has it. counted is what
+    `usage_windows` counts; late is what it leaves out, by run and window. Both tables grow with
+    their keys. The latest time of every batch is one small row, so a batch that is retried finds
+    the watermark that it had before."""
+    spark = usage.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    keys, values = ["run_id", "window_start"], ["calls", "tokens"]
+    counted, late = (ChangedTable(spark, f"{folder}/{name}", keys, values, summed=True)
+                     for name in ("counted", "late"))
+    seen = ChangedTable(spark, f"{folder}/seen", ["one"], ["latest"])
+
+    def land(batch: DataFrame, number: int) -> None:
+        before = seen._current(number - 1)
+        latest = before.first().latest if before is not None else None
+        mark = F.lit(latest).cast("timestamp") - F.expr(f"INTERVAL {lateness}")
+        placed = batch.withColumn("w", F.window("ts", width)).withColumn(
+            "is_late", F.coalesce(F.col("w.end") <= mark, F.lit(False)))
+        sums = placed.groupBy("run_id", F.col("w.start").alias("window_start"), "is_late").agg(
+            F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
+        rows = write_stage(sums, "usage")
+        counted.land(rows.where("NOT is_late"), number)
+        late.land(rows.where("is_late"), number)
+        newest = batch.agg(F.max("ts").alias("latest")).first().latest
+        newest = max((t for t in (latest, newest) if t is not None), default=None)
+        seen.land(spark.createDataFrame([(1, newest)], "one int, latest timestamp"), number)
+
+    query = (
+        usage.writeStream.foreachBatch(land).option("checkpointLocation", f"{folder}/progress")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return counted.read(), late.read()

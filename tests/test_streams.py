@@ -73,3 +73,22 @@ def test_a_version_that_died_is_made_again(spark):
     remove(spark, f"{folder}/table/batch=1/_SUCCESS")
     table.land(spark.createDataFrame([(2, 2)], "id long, n long"), 1)
     assert {r.id: r.n for r in table.read().collect()} == {1: 1, 2: 2}
+
+
+def test_late_usage_is_counted_beside_the_rest(spark, tmp_path):
+    batches = [
+        [(1, at(1), 10), (1, at(23), 20)],
+        [(1, at(30), 5), (1, at(22), 1)],
+        [(1, at(60), 7)],
+        [(1, at(2), 1000), (2, at(3), 4), (1, at(61), 2)],
+        [(1, at(2), 500), (2, at(59), 1)]]
+    usage = stream(spark, f"{tmp_path}/a", USAGE, batches)
+    counted, late = reviews.usage_with_late(usage)
+
+    def by_day(frame):
+        return {(r.run_id, r.window_start.day): (r.calls, r.tokens) for r in frame.collect()}
+
+    assert by_day(counted) == {(1, 1): (3, 31), (1, 2): (1, 5), (1, 3): (2, 9), (2, 3): (1, 1)}
+    assert by_day(late) == {(1, 1): (2, 1500), (2, 1): (1, 4)}
+    again = stream(spark, f"{tmp_path}/b", USAGE, batches)
+    assert by_day(reviews.usage_windows(again)) == by_day(counted)
