@@ -623,6 +623,36 @@ def test_tokens_lie_where_another_tokenizer_puts_them(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("rule", tokens.RULES)
+def test_tokens_are_allocated_byte_by_byte(spark, rule):
+    """The library's ids, the bytes of each token, and the rule applied to one token at a time."""
+    from tokenizers import Tokenizer
+
+    from cliploom.llm import bpe
+
+    other, spelled = Tokenizer.from_file(bpe.VOCABULARY), bpe.Vocabulary.read(bpe.VOCABULARY).tokens
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 30").collect()]
+    texts += ["a\n\n\nb", "\n", "\n\n  \n x", "é\n漢字\n\n", "x  \n\n  y", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.section): (r.n_tokens, r.n_crossing)
+           for r in tokens.count_tokens(docs, rule=rule).collect()}
+    want = {}
+    for doc, text in enumerate(texts):
+        lines = text.split("\n")
+        lines = [x + "\n" for x in lines[:-1]] + [lines[-1]] * bool(lines[-1] or len(lines) == 1)
+        owner = [i for i, line in enumerate(lines) for _ in line.encode()]
+        want |= {(doc, i): [0, 0] for i in range(len(lines))}
+        at = 0
+        for token in other.encode(text, add_special_tokens=False).ids:
+            own = Counter(owner[at:at + len(spelled[token])])
+            at += len(spelled[token])
+            chosen = {"first": min(own), "last": max(own),
+                      "most": min(own, key=lambda i: (-own[i], i))}[rule]
+            want[doc, chosen][0] += 1
+            want[doc, chosen][1] += len(own) > 1
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
 def test_boundary_rules():
     ends = np.array([0, 4, 5, 9])
     bounds = np.array([0, 3, 5, 7])  # the second token has its middle byte across
