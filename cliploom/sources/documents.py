@@ -11,9 +11,12 @@ a NaN or an extra field deep inside refuses the document. Rules about values com
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -367,21 +370,55 @@ def stage_records(parsed: DataFrame) -> DataFrame:
         "run_id", "stage", "r.*")
 
 
-#: A file's content is one value, and a value holds less than 2 GB.
-LARGEST_FILE = 1 << 30
+#: Files up to this size are one value in their task; larger ones pass through it piece by piece.
+ONE_VALUE = 1 << 28
 
 
-def file_digests(spark: SparkSession, paths: str | list[str],
-                 largest: int = LARGEST_FILE) -> DataFrame:
-    """Name, size, SHA-256 and problem of files; the content never leaves the scan. The content
-    of files above ``largest`` bytes is not read: no digest, and problem ``too_large``."""
+def _digests_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines sorted by file and place: one digest per file, whatever its size. A file that does not
+    end in a line feed is told by its size."""
+    path, size, read, sha = None, 0, 0, hashlib.sha256()
+
+    def ended() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(
+            {"path": [path], "size_bytes": [size], "sha256": [sha.hexdigest()]})
+
+    for batch in batches:
+        for name, whole, line in zip(*[batch.column(c) for c in ("path", "size_bytes", "line")],
+                                     strict=True):
+            if name.as_py() != path:
+                if path is not None:
+                    yield ended()
+                path, size, read, sha = name.as_py(), whole.as_py(), 0, hashlib.sha256()
+            data = line.as_py()
+            read += len(data) + 1
+            sha.update(data)
+            if read <= size:
+                sha.update(b"\n")
+    if path is not None:
+        yield ended()
+
+
+def file_digests(spark: SparkSession, paths: str | list[str], one_value: int = ONE_VALUE) -> DataFrame:
+    """Name, size and SHA-256 of files; only digests leave the tasks. Empty files have no row:
+    Spark's readers pass them over.
+
+    The content of a file above ``one_value`` bytes is read as lines of bytes, by splits, sorted
+    by place and passed through one digest: a digest takes bytes in order, so a file is one task's
+    stream, but never one value (a single line is)."""
     files = spark.read.format("binaryFile").load(paths)
     name = F.element_at(F.split("path", "/"), -1).alias("name")
-    small, large = F.col("length") <= largest, F.col("length") > largest
-    read = files.where(small).select(
-        name, F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"),
-        F.lit(None).cast("string").alias("problem"))
-    left = files.where(large).select(
-        name, F.col("length").alias("size_bytes"), F.lit(None).cast("string").alias("sha256"),
-        F.lit("too_large").alias("problem"))
-    return read.unionByName(left)
+    small = files.where(F.col("length") <= one_value).select(
+        name, F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    if files.where(F.col("length") > one_value).select("path").isEmpty():
+        return small
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size_bytes"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("line"))
+    large = (
+        lines.where(F.col("size_bytes") > one_value).repartition("path")
+        .sortWithinPartitions("path", "split", "place").select("path", "size_bytes", "line")
+        .mapInArrow(_digests_of_lines, "path string, size_bytes long, sha256 string")
+    )
+    return small.unionByName(large.select(name, "size_bytes", "sha256"))

@@ -1,6 +1,8 @@
 """Replies, decisions, states, sources, sinks and digests."""
 
+import hashlib
 import json
+import random
 import re
 
 import pytest
@@ -122,7 +124,7 @@ DECIDED = {"candidate_id": "c", "decision": "approved", "original_start": 1.0, "
            "final_start": 1.0, "final_end": 2.0, "reviewed_at": "2024-01-01T00:00:00Z"}
 REVIEW = {"schema_version": 1, "run_id": 1, "source_duration_seconds": 9,
           "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-01T00:00:00Z"}
-FILE = {"candidate_id": "c", "rank": 1, "start": 0, "end": 1.5, "filename": "f", "sha256": "s"}
+FILE = {"candidate_id": "c", "rank": 1, "start": 0, "end": 1.5, "filename": "f.mp4", "sha256": "0a" * 32}
 
 
 @pytest.mark.parametrize("kind,document,problem", [
@@ -173,3 +175,23 @@ def test_tree_digest_does_not_depend_on_partitioning(spark):
     b = digests.tree_digest(df.repartition(11, F.rand(1)), ["run_id"], "pos", "d", "x").first().x
     c = digests.tree_digest(df.where("pos <> 5"), ["run_id"], "pos", "d", "x").first().x
     assert a == b != c
+
+
+def test_digests_of_large_files_pass_in_pieces(spark, tmp_path, monkeypatch):
+    """Random bytes with and without line feeds at the end, over several splits."""
+    draw = random.Random(4)
+    contents = {"empty": b"", "feed": b"\n", "feeds": b"\n\n\n", "bare": b"abc", "ended": b"abc\n",
+                "crlf": b"a\r\nb\r\n\r", "not_text": bytes(draw.randrange(256) for _ in range(50_000)),
+                "long": b"x" * 5000 + b"\n" + b"\xff\xfe" * 4000,
+                "rows": b"".join(b"%d\n" % draw.randrange(10**6) for _ in range(9_000))}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for one_value in (-1, 6, 10_000, 1 << 28):
+            found = S.file_digests(spark, str(tmp_path), one_value).collect()
+            assert {r.name: (r.size_bytes, r.sha256) for r in found} == {
+                name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in contents.items()
+                if data}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
