@@ -98,7 +98,7 @@ FROM q_raw_runs r LEFT JOIN (
   USING (run_id)
 WHERE r.run_id NOT IN (SELECT run_id FROM q_refused) GROUP BY r.run_id""")
 def normalization_report(v: Views) -> DataFrame:
-    return N.report(v.clamped_segments, v.clamped_words, v.raw_runs, v.refused).withColumn(
+    return N.report(v.clamped_segments, v.marked_words, v.raw_runs, v.refused).withColumn(
         "notes", F.array_join("notes", "; "))
 
 
