@@ -2,6 +2,7 @@
 
 import pytest
 
+from cliploom.operators import proposals
 from cliploom.plans.views import Views
 
 FOLDER = "/root/testdata/sf0.001"
@@ -33,3 +34,20 @@ def views(spark):
 def test_words_stay_where_their_line_is(views, name):
     frame = getattr(views, name)
     assert "Exchange" not in above(frame, "Generate posexplode(split(line")
+
+
+def test_ends_go_to_the_words_not_words_to_the_ends(views):
+    placed = proposals.place(views.proposals, views.chunks)
+    seen = proposals.with_anchors(placed, views.segments, views.words, 2.5, words_inside=True)
+    nodes = above(seen, "Generate posexplode(split(line")
+    assert any("Aggregate" in n for n in nodes[:nodes.index("Exchange")])
+
+
+def test_speech_outside_its_segment_counts(spark):
+    segments = spark.createDataFrame([(1, 0, 100.0, 101.0)], "run_id long, index long, start double, end double")
+    words = spark.createDataFrame([(1, 0, 30.0, 31.0)], "run_id long, seg_index long, start double, end double")
+    placed = spark.createDataFrame(
+        [(1, 29.0, 60.0, 0.0, 200.0)],
+        "run_id long, start double, end double, window_start double, window_end double")
+    row = proposals.with_anchors(placed, segments, words, 2.5).first()
+    assert row.start_anchor.at == 30.0 and row.start_grounded and not row.end_grounded
