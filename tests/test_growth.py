@@ -2,7 +2,7 @@
 
 import pytest
 
-from cliploom.operators import proposals
+from cliploom.operators import captions, proposals
 from cliploom.plans.views import Views
 
 FOLDER = "/root/testdata/sf0.001"
@@ -26,8 +26,11 @@ def views(spark):
     """No table counts as small, as at size."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
     yield Views(spark, FOLDER)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
 
 
 @pytest.mark.parametrize("name", ["words_ms", "raw_words", "clamped_words"])
@@ -51,3 +54,8 @@ def test_speech_outside_its_segment_counts(spark):
         "run_id long, start double, end double, window_start double, window_end double")
     row = proposals.with_anchors(placed, segments, words, 2.5).first()
     assert row.start_anchor.at == 30.0 and row.start_grounded and not row.end_grounded
+
+
+def test_clips_go_to_the_words_not_words_to_the_clips(views):
+    tokens = captions.clip_words(views.words, views.targets, views.segments)
+    assert "Exchange" not in above(tokens, "Generate posexplode(split(line")
