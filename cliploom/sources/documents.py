@@ -88,6 +88,53 @@ def fits(value: str, shape: Shape, depth: int = 0) -> str:
     return f"({' AND '.join(tests)})"
 
 
+def merged(shape: Shape) -> str:
+    """The schemas that SCHEMA_OF_VARIANT may give for a value of a shape without free names: it
+    joins those of all rows of a list, so it has every name and kind that occurs in any row."""
+    if isinstance(shape, str):
+        kind = _JSON_KINDS[shape.rstrip("?")]
+        return f"(VOID|{kind})" if shape.endswith("?") else kind
+    if isinstance(shape, list):
+        return f"ARRAY<(VOID|{merged(shape[0])})>"
+    parts = []
+    for name, inner in sorted((n.rstrip("?"), (n, x)) for n, x in shape.items()):
+        kind, absent = merged(inner[1]), inner[0].endswith("?")
+        parts.append(f"({name}: {f'(VOID|{kind})' if absent else kind}(, |(?=>)))" + "?" * absent)
+    return f"OBJECT<{''.join(parts)}>"
+
+
+def lacks(value: str, shape: Shape, depth: int = 0) -> str:
+    """SQL: whether a value read by its shape lacks something that is not optional, in any row."""
+    item = f"l{depth}"
+    tests = [f"{value} IS NULL"]
+    if isinstance(shape, list):
+        tests.append(f"exists({value}, {item} -> {lacks(item, shape[0], depth + 1)})")
+    elif isinstance(shape, dict):
+        for name, inner in shape.items():
+            part, free = f"{value}.{name.rstrip('?')}", name.endswith("?")
+            if free or isinstance(inner, str) and inner.endswith("?"):
+                if not isinstance(inner, str):
+                    tests.append(f"({part} IS NOT NULL AND {lacks(part, inner, depth)})")
+            else:
+                tests.append(lacks(part, inner, depth))
+    return f"({' OR '.join(tests)})"
+
+
+def _free_names(shape: Shape) -> bool:
+    if isinstance(shape, dict):
+        return any(map(_free_names, shape.values()))
+    return isinstance(shape, tuple) or isinstance(shape, list) and _free_names(shape[0])
+
+
+def fits_whole(value: str, typed: str, shape: Shape) -> str:
+    """SQL: what ``fits`` says, from one pass over a VARIANT and its typed content instead of one
+    for every level and value. Free names have no one schema; they are looked at one by one."""
+    if _free_names(shape):
+        return fits(value, shape)
+    pattern = merged(shape).replace("\\", "\\\\")
+    return f"(schema_of_variant({value}) RLIKE '^{pattern}$' AND NOT {lacks(typed, shape)})"
+
+
 def infinite(value: str, shape: Shape, depth: int = 0) -> str | None:
     """SQL: whether a number of a value read by its shape is infinite (1e400 is JSON, but no
     double holds it). None where the shape has no such numbers."""
@@ -301,10 +348,14 @@ def parse(docs: DataFrame, kind: Kind, text: str = "document") -> DataFrame:
     body = F.col(text)
     names = F.array(*[F.lit(n) for n in kind.names])
     needed = F.array(*[F.lit(n) for n in kind.required])
-    held = docs.withColumns({"_json": F.try_parse_json(body), "_keys": object_keys(body)})
+    # What is read from a text goes through a one-row explode: filters on ``problem`` or ``doc``
+    # then use it instead of reading the text again for every value, some for each of its rows.
+    read = F.struct(
+        F.try_parse_json(body).alias("_json"), object_keys(body).alias("_keys"),
+        F.from_json(body, ddl(kind.shape)).alias("doc"))
+    held = docs.withColumn("_read", F.explode(F.array(read))).select("*", "_read.*").drop("_read")
     shaped = held.withColumns({
-        "_fits": F.expr(fits("_json", kind.shape)),
-        "doc": F.from_json(body, ddl(kind.shape)),
+        "_fits": F.expr(fits_whole("_json", "doc", kind.shape)),
         "_version": F.try_variant_get("_json", "$.schema_version", "string"),
     })
     inner = shaped.select("*", *[

@@ -1,9 +1,11 @@
 """Words, the largest rows there are, must not be shuffled: lines are, before they are taken apart."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from cliploom.operators import captions, proposals
 from cliploom.plans.views import Views
+from cliploom.sources import documents
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -59,3 +61,26 @@ def test_speech_outside_its_segment_counts(spark):
 def test_clips_go_to_the_words_not_words_to_the_clips(views):
     tokens = captions.clip_words(views.words, views.targets, views.segments)
     assert "Exchange" not in above(tokens, "Generate posexplode(split(line")
+
+
+@pytest.mark.parametrize("kind,text", [
+    (documents.TRANSCRIPT, "segments"), (documents.BATCHES, "batches"), (documents.DECISIONS, "decisions")])
+def test_a_filter_does_not_read_texts_again(spark, kind, text):
+    docs = spark.createDataFrame([(1, "{}")], "run_id long, document string")
+    rows = documents.rows_of(documents.parse(docs, kind), text)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") <= 2  # the content, and whether it is one value
+
+
+def test_a_list_lacks_what_one_row_lacks(spark):
+    shape = {"rows": [{"a": "int", "b?": "number"}]}
+    texts = {
+        '{"rows":[{"a":1},{"a":2,"b":0.5},{"a":3,"b":null}]}': True, '{"rows":[]}': True,
+        '{"rows":[{"a":1},{"b":2}]}': False, '{"rows":[{"a":1},{"a":null}]}': False,
+        '{"rows":[{"a":1},null]}': False, '{"rows":null}': False, "{}": False,
+        '{"rows":[{"a":1},{"a":1.5}]}': False, '{"rows":[{"a":1},{"a":2,"c":1}]}': False,
+        '{"rows":[{"a":1},{"a: BIGINT, b":2,"a":1}]}': False, '{"rows":[[]]}': False}
+    read = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", F.parse_json("t").alias("j"), F.from_json("t", documents.ddl(shape)).alias("doc"))
+    for how in (documents.fits("j", shape), documents.fits_whole("j", "doc", shape)):
+        assert {r.t: r.ok for r in read.selectExpr("t", f"coalesce({how}, false) AS ok").collect()} == texts
