@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cliploom.operators import captions, proposals
+from cliploom.operators.dedup import greedy_dedup
 from cliploom.plans.views import Views
 from cliploom.sources import documents
 
@@ -84,3 +85,20 @@ def test_a_list_lacks_what_one_row_lacks(spark):
         "t", F.parse_json("t").alias("j"), F.from_json("t", documents.ddl(shape)).alias("doc"))
     for how in (documents.fits("j", shape), documents.fits_whole("j", "doc", shape)):
         assert {r.t: r.ok for r in read.selectExpr("t", f"coalesce({how}, false) AS ok").collect()} == texts
+
+
+def test_times_of_words_need_no_text(views):
+    words, times = views.words.drop("word"), views.word_times
+    assert times.exceptAll(words).isEmpty() and words.exceptAll(times).isEmpty()
+    assert "join(tokens,  )" not in times._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_that_are_not_eligible_pass_by(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 0.0, 30.0, 9.0, True), (1, "b", 0.0, 30.0, 8.0, True), (1, "c", 0.0, 30.0, 9.5, False),
+         (1, "d", 50.0, 80.0, 1.0, None)],
+        "run_id long, candidate_id string, start double, end double, total_score double, able boolean")
+    found = {stored: greedy_dedup(rows, 0.6, eligible=F.col("able"), stored=stored) for stored in (True, False)}
+    assert found[True].columns == found[False].columns
+    assert sorted(map(str, found[True].collect())) == sorted(map(str, found[False].collect()))
+    assert found[True].where("kept_id = 'a'").count() == 1
