@@ -102,3 +102,11 @@ def test_rows_that_are_not_eligible_pass_by(spark):
     assert found[True].columns == found[False].columns
     assert sorted(map(str, found[True].collect())) == sorted(map(str, found[False].collect()))
     assert found[True].where("kept_id = 'a'").count() == 1
+
+
+def test_a_clip_takes_a_segment_as_one_row(views):
+    heard = captions._heard(views.words, views.targets, views.segments)
+    together = captions._gathered(heard)
+    assert together.exceptAll(heard).isEmpty() and heard.exceptAll(together).isEmpty()
+    nodes = above(together, "Generate posexplode(split(line")
+    assert any("Aggregate" in n for n in nodes[:nodes.index("Exchange")])
