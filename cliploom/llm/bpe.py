@@ -35,9 +35,9 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Most words of a lexicon: it is some 20 MB then, whatever the corpus.
 LEXICON_WORDS = 500_000
 #: Characters that a task cuts at a time, and words that it looks up at a time.
-PART, LOOKED_UP = 1 << 20, 1 << 20
+PART, LOOKED_UP = 1 << 20, 1 << 18
 #: Words that a task counts before it passes them on, and documents that it returns at once.
-COUNTED, ROWS = 200_000, 2_500
+COUNTED, ROWS = 200_000, 1_000
 #: Words of more bytes are merged with a heap. No rank.
 LONG, NONE = 100, 1 << 62
 #: Fixed value: how this vocabulary's texts are cut before merging.
@@ -319,52 +319,59 @@ class Encoder:
         yield from flush()
 
 
-def _encoding(vocabulary: Vocabulary, name: str):
+class Decoder:
+    """From ids to texts. Bytes that are no UTF-8 become U+FFFD; numbers beyond the vocabulary
+    have no text."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.known = len(tokens)
+        self.letters = np.frombuffer(b"".join(tokens), np.uint8)
+        self.ends = np.cumsum([0, *map(len, tokens), 0])
+
+    def text(self, data: bytes) -> str:
+        ids = np.minimum(np.frombuffer(data, "<u4"), self.known).astype(np.int64)
+        return _pick(self.letters, self.ends, ids)[0].tobytes().decode("utf-8", "replace")
+
+
+def _encoding(vocabulary: Vocabulary, name: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, SparkFiles.get(name))
+        encoder, decoder = Encoder(vocabulary, SparkFiles.get(name)), Decoder(vocabulary.tokens)
         for batch in batches:
             for begin in range(0, batch.num_rows, ROWS):
                 some = batch.slice(begin, ROWS)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("doc"), pa.array(encoder.encode(_texts(some)), pa.binary())],
-                    ["doc", "ids"])
+                ids = list(encoder.encode(_texts(some)))
+                made = {"doc": some.column("doc"), "ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    made["decoded"] = pa.array(map(decoder.text, ids), pa.string())
+                yield pa.RecordBatch.from_pydict(made)
 
     return run
 
 
 def encode(docs: DataFrame, key: str = "doc_id", vocabulary: str = VOCABULARY,
-           most: int = LEXICON_WORDS) -> DataFrame:
+           most: int = LEXICON_WORDS, decoded: bool = False) -> DataFrame:
     """(key, ids) of every row of docs: the ids of its whole text as little-endian 32-bit numbers.
 
     Null and empty texts have no ids. Repeated rows and null keys are encoded each. A control
     string in a text is its one id. Texts of any length are cut part by part (only a run without
     a single white space is one part). An empty table gives an empty result. Further columns are
-    ignored, whatever their names."""
+    ignored, whatever their names. With `decoded` a column of that name holds what the ids are
+    decoded to, as `decoder` does it, but by the task that has them: no second Python worker."""
     rows = docs.select(column(key).alias("doc"), column("text").cast("string").alias("text"))
     known = Vocabulary.read(vocabulary)
     name = build_lexicon(rows, known, most)
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(_encoding(known, name), f"doc {kind}, ids binary").select(
-        F.col("doc").alias(key), "ids")
+    more = ", decoded string" if decoded else ""
+    return rows.mapInArrow(_encoding(known, name, decoded), f"doc {kind}, ids binary{more}"
+                           ).withColumnRenamed("doc", key)
 
 
 def decoder(vocabulary: str = VOCABULARY):
-    """A column function from ids to text. Bytes that are no UTF-8 become U+FFFD; numbers beyond
-    the vocabulary have no text; null stays null."""
+    """A column function from ids to text (`Decoder`); null stays null."""
     tokens = Vocabulary.read(vocabulary).tokens
-    flat = b"".join(tokens)
-    ends = np.cumsum([0, *map(len, tokens), 0])
 
     @F.pandas_udf("string")
     def decode(column: pd.Series) -> pd.Series:
-        letters = np.frombuffer(flat, np.uint8)
-
-        def text(data: bytes | None) -> str | None:
-            if data is None:
-                return None
-            ids = np.minimum(np.frombuffer(data, "<u4"), len(tokens)).astype(np.int64)
-            return _pick(letters, ends, ids)[0].tobytes().decode("utf-8", "replace")
-
-        return column.map(text, na_action="ignore")
+        return column.map(Decoder(tokens).text, na_action="ignore")
 
     return decode

@@ -10,11 +10,10 @@ from cliploom.llm.common import table
 
 
 def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, folder, "documents"))
-    decoded = encoded.withColumn("text", bpe.decoder()("ids"))
-    return decoded.select(
+    encoded = bpe.encode(table(spark, folder, "documents"), decoded=True)
+    return encoded.select(
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:

@@ -117,6 +117,20 @@ def test_encoding_query_against_the_library(spark, library):
             hashlib.sha256(decoded.encode()).hexdigest())
 
 
+def test_texts_are_encoded_and_decoded_by_one_python_worker(spark):
+    plan = queries_lexical.op11_bpe(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+
+
+def test_decoding_beside_encoding(spark, library):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*HARD, None])], "doc_id long, text string")
+    found = bpe.encode(docs, decoded=True).withColumn("again", bpe.decoder()("ids")).collect()
+    assert len(found) == len(HARD) + 1
+    for row in found:
+        ids = np.frombuffer(row.ids, "<u4").tolist()
+        assert row.decoded == row.again == library.decode(ids, skip_special_tokens=False)
+
+
 def test_encoding_of_messy_tables(spark):
     made = bpe.encode(documents(spark)).withColumn("back", bpe.decoder()("ids"))
     want = documents(spark).select("doc_id", F.coalesce("text", F.lit("")).alias("back"))
