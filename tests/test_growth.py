@@ -1,9 +1,11 @@
 """Words, the largest rows there are, must not be shuffled: lines are, before they are taken apart."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from cliploom.operators import captions, proposals
+from cliploom.operators import captions, dedup, digests, proposals
 from cliploom.operators.dedup import greedy_dedup
 from cliploom.plans.views import Views
 from cliploom.sources import documents
@@ -49,6 +51,43 @@ def test_ends_go_to_the_words_not_words_to_the_ends(views):
     assert any("Aggregate" in n for n in nodes[:nodes.index("Exchange")])
 
 
+def test_ends_are_dealt_once_to_as_many_tasks_as_words(views):
+    views.__dict__["parts"] = 48  # more than joins have, as for a large folder
+    placed = proposals.place(views.proposals, views.chunks)
+    seen = proposals.with_anchors(
+        placed, views.segments, views.word_times, 2.5, words_inside=True, parts=views.parts)
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(run_id#\d+L?, (?:seg_)?index#\d+L?, (\d+)\)", plan)
+    assert dealt == ["48", "48"]
+
+
+def test_a_kept_interval_is_looked_up_only_where_a_conflict_may_start(spark):
+    kept = spark.createDataFrame(
+        [(1, 3000.0, 3060.0, 0.6, 9.0, "a")],
+        "run_id long, start double, end double, limit double, total_score double, candidate_id string")
+    longest = spark.createDataFrame([(1, 100.0)], "run_id long, longest double")
+    slots = [r.slot for r in dedup._beside(kept, longest, ["run_id"]).orderBy("slot").collect()]
+    assert slots == [98, 99, 100]  # from 3000 - 0.4 * 100 to 3060 - 0.6 * 60
+
+
+def test_leaves_in_bytes_give_the_digest_of_leaves_in_hex(views):
+    leaves = views.segments_ms.withColumn("hex", digests.segment_digest())
+    want = digests.tree_digest(leaves, ["run_id"], "index", "hex", "transcript_sha256")
+    got = digests.transcript_digest(views.segments_ms)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert "unhex(" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_segment_lies_in_few_stretches(spark):
+    segments = spark.createDataFrame([(1, 0, 100.0, 130.0)], "run_id long, index long, start double, end double")
+    asked = spark.createDataFrame(
+        [(1, 7, 110.0, 131.0, 0.0, 200.0, 2.5), (1, 8, 96.0, 134.0, 0.0, 200.0, 2.5)],
+        "run_id long, _id long, start double, end double, window_start double, window_end double, _reach double")
+    met = proposals._met(asked, segments, segments.limit(0), 2.5, True)
+    assert sorted((r._id, r.opens) for r in met.collect()) == [(7, False), (7, True)]
+    assert "bucket" not in met.columns and proposals.STRETCH * proposals.bucket_seconds(2.5) == 60
+
+
 def test_speech_outside_its_segment_counts(spark):
     segments = spark.createDataFrame([(1, 0, 100.0, 101.0)], "run_id long, index long, start double, end double")
     words = spark.createDataFrame([(1, 0, 30.0, 31.0)], "run_id long, seg_index long, start double, end double")
