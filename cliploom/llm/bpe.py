@@ -9,14 +9,16 @@ holds changes the speed only, never an id.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
+import re
 import unicodedata
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -36,6 +38,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LEXICON_WORDS = 500_000
 #: Characters that a task cuts at a time, and words that it looks up at a time.
 PART, LOOKED_UP = 1 << 20, 1 << 18
+#: Words that a task remembers from one look-up to the next, and that are merged side by side.
+REMEMBERED, MERGED = 200_000, 8_192
 #: Words that a task counts before it passes them on, and documents that it returns at once.
 COUNTED, ROWS = 200_000, 1_000
 #: Words of more bytes are merged with a heap. No rank.
@@ -127,6 +131,68 @@ class Vocabulary:
                 found[i] = rank((ids[i], ids[i + 1]), NONE)
         return ids
 
+    @functools.cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that merge as sorted numbers, and their ranks."""
+        keys = np.array([a << 32 | b for a, b in self.ranks] or [-1], np.int64)
+        order = np.argsort(keys)
+        return keys[order], np.array(list(self.ranks.values()) or [NONE], np.int64)[order]
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys, ranks = self._pairs
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        return np.where(keys[at] == pair, ranks[at], NONE)
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """What `merge` gives for many words that are not empty: their ids one after another, and
+        how many each has. A step merges the lowest pair of every word that has one left."""
+        parts = [self._side_by_side(words[i:i + MERGED]) for i in range(0, len(words), MERGED)]
+        none = np.empty(0, np.int64)
+        return (np.concatenate([none, *(ids for ids, _ in parts)]),
+                np.concatenate([none, *(sizes for _, sizes in parts)]))
+
+    def _side_by_side(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        done = []  # (words, how many ids each has, their ids)
+        for i in np.flatnonzero(lengths > LONG).tolist():
+            ids = np.array(self.merge(words[i]), np.int64)
+            done.append((np.array([i]), np.array([len(ids)]), ids))
+        open_words = np.flatnonzero(lengths <= LONG)
+        sizes = lengths[open_words]
+        letters = np.frombuffer(b"".join([words[i] for i in open_words.tolist()]), np.uint8)
+        ids = np.array(self.first, np.int64)[letters]
+        # the rank of an id and the next one of its word
+        rank = np.full(len(ids), NONE)
+        rank[:-1] = self._ranks_of(ids[:-1], ids[1:])
+        rank[np.cumsum(sizes) - 1] = NONE
+        made = np.array(self.made or [0], np.int64)
+        while len(open_words):
+            starts = np.cumsum(sizes) - sizes
+            lowest = np.minimum.reduceat(rank, starts)
+            left = lowest < NONE
+            if not left.all():
+                stays = np.repeat(left, sizes)
+                done.append((open_words[~left], sizes[~left], ids[~stays]))
+                open_words, sizes, lowest = open_words[left], sizes[left], lowest[left]
+                ids, rank = ids[stays], rank[stays]
+                if not len(open_words):
+                    break
+                starts = np.cumsum(sizes) - sizes
+            hits = np.flatnonzero(rank == np.repeat(lowest, sizes))
+            at = hits[np.searchsorted(hits, starts)]  # the first of every word
+            ids[at] = made[lowest]
+            before, after, last = at > starts, at + 2 < starts + sizes, at + 1
+            rank[at] = NONE
+            rank[at[after]] = self._ranks_of(ids[at[after]], ids[at[after] + 2])
+            rank[at[before] - 1] = self._ranks_of(ids[at[before] - 1], ids[at[before]])
+            stays = np.ones(len(ids), bool)
+            stays[last] = False
+            ids, rank, sizes = ids[stays], rank[stays], sizes - 1
+        which, sizes, ids = (np.concatenate(part) for part in zip(*done, strict=True))
+        order = np.argsort(which)
+        return _pick(ids, np.cumsum([0, *sizes]), order)[0], sizes[order]
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with the pairs in a heap: n log n."""
         rank, n = self.ranks.get, len(ids)
@@ -151,13 +217,26 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
+@functools.lru_cache(2)
+def _quick(late: frozenset[str]) -> re.Pattern:
+    """The cutting pattern for texts below U+10000, its classes written out sign by sign: late
+    signs are neither letters nor numbers, and nothing else needs asking."""
+    signs = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    letter, number, space = (
+        _ranges(frozenset(regex.findall(kind, signs)) - (late if kind != r"\s" else frozenset()))
+        for kind in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(
+        rf" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{number}]+| ?[^{space}{letter}{number}]+"
+        rf"|[{space}]+(?![^{space}])|[{space}]+")
+
+
 class Cutter:
     """Cuts texts into words, part by part, so that a very long text is never a list at once."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         late = _ranges(vocabulary.late)
         self.late = vocabulary.late
-        self.usual = regex.compile(PATTERN)
+        self.usual, self.quick = regex.compile(PATTERN), _quick(vocabulary.late)
         self.exact = regex.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d| ?(?:(?![{late}])\p{{L}})+| ?(?:(?![{late}])\p{{N}})+"
             rf"| ?(?:[^\s\p{{L}}\p{{N}}]|[{late}])+|\s+(?!\S)|\s+")
@@ -175,10 +254,14 @@ class Cutter:
             while begin < len(piece):
                 gap = self.gap.search(piece, begin + PART)
                 end = gap.start() if gap else len(piece)
-                part = piece[begin:end]
-                yield (self.usual if self.late.isdisjoint(part) else self.exact).findall(part)
+                yield self._pattern(piece[begin:end]).findall(piece[begin:end])
                 begin = end
 
+    def _pattern(self, part: str) -> re.Pattern | regex.Pattern:
+        if len(part.encode("utf-16-le", "surrogatepass")) == 2 * len(part):
+            return self.quick
+        return self.usual if self.late.isdisjoint(part) else self.exact
+
 
 def _texts(batch: pa.RecordBatch) -> Iterator[str]:
     return (text.as_py() or "" for text in batch.column("text"))
@@ -242,7 +325,9 @@ def _merger(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [word.encode() for word in batch.column("word").to_pylist()]
-            ids = [np.array(vocabulary.merge(word), "<u4").tobytes() for word in words]
+            flat, sizes = vocabulary.merge_all(words)
+            data, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum([0, *sizes])).tolist()
+            ids = [data[a:b] for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(words, pa.binary()), pa.array(ids, pa.binary())], ["word", "ids"])
 
@@ -268,49 +353,62 @@ def _pick(flat: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> tuple[np.nda
 
 
 class Encoder:
+    """Looks words up in the lexicon and merges those that it does not hold, each distinct one once
+    for as long as it is remembered."""
+
     def __init__(self, vocabulary: Vocabulary, path: str) -> None:
-        self.vocabulary, self.lexicon = vocabulary, Lexicon(path)
-
-    def lists(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of distinct words one after another, and their ends."""
-        numbers = self.lexicon.numbers([word.encode() for word in words])
-        unseen = np.flatnonzero(numbers < 0)
-        merged = [self.merged(words[i]) for i in unseen.tolist()]
-        known, ends = self.lexicon.id_table, self.lexicon.ends
-        # the lists of merged words follow those of the lexicon
-        flat = np.concatenate([known, np.fromiter(chain.from_iterable(merged), "<u4")])
-        ends = np.concatenate([ends, ends[-1] + np.cumsum(list(map(len, merged)), dtype=np.int64)])
-        numbers[unseen] = self.lexicon.head["words"] + np.arange(len(unseen))
-        return _pick(flat, ends, numbers)[0], np.concatenate(
-            [[0], np.cumsum(ends[numbers + 1] - ends[numbers])])
-
-    def merged(self, word: str) -> list[int]:
-        control = self.vocabulary.control.get(word)
-        return self.vocabulary.merge(word.encode()) if control is None else [control]
+        self.vocabulary, self.lexicon, self.cutter = vocabulary, Lexicon(path), Cutter(vocabulary)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words get a code as they come; `flat` and `ends` hold the ids of those looked up."""
+        self.codes: dict[str, int] = defaultdict()
+        self.codes.default_factory = self.codes.__len__
+        self.flat, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def _look_up(self) -> None:
+        """The ids of words that have a code but none yet."""
+        words = [word.encode() for word in islice(self.codes, len(self.ends) - 1, None)]
+        numbers = self.lexicon.numbers(words)
+        for control, number in self.vocabulary.control.items():
+            # a control string is one id, never merged; the lexicon has none
+            code = self.codes.get(control, -1) - (len(self.ends) - 1)
+            if code >= 0:
+                numbers[code] = -2 - number
+        known, unseen, control = (np.flatnonzero(x) for x in (numbers >= 0, numbers == -1, numbers < -1))
+        flat, upto = _pick(self.lexicon.id_table, self.lexicon.ends, numbers[known])
+        merged, lengths = self.vocabulary.merge_all([words[i] for i in unseen.tolist()])
+        every = np.concatenate([flat, merged, -2 - numbers[control]]).astype("<u4")
+        ends = np.cumsum(np.concatenate(
+            [[0], np.diff(upto, prepend=0), lengths, np.ones(len(control), np.int64)]))
+        place = np.empty(len(words), np.int64)
+        place[np.concatenate([known, unseen, control])] = np.arange(len(words))
+        flat, upto = _pick(every, ends, place)
+        self.flat = np.concatenate([self.flat, flat])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + upto])
 
     def encode(self, texts: Iterator[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit numbers. About LOOKED_UP words are
-        looked up together, each distinct one once."""
-        cutter = Cutter(self.vocabulary)
-        codes: dict[str, int] = defaultdict()
-        codes.default_factory = codes.__len__
+        looked up together."""
         waiting: list[tuple[bool, np.ndarray]] = []  # (ends a text, its codes)
         begun: list[bytes] = []
         size = 0
 
         def flush() -> Iterator[bytes]:
-            flat, ends = self.lists(list(codes))
+            self._look_up()
             for last, part in waiting:
-                begun.append(_pick(flat, ends, part)[0].tobytes())
+                begun.append(_pick(self.flat, self.ends, part)[0].tobytes())
                 if last:
                     yield b"".join(begun)
                     begun.clear()
             waiting.clear()
-            codes.clear()
+            if len(self.codes) > REMEMBERED:
+                self._forget()
 
         for text in texts:
-            for words in cutter.parts(text):
-                waiting.append((False, np.fromiter(map(codes.__getitem__, words), np.int64, len(words))))
+            for words in self.cutter.parts(text):
+                codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+                waiting.append((False, codes))
                 size += len(words)
                 if size >= LOOKED_UP:
                     yield from flush()

@@ -74,6 +74,28 @@ def test_short_and_long_words_merge_alike(vocabulary):
         assert vocabulary.merge(word) == vocabulary._merge_long(ids)
 
 
+def test_words_merge_side_by_side_as_one_by_one(vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "MERGED", 300)
+    draw = random.Random(5)
+    words = [bytes(draw.choice("etaoin shré".encode()) for _ in range(draw.randrange(1, 130))) for _ in range(800)]
+    ids, sizes = vocabulary.merge_all([*words, *words[:9]])
+    ends = np.cumsum([0, *sizes])
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [
+        vocabulary.merge(w) for w in [*words, *words[:9]]]
+
+
+def test_words_are_merged_once_for_many_lookups(vocabulary, library, monkeypatch, tmp_path):
+    merged, real = [], bpe.Vocabulary.merge_all
+    monkeypatch.setattr(bpe, "LOOKED_UP", 4)
+    monkeypatch.setattr(bpe.Vocabulary, "merge_all", lambda v, words: merged.extend(words) or real(v, words))
+    (tmp_path / "lexicon").write_bytes(lexicon.compile_lexicon([]))
+    made, texts = bpe.Encoder(vocabulary, str(tmp_path / "lexicon")), [*HARD, PROSE, PROSE, *HARD]
+    assert [x for t in texts for x in made.encode(iter([t]))] == library_ids(library, texts)
+    assert len(merged) == len(set(merged))
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)  # forgets after every look-up, same ids
+    assert list(made.encode(iter(texts))) == library_ids(library, texts)
+
+
 @pytest.mark.parametrize("kept", [0, 5, 1000])
 def test_encoding_is_the_librarys_whatever_the_lexicon_holds(spark, library, kept):
     texts = [*HARD, None, PROSE, *["".join(random.Random(i).choices("ab 'séß1\n\t!", k=60))
