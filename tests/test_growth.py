@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cliploom.operators import captions, dedup, digests, proposals
 from cliploom.operators.dedup import greedy_dedup
 from cliploom.plans.views import Views
+from cliploom.session import files_of, write_stage
 from cliploom.sources import documents
 
 FOLDER = "/root/testdata/sf0.001"
@@ -149,3 +150,13 @@ def test_a_clip_takes_a_segment_as_one_row(views):
     assert together.exceptAll(heard).isEmpty() and heard.exceptAll(together).isEmpty()
     nodes = above(together, "Generate posexplode(split(line")
     assert any("Aggregate" in n for n in nodes[:nodes.index("Exchange")])
+
+
+def test_stages_that_are_read_once_are_stored_small(spark):
+    rows = spark.range(4000).selectExpr("sha2(string(id), 256) AS d")
+
+    def size(compression):
+        kept = write_stage(rows, "small", compression)
+        return sum(f.size for f in files_of(spark, kept.inputFiles()[0].rsplit("/", 1)[0]))
+
+    assert size("zstd") < 0.7 * size(None)
