@@ -185,7 +185,7 @@ def stage_inputs(v: Views) -> DataFrame:
         return F.round(c(x) * 1000).cast("bigint")
 
     def tree(df: DataFrame, at, *parts) -> DataFrame:
-        return leaves(df.select("run_id", at.alias("at"), digest(*parts).alias("leaf")))
+        return leaves(df.select("run_id", at.alias("at"), F.unhex(digest(*parts)).alias("leaf")))
 
     def leaves(df: DataFrame) -> DataFrame:
         return D.tree_digest(df, ["run_id"], "at", "leaf", "d")
@@ -199,7 +199,8 @@ def stage_inputs(v: Views) -> DataFrame:
         "audio": (heard, "d"),
         "text": (v.transcript_digests, "transcript_sha256"),
         "chunks": (tree(v.chunks, c("chunk_index"), c("chunk_id"), whole("start"), whole("end")), "d"),
-        "raw": (leaves(v.proposals.select("run_id", place.alias("at"), _content().alias("leaf"))), "d"),
+        "raw": (leaves(v.proposals.select(
+            "run_id", place.alias("at"), F.unhex(_content()).alias("leaf"))), "d"),
         "outcomes": (tree(v.outcomes, place, c("candidate_id"), c("outcome"), c("rank"),
                           whole("start"), whole("end")), "d"),
         "decisions": (tree(v.decisions, c("rank"), c("candidate_id"), c("decision"),
@@ -242,7 +243,7 @@ def reuse_audit(v: Views) -> DataFrame:
     reusable only if nothing that it was made from, at any distance, has changed since."""
     c = F.col
     f = (c("run_id") * 5 + S.stage_position()) % 13
-    now = write_stage(stage_inputs(v), "inputs")
+    now = write_stage(stage_inputs(v), "inputs", compression="zstd")
     then = inputs_then(now)
 
     def made(inputs: DataFrame) -> DataFrame:
@@ -269,7 +270,7 @@ SELECT stage, count(*) AS runs, sum(run_id)::BIGINT AS run_ids FROM q_todo GROUP
 def stages_to_do(v: Views) -> DataFrame:
     """Stages are stored as they were then; what a store still has to compute now is exactly what
     is made from something that has changed."""
-    now = write_stage(stage_inputs(v), "inputs")
+    now = write_stage(stage_inputs(v), "inputs", compression="zstd")
     store = StageStore(v.spark, f"{shared_folder(v.spark)}/store-{uuid.uuid4().hex}")
     before = D.stage_fingerprints(inputs_then(now), STAGE_INPUTS)
     wanted = D.stage_fingerprints(now, STAGE_INPUTS)

@@ -1,5 +1,6 @@
 """Words, the largest rows there are, must not be shuffled: lines are, before they are taken apart."""
 
+import hashlib
 import re
 
 import pytest
@@ -152,6 +153,29 @@ def test_a_clip_takes_a_segment_as_one_row(views):
     assert any("Aggregate" in n for n in nodes[:nodes.index("Exchange")])
 
 
+def test_digests_pass_from_level_to_level_in_bytes(spark, monkeypatch):
+    kinds, join = [], digests._join_digests
+
+    def seen(level, keys):
+        kinds.append(level.schema["_d"].dataType.simpleString())
+        return join(level, keys)
+
+    monkeypatch.setattr(digests, "_join_digests", seen)
+    rows = spark.range(3000).selectExpr("id % 2 AS run_id", "id AS at", "sha2(string(id), 256) AS leaf")
+    leaves = {run: [hashlib.sha256(str(i).encode()).hexdigest() for i in range(run, 3000, 2)] for run in (0, 1)}
+
+    def joined(parts):
+        return hashlib.sha256("|".join(parts).encode()).hexdigest()
+
+    want = {run: joined([joined([joined([x for i, x in enumerate(found) if (2 * i + run) // 1024 == b])
+                                 for b in range(3)])]) for run, found in leaves.items()}
+    for leaf in (F.col("leaf"), F.unhex("leaf")):
+        kinds.clear()
+        assert dict(digests.tree_digest(
+            rows.withColumn("leaf", leaf), ["run_id"], "at", "leaf", "d").collect()) == want
+        assert kinds[1:] == ["binary", "binary"]
+
+
 def test_stages_that_are_read_once_are_stored_small(spark):
     rows = spark.range(4000).selectExpr("sha2(string(id), 256) AS d")
 
