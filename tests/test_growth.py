@@ -184,3 +184,10 @@ def test_stages_that_are_read_once_are_stored_small(spark):
         return sum(f.size for f in files_of(spark, kept.inputFiles()[0].rsplit("/", 1)[0]))
 
     assert size("zstd") < 0.7 * size(None)
+
+
+def test_proposals_keep_the_extent_of_their_chunk(views):
+    want = proposals.place(views.proposals, views.chunks)
+    assert sorted(want.columns) == sorted(views.placed.columns)
+    assert want.exceptAll(views.placed.select(want.columns)).isEmpty()
+    assert want.count() == views.placed.count()
