@@ -96,8 +96,7 @@ def clip_words(v: Views) -> DataFrame:
 SELECT run_id, candidate_id, idx AS seg_index, word_pos, n AS position FROM q_bare""")
 def token_order(v: Views) -> DataFrame:
     return v.tokens.select(
-        "run_id", "candidate_id", "seg_index", "word_pos",
-        F.row_number().over(K.token_order()).cast("bigint").alias("position"))
+        "run_id", "candidate_id", "seg_index", "word_pos", F.col("token_pos").alias("position"))
 
 
 @plan("cue_hard_breaks", """
@@ -106,7 +105,14 @@ SELECT run_id, candidate_id, n AS token_pos, sum(brk) OVER (PARTITION BY run_id,
   SELECT *, CASE WHEN lag(ends) OVER w OR s - lag(e) OVER w >= 0.6 THEN 1 ELSE 0 END AS brk
   FROM q_marked WINDOW w AS (PARTITION BY run_id, candidate_id ORDER BY n))""")
 def cue_hard_breaks(v: Views) -> DataFrame:
-    return K.hard_breaks(v.tokens).select("run_id", "candidate_id", "token_pos", "stretch")
+    return K.hard_breaks(v.clips_heard)
+
+
+def _groups(v: Views) -> DataFrame:
+    """Rows of grouped words with their position in the clip, from 1."""
+    return K.group_words(v.clips_heard).select(
+        "run_id", "candidate_id", F.posexplode("groups").alias("_at", "_g"),
+    ).select("run_id", "candidate_id", (F.col("_at") + 1).cast("bigint").alias("cue_pos"), "_g.*")
 
 
 part("q_group_out", """
@@ -118,7 +124,7 @@ SELECT run_id, candidate_id, g AS cue_pos, round(s * 1000)::BIGINT AS start_ms,
 @plan("cue_grouping", """
 SELECT run_id, candidate_id, start_ms, end_ms, text, count(*) AS n FROM q_group_out GROUP BY ALL""")
 def cue_grouping(v: Views) -> DataFrame:
-    return K.group_words(v.tokens).select(
+    return _groups(v).select(
         "run_id", "candidate_id", ms(F.col("raw_start")).alias("start_ms"),
         ms(F.col("raw_end")).alias("end_ms"), F.array_join("words", " ").alias("text"),
     ).groupBy("run_id", "candidate_id", "start_ms", "end_ms", "text").agg(F.count("*").alias("n"))
@@ -127,7 +133,7 @@ def cue_grouping(v: Views) -> DataFrame:
 @plan("cue_limit", """
 SELECT run_id, candidate_id, cue_pos::BIGINT AS cue_pos, start_ms, limit_ms FROM q_group_out""")
 def cue_limit(v: Views) -> DataFrame:
-    return K.cue_limits(K.group_words(v.tokens)).select(
+    return _groups(v).select(
         "run_id", "candidate_id", "cue_pos", ms(F.col("raw_start")).alias("start_ms"),
         ms(F.col("limit")).alias("limit_ms"))
 

@@ -1,6 +1,7 @@
 """Words, the largest rows there are, must not be shuffled: lines are, before they are taken apart."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cliploom.operators import captions, dedup, digests, proposals
 from cliploom.operators.dedup import greedy_dedup
+from cliploom.plans import views as plan_views
 from cliploom.plans.views import Views
 from cliploom.session import files_of, write_stage
 from cliploom.sources import documents
@@ -191,3 +193,46 @@ def test_proposals_keep_the_extent_of_their_chunk(views):
     assert sorted(want.columns) == sorted(views.placed.columns)
     assert want.exceptAll(views.placed.select(want.columns)).isEmpty()
     assert want.count() == views.placed.count()
+
+
+@pytest.mark.parametrize("tile", [captions.TILE, 7.0])
+def test_lines_bring_clips_the_words_they_hear(views, monkeypatch, tile):
+    monkeypatch.setattr(captions, "TILE", tile)
+    got = captions.tokens_of(views.clips_heard).drop("token_pos")
+    want = captions.clip_words(views.words, views.targets, views.segments).select(got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert views.clips_heard.count() == views.targets.count()
+
+
+def test_lines_meet_clips_once_and_no_word_is_shuffled(views):
+    frame = captions.group_words(views.clips_heard)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(run_id#\d+L?, tile#\d+L?, \d+\)", plan)
+    assert plan.count("Exchange") == len(dealt) == 3  # lines, and clips: to the lines, and by themselves
+
+
+def test_odd_white_space_in_lines(spark):
+    lines = spark.createDataFrame(
+        [(1, 0, 0.0, 1.48, "ab \u00a0 c\u2003d ."), (1, 1, 5000.0, 5000.2, "x"), (1, 2, 6000.0, 6000.2, "\t")],
+        "run_id long, seg_index long, start double, end double, line string")
+    clips = spark.createDataFrame(
+        [(1, "a", 0.0, 20.0), (1, "long", 1.0, 6001.0), (1, "silent", 30.0, 40.0), (2, "none", 0.0, 9.0)],
+        "run_id long, candidate_id string, start double, end double")
+    found = {r.candidate_id: (r.texts, r.places, r.segments) for r in captions.lines_to_clips(
+        lines, clips, plan_views._words_near).collect()}
+    assert found == {"a": (["ab", "c d", "."], [0, 2, 3], [0, 0, 0]), "long": ([".", "x"], [3, 0], [0, 1]),
+                     "silent": ([], [], []), "none": ([], [], [])}
+
+
+def test_wrap_is_the_best_split(spark):
+    rng = random.Random(3)
+    rows = [(["x" * rng.randrange(1, 24) for _ in range(rng.randrange(2, 9))],) for _ in range(300)]
+
+    def best(words):
+        if len(" ".join(words)) <= 42:
+            return [" ".join(words)]
+        return min(([" ".join(words[:k]), " ".join(words[k:])] for k in range(1, len(words))),
+                   key=lambda two: max(map(len, two)))
+
+    got = spark.createDataFrame(rows, "words array<string>").select("words", captions.wrap_lines(F.col("words")).alias("w"))
+    assert all(r.w == best(r.words) for r in got.collect())
