@@ -48,23 +48,34 @@ def transcript_srt(segments: DataFrame) -> DataFrame:
     return _parts(segments, block, "\n")
 
 
-def _per_clip(cues: DataFrame, line: Column, separator: str) -> DataFrame:
-    """Cues of a clip are one small document."""
-    entry = F.struct(F.col("index"), line.alias("line"))
-    return cues.groupBy(*CLIP).agg(F.array_join(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda r: r["line"]), separator
-    ).alias("body"))
+def cues_by_clip(cues: DataFrame, clips: DataFrame) -> DataFrame:
+    """(CLIP, cues) of every clip out of rows of cues; NULL for a silent one."""
+    entry = F.struct("index", "start", "end", "lines")
+    return clips.select(*CLIP).join(
+        cues.groupBy(*CLIP).agg(F.array_sort(F.collect_list(entry)).alias("cues")), CLIP, "left")
+
+
+def _once(number: Column, make: Callable[[Column], Column]) -> Column:
+    """make(number) with the number computed once, however often it is looked at."""
+    return F.transform(F.array(number), make)[0]
+
+
+def srt_documents(clips: DataFrame) -> DataFrame:
+    """SRT of every clip (CLIP, cues); a silent clip has an empty document."""
+    def block(c: Column) -> Column:
+        return F.concat(
+            c["index"].cast("string"), F.lit("\n"), _once(half_up_units(c["start"], 1000), srt_stamp),
+            F.lit(" --> "), _once(half_up_units(c["end"], 1000), srt_stamp), F.lit("\n"),
+            F.array_join(c["lines"], "\n"))
+
+    body = F.concat(F.array_join(F.transform("cues", block), "\n\n"), F.lit("\n"))
+    return clips.select(
+        *CLIP, F.when(F.size("cues") > 0, body).otherwise(F.lit("")).alias("document"))
 
 
 def clip_srt(cues: DataFrame, clips: DataFrame) -> DataFrame:
-    """SRT of every clip; a silent clip has an empty document."""
-    block = F.concat(
-        F.col("index").cast("string"), F.lit("\n"),
-        srt_stamp(half_up_units(F.col("start"), 1000)), F.lit(" --> "),
-        srt_stamp(half_up_units(F.col("end"), 1000)), F.lit("\n"), F.array_join("lines", "\n"))
-    bodies = _per_clip(cues, block, "\n\n")
-    return clips.select(*CLIP).join(bodies, CLIP, "left").select(
-        *CLIP, F.coalesce(F.concat("body", F.lit("\n")), F.lit("")).alias("document"))
+    """SRT of every clip out of rows of cues."""
+    return srt_documents(cues_by_clip(cues, clips))
 
 
 def ass_header(width: int, height: int, style: CaptionStyle) -> str:
@@ -82,17 +93,24 @@ def ass_header(width: int, height: int, style: CaptionStyle) -> str:
     ))
 
 
+def ass_documents(clips: DataFrame, width: int, height: int, style: CaptionStyle = CaptionStyle()
+                  ) -> DataFrame:
+    """ASS of every clip (CLIP, cues); a silent clip holds the header alone."""
+    def line(c: Column) -> Column:
+        return F.concat(
+            F.lit("\nDialogue: 0,"), _once(half_up_units(c["start"], 100), ass_stamp), F.lit(","),
+            _once(half_up_units(c["end"], 100), ass_stamp), F.lit(f",{style.name},,0,0,0,,"),
+            F.array_join(F.transform(c["lines"], caption_safe), "\\N"))
+
+    body = F.coalesce(F.array_join(F.transform("cues", line), ""), F.lit(""))
+    return clips.select(*CLIP, F.concat(
+        F.lit(ass_header(width, height, style)), body, F.lit("\n")).alias("document"))
+
+
 def clip_ass(cues: DataFrame, clips: DataFrame, width: int, height: int,
              style: CaptionStyle = CaptionStyle()) -> DataFrame:
-    """ASS of every clip; a silent clip holds the header alone."""
-    text = F.array_join(F.transform("lines", caption_safe), "\\N")
-    line = F.concat(
-        F.lit("\nDialogue: 0,"), ass_stamp(half_up_units(F.col("start"), 100)), F.lit(","),
-        ass_stamp(half_up_units(F.col("end"), 100)), F.lit(f",{style.name},,0,0,0,,"), text)
-    bodies = _per_clip(cues, line, "")
-    head = F.lit(ass_header(width, height, style))
-    return clips.select(*CLIP).join(bodies, CLIP, "left").select(
-        *CLIP, F.concat(head, F.coalesce("body", F.lit("")), F.lit("\n")).alias("document"))
+    """ASS of every clip out of rows of cues."""
+    return ass_documents(cues_by_clip(cues, clips), width, height, style)
 
 
 def _clock(hours: Column, minutes: Column, seconds: Column, rest: Column, unit_ms: int) -> Column:
@@ -203,12 +221,15 @@ def events_of(parsed: DataFrame) -> DataFrame:
 def event_problems(parsed: DataFrame, clips: DataFrame) -> DataFrame:
     """First problem of a document against its clip: unreadable, out of order, past the end."""
     limit = F.rint((F.col("end") - F.col("start")) * 1000).cast("bigint")
-    marks = F.transform("events", lambda e, i: (
-        F.when(e["start_ms"] < F.when(i == 0, F.lit(0).cast("bigint"))
-               .otherwise(F.get("events", i - 1)["end_ms"]), F.lit("out_of_order"))
-        .when(e["end_ms"] > F.col("limit_ms"), F.lit("past_clip_end"))
-    ))
-    first = F.get(F.filter(marks, lambda m: m.isNotNull()), F.lit(0))
-    return parsed.join(clips.select(*CLIP, limit.alias("limit_ms")), CLIP).select(
-        *CLIP, F.coalesce(F.when(F.col("problem").isNotNull(), F.lit("unreadable")), first)
-        .alias("problem"))
+    early = F.filter(F.transform("events", lambda e, i: F.when(
+        e["start_ms"] < F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get("events", i - 1)["end_ms"]), i)),
+        lambda i: i.isNotNull())
+    # Only what a document comes to meets its clip: the first event out of order, and how far those
+    # before it reach.
+    marked = parsed.select(*CLIP, "problem", "events", F.get(early, F.lit(0)).alias("_early")).select(
+        *CLIP, "problem", "_early", F.array_max(F.transform(
+            F.slice("events", 1, F.coalesce("_early", F.size("events"))), lambda e: e["end_ms"])).alias("_reach"))
+    return marked.join(clips.select(*CLIP, limit.alias("limit_ms")), CLIP).select(
+        *CLIP, F.when(F.col("problem").isNotNull(), F.lit("unreadable"))
+        .when(F.col("_reach") > F.col("limit_ms"), F.lit("past_clip_end"))
+        .when(F.col("_early").isNotNull(), F.lit("out_of_order")).alias("problem"))

@@ -177,7 +177,7 @@ LEFT JOIN (SELECT run_id, candidate_id, string_agg(index || chr(10) || {_srt("s_
 
 @plan("sink_clip_srt", "SELECT * FROM q_clip_srt")
 def sink_clip_srt(v: Views) -> DataFrame:
-    return T.clip_srt(v.cues, v.targets)
+    return T.srt_documents(v.clip_cues)
 
 
 _HEADER = T.ass_header(1080, 1920, rules.CaptionStyle()).replace("'", "''")
@@ -194,7 +194,7 @@ FROM q_targets t LEFT JOIN (
 
 @plan("sink_clip_ass", "SELECT * FROM q_clip_ass")
 def sink_clip_ass(v: Views) -> DataFrame:
-    return T.clip_ass(v.cues, v.targets, 1080, 1920)
+    return T.ass_documents(v.clip_cues, 1080, 1920)
 
 
 def _srt_documents(v: Views) -> DataFrame:
@@ -210,7 +210,7 @@ def _srt_documents(v: Views) -> DataFrame:
         .when(fault == 4, F.regexp_replace(doc, r"\A(\d+\n[^\n]+)\n[^\n]+\n", "$1\n\n"))
         .otherwise(doc)
     )
-    return T.clip_srt(v.cues, v.targets).withColumn("document", damaged)
+    return T.srt_documents(v.clip_cues).withColumn("document", damaged)
 
 
 def _ass_documents(v: Views) -> DataFrame:
@@ -224,7 +224,7 @@ def _ass_documents(v: Views) -> DataFrame:
         .when(fault == 3, F.replace(doc, F.lit("\n"), F.lit("\r\n")))
         .otherwise(doc)
     )
-    return T.clip_ass(v.cues, v.targets, 1080, 1920).withColumn("document", damaged)
+    return T.ass_documents(v.clip_cues, 1080, 1920).withColumn("document", damaged)
 
 
 part("q_doc_fault", """

@@ -133,3 +133,40 @@ def test_long_transcript_parts_join_to_the_document(spark, monkeypatch):
     assert text == "".join(f"s{i}\n" for i in range(8))
     srt = "".join(r.text for r in D.transcript_srt(df).orderBy("part").collect())
     assert srt.count(" --> ") == 8 and "\n\n8\n00:00:07,000" in srt and srt.endswith("s7\n")
+
+
+def test_documents_of_stored_clips_are_made_where_they_lie(spark, tmp_path):
+    rows = [(1, "a", [(1, 0.5, 2.0, ["one", "two"]), (2, 2.0, 3.5, ["three"])]), (1, "silent", [])]
+    kind = "array<struct<index:bigint,start:double,end:double,lines:array<string>>>"
+    spark.createDataFrame(rows, f"run_id long, candidate_id string, cues {kind}").write.parquet(f"{tmp_path}/c")
+    stored = spark.read.parquet(f"{tmp_path}/c")
+    clips = stored.select("run_id", "candidate_id")
+    for made, by_rows in ((D.srt_documents(stored), D.clip_srt(stored.selectExpr(
+            "run_id", "candidate_id", "inline(cues)"), clips)),
+            (D.ass_documents(stored, 1080, 1920), D.clip_ass(stored.selectExpr(
+                "run_id", "candidate_id", "inline(cues)"), clips, 1080, 1920))):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        assert sorted(made.collect()) == sorted(by_rows.collect())
+
+
+def test_documents_meet_clips_without_their_events(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = {"fine": [(0, 900), (900, 2000)], "late": [(0, 900), (900, 2001), (100, 300)],
+                "early": [(0, 900), (899, 5000)], "empty": [], "negative": [(-1, 5)], "bad": [(0, 9000)]}
+        parsed = spark.createDataFrame(
+            [(1, name, [(a, b, "t") for a, b in events], "no_text" if name == "bad" else None)
+             for name, events in rows.items()],
+            "run_id long, candidate_id string, events array<struct<start_ms:bigint,end_ms:bigint,text:string>>, "
+            "problem string")
+        clips = spark.createDataFrame([(1, name, 1.0, 3.0) for name in rows],
+                                      "run_id long, candidate_id string, start double, end double")
+        found = D.event_problems(parsed, clips)
+        assert {r.candidate_id: r.problem for r in found.collect()} == {
+            "fine": None, "late": "past_clip_end", "early": "out_of_order", "empty": None,
+            "negative": "out_of_order", "bad": "unreadable"}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "AS _reach" in plan[plan.index("Join Inner"):].splitlines()[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
