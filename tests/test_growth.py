@@ -236,3 +236,10 @@ def test_wrap_is_the_best_split(spark):
 
     got = spark.createDataFrame(rows, "words array<string>").select("words", captions.wrap_lines(F.col("words")).alias("w"))
     assert all(r.w == best(r.words) for r in got.collect())
+
+
+def test_what_proposals_say_is_not_stored(views):
+    for stored, whole in ((views.placed_stored, views.placed), (views.assessed_stored, views.assessed),
+                          (views.outcomes_stored, views.outcomes)):
+        assert not set(plan_views.TOLD) & set(stored.columns)
+        assert sorted([*stored.columns, *plan_views.TOLD]) == sorted(whole.columns)
